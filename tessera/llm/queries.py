@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules, toxicity
+from tessera.llm import ngram_join, quality_rules, toxicity
 from tessera.llm.common import table
 
 
@@ -23,8 +23,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-copy class of every document."""
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
