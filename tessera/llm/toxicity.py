@@ -229,7 +229,7 @@ def _segment_rows(seeds: np.ndarray, keep: float):
                 firsts, lengths = _segments(x.rows)
                 rank = chained(x.word[firsts], x.word[firsts + lengths - 1], lengths.astype(_U))
                 has = np.add.reduceat(marked, firsts) > 0
-                for i in np.flatnonzero(has | (rank < _U(int(keep * (2**64 - 1))))):
+                for i in np.flatnonzero(has | (rank.astype(np.float64) < keep * 2.0**64)):
                     s = slice(firsts[i], firsts[i] + lengths[i])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(rank[i].view(np.int64))]), pa.array([bool(has[i])]), pa.array([marked[s].tobytes()]), pa.array([cells[s].tobytes()])],
