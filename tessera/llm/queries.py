@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ngram_join, quality_rules, toxicity
+from tessera.llm import mixing, ngram_join, packing, quality_rules, toxicity
 from tessera.llm.common import table
 
 
@@ -17,19 +17,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("toxic_spans").alias("n_spans"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is in the mixture, and its source's weight."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copies", "weight")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdict of every document."""
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-copy class of every document."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op4_quality_rules, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_quality_rules, op8_packing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
