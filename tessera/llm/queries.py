@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, ngram_join, packing, quality_rules, toxicity
+from tessera.llm import mixing, ngram_join, order_minhash, packing, quality_rules, toxicity, url_filters
 from tessera.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("toxic_spans").alias("n_spans"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_filters.url_filters(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often every document is in the mixture, and its source's weight."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copies", "weight")
@@ -28,6 +33,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    return order_minhash.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -39,7 +49,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_mixing, op4_quality_rules, op8_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op8_packing, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
