@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, ngram_join, order_minhash, packing, quality_rules, toxicity, url_filters
+from tessera.llm import html_text, mixing, ngram_join, order_minhash, packing, quality_rules, toxicity, url_filters
 from tessera.llm.common import table
 
 
@@ -43,13 +43,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle count and near-copy class of every document."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op8_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op8_packing, op9_html_text, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
