@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, license_scans, mixing, ngram_join, order_minhash, packing, quality_rules, toxicity, url_filters
+from tessera.llm import html_text, license_scans, log_bilinear, mixing, ngram_join, order_minhash, packing, quality_rules, toxicity, url_filters
 from tessera.llm.common import table
 
 
@@ -38,6 +38,11 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log-probability of every document."""
+    return log_bilinear.log_bilinear(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best licence match of every document."""
     return license_scans.license_scans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "part", "line")
@@ -59,7 +64,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op7_license_scans, op8_packing, op9_html_text, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op6_log_bilinear, op7_license_scans, op8_packing, op9_html_text, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
