@@ -13,15 +13,18 @@ placed exactly once; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm.common import small_batches, stash
 
@@ -31,23 +34,33 @@ END, CAPACITY = 2, 1024
 BLOCK, ISLANDS, POPULATION, CHILDREN, ROUNDS = 2_000, 3, 4, 16, 2
 #: Blocks whose poorly filled bins are packed anew together, and the fill below which a bin is one.
 MERGED_BLOCKS, POOR = 64, 0.97
-#: Words that a worker's memory of encoded words holds at most.
-REMEMBERED = 300_000
+
+
+def _bytes_of_letters() -> dict[str, int]:
+    """The letters by which a byte-level vocabulary writes bytes: printable ones as they are, the rest from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian bytes; words are encoded once and remembered."""
+    """Token ids of whole texts by the vocabulary of a tokenizers file.
+
+    The same vocabulary as ranks gives the same ids several times faster; texts with letters that the two libraries may
+    class differently, and texts that the faster one gives up on, are left to tokenizers itself.
+    """
 
     _kept: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.split = regex.compile(public_tokenizers.PATTERN)
-        self.unusual = regex.compile(r"[^\x00-ɏ]")  # letters there may differ between Unicode versions
+        letters = _bytes_of_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if set(token) <= letters.keys() and not token.startswith("<|")}
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.unusual = re.compile("[^\x00-\u024f]")
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -55,17 +68,13 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __call__(self, text: str) -> bytes:
-        if self.unusual.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = self.split.findall(text)
-        new = list(set(found).difference(self.words))
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(set(found))
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, found))
+    def __call__(self, text: str) -> np.ndarray:
+        if not self.unusual.search(text):
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4")
+            except (ValueError, RuntimeError):
+                pass  # a run of white space too long for its pattern matcher
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -80,15 +89,13 @@ _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigi
 
 
 def _pieces(path: str, capacity: int, end: int):
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder.at(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = (encode(t) if (t := text.as_py()) else b"") + tail
-                rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
+                ids = np.append(encode(text.as_py() or ""), np.array([end], "<u4"))
+                rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             if rows:
                 a, b, c, d, e = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c), pa.array(d), pa.array(e)], ["doc_id", "piece", "start", "length", "ids_crc32"])
