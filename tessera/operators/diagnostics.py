@@ -50,7 +50,7 @@ def breusch_pagan(df: DataFrame, fit: LeastSquares, y: str) -> tuple[float, floa
     """Koenker's n R^2 of the squared residuals on the predictors, and its p-value."""
     square = df.withColumn("_e2", F.pow(F.col(y) - fit.predicted(), F.lit(2.0)))
     second = fit_ols(square, fit.terms[1:], "_e2")
-    lm = second.stats["n"] * second.stats["r2"]
+    lm = float(second.stats["n"] * second.stats["r2"])
     return lm, float(chi2_sf(lm, len(fit.terms) - 1))
 
 

@@ -156,6 +156,7 @@ def least_squares(m: Moments, confidence: float = 0.95, gram: np.ndarray | None
         "n": n, "p": p + 1, "df_resid": df, "rss": rss * y2, "tss": tss * y2, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / df if df > 0 else nan, "sigma2": sigma2 * y2,
         "f": f, "f_p_value": float(f_sf(f, p, df)) if not math.isnan(f) else nan, "log_likelihood": loglik, "aic": -2 * loglik + 2 * (p + 1), "bic": -2 * loglik + (p + 1) * math.log(n),
     }
+    stats = {k: v if isinstance(v, int) else float(v) for k, v in stats.items()}
     return LeastSquares(["intercept", *m.names], beta, se, t, 2 * t_sf(np.abs(t), df), beta - half, beta + half, stats, inverse, m)
 
 

@@ -1,36 +1,589 @@
-"""The engine's registered queries and the SQL that checks them."""
+"""The engine's registered queries over the given tables, and DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import pearson, ratio, rounded
+from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, pooling
+from tessera.sources import audio, tables
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL if there is one."""
 
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-def pool_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, population deviation, minimum and maximum of quantity and price per supplier."""
-    d = _table(spark, sf_dir, "lineitem")
-    agg = [
-        F.round(f(c), 6).alias(f"{s}_{c}")
-        for c in ("l_quantity", "l_extendedprice")
-        for s, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))
-    ]
-    return d.groupBy("l_suppkey").agg(*agg)
+    return keep
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pool_statistics": pool_statistics}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    cols = ", ".join(
-        f"round({f}({c}), 6) AS {s}_{c}"
-        for c in ("l_quantity", "l_extendedprice")
-        for s, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: rounded(c, digits) for c in columns})
+
+
+LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_MOMENTS = """WITH m AS (SELECT l_suppkey AS k, avg({c}) AS a, stddev_pop({c}) AS s FROM lineitem GROUP BY 1)
+  SELECT k, coalesce(avg(power(({c} - a) / nullif(s, 0), 3)), 0) AS skew, coalesce(avg(power(({c} - a) / nullif(s, 0), 4)) - 3, 0) AS kurt
+  FROM lineitem JOIN m ON l_suppkey = k GROUP BY k"""
+
+
+def _pool_sql() -> str:
+    simple = ", ".join(f"round({f}({c}), 6) + 0.0 AS {s}_{c}" for s, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")) for c in LINE)
+    higher = ", ".join(f"round(any_value(h_{c}.{s}), 4) + 0.0 AS {n}_{c}" for s, n in (("skew", "skew"), ("kurt", "kurtosis")) for c in LINE)
+    joins = " ".join(f"JOIN ({_MOMENTS.format(c=c)}) h_{c} ON h_{c}.k = l_suppkey" for c in LINE)
+    return f"SELECT l_suppkey, {simple}, {higher} FROM lineitem {joins} GROUP BY l_suppkey"
+
+
+@query(_pool_sql())
+def pool_statistics(spark, sf_dir):
+    d = pooling.pool(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], LINE)
+    d = _round(d, *[f"{s}_{c}" for s in ("mean", "std", "min", "max") for c in LINE])
+    return _round(d, *[f"{s}_{c}" for s in ("skew", "kurtosis") for c in LINE], digits=4)
+
+
+@query("""SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.1), 6) + 0.0 AS p10_l_extendedprice, round(quantile_cont(l_extendedprice, 0.5), 6) + 0.0 AS p50_l_extendedprice,
+  round(quantile_cont(l_extendedprice, 0.9), 6) + 0.0 AS p90_l_extendedprice FROM lineitem GROUP BY l_suppkey""")
+def pool_percentiles(spark, sf_dir):
+    d = pooling.pool(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_extendedprice"], (), (10, 50, 90))
+    return _round(d, "p10_l_extendedprice", "p50_l_extendedprice", "p90_l_extendedprice")
+
+
+@query("SELECT l_suppkey, 0.0::double AS skew_flat, 0.0::double AS kurtosis_flat, 0.0::double AS std_flat FROM lineitem GROUP BY l_suppkey")
+def pool_constant_column(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").select("l_suppkey", F.lit(7.0).alias("flat"))
+    return pooling.pool(d, ["l_suppkey"], ["flat"], ("skew", "kurtosis", "std"))
+
+
+@query("""WITH z AS (SELECT user_id, value - avg(value) OVER (PARTITION BY user_id) AS v FROM events)
+  SELECT user_id, round(stddev_pop(v), 6) + 0.0 AS std_value, round(min(v), 6) + 0.0 AS min_value, round(max(v), 6) + 0.0 AS max_value FROM z GROUP BY user_id""")
+def pool_mean_normalized(spark, sf_dir):
+    d = pooling.pool(_t(spark, sf_dir, "events"), ["user_id"], ["value"], ("std", "min", "max"), normalization="cmn")
+    return _round(d, "std_value", "min_value", "max_value")
+
+
+@query("""WITH z AS (SELECT user_id, (value - avg(value) OVER (PARTITION BY user_id)) / stddev_pop(value) OVER (PARTITION BY user_id) AS v FROM events)
+  SELECT user_id, round(min(v), 6) + 0.0 AS min_value, round(max(v), 6) + 0.0 AS max_value FROM z GROUP BY user_id""")
+def pool_variance_normalized(spark, sf_dir):
+    return _round(pooling.pool(_t(spark, sf_dir, "events"), ["user_id"], ["value"], ("min", "max"), normalization="cmvn"), "min_value", "max_value")
+
+
+def _delta_sql(source: str, column: str, half: int, out: str) -> str:
+    steps = " + ".join(
+        f"{n} * (coalesce(lead({column}, {n}) OVER w, last_value({column}) OVER f) - coalesce(lag({column}, {n}) OVER w, first_value({column}) OVER f))" for n in range(1, half + 1)
     )
-    return {"pool_statistics": f"SELECT l_suppkey, {cols} FROM lineitem GROUP BY l_suppkey"}
+    below = 2 * sum(n * n for n in range(1, half + 1))
+    return f"""SELECT *, ({steps}) / {below}.0::double AS {out} FROM {source} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id),
+      f AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+@query(f"SELECT event_id, round(d_value, 6) + 0.0 AS d_value FROM ({_delta_sql('events', 'value', 3, 'd_value')})")
+def delta_frames(spark, sf_dir):
+    d = frames.deltas(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["value"])
+    return _round(d.select("event_id", "d_value"), "d_value")
+
+
+@query(f"SELECT event_id, round(dd_value, 6) + 0.0 AS dd_value FROM ({_delta_sql('(' + _delta_sql('events', 'value', 3, 'd_value') + ')', 'd_value', 2, 'dd_value')})")
+def delta_delta_frames(spark, sf_dir):
+    d = frames.deltas(_t(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["value"])
+    d = frames.deltas(d.withColumnRenamed("d_value", "d"), ["user_id"], ["ts", "event_id"], ["d"], 2, "d")
+    return _round(d.select("event_id", F.col("dd").alias("dd_value")), "dd_value")
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: CASE WHEN i = 1 THEN v::double ELSE v - 0.97::double * embedding[i - 1] END)), 5) + 0.0 AS total,
+  round(embedding[2] - 0.97::double * embedding[1], 5) + 0.0 AS second FROM embeddings""")
+def pre_emphasis(spark, sf_dir):
+    d = _t(spark, sf_dir, "embeddings").select("vec_id", frames.pre_emphasis(F.col("embedding")).alias("y"))
+    total = F.aggregate("y", F.lit(0.0), lambda a, x: a + x)
+    return d.select("vec_id", rounded(total, 5).alias("total"), rounded(F.get("y", 1), 5).alias("second"))
+
+
+_FRAMES = "(SELECT vec_id, k::int AS frame, embedding[k * 8 + 1 : k * 8 + 16] AS f FROM embeddings, range(0, 7) t(k))"
+
+
+@query(f"""SELECT vec_id, frame, round(list_sum(list_transform(f, lambda v, i: v::double * (0.54::double - 0.46::double * cos(2 * pi() * (i - 1) / 15)))), 5) + 0.0 AS weighted,
+  round(ln(greatest(list_sum(list_transform(f, lambda v: v::double * v)), 1e-10)), 5) + 0.0 AS log_energy FROM {_FRAMES}""")
+def frame_energies(spark, sf_dir):
+    cut = frames.frames_of(F.col("embedding"), 16, 8)
+    d = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(cut).alias("frame", "f"))
+    weights = frames.weights(frames.window_weights("hamming_symmetric", 16))
+    return d.select("vec_id", "frame", rounded(frames.dot(F.col("f").cast("array<double>"), weights), 5).alias("weighted"), rounded(frames.log_energy(F.col("f")), 5).alias("log_energy"))
+
+
+@query("""WITH x AS (SELECT vec_id, i - 1 AS i, embedding[i]::double AS v FROM embeddings, range(1, 65) t(i)), p AS (
+  SELECT vec_id, k::int AS bin, power(sum(v * cos(2 * pi() * k * i / 64)), 2) + power(sum(v * sin(2 * pi() * k * i / 64)), 2) AS power FROM x, range(0, 33) b(k) GROUP BY 1, 2)
+  SELECT vec_id, bin, round(power, 4) + 0.0 AS power FROM p""")
+def power_spectrum(spark, sf_dir):
+    d = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(frames.power_spectrum(F.col("embedding"), 64)).alias("bin", "power"))
+    return _round(d, "power", digits=4)
+
+
+@query("""WITH l AS (SELECT vec_id, i, ln(greatest(embedding[i]::double * embedding[i], 1e-10)) AS v FROM embeddings, range(1, 65) t(i))
+  SELECT vec_id, m::int AS m, round(sqrt(2.0::double / 64) * sum(v * cos(pi() * m * (i - 0.5) / 64)), 5) + 0.0 AS c FROM l, range(0, 13) q(m) GROUP BY vec_id, m""")
+def cepstral_coefficients(spark, sf_dir):
+    logs = F.transform("embedding", lambda v: F.ln(F.greatest(v.cast("double") * v, F.lit(1e-10))))
+    rows = F.array(*[frames.dot(F.col("l"), frames.weights(r)) for r in frames.dct_matrix(13, 64)])
+    d = _t(spark, sf_dir, "embeddings").select("vec_id", logs.alias("l")).select("vec_id", F.posexplode(rows).alias("m", "c"))
+    return _round(d, "c", digits=5)
+
+
+_PAIRS = "(SELECT o_custkey, o_totalprice AS a, sum(l_extendedprice) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_totalprice)"
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Per order its price and the sum of its lines; lines are summed before they are joined."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("b"))
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("a"))
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+_Z = 1.959963984540054
+_FISHER = f"CASE WHEN n > 3 THEN tanh(atanh(r) {{s}} {_Z}::double / sqrt(n - 3)) END"
+
+
+@query(f"""WITH p AS (SELECT l_returnflag, count(*) AS n, covar_pop(l_quantity, l_extendedprice) / nullif(stddev_pop(l_quantity) * stddev_pop(l_extendedprice), 0) AS r FROM lineitem GROUP BY 1)
+  SELECT l_returnflag, n, round(r, 6) + 0.0 AS r, round({_FISHER.format(s='-')}, 6) + 0.0 AS ci_low, round({_FISHER.format(s='+')}, 6) + 0.0 AS ci_high FROM p""")
+def pearson_interval(spark, sf_dir):
+    d = association.pearson_ci(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"], p_value=False)
+    return _round(d, "r", "ci_low", "ci_high")
+
+
+def _ranked(x: str, by: str) -> str:
+    return f"rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0::double"
+
+
+@query(f"""WITH r AS (SELECT l_suppkey, {_ranked('l_quantity', 'l_suppkey')} AS a, {_ranked('l_discount', 'l_suppkey')} AS b FROM lineitem)
+  SELECT l_suppkey, count(*) AS n, round(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0), 6) + 0.0 AS rho FROM r GROUP BY l_suppkey""")
+def spearman_by_supplier(spark, sf_dir):
+    return _round(association.spearman(_t(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", ["l_suppkey"], p_value=False), "rho")
+
+
+@query(f"""SELECT count(*) AS n, round(2 * covar_pop(a, b) / (var_pop(a) + var_pop(b) + power(avg(a) - avg(b), 2)), 6) + 0.0 AS ccc, round(avg(a - b), 2) + 0.0 AS bias, round(stddev_samp(a - b), 2) + 0.0 AS sd,
+  round(avg(a - b) - {_Z}::double * stddev_samp(a - b), 2) + 0.0 AS lower, round(avg(a - b) + {_Z}::double * stddev_samp(a - b), 2) + 0.0 AS upper FROM {_PAIRS}""")
+def agreement_orders(spark, sf_dir):
+    d = association.agreement(_pairs(spark, sf_dir), "a", "b")
+    return _round(_round(d, "ccc"), "bias", "sd", "lower", "upper", digits=2)
+
+
+@query("SELECT o_orderkey, round((a + b) / 2, 4) + 0.0 AS pair_mean, round(a - b, 4) + 0.0 AS pair_diff FROM (SELECT o_orderkey, o_totalprice AS a, sum(l_extendedprice) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)")
+def bland_altman_pairs(spark, sf_dir):
+    d = association.bland_altman_pairs(_pairs(spark, sf_dir), "a", "b").select("o_orderkey", "pair_mean", "pair_diff")
+    return _round(d, "pair_mean", "pair_diff", digits=4)
+
+
+_JB = """(WITH m AS (SELECT l_suppkey AS k, avg(l_extendedprice) AS a, stddev_pop(l_extendedprice) AS s, count(*) AS n FROM lineitem GROUP BY 1),
+  h AS (SELECT k, any_value(n) AS n, avg(power((l_extendedprice - a) / s, 3)) AS g, avg(power((l_extendedprice - a) / s, 4)) - 3 AS q FROM lineitem JOIN m ON k = l_suppkey GROUP BY k)
+  SELECT k AS l_suppkey, n, n / 6.0::double * (g * g + q * q / 4) AS jb, exp(-n / 12.0::double * (g * g + q * q / 4)) AS p_value FROM h)"""
+
+
+def _jarque_bera(spark, sf_dir) -> DataFrame:
+    jb, p = diagnostics.jarque_bera("l_extendedprice")
+    return _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), jb.alias("jb"), p.alias("p_value"))
+
+
+@query(f"SELECT l_suppkey, n, round(jb, 5) + 0.0 AS jb, round(p_value, 6) + 0.0 AS p_value FROM {_JB}")
+def jarque_bera_by_supplier(spark, sf_dir):
+    return _round(_round(_jarque_bera(spark, sf_dir), "jb", digits=5), "p_value")
+
+
+@query(f"""SELECT l_suppkey, round(least(1, max((m - i + 1) * p_value) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS p_adjusted
+  FROM (SELECT *, row_number() OVER (ORDER BY p_value, l_suppkey) AS i, count(*) OVER () AS m FROM {_JB})""")
+def holm_adjustment(spark, sf_dir):
+    return _round(association.adjust(_jarque_bera(spark, sf_dir), "p_value", ["l_suppkey"]).select("l_suppkey", "p_adjusted"), "p_adjusted")
+
+
+@query(f"""SELECT l_suppkey, round(least(1, min(m * p_value / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) + 0.0 AS p_adjusted
+  FROM (SELECT *, row_number() OVER (ORDER BY p_value, l_suppkey) AS i, count(*) OVER () AS m FROM {_JB})""")
+def benjamini_hochberg_adjustment(spark, sf_dir):
+    return _round(association.adjust(_jarque_bera(spark, sf_dir), "p_value", ["l_suppkey"], "fdr_bh").select("l_suppkey", "p_adjusted"), "p_adjusted")
+
+
+_X = ("l_quantity", "l_discount", "l_tax")
+
+
+@query("WITH u AS (UNPIVOT (SELECT l_extendedprice AS y, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME feature VALUE x), k AS (SELECT feature, x, y, "
+       f"{_ranked('x', 'feature')} AS rx, {_ranked('y', 'feature')} AS ry FROM u) "
+       "SELECT feature, count(*) AS n, round(covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)), 6) + 0.0 AS r, round(covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)), 6) + 0.0 AS rho FROM k GROUP BY feature")
+def correlation_table(spark, sf_dir):
+    d = association.feature_correlations(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice", p_values=False)
+    return _round(d.select("feature", "n", "r", "rho"), "r", "rho")
+
+
+@query()
+def correlation_p_values(spark, sf_dir):
+    """p-values by the t distribution, both families adjusted."""
+    return association.feature_correlations(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice")
+
+
+@query("""SELECT l_suppkey, feature, round(r, 6) + 0.0 AS r FROM (SELECT l_suppkey, 'l_quantity' AS feature, covar_pop(l_quantity, l_extendedprice) / nullif(stddev_pop(l_quantity) * stddev_pop(l_extendedprice), 0) AS r
+  FROM lineitem GROUP BY 1) WHERE r IS NOT NULL ORDER BY abs(r) DESC, l_suppkey LIMIT 10""")
+def strongest_correlations(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(pearson("l_quantity", "l_extendedprice").alias("r")).where("r IS NOT NULL")
+    d = d.orderBy(F.abs("r").desc(), "l_suppkey").limit(10)
+    return d.select("l_suppkey", F.lit("l_quantity").alias("feature"), rounded("r").alias("r"))
+
+
+@query("""SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) + 0.0 AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) + 0.0 AS intercept,
+  round(regr_r2(l_extendedprice, l_quantity), 6) + 0.0 AS r2 FROM lineitem GROUP BY 1""")
+def simple_regression(spark, sf_dir):
+    y, x = "l_extendedprice", "l_quantity"
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        rounded(F.regr_slope(y, x), 4).alias("slope"), rounded(F.regr_intercept(y, x), 3).alias("intercept"), rounded(F.regr_r2(y, x)).alias("r2")
+    )
+
+
+_NORMAL = """(WITH c AS (SELECT l_extendedprice - avg(l_extendedprice) OVER () AS y, l_quantity - avg(l_quantity) OVER () AS a, (l_discount - avg(l_discount) OVER ()) * 100 AS b, (l_tax - avg(l_tax) OVER ()) * 100 AS d FROM lineitem),
+  s AS (SELECT count(*) AS n, sum(a*a) AS aa, sum(a*b) AS ab, sum(a*d) AS ad, sum(b*b) AS bb, sum(b*d) AS bd, sum(d*d) AS dd, sum(a*y) AS ay, sum(b*y) AS by_, sum(d*y) AS dy, sum(y*y) AS yy FROM c),
+  e AS (SELECT *, aa*(bb*dd-bd*bd) - ab*(ab*dd-bd*ad) + ad*(ab*bd-bb*ad) AS det FROM s),
+  v AS (SELECT *, (ay*(bb*dd-bd*bd) - ab*(by_*dd-bd*dy) + ad*(by_*bd-bb*dy)) / det AS b1, (aa*(by_*dd-bd*dy) - ay*(ab*dd-bd*ad) + ad*(ab*dy-by_*ad)) / det AS b2,
+    (aa*(bb*dy-by_*bd) - ab*(ab*dy-by_*ad) + ay*(ab*bd-bb*ad)) / det AS b3 FROM e)
+  SELECT *, yy - b1*ay - b2*by_ - b3*dy AS rss FROM v)"""
+
+
+@query(f"""SELECT n, round(b1, 3) + 0.0 AS b_quantity, round(b2 * 100, 1) + 0.0 AS b_discount, round(b3 * 100, 1) + 0.0 AS b_tax, round(1 - rss / yy, 6) + 0.0 AS r2, round(1 - (rss / yy) * (n - 1) / (n - 4), 6) + 0.0 AS adj_r2,
+  round(n * (ln(2 * pi() * rss / n) + 1) + 8, 2) + 0.0 AS aic, round(n * (ln(2 * pi() * rss / n) + 1) + 4 * ln(n), 2) + 0.0 AS bic, round((yy - rss) / 3 / (rss / (n - 4)) / 1000, 4) + 0.0 AS f_thousands FROM {_NORMAL}""")
+def least_squares(spark, sf_dir):
+    fit = linear.fit_ols(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice")
+    s, b = fit.stats, fit.beta
+    row = (s["n"], float(b[1]), float(b[2]), float(b[3]), s["r2"], s["adj_r2"], s["aic"], s["bic"], s["f"] / 1000)
+    d = spark.createDataFrame([row], "n bigint, b_quantity double, b_discount double, b_tax double, r2 double, adj_r2 double, aic double, bic double, f_thousands double")
+    for columns, digits in ((("b_quantity",), 3), (("b_discount", "b_tax"), 1), (("r2", "adj_r2"), 6), (("aic", "bic"), 2), (("f_thousands",), 4)):
+        d = _round(d, *columns, digits=digits)
+    return d
+
+
+@query()
+def coefficient_table(spark, sf_dir):
+    """Estimates, standard errors, t, p-values and intervals."""
+    return linear.fit_ols(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice").coefficients(spark)
+
+
+@query("""WITH p AS (SELECT o_orderkey, o_totalprice, sum(l_extendedprice) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  s AS (SELECT count(*) AS n, avg(o_totalprice) AS mx, regr_sxx(y, o_totalprice) AS sxx, regr_slope(y, o_totalprice) AS b, regr_intercept(y, o_totalprice) AS a, regr_syy(y, o_totalprice) - power(regr_sxy(y, o_totalprice), 2) / regr_sxx(y, o_totalprice) AS rss FROM p),
+  r AS (SELECT o_orderkey, y - a - b * o_totalprice AS e, 1.0::double / n + power(o_totalprice - mx, 2) / sxx AS h, rss / (n - 2) AS s2 FROM p, s)
+  SELECT o_orderkey, round(e, 2) + 0.0 AS residual, round(h * 1e4, 5) + 0.0 AS leverage_e4, round(e / sqrt(s2 * (1 - h)), 5) + 0.0 AS studentized, round(e * e / (2 * s2) * h / power(1 - h, 2) * 1e4, 4) + 0.0 AS cooks_e4 FROM r""")
+def influence_rows(spark, sf_dir):
+    d = _pairs(spark, sf_dir)
+    fit = linear.fit_ols(d, ["a"], "b")
+    d = diagnostics.influence(d, fit, "b")
+    return d.select("o_orderkey", rounded("residual", 2).alias("residual"), rounded(F.col("leverage") * 1e4, 5).alias("leverage_e4"), rounded("studentized", 5).alias("studentized"), rounded(F.col("cooks") * 1e4, 4).alias("cooks_e4"))
+
+
+@query("""WITH c AS (SELECT user_id, ts, event_id, value - avg(value) OVER (PARTITION BY user_id) AS e FROM events), s AS (SELECT user_id, e, e - lag(e) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM c)
+  SELECT user_id, round(sum(d * d) / nullif(sum(e * e), 0), 6) + 0.0 AS durbin_watson FROM s GROUP BY user_id""")
+def durbin_watson_by_user(spark, sf_dir):
+    d = _t(spark, sf_dir, "events").withColumn("e", F.col("value") - F.avg("value").over(Window.partitionBy("user_id")))
+    return _round(diagnostics.durbin_watson(d, "e", ["ts", "event_id"], ["user_id"]), "durbin_watson")
+
+
+@query("""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), r AS (SELECT l_quantity AS x, power(l_extendedprice - a - b * l_quantity, 2) AS e2 FROM lineitem, f)
+  SELECT round(count(*) * regr_r2(e2, x), 3) + 0.0 AS lm FROM r""")
+def breusch_pagan_test(spark, sf_dir):
+    d = _t(spark, sf_dir, "lineitem")
+    lm, _ = diagnostics.breusch_pagan(d, linear.fit_ols(d, ["l_quantity"], "l_extendedprice"), "l_extendedprice")
+    return _round(spark.createDataFrame([(lm,)], "lm double"), "lm", digits=3)
+
+
+@query("""WITH q AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem) SELECT term, round(1 / (1 - r2), 6) + 0.0 AS vif FROM (SELECT power(corr(a, b), 2) AS r2 FROM q), (VALUES ('l_quantity'), ('l_extendedprice')) t(term)""")
+def variance_inflation(spark, sf_dir):
+    m = linear.moments(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], "l_tax")
+    return _round(spark.createDataFrame([(n, v) for n, _, v in diagnostics.variance_inflation(m)], "term string, vif double"), "vif")
+
+
+@query("""WITH c AS (SELECT l_quantity - avg(l_quantity) OVER () AS q, l_discount - avg(l_discount) OVER () AS d FROM lineitem)
+  SELECT round(sum(q * q), 2) + 0.0 AS q2, round(sum(d * d), 6) + 0.0 AS d2, round(sum(q * d), 4) + 0.0 AS qd FROM c""")
+def quadratic_surface_terms(spark, sf_dir):
+    d, names = linear.quadratic_surface(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"])
+    return d.agg(rounded(F.sum(F.col("`l_quantity^2`")), 2).alias("q2"), rounded(F.sum(F.col("`l_discount^2`"))).alias("d2"), rounded(F.sum(F.col("`l_quantity*l_discount`")), 4).alias("qd"))
+
+
+@query("""WITH z AS (SELECT o_orderkey, (o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER () AS z FROM orders), s AS (SELECT count(*)::double AS n, avg(power(z, 3)) AS m3, avg(power(z, 4)) AS m4 FROM z)
+  SELECT o_orderkey, round(z / sqrt(n) * 1000, 5) + 0.0 AS p1, round((z * z - m3 * z - 1) / sqrt(n * (m4 - m3 * m3 - 1)) * 1000, 5) + 0.0 AS p2 FROM z, s""")
+def orthogonal_polynomials(spark, sf_dir):
+    d = _t(spark, sf_dir, "orders")
+    d = linear.PolynomialBasis.fit(d, "o_totalprice", 2).transform(d, "o_totalprice")
+    return d.select("o_orderkey", rounded(F.col("p1") * 1000, 5).alias("p1"), rounded(F.col("p2") * 1000, 5).alias("p2"))
+
+
+@query()
+def polynomial_order_sweep(spark, sf_dir):
+    """Degrees 1 to 4: information criteria, PRESS and 5-fold errors."""
+    d = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x")).join(
+        _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("y")), "c_custkey"
+    ).withColumn("fold", folds.hashed(5, 3, "c_custkey"))
+    rows = linear.order_sweep(d.persist(), "x", "y", 4, "fold")
+    names = ("degree", "n", "rss", "r2", "aic", "bic", "loocv_rmse", "kfold_rmse")
+    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], "degree int, n int, rss double, r2 double, aic double, bic double, loocv_rmse double, kfold_rmse double")
+
+
+@query()
+def stepwise_selection(spark, sf_dir):
+    """Steps of forward and backward selection on line items."""
+    m = linear.moments(_t(spark, sf_dir, "lineitem"), [*_X, "l_linenumber"], "l_extendedprice")
+    _, steps = linear.stepwise(m)
+    return spark.createDataFrame([(s["step"], s["action"], s["term"], s["f"], s["p_value"]) for s in steps], "step int, action string, term string, f double, p_value double")
+
+
+@query()
+def gradient_descent_costs(spark, sf_dir):
+    """Cost of every iteration of gradient descent from one pass of moments."""
+    _, costs, status = linear.gradient_descent(linear.moments(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice"))
+    return spark.createDataFrame([(k, c, status) for k, c in enumerate(costs)], "iteration int, cost double, status string")
+
+
+def _md5(*parts: str) -> str:
+    return f"md5(concat_ws(':', {', '.join(parts)}))"
+
+
+@query(f"SELECT o_orderkey, ((row_number() OVER (ORDER BY {_md5(chr(39) + '7' + chr(39), 'o_orderkey::varchar')}, o_orderkey) - 1) % 5)::int AS fold FROM orders")
+def folds_shuffled(spark, sf_dir):
+    return folds.shuffled(_t(spark, sf_dir, "orders"), 5, ["o_orderkey"], 7).select("o_orderkey", "fold")
+
+
+@query(f"""WITH s AS (SELECT o_orderstatus AS c, coalesce(sum(count(*)) OVER (ORDER BY o_orderstatus ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM orders GROUP BY 1)
+  SELECT o_orderkey, ((start + row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_md5(chr(39) + '7' + chr(39), 'o_orderkey::varchar')}, o_orderkey) - 1) % 4)::int AS fold FROM orders JOIN s ON c = o_orderstatus""")
+def folds_stratified(spark, sf_dir):
+    return folds.stratified(_t(spark, sf_dir, "orders"), 4, "o_orderstatus", ["o_orderkey"], 7).select("o_orderkey", "fold")
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {_md5(chr(39) + '3' + chr(39), 'c_nationkey::varchar')}) AS i FROM customer GROUP BY 1),
+  f AS (SELECT 0::bigint AS i, [0, 0, 0]::bigint[] AS loads, NULL::int AS k, 0::bigint AS n, 0::int AS fold UNION ALL
+    SELECT g.i, list_transform(f.loads, lambda v, j: CASE WHEN j = list_position(f.loads, list_min(f.loads)) THEN v + g.n ELSE v END), g.c_nationkey, g.n, (list_position(f.loads, list_min(f.loads)) - 1)::int FROM f JOIN g ON g.i = f.i + 1)
+  SELECT k AS c_nationkey, n, fold FROM f WHERE i > 0""")
+def folds_grouped(spark, sf_dir):
+    return folds.grouped(_t(spark, sf_dir, "customer"), 3, "c_nationkey", 3)
+
+
+def _hash_fold(seed: int, key: str, k: int) -> str:
+    return f"(('0x' || substr({_md5(chr(39) + str(seed) + chr(39), key + '::varchar')}, 1, 8))::bigint % {k})::int"
+
+
+@query(f"""WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, {_hash_fold(5, 'l_suppkey', 4)} AS fold FROM lineitem), t AS (SELECT DISTINCT fold AS k FROM d),
+  b AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d JOIN t ON fold <> k GROUP BY k)
+  SELECT fold, count(*) AS n, round(avg(abs(y - a - b * x)), 3) + 0.0 AS mae, round(sqrt(avg(power(y - a - b * x, 2))), 3) + 0.0 AS rmse, round(1 - avg(power(y - a - b * x, 2)) / var_pop(y), 6) + 0.0 AS r2 FROM d JOIN b ON k = fold GROUP BY fold""")
+def cross_validated_regression(spark, sf_dir):
+    """Whole suppliers stay in a fold; the training sums of all folds come from one pass."""
+    d = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", folds.hashed(4, 5, "l_suppkey").alias("fold"))
+    p = models.linear_cv(d, ["l_quantity"], "l_extendedprice")
+    e = F.col("l_extendedprice") - F.col("predicted")
+    return p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.abs(e)), 3).alias("mae"), rounded(F.sqrt(F.avg(e * e)), 3).alias("rmse"), rounded(1 - ratio(F.avg(e * e), F.var_pop("l_extendedprice"))).alias("r2"))
+
+
+@query()
+def cross_validated_ridge(spark, sf_dir):
+    """Ridge per fold, all metrics per fold and pooled (fold NULL)."""
+    d = _t(spark, sf_dir, "lineitem").select(*_X, "l_extendedprice", folds.hashed(4, 5, "l_suppkey").alias("fold"))
+    p = models.linear_cv(d, _X, "l_extendedprice", alpha=1.0)
+    return metrics.with_pooled(p, lambda x, by: metrics.regression(x, "l_extendedprice", "predicted", by), "fold")
+
+
+_SUPPLIERS = "(SELECT s_suppkey, s_nationkey, s_acctbal AS y FROM supplier)"
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    """One pooled vector per supplier with its balance as target."""
+    pooled = pooling.pool(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], LINE, ("mean", "std"))
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"))
+    return s.join(pooled, F.col("s_suppkey") == F.col("l_suppkey")).drop("l_suppkey").withColumn("fold", folds.hashed(3, 2, "s_suppkey"))
+
+
+_POOLED = [f"{s}_{c}" for s in ("mean", "std") for c in LINE]
+
+
+@query()
+def cross_validated_kernels(spark, sf_dir):
+    """Support vectors and a small network on the feature table, a task per estimator and fold."""
+    p = models.kernel_cv(_features(spark, sf_dir), _POOLED, "y", ["s_suppkey"], 3)
+    return metrics.regression(p, "y", "predicted", ["model"])
+
+
+@query()
+def cross_validated_forest(spark, sf_dir):
+    d = _features(spark, sf_dir).persist()
+    return metrics.regression(models.ml_cv(d, _POOLED, "y", "random_forest", 3), "y", "predicted")
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return _t(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", "quality", F.col("n_chars").cast("double").alias("score"), (F.col("n_chars") > 1000).cast("int").alias("called"))
+
+
+_LABELLED = "(SELECT doc_id, quality, n_chars::double AS score, (n_chars > 1000)::int AS called FROM labels JOIN documents USING (doc_id))"
+
+
+@query()
+def cross_validated_logistic(spark, sf_dir):
+    """Quality by length, a logistic regression per fold."""
+    d = _labelled(spark, sf_dir).withColumn("x", F.ln("score")).withColumn("fold", folds.hashed(3, 1, "doc_id")).persist()
+    p = models.ml_cv(d, ["x"], "quality", "logistic", 3, "classification").withColumn("predicted", F.col("predicted").cast("int"))
+    return metrics.classification(p, "quality", "predicted", 1)
+
+
+@query(f"SELECT quality AS truth, count(*) FILTER (called = 0) AS as_0, count(*) FILTER (called = 1) AS as_1 FROM {_LABELLED} GROUP BY 1")
+def confusion_matrix(spark, sf_dir):
+    return metrics.confusion(_labelled(spark, sf_dir), "quality", "called", [0, 1])
+
+
+_PER_CLASS = f"""(SELECT class, count(*) FILTER (quality = class AND called = class) AS hit, count(*) FILTER (quality = class) AS support, count(*) FILTER (called = class) AS called_n FROM {_LABELLED}, (VALUES (0), (1)) c(class) GROUP BY class)"""
+
+
+@query(f"""SELECT class, round(coalesce(hit / nullif(support, 0), 0), 6) + 0.0 AS recall, round(coalesce(hit / nullif(called_n, 0), 0), 6) + 0.0 AS precision, round(coalesce(2 * hit / nullif(support + called_n, 0), 0), 6) + 0.0 AS f1, support FROM {_PER_CLASS}""")
+def class_table(spark, sf_dir):
+    return _round(metrics.per_class(_labelled(spark, sf_dir), "quality", "called"), "recall", "precision", "f1")
+
+
+@query(f"""WITH k AS (SELECT avg(hit / support) AS uar, avg(coalesce(2 * hit / nullif(support + called_n, 0), 0)) AS macro_f1 FROM {_PER_CLASS} WHERE support > 0), a AS (SELECT count(*) AS n, avg((quality = called)::int) AS accuracy,
+  avg((called = 1)::int) FILTER (quality = 1) AS sensitivity, avg((called = 0)::int) FILTER (quality = 0) AS specificity FROM {_LABELLED}),
+  r AS (SELECT quality, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS rk FROM {_LABELLED}),
+  u AS (SELECT (sum(rk) FILTER (quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / (sum(quality) * sum(1 - quality)) AS auc FROM r)
+  SELECT n, round(accuracy, 6) + 0.0 AS accuracy, round(sensitivity, 6) + 0.0 AS sensitivity, round(specificity, 6) + 0.0 AS specificity, round(uar, 6) + 0.0 AS uar, round(macro_f1, 6) + 0.0 AS macro_f1, round(auc, 6) + 0.0 AS auc FROM k, a, u""")
+def classification_metrics(spark, sf_dir):
+    d = metrics.classification(_labelled(spark, sf_dir), "quality", "called", 1, "score")
+    return _round(d, "accuracy", "sensitivity", "specificity", "uar", "macro_f1", "auc")
+
+
+@query(f"""WITH s AS (SELECT score AS threshold, sum(quality) AS p, sum(1 - quality) AS n FROM {_LABELLED} GROUP BY 1)
+  SELECT threshold, round(sum(n) OVER w / sum(n) OVER (), 6) + 0.0 AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) + 0.0 AS tpr FROM s WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)""")
+def roc_curve(spark, sf_dir):
+    return _round(metrics.roc_curve(_labelled(spark, sf_dir), F.col("quality") == 1, "score"), "fpr", "tpr")
+
+
+def _settings(spark, sf_dir) -> DataFrame:
+    """Errors of three trivial predictors of order prices over the same repeats and folds."""
+    d = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    every = None
+    for r in (1, 2):
+        x = d.withColumn("fold", folds.hashed(3, r, "o_orderkey"))
+        sums = x.groupBy("fold").agg(F.sum("o_totalprice").alias("s"), F.count(F.lit(1)).alias("n"))
+        every_fold = Window.partitionBy()
+        train = sums.select("fold", ((F.sum("s").over(every_fold) - F.col("s")) / (F.sum("n").over(every_fold) - F.col("n"))).alias("mean"), (F.sum("n").over(every_fold) - F.col("n")).alias("n_train"))
+        e = x.join(F.broadcast(train), "fold").groupBy("fold", "n_train")  # one row a fold
+        error = lambda shift: F.sqrt(F.avg(F.pow(F.col("o_totalprice") - F.col("mean") * F.lit(shift), F.lit(2.0))))
+        rows = e.agg(F.count(F.lit(1)).alias("n_test"), F.array(*[F.struct(F.lit(c).alias("config_id"), error(s).alias("rmse")) for c, s in (("mean", 1.0), ("low", 0.9), ("high", 1.05))]).alias("m"))
+        rows = rows.select(F.lit(r).alias("repeat"), "fold", "n_train", "n_test", F.explode("m").alias("m")).select("repeat", "fold", "n_train", "n_test", "m.config_id", "m.rmse")
+        every = rows if every is None else every.unionByName(rows)
+    return every
+
+
+_ABLATION = f"""(WITH x AS (SELECT r::int AS repeat, o_totalprice AS y, CASE r WHEN 1 THEN {_hash_fold(1, 'o_orderkey', 3)} ELSE {_hash_fold(2, 'o_orderkey', 3)} END AS fold FROM orders, (VALUES (1), (2)) t(r)),
+  s AS (SELECT repeat, fold, sum(y) AS s, count(*) AS n FROM x GROUP BY 1, 2),
+  t AS (SELECT repeat, fold, (sum(s) OVER (PARTITION BY repeat) - s) / (sum(n) OVER (PARTITION BY repeat) - n) AS mean, (sum(n) OVER (PARTITION BY repeat) - n)::bigint AS n_train FROM s)
+  SELECT config_id, repeat, fold, any_value(n_train) AS n_train, count(*) AS n_test, sqrt(avg(power(y - mean * f, 2))) AS rmse FROM x JOIN t USING (repeat, fold), (VALUES ('mean', 1.0::double), ('low', 0.9::double), ('high', 1.05::double)) c(config_id, f) GROUP BY 1, 2, 3)"""
+
+
+@query(f"""SELECT config_id, round(avg(rmse), 4) + 0.0 AS rmse_mean, round(stddev_samp(rmse), 4) + 0.0 AS rmse_std, (rank() OVER (ORDER BY avg(rmse)))::int AS rank FROM {_ABLATION} GROUP BY config_id""")
+def ablation_summary(spark, sf_dir):
+    return _round(ablation.summarize(_settings(spark, sf_dir), "rmse"), "rmse_mean", "rmse_std", digits=4)
+
+
+@query(f"""WITH d AS (SELECT o.config_id, o.rmse - b.rmse AS d, o.n_test / o.n_train AS rho FROM {_ABLATION} o JOIN {_ABLATION} b ON b.repeat = o.repeat AND b.fold = o.fold AND b.config_id = 'mean' WHERE o.config_id <> 'mean')
+  SELECT config_id, count(*) AS j, round(avg(d), 4) + 0.0 AS mean_diff, round(avg(d) / sqrt((1.0::double / count(*) + avg(rho)) * var_samp(d)), 4) + 0.0 AS t, avg(d) < 0 AS better FROM d GROUP BY config_id""")
+def baseline_comparison(spark, sf_dir):
+    d = ablation.compare_to_baseline(_settings(spark, sf_dir), "rmse", "mean")
+    return _round(d.select("config_id", "j", "mean_diff", "t", "better"), "mean_diff", "t", digits=4)
+
+
+@query(f"""WITH d AS (SELECT o.config_id, o.rmse - b.rmse AS d FROM {_ABLATION} o JOIN {_ABLATION} b ON b.repeat = o.repeat AND b.fold = o.fold AND b.config_id = 'mean' WHERE o.config_id <> 'mean' AND o.rmse <> b.rmse),
+  r AS (SELECT config_id, d, rank() OVER (PARTITION BY config_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY config_id, abs(d)) - 1) / 2.0::double AS r FROM d)
+  SELECT config_id, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0.0::double) AS w_plus FROM r GROUP BY config_id""")
+def wilcoxon_statistic(spark, sf_dir):
+    d = _settings(spark, sf_dir)
+    base = d.where("config_id = 'mean'").select("repeat", "fold", F.col("rmse").alias("base"))
+    d = d.where("config_id <> 'mean'").join(base, ["repeat", "fold"]).withColumn("diff", F.col("rmse") - F.col("base"))
+    return ablation.wilcoxon_w(d, "diff", ["config_id"])
+
+
+@query(f"""SELECT repeat, fold, round(any_value(rmse) FILTER (config_id = 'mean'), 4) + 0.0 AS mean, round(any_value(rmse) FILTER (config_id = 'low'), 4) + 0.0 AS low FROM {_ABLATION} GROUP BY 1, 2""")
+def ablation_pivot(spark, sf_dir):
+    d = _settings(spark, sf_dir).groupBy("repeat", "fold").pivot("config_id", ["mean", "low"]).avg("rmse")
+    return _round(d, "mean", "low", digits=4)
+
+
+@query("SELECT count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def index_missing(spark, sf_dir):
+    return tables.missing_files(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def index_duplicates(spark, sf_dir):
+    return tables.duplicates(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+_IDS = "(SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '/' || c_custkey ELSE (c_custkey % 1000)::varchar END AS id FROM customer WHERE c_custkey % 3 <> 0)"
+
+
+@query(f"""WITH f AS (SELECT c_mktsegment || '/' || c_custkey || '.wav' AS path, c_mktsegment || '/' || c_custkey AS rel, c_custkey::varchar AS stem FROM customer), s AS (SELECT stem, min(path) AS path, count(*) AS n FROM f GROUP BY stem)
+  SELECT id, coalesce(f.path, CASE WHEN s.n = 1 THEN s.path END) AS path, CASE WHEN coalesce(f.path, CASE WHEN s.n = 1 THEN s.path END) IS NOT NULL THEN 'matched' WHEN s.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status
+  FROM {_IDS} i LEFT JOIN f ON f.rel = id LEFT JOIN s ON s.stem = id""")
+def index_match(spark, sf_dir):
+    """Ids are matched by relative path first, else by stem."""
+    c = _t(spark, sf_dir, "customer")
+    files = c.select(F.concat("c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".wav")).alias("path"))
+    rel = F.concat("c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string"))
+    ids = c.where("c_custkey % 3 <> 0").select(F.when(F.col("c_custkey") % 2 == 0, rel).otherwise((F.col("c_custkey") % 1000).cast("string")).alias("id")).distinct()
+    return tables.match_ids(ids, files)
+
+
+@query("SELECT count(*) AS n, count(v) AS numeric_n, round(sum(v), 2) + 0.0 AS total FROM (SELECT try_cast(json_extract_string(props, '$.k') AS double) AS v FROM events)")
+def numeric_coercion(spark, sf_dir):
+    d = _t(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("k")).select(tables.numeric("k").alias("v"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("numeric_n"), rounded(F.sum("v"), 2).alias("total"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= 150000 THEN 'high' ELSE 'low' END AS label FROM orders")
+def label_threshold(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice") >= 150000, "high").otherwise("low").alias("label"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def value_counts(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("""SELECT event_id, round(CASE WHEN p < 0.4 THEN 0.5 * (1 - cos(pi() * p / 0.4)) WHEN p < 0.56 THEN cos(pi() / 2 * (p - 0.4) / 0.16) ELSE 0 END, 6) + 0.0 AS pulse FROM (SELECT event_id, (event_id % 100) / 100.0::double AS p FROM events)""")
+def glottal_pulse(spark, sf_dir):
+    d = _t(spark, sf_dir, "events").select("event_id", ((F.col("event_id") % 100) / 100.0).alias("p"))
+    return d.select("event_id", rounded(audio.rosenberg_pulse(F.col("p"))).alias("pulse"))
+
+
+@query()
+def shapiro_wilk_by_user(spark, sf_dir):
+    """W and p of every user's values, a bounded group of at most 5000 each."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        w, p = diagnostics.shapiro_wilk(pdf.value) if 3 <= len(pdf) <= 5000 else (None, None)
+        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "n": [len(pdf)], "w": [w], "p_value": [p]})
+
+    return _t(spark, sf_dir, "events").select("user_id", "value").groupBy("user_id").applyInPandas(run, "user_id bigint, n bigint, w double, p_value double")
+
+
+@query()
+def cepstral_features(spark, sf_dir):
+    """Every embedding as a short recording: cepstral frames, pooled per recording."""
+    d = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8000).alias("sample_rate"), F.col("embedding").cast("array<double>").alias("signal"))
+    f = audio.FrontEnd(frame_ms=2.0, hop_ms=1.0, mels=8, coefficients=5, lifter=0)
+    names = audio.frame_columns(f)
+    wide = audio.cepstral_frames(d, f).select("path", *[F.get("v", k).alias(c) for k, c in enumerate(names)])
+    return pooling.pool(wide, ["path"], names, ("mean", "std"))
