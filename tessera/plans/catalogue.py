@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.stats import pearson, ratio, rounded
 from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, pooling
 from tessera.sources import audio, tables
+from tessera.streaming import windows
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -567,6 +568,15 @@ def glottal_pulse(spark, sf_dir):
     return d.select("event_id", rounded(audio.rosenberg_pulse(F.col("p"))).alias("pulse"))
 
 
+@query("""WITH w AS (SELECT ts, value, event_type, to_timestamp(floor(epoch(ts) / 43200) * 43200 - h * 43200) AT TIME ZONE 'UTC' AS s FROM events, (VALUES (0), (1)) x(h))
+  SELECT s AS window_start, event_type, count(*) AS n, round(avg(value), 6) + 0.0 AS mean_value, round(stddev_pop(value), 6) + 0.0 AS std_value FROM w GROUP BY 1, 2""")
+def sliding_windows(spark, sf_dir):
+    """A day's frame every half day: the same function pools a stream."""
+    d = windows.pooled_windows(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["value"], "1 day", "12 hours", keys=["event_type"], statistics=("mean", "std"))
+    d = _round(d.drop("window_end"), "mean_value", "std_value")
+    return d.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query()
 def shapiro_wilk_by_user(spark, sf_dir):
     """W and p of every user's values, a bounded group of at most 5000 each."""
