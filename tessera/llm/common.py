@@ -36,6 +36,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of finished writes go once the driver has collected its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 
