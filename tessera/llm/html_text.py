@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches
+from tessera.llm.common import small_batches, stash
 from tessera.llm.url_filters import parts
 
 #: Winning paths of a host that a page tries in turn.
 PATHS = 3
+#: Hosts whose paths are broadcast at most; beyond that a host's pages are dealt to so many tasks.
+BROADCAST_HOSTS, SALTS = 200_000, 32
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""")
@@ -217,7 +219,13 @@ def consensus(pages: DataFrame) -> DataFrame:
 def html_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
     small_batches(pages.sparkSession)
-    winners = consensus(pages).withColumnRenamed("host", "_host")
-    d = pages.select("page_id", "url", "html").withColumn("host", parts(F.col("url"))[0]).join(winners, F.col("host") == F.col("_host"), "left")
+    winners = stash(consensus(pages).withColumnRenamed("host", "_host"), "paths")
+    d = pages.select("page_id", "url", "html").withColumn("host", parts(F.col("url"))[0])
+    if winners.count() <= BROADCAST_HOSTS:
+        d = d.join(F.broadcast(winners), F.col("host") == F.col("_host"), "left")
+    else:  # the pages of a large host go to several tasks
+        salt = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS))
+        winners = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        d = d.withColumn("salt", salt).join(winners, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
     kind = pages.schema["page_id"].dataType.simpleString()
     return d.select("page_id", "url", "html", "paths").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars bigint")
