@@ -2,8 +2,9 @@
 
 Words of the training documents are counted over the whole corpus. The most frequent words are symbols of their own,
 every other word belongs to a class by its ending. A log-bilinear model over the two symbols before predicts the next;
-it is trained in numpy by noise-contrastive estimation on positions sampled evenly from all training documents. Scores
-are normalised: matrix products over batches of contexts give the normaliser of every context, and a word of a class has
+it is trained in numpy by noise-contrastive estimation on every position of every training document: in a round each
+partition of a share of the documents goes on from the common parameters, and the parameters are averaged, each row by how
+often the partitions used it, in Spark. The number of symbols follows the number of distinct words. Scores are normalised: matrix products over batches of contexts give the normaliser of every context, and a word of a class has
 the class's probability times its smoothed share of the class (words never seen share one count's part).
 
 Counts of the most frequent words are broadcast; rarer words are joined with their counts by a shuffle. Words are told
@@ -14,19 +15,24 @@ often as they stand; without training documents every token has the same probabi
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_of_id, lowered, mix, row_chunks, small_batches, span_hash, span_sums, spans, stash, string_bytes
 
-#: Words that are symbols, classes of the others, size of the vectors.
-SYMBOLS, CLASSES, SIZE = 768, 128, 24
-#: Positions sampled for training, noise words of each, passes.
-POSITIONS, NOISE, PASSES = 300_000, 12, 4
+#: Words that are symbols at least and at most (see ``symbols_for``), classes of the others, size of the vectors.
+SYMBOLS, MOST_SYMBOLS, CLASSES, SIZE = 768, 2048, 128, 24
+#: Rounds that share out the documents, noise words of a position and those that a batch draws, positions of a batch.
+ROUNDS, NOISE, DRAWN, BATCH = 4, 12, 64, 2048
+#: Positions that are shuffled together; small corpora are passed over up to PASSES times, until FEW positions are done.
+BUFFER, PASSES, FEW = 1 << 17, 8, 1_200_000
+#: Bytes of a piece of the parameters, the unit that Spark sums.
+PIECE = 1 << 14
 #: Words whose counts are broadcast at most.
 HEAD = 200_000
 ADDED = 0.1
@@ -74,14 +80,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(c)], ["h", "kind", "c"])
 
 
+def symbols_for(distinct: int) -> int:
+    """Symbols for so many distinct words: the root, within bounds. The most make 1.3 MB of parameters and sums, and a table of normalisers of 19 MB."""
+    return min(MOST_SYMBOLS, max(SYMBOLS, math.isqrt(distinct)))
+
+
 class Lexicon:
     """Counts of the frequent words, symbol numbers, and sizes of the classes."""
 
     def __init__(self, head: np.ndarray, total: int, distinct: int, classes: dict[int, tuple[int, int]]):
         """head: rows (hash, class, count), most frequent first; classes: tokens and words of each over all words."""
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.symbols = total, distinct, symbols_for(distinct)
         names, kinds, counts = head.T if len(head) else np.zeros((3, 0), np.int64)
-        top = names[:SYMBOLS]
+        top = names[: self.symbols]
         order = np.argsort(names.view(_U))
         self.names, self.counts, self.kinds = names.view(_U)[order], counts[order], kinds[order]
         self.symbol = np.full(len(names), -1, np.int64)
@@ -92,98 +103,175 @@ class Lexicon:
         np.subtract.at(tokens, kinds[: len(top)], counts[: len(top)])
         np.subtract.at(kinds_of, kinds[: len(top)], 1)
         self.class_norm = np.log10(tokens + ADDED * (kinds_of + 1))
-        self.frequency = np.concatenate([counts[:SYMBOLS], np.zeros(SYMBOLS - len(top)), tokens]).astype(float)
+        self.frequency = np.concatenate([counts[: self.symbols], np.zeros(self.symbols - len(top)), tokens]).astype(float)
 
     def look(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbol of every token, its count (0 if not broadcast), and whether it is broadcast."""
         if not len(self.names):
-            return SYMBOLS + t.kind, np.zeros(len(t.hash), np.int64), np.zeros(len(t.hash), bool)
+            return self.symbols + t.kind, np.zeros(len(t.hash), np.int64), np.zeros(len(t.hash), bool)
         at = np.minimum(np.searchsorted(self.names, t.hash), len(self.names) - 1)
         known = self.names[at] == t.hash
         symbol = np.where(known, self.symbol[at], -1)
-        return np.where(symbol >= 0, symbol, SYMBOLS + t.kind), np.where(known, self.counts[at], 0), known
+        return np.where(symbol >= 0, symbol, self.symbols + t.kind), np.where(known, self.counts[at], 0), known
 
 
-#: Symbols, and with the start of a text.
+#: Symbols and classes of the smallest model.
 _N = SYMBOLS + CLASSES
 
 
-def contexts(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol before each token and the one before that; _N before the start."""
+def contexts(symbol: np.ndarray, first: np.ndarray, start: int = _N) -> tuple[np.ndarray, np.ndarray]:
+    """The symbol before each token and the one before that; ``start`` before the start."""
     one, two = np.empty_like(symbol), np.empty_like(symbol)
     one[1:], two[2:] = symbol[:-1], symbol[:-2]
-    one[first] = two[first] = _N
+    one[first] = two[first] = start
     second = first + 1
     second = second[second < len(symbol)]
-    two[second] = np.where(np.isin(second, first), two[second], _N)
+    two[second] = np.where(np.isin(second, first), two[second], start)
     return one, two
 
 
-def _sampled(box, rate: float):
+class Learner:
+    """Noise-contrastive estimation with AdaGrad: context vectors by position, word vectors, biases; goes on from a state."""
+
+    def __init__(self, state: dict[str, np.ndarray], frequency: np.ndarray, seed: Sequence[int]):
+        self.rng = np.random.default_rng(seed)
+        self.noise = (frequency + 0.5) / (frequency + 0.5).sum()
+        self.log_noise, self.bins = (np.log(self.noise) + math.log(NOISE)).astype(np.float32), np.cumsum(self.noise)
+        self.state = {k: v.copy() for k, v in state.items()}
+        self.used = {k: np.zeros(len(state[k]), np.float32) for k in _TABLES}
+        self.seen = 0
+
+    def _step(self, k: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+        order = np.argsort(at, kind="stable")
+        rows = at[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        total, times, rows = np.add.reduceat(g[order], first), np.diff(np.append(first, len(rows))), rows[first]
+        past = self.state["past_" + k]
+        past[rows] += total**2
+        self.state[k][rows] += np.float32(rate) * total / np.sqrt(past[rows])
+        self.used[k][rows] += times
+
+    def learn(self, one: np.ndarray, two: np.ndarray, word: np.ndarray, passes: int = 1) -> None:
+        p, n = self.state, len(word)
+        batch = min(BATCH, max(64, n // 32))
+        for _ in range(passes if n else 0):
+            order = self.rng.permutation(n)
+            for i in range(0, n, batch):
+                at = order[i : i + batch]
+                x, y, w = one[at], two[at], word[at]
+                q = p["a"][x] + p["b"][y]
+                drawn = np.minimum(np.searchsorted(self.bins, self.rng.random(DRAWN)), len(self.bins) - 1)  # noise words shared by the batch: one matrix product
+                r, noise = p["r"][w], p["r"][drawn]
+                s = np.einsum("ij,ij->i", q, r) + p["bias"][w]
+                z = q @ noise.T + p["bias"][drawn]
+                up = 1 / (1 + np.exp(np.clip(s - self.log_noise[w], -30, 30)))
+                down = np.float32(-NOISE / DRAWN) / (1 + np.exp(-np.clip(z - self.log_noise[drawn], -30, 30)))
+                gq = up[:, None] * r + down @ noise
+                both = np.concatenate([w, drawn])
+                self._step("r", both, np.concatenate([up[:, None] * q, down.T @ q]), 0.1)
+                self._step("bias", both, np.concatenate([up, down.sum(0)]), 0.05)
+                self._step("a", x, gq, 0.1)
+                self._step("b", y, gq, 0.1)
+        self.seen += n
+
+
+_TABLES = ("a", "b", "r", "bias")
+
+
+def start(frequency: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+    """The parameters before the first round, and AdaGrad's sums of squares."""
+    rng, n = np.random.default_rng(seed), len(frequency)
+    p = {k: rng.normal(0, 0.1, (m, SIZE)).astype(np.float32) for k, m in (("a", n + 1), ("b", n + 1), ("r", n))}
+    p["bias"] = np.log((frequency + 0.5) / (frequency + 0.5).sum()).astype(np.float32)
+    return p | {"past_" + k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
+
+
+def _weighed(learner: Learner) -> np.ndarray:
+    """A partition's state, every row times its uses, then the uses and the positions, in one run of numbers."""
+    times = lambda k, v: v * (learner.used[k] if v.ndim == 1 else learner.used[k][:, None])
+    tables = [times(k.removeprefix("past_"), v).ravel() for k, v in learner.state.items()]
+    return np.concatenate([*tables, *(learner.used[k] for k in _TABLES), [learner.seen]]).astype(float)
+
+
+def _averaged(sums: np.ndarray, state: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], int]:
+    """The common state after a round and the positions of the round; rows that no partition used stay."""
+    parts, at = {}, 0
+    for k, v in [*state.items(), *(("used_" + k, np.zeros(len(state[k]))) for k in _TABLES)]:
+        parts[k], at = sums[at : at + v.size].reshape(v.shape), at + v.size
+    out = {}
+    for k, v in state.items():
+        used = parts["used_" + k.removeprefix("past_")]
+        used = used if v.ndim == 1 else used[:, None]
+        out[k] = np.where(used > 0, parts[k] / np.maximum(used, 1), v).astype(np.float32)
+    return out, round(sums[at])
+
+
+def _round(box, number: int, passes: int):
+    """Trains on all positions of a partition and yields its weighed state in pieces."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon: Lexicon = box.value
+        lexicon, state = box.value
+        learner = Learner(state, lexicon.frequency, (5, number, TaskContext.get().partitionId()))
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> None:
+            if held:
+                learner.learn(*(np.concatenate(x) for x in zip(*held, strict=True)), passes)
+                held.clear()
+
         for batch in batches:
-            for lo, _, data, offsets in row_chunks(*string_bytes(batch.column(1))):
+            for _, _, data, offsets in row_chunks(*string_bytes(batch.column(0))):
                 t = Tokens(data, offsets)
                 symbol, _, _ = lexicon.look(t)
-                one, two = contexts(symbol, t.first)
-                place = np.arange(len(symbol)) - t.first[t.row]
-                ids = batch.column(0).slice(lo, len(offsets) - 1).fill_null(0).to_numpy().astype(np.int64).view(_U)
-                rank = mix(mix(ids)[t.row] + place.astype(_U))
-                on = rank.astype(float) < rate * 2.0**64
-                yield pa.RecordBatch.from_arrays([pa.array(rank[on].view(np.int64)), *(pa.array(x[on].astype(np.int32)) for x in (one, two, symbol))], ["rank", "one", "two", "next"])
+                held.append((*contexts(symbol, t.first, len(lexicon.frequency)), symbol))
+                if sum(len(x[2]) for x in held) >= BUFFER:
+                    flush()
+        flush()
+        if learner.seen:
+            numbers = _weighed(learner)
+            pieces = [numbers[i : i + PIECE // 8].tobytes() for i in range(0, len(numbers), PIECE // 8)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "numbers"])
 
     return run
 
 
-def train(one: np.ndarray, two: np.ndarray, word: np.ndarray, frequency: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
-    """Noise-contrastive estimation with AdaGrad: context vectors by position, word vectors, biases."""
-    rng = np.random.default_rng(seed)
-    noise = (frequency + 0.5) / (frequency + 0.5).sum()
-    log_noise, bins = (np.log(noise) + math.log(NOISE)).astype(np.float32), np.cumsum(noise)
-    p = {k: rng.normal(0, 0.1, (n, SIZE)).astype(np.float32) for k, n in (("a", _N + 1), ("b", _N + 1), ("r", _N))}
-    p["bias"] = np.log(noise).astype(np.float32)
-    past = {k: np.full(v.shape, 1e-2, np.float32) for k, v in p.items()}
-
-    def step(k: str, at: np.ndarray, g: np.ndarray, rate: float) -> None:
-        order = np.argsort(at, kind="stable")
-        rows = at[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total, rows = np.add.reduceat(g[order], first), rows[first]
-        past[k][rows] += total**2
-        p[k][rows] += np.float32(rate) * total / np.sqrt(past[k][rows])
-
-    for _ in range(PASSES if len(word) else 0):
-        order = rng.permutation(len(word))
-        for at in np.array_split(order, max(1, len(order) // 1024)):
-            x, y, w = one[at], two[at], word[at]
-            q = p["a"][x] + p["b"][y]
-            drawn = np.minimum(np.searchsorted(bins, rng.random(NOISE * 16)), _N - 1)  # noise words shared by the batch: one matrix product
-            s = (q * p["r"][w]).sum(1) + p["bias"][w]
-            z = q @ p["r"][drawn].T + p["bias"][drawn]
-            up = 1 / (1 + np.exp(np.clip(s - log_noise[w], -30, 30)))
-            down = -1 / (1 + np.exp(-np.clip(z - log_noise[drawn], -30, 30))) / 16
-            gq = up[:, None] * p["r"][w] + down @ p["r"][drawn]
-            step("r", np.concatenate([w, drawn]), np.concatenate([up[:, None] * q, down.T @ q]), 0.1)
-            step("bias", np.concatenate([w, drawn]), np.concatenate([up, down.sum(0)]), 0.05)
-            step("a", x, gq, 0.1)
-            step("b", y, gq, 0.1)
-    return p
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, numbers in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(numbers.as_buffer(), float)
+            sums[piece] = sums[piece] + x if piece in sums else x.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "numbers"])
+
+
+def fit(learn: DataFrame, lexicon: Lexicon) -> tuple[dict[str, np.ndarray], int]:
+    """The model of all positions of ``learn`` (id, text), and how many they were. Every document is in one round."""
+    spark, state, seen = learn.sparkSession, start(lexicon.frequency), 0
+    passes = min(PASSES, max(1, FEW // max(lexicon.total, 1)))
+    for number in range(ROUNDS if lexicon.total else 0):
+        box = spark.sparkContext.broadcast((lexicon, state))
+        share = learn.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == number).select("text")
+        pieces = share.mapInArrow(_round(box, number, passes), "piece int, numbers binary")
+        rows = pieces.repartition(8, "piece").mapInArrow(_summed, "piece int, numbers binary").collect()  # the size of one state
+        if rows:
+            state, n = _averaged(np.concatenate([np.frombuffer(r.numbers, float) for r in sorted(rows)]), state)
+            seen += n
+    return {k: state[k] for k in _TABLES}, seen
 
 
 class Scorer:
     """Normalised log-probabilities of symbols; normalisers of contexts are kept once computed."""
 
     def __init__(self, model: dict[str, np.ndarray]):
-        self.m = model
-        self.norm = np.full((_N + 1) ** 2, np.nan, np.float32)
+        self.m, self.side = model, len(model["bias"]) + 1
+        self.norm = np.full(self.side**2, np.nan, np.float32)
 
     def __call__(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        m, code = self.m, one * (_N + 1) + two
+        m, code = self.m, one * self.side + two
         fresh = np.unique(code[np.isnan(self.norm[code])])
-        for i in range(0, len(fresh), 4096):
-            c = fresh[i : i + 4096]
-            z = (m["a"][c // (_N + 1)] + m["b"][c % (_N + 1)]) @ m["r"].T + m["bias"]
+        for i in range(0, len(fresh), 1024):
+            c = fresh[i : i + 1024]
+            z = (m["a"][c // self.side] + m["b"][c % self.side]) @ m["r"].T + m["bias"]
             top = z.max(1)
             self.norm[c] = top + np.log(np.exp(z - top[:, None]).sum(1))
         logit = np.einsum("ij,ij->i", m["a"][one] + m["b"][two], m["r"][symbol]) + m["bias"][symbol]
@@ -205,9 +293,9 @@ def _scored(box, key: str):
             for lo, hi, data, offsets in row_chunks(*string_bytes(batch.column(2))):
                 t = Tokens(data, offsets)
                 symbol, count, known = lexicon.look(t)
-                own = scorer(*contexts(symbol, t.first), symbol) / _LOG10
+                own = scorer(*contexts(symbol, t.first, len(lexicon.frequency)), symbol) / _LOG10
                 log_count = np.where(known, np.log10(count + ADDED), 0)
-                own += np.where(symbol >= SYMBOLS, log_count - lexicon.class_norm[np.maximum(symbol - SYMBOLS, 0)], 0)
+                own += np.where(symbol >= lexicon.symbols, log_count - lexicon.class_norm[np.maximum(symbol - lexicon.symbols, 0)], 0)
                 n = hi - lo
                 total = lambda x: np.bincount(t.row, x, n)
                 h, row = t.hash[~known], t.row[~known]
@@ -256,10 +344,7 @@ def log_bilinear(docs: DataFrame) -> DataFrame:
     total, distinct = sum(r.t for r in sums), sum(r.w for r in sums)
     head = _head(counts)
     lexicon = Lexicon(head, total, distinct, {r.kind: (r.t, r.w) for r in sums})
-    box = spark.sparkContext.broadcast(lexicon)
-    rows = learn.select("id", "text").mapInArrow(_sampled(box, min(1.0, POSITIONS / max(total, 1))), "rank bigint, one int, two int, next int")
-    sample = rows.orderBy("rank", "one", "two", "next").limit(2 * POSITIONS).toPandas()
-    model = train(*(sample[c].to_numpy(np.int64) for c in ("one", "two", "next")), lexicon.frequency)
+    model, _ = fit(learn, lexicon)
     both = spark.sparkContext.broadcast((lexicon, model))
     half = stash(docs.mapInArrow(_scored(both, f"{id(model)}-{total}-{distinct}"), _HALF).withColumn("row", F.monotonically_increasing_id()), "half")
     rare = half.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n").join(counts.select("h", "c"), "h", "left")

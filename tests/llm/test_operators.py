@@ -268,6 +268,17 @@ def test_log_bilinear_learns_context(spark):
     assert all(r.score > r.base_score + 8 for r in out)
 
 
+def test_log_bilinear_trains_on_every_position(spark):
+    d = spark.range(2000, numPartitions=3).selectExpr("id", "concat_ws(' ', transform(sequence(1, 249), k -> concat('w', pmod(xxhash64(id, k), 5000)))) AS text")
+    counts = Counter(w for r in d.collect() for w in [*r.text.split(), ""])
+    head = np.array([(k, k % log_bilinear.CLASSES, c) for k, (_, c) in enumerate(counts.most_common())])
+    classes = {k: (int(head[head[:, 1] == k, 2].sum()), int((head[:, 1] == k).sum())) for k in range(log_bilinear.CLASSES)}
+    lexicon = log_bilinear.Lexicon(head, sum(counts.values()), len(counts), classes)
+    model, seen = log_bilinear.fit(d, lexicon)
+    assert seen == 500_000 == lexicon.total and np.isfinite(model["r"]).all()
+    assert [log_bilinear.symbols_for(n) for n in (0, 10**6, 10**9)] == [768, 1000, 2048]
+
+
 # 7 licences
 
 
