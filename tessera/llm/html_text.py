@@ -1,9 +1,10 @@
 """Operator 9: main text of web pages by consensus paths of their hosts.
 
-Every page scores its containers (text that isn't link text or boilerplate counts for a container, boilerplate counts
-against it) and votes for the generalised tag-class path of the best one. Spark adds the votes per host, and every page
-is then read again: the text is what stands in the container at the host's winning path, or at the next one that the
-page has, or else in the page's own best container.
+Every page weighs its containers by the text in them that isn't boilerplate or mostly links, and votes for the generalised
+tag-class path of the best one: the smallest with all text of its articles, where these hold most of the page, or else with
+nearly all of the page and the headings and paragraphs beside it. Spark adds the votes per host, and every page is then
+read again: the text is what stands in all containers at the host's winning path, or at the next one that the page has, if
+they hold a fair share of the page or are marked as content, or else in the page's own best container.
 
 Null and empty pages, and pages without text outside boilerplate, have an empty text. Pages without a host (null URLs)
 vote together. Repeated rows vote as often as they stand and get equal texts; nothing of a text is dropped or capped.
@@ -24,6 +25,8 @@ from tessera.llm.url_filters import parts
 
 #: Winning paths of a host that a page tries in turn.
 PATHS = 3
+#: Share of a page that articles hold at least to stand for it, that its best container holds, and that a host's path must.
+ARTICLES, NEARLY, FAIR = 0.8, 0.9, 0.5
 #: Hosts whose paths are broadcast at most; beyond that a host's pages are dealt to so many tasks.
 BROADCAST_HOSTS, SALTS = 200_000, 32
 
@@ -43,6 +46,7 @@ _BOILER = frozenset(
     "consent gdpr notice notices popup modal overlay newsletter subscribe signup widget toolbar pagination pager hidden skip alert search login".split()
 )
 _CONTENT = frozenset("article main content post entry story".split())
+_PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
@@ -50,7 +54,7 @@ class Page:
     """Elements (parent, key, boilerplate?, worth) and blocks (element, text, boilerplate?) of a page."""
 
     def __init__(self, source: str):
-        self.parent, self.key, self.tag, self.boiler, self.bonus = [-1], [""], [""], [False], [1.0]
+        self.parent, self.key, self.tag, self.boiler, self.marked = [-1], [""], [""], [False], [False]
         self.blocks: list[tuple[int, str, int, bool]] = []
         self._read(source)
         self._weigh()
@@ -72,7 +76,7 @@ class Page:
         self.tag.append(tag)
         self.key.append(f"{self.key[up]}/{tag}" + (f".{re.sub('[0-9]+', 'N', first[0].lower())}" if first else ""))
         self.boiler.append(boiler or self.boiler[up])
-        self.bonus.append(1.25 if tag in ("article", "main") or words & _CONTENT else 1.0)
+        self.marked.append(tag in ("article", "main") or bool(words & _CONTENT))
         return len(self.parent) - 1
 
     def _flush(self) -> None:
@@ -158,27 +162,62 @@ class Page:
                 return None
         return None
 
+    def _sums(self, own: list[int]) -> list[int]:
+        """Sums over every element and all within it; parents stand before children."""
+        sums = own.copy()
+        for k in range(len(sums) - 1, 0, -1):
+            sums[self.parent[k]] += sums[k]
+        return sums
+
     def _weigh(self) -> None:
-        """Worth of every element: its text that isn't link text, less its boilerplate; parents stand before children."""
-        self.worth = [0.0] * len(self.parent)
+        """Worth of every element: its text without boilerplate and blocks of links; nothing lowers an ancestor's."""
+        self.own = [0] * len(self.parent)
         for at, text, linked, boiler in self.blocks:
-            self.worth[at] += -len(text) if boiler else len(text) - 2 * linked
-        for k in range(len(self.parent) - 1, 0, -1):
-            self.worth[self.parent[k]] += self.worth[k]
+            if not boiler:
+                self.own[at] += max(0, len(text) - 2 * linked)
+        self.worth = self._sums(self.own)
 
     def best(self) -> int:
-        """The container of most worth; of equals the innermost."""
-        fit = [k for k in range(len(self.parent)) if not self.boiler[k] and self.tag[k] not in _INLINE and self.tag[k] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")]
-        return max(fit, key=lambda k: (self.worth[k] * self.bonus[k], k), default=0)
+        """The smallest container with all text of the articles if these hold most of the page, else with nearly all of the page."""
+        inside = [m and not b and t not in _INLINE for m, b, t in zip(self.marked, self.boiler, self.tag, strict=True)]
+        for k in range(1, len(inside)):
+            inside[k] = inside[k] or inside[self.parent[k]]
+        target = [w if i else 0 for w, i in zip(self.own, inside, strict=True)]
+        if not self.worth[0]:
+            return 0
+        if articles := sum(target) >= ARTICLES * self.worth[0]:
+            held = self._sums(target)
+        else:
+            held = self.worth
+        least = held[0] * (1 if articles else NEARLY)
+        fit = (k for k in range(len(held)) if held[k] >= least and not self.boiler[k] and self.tag[k] not in _INLINE and self.tag[k] not in _PARAGRAPHS and self.tag[k] != "li")
+        best = max(fit, default=0)  # they lie in each other, as each holds more than half
+        return best if articles else self._with_headings(best)
+
+    def _with_headings(self, k: int) -> int:
+        """The highest container around ``k`` that adds only headings and paragraphs of its own."""
+        every, beside = [0] * len(self.parent), [0] * len(self.parent)
+        for at, _, _, boiler in self.blocks:
+            every[at] += not boiler
+            if not boiler and self.tag[at] in _PARAGRAPHS:
+                beside[self.parent[at]] += 1
+        every, found = self._sums(every), k
+        while k:
+            up = self.parent[k]
+            more = every[up] - every[k]
+            if more > beside[up]:
+                break
+            found, k = (up if more else found), up
+        return found
 
-    def at(self, path: str) -> int | None:
-        """The element of most worth at a path; None if there is none with text."""
+    def at(self, path: str) -> list[int]:
+        """All elements with text at a path, if they are marked as content or together hold a fair share of the page."""
         fit = [k for k in range(len(self.parent)) if self.key[k] == path and not self.boiler[k] and self.worth[k] > 0]
-        return max(fit, key=lambda k: (self.worth[k], -k), default=None)
+        return fit if any(self.marked[k] for k in fit) or sum(self.worth[k] for k in fit) >= FAIR * self.worth[0] else []
 
-    def text(self, element: int) -> str:
-        inside = {element}
-        for k in range(element + 1, len(self.parent)):
+    def text(self, elements: list[int]) -> str:
+        inside = set(elements)
+        for k in range(min(elements) + 1, len(self.parent)):
             if self.parent[k] in inside:
                 inside.add(k)
         return "\n\n".join(text for at, text, _, boiler in self.blocks if at in inside and not boiler)
@@ -193,7 +232,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if page.worth[k] > 0:
                 hosts.append(host)
                 paths.append(page.key[k])
-                worth.append(int(page.worth[k]))
+                worth.append(page.worth[k])
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(worth, pa.int64())], ["host", "path", "worth"])
 
 
@@ -202,8 +241,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for source, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
             page = Page(source.as_py() or "")
-            found = next((k for p in paths or () if (k := page.at(p)) is not None), None)
-            out.append(page.text(page.best() if found is None else found))
+            found = next((k for p in paths or () if (k := page.at(p))), None)
+            out.append(page.text(found or [page.best()]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

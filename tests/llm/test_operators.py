@@ -356,6 +356,20 @@ def test_consensus_overrules_a_page(spark):
     assert {r.page_id: r.text for r in html_text.html_text(d).collect()}[9] == "short story"
 
 
+def test_boilerplate_and_splits_leave_the_article_whole(spark):
+    meta, own, said = "<div class=meta>By A</div>", "own words " * 50, "reader says " * 90
+    talked = f"<body><article>{meta}<p>{own}</p><section id=comments>{said}</section></article></body>"
+    split = f"<body><div class=x><h1>Head</h1><div class=part><p>{own}</p></div><div class=ad>{said}</div><div class=part><p>{own}</p></div></div></body>"
+    headed = f"<body><div class=x><h1>Head</h1><div class=part><p>{own}</p></div></div><div class=y><p>tip</p></div></body>"
+    single = f"<body><div class=x><div class=part><p>{own}</p></div></div></body>"
+    rows = [(1, "http://a.net/", talked), (2, "http://b.net/", split), (3, "http://c.net/", headed)] + [(k, "http://d.net/", single) for k in (4, 5)]
+    rows += [(6, "http://d.net/", split)] + [(k, "http://e.net/", f"<body>{meta}</body>") for k in (7, 8)] + [(9, "http://e.net/", f"<body>{meta}<section><p>{own}</p></section></body>")]
+    out = {r.page_id: r.text for r in html_text.html_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    own = own.strip()
+    assert out[1] == f"By A\n\n{own}" and out[2] == f"Head\n\n{own}\n\n{own}" and out[3] == f"Head\n\n{own}"
+    assert out[4] == own and out[6].count(own) == 2 and out[9] == own
+
+
 # 10 n-gram join
 
 
