@@ -3,7 +3,8 @@
 Rules decide where they fit: a rule holds for its host and all subdomains if the path starts with the rule's, and the
 longest wins. Every other URL is judged by gradient-boosted trees trained on labelled URLs (by default those that the
 rules label): lengths, depth, digit ratio, entropy, parameter counts, and statistics of the host's suffixes and of the
-path's first part (how common they are and how often blocked among the labelled URLs).
+path's first part (how common they are and how often blocked among all labelled URLs). Only the trees are fitted on a
+bounded sample: different URLs, so many of each class, weighted to the shares of the classes.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by its features like any
 other. Repeated URLs get equal verdicts. Without labelled URLs of both classes the verdict is the only class's, or allow.
@@ -18,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii
+from tessera.llm.common import lower_ascii, stash
 
 #: (verdict, host, path) of the production filter.
 RULES = (
@@ -28,8 +29,10 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Labelled URLs, in hash order, from which the trees and the suffix statistics are learned.
+#: Different labelled URLs, in hash order, on which the trees are fitted; each class has an equal part of them at most.
 TRAIN_ROWS = 20_000
+#: Keys of a statistic that are broadcast at most; beyond that the rows of a key are dealt to so many tasks.
+BROADCAST_KEYS, SALTS = 200_000, 32
 TREES, DEPTH = 20, 4
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "parameter_length", "labels", "hyphens",
@@ -73,41 +76,61 @@ def lexical(d: DataFrame, url: str = "url") -> DataFrame:
     return d.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in ("top", "site", "head")})
 
 
-def _with_statistics(d: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Adds how common a key is among the labelled URLs and how often it is blocked (smoothed)."""
-    for key in ("top", "site", "head"):  # TRAIN_ROWS rows at most
-        s = labelled.groupBy(F.col(key).alias(f"_{key}")).agg(F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_b"))
-        s = s.select(f"_{key}", F.ln(F.col("_n") + 1).alias(f"{key}_known"), ((F.col("_b") + 2) / (F.col("_n") + 4)).alias(f"{key}_blocked"))
-        d = d.join(F.broadcast(s), F.col(key) == F.col(f"_{key}"), "left").drop(f"_{key}")
-    blanks = {f"{k}_known": F.coalesce(F.col(f"{k}_known"), F.lit(0.0)) for k in ("top", "site", "head")}
-    return d.withColumns(blanks | {f"{k}_blocked": F.coalesce(F.col(f"{k}_blocked"), F.lit(0.5)) for k in ("top", "site", "head")})
+_KEYS = ("top", "site", "head")
 
 
-def train(urls: DataFrame, bound: int = TRAIN_ROWS) -> tuple[DataFrame | None, object]:
-    """Learn from URLs (url, label 1: block): the labelled rows and the fitted trees, or None and the only verdict."""
+def statistics(labelled: DataFrame) -> dict[str, DataFrame]:
+    """For each kind of key how common every key is among all labelled rows (url, label, n) and how often it is blocked (smoothed)."""
+    found = {}
+    for key in _KEYS:
+        s = labelled.groupBy(F.col(key).alias(f"_{key}")).agg(F.sum("n").alias("_n"), F.sum(F.col("label") * F.col("n")).alias("_b"))
+        found[key] = stash(s.select(f"_{key}", F.ln(F.col("_n") + 1).alias(f"{key}_known"), ((F.col("_b") + 2) / (F.col("_n") + 4)).alias(f"{key}_blocked")), f"urls-{key}")
+    return found
+
+
+def _with_statistics(d: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """Adds the statistics of the three keys."""
+    for key, s in found.items():
+        same = F.col(key) == F.col(f"_{key}")
+        if s.count() <= BROADCAST_KEYS:
+            d = d.join(F.broadcast(s), same, "left").drop(f"_{key}")
+        else:  # the rows of a common key go to several tasks
+            s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+            d = d.withColumn("_deal", F.monotonically_increasing_id() % SALTS).join(s, same & (F.col("_deal") == F.col("_salt")), "left").drop(f"_{key}", "_deal", "_salt")
+    blanks = {f"{k}_known": F.coalesce(F.col(f"{k}_known"), F.lit(0.0)) for k in _KEYS}
+    return d.withColumns(blanks | {f"{k}_blocked": F.coalesce(F.col(f"{k}_blocked"), F.lit(0.5)) for k in _KEYS})
+
+
+def train(urls: DataFrame, bound: int = TRAIN_ROWS) -> tuple[dict[str, DataFrame] | None, object]:
+    """Learn from URLs (url, label 1: block): statistics of all labelled rows and the fitted trees, or None and the only verdict."""
+    labelled = urls.where("label IS NOT NULL").groupBy("url", "label").agg(F.count(F.lit(1)).alias("n"))
+    labelled = stash(labelled, "urls")
+    sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return None, "block" if set(sizes) == {1} else "allow"
     host, path = parts(F.col("url"))
-    rows = urls.where("label IS NOT NULL").orderBy(F.xxhash64("url"), "url", "label").limit(bound)
-    rows = lexical(rows.withColumn("host", host).withColumn("path", path)).persist()
-    seen = {r.label for r in rows.select("label").distinct().collect()}
-    if len(seen) < 2:
-        rows.unpersist()
-        return None, "block" if seen == {1} else "allow"
-    known = _with_statistics(rows, rows)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known).select("features", F.col("label").cast("double").alias("label")).repartition(4)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7).fit(ready)
-    return rows, trees
+    labelled = lexical(labelled.withColumn("host", host).withColumn("path", path))
+    found, part = statistics(labelled), max(1, bound // len(sizes))
+    sample = None
+    for label, n in sorted(sizes.items()):
+        some = labelled.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(part).withColumn("weight", F.lit(n / min(n, part)))
+        sample = some if sample is None else sample.unionByName(some)
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_with_statistics(sample, found))
+    ready = ready.select("features", F.col("label").cast("double").alias("label"), "weight").repartition(4)
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7, weightCol="weight").fit(ready)
+    return found, trees
 
 
 def judge(pages: DataFrame, model: tuple, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict to every row."""
-    labelled, trees = model
+    found, trees = model
     names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     d = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{url}`").alias("_url"))
     d = d.withColumn("host", parts(F.col("_url"))[0]).withColumn("path", parts(F.col("_url"))[1])
     d = d.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
-    method = F.lit(trees if labelled is None else None).cast("string")
-    if labelled is not None:
-        d = _with_statistics(lexical(d, "_url"), labelled)
+    method = F.lit(trees if found is None else None).cast("string")
+    if found is not None:
+        d = _with_statistics(lexical(d, "_url"), found)
         d = trees.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d))
         method = F.when(F.col("prediction") > 0.5, "block").otherwise("allow")
     return d.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", method).alias("verdict"))

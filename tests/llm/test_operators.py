@@ -144,6 +144,20 @@ def test_url_empty_and_one_class(spark):
     assert url_filters.url_filters(d, labels=d.selectExpr("url", "1 AS label")).first().verdict == "block"
 
 
+def test_url_statistics_cover_all_labels(spark, monkeypatch):
+    rows = [(f"http://h{k}.s{k % 100}.net/p{k % 3}/{k}", int(k % 100 < 40)) for k in range(600)]
+    d = spark.createDataFrame(rows, "url string, label int")
+    hot = d.where("label = 1").selectExpr("min_by(url, xxhash64(url)) AS url", "1 AS label").first()
+    labels = d.union(spark.createDataFrame([tuple(hot)] * 400, d.schema))
+    model = url_filters.train(labels, 200)  # copies of one URL, an early one, fill the bound
+    sites = {r["_site"]: r["site_known"] for r in model[0]["site"].collect()}
+    assert len(sites) == 100 and math.isclose(sum(math.exp(v) - 1 for v in sites.values()), 1000)
+    out = {r.url: r.verdict for r in url_filters.judge(d, model, rules=()).collect()}
+    assert sum((out[u] == "block") == (b == 1) for u, b in rows) >= 0.95 * len(rows)
+    monkeypatch.setattr(url_filters, "BROADCAST_KEYS", 0)
+    assert {r.url: r.verdict for r in url_filters.judge(d, model, rules=()).collect()} == out
+
+
 # 3 mixing
 
 
