@@ -79,7 +79,7 @@ def condition_number(m: Moments) -> float:
 
 
 def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
-    """W and p-value by Royston's approximation, for 3 to 5000 values; NaN for constant ones."""
+    """W and p-value by Royston's approximation, for 3 values or more (it was fitted up to 5000); NaN for constant ones."""
     x = np.sort(np.asarray(values, float))
     n = len(x)
     if n < 3:

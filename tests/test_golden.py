@@ -213,3 +213,12 @@ def test_tables(spark):
 def test_model_round_trip(spark, tmp_path):
     models.save_model(str(tmp_path / "m"), spark, "ridge", {"alpha": 1}, {"intercept": 2.0})
     assert models.load_model(str(tmp_path / "m"), spark)["coefficients"] == {"intercept": 2.0}
+
+
+def test_shapiro_wilk_of_a_large_user(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    d = spark.range(6002).selectExpr("if(id < 2, 2, 1) AS user_id", "id AS event_id", "-ln((id + 1) / 6003.0) AS value")
+    d.write.parquet(str(tmp_path / "events.parquet"))
+    out = {r.user_id: r for r in catalogue.queries()["shapiro_wilk_by_user"](spark, str(tmp_path)).collect()}
+    assert out[1].n == 6000 and 0.7 < out[1].w < 0.9 and out[1].p_value < 1e-6 and out[2].w is None
