@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, stash
+from tessera.llm.common import stash
 from tessera.llm.url_filters import parts
 
 #: Winning paths of a host that a page tries in turn.
@@ -257,7 +257,6 @@ def consensus(pages: DataFrame) -> DataFrame:
 
 def html_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
-    small_batches(pages.sparkSession)
     winners = stash(consensus(pages).withColumnRenamed("host", "_host"), "paths")
     d = pages.select("page_id", "url", "html").withColumn("host", parts(F.col("url"))[0])
     if winners.count() <= BROADCAST_HOSTS:

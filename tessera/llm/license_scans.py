@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import chained, row_chunks, small_batches, span_hash, span_sums, spans, string_bytes
+from tessera.llm.common import chained, row_chunks, span_hash, span_sums, spans, string_bytes
 
 #: Least Dice coefficient of a match.
 LEAST = 0.8
@@ -161,7 +161,6 @@ class Scanner:
 
 def license_scans(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Adds license, dice, part (text, paragraph or line) and line (from 0) to every row; null where nothing matches."""
-    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("license", "dice", "part", "line")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     at = names.index("text")

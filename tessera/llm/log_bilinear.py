@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_of_id, lowered, mix, row_chunks, small_batches, span_hash, span_sums, spans, stash, string_bytes
+from tessera.llm.common import crc_of_id, lowered, mix, row_chunks, span_hash, span_sums, spans, stash, string_bytes
 
 #: Words that are symbols at least and at most (see ``symbols_for``), classes of the others, size of the vectors.
 SYMBOLS, MOST_SYMBOLS, CLASSES, SIZE = 768, 2048, 128, 24
@@ -335,7 +335,6 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def log_bilinear(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), held_out().alias("held_out"), "text")
     learn = docs.where(~F.col("held_out"))
     counts = learn.select("text").mapInArrow(_counted, "h bigint, kind bigint, c bigint").groupBy("h").agg(F.first("kind").alias("kind"), F.sum("c").alias("c"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import small_batches, stash
+from tessera.llm.common import stash
 
 TOKENIZER = "byte_bpe_50k.json"
 END, CAPACITY = 2, 1024
@@ -254,7 +254,6 @@ def _merged(capacity: int):
 
 def pack(docs: DataFrame, tokenizer: str = "", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row per piece of every document of ``docs`` (doc_id, text) with its sequence and its offset there."""
-    small_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_pieces(path, capacity, end), _PIECES)
     pieces = stash(pieces.withColumn("uid", F.monotonically_increasing_id()), "pieces")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import chained, crc_of_id, lowered, mix, row_chunks, small_batches, span_hash, span_sums, spans, string_bytes
+from tessera.llm.common import chained, crc_of_id, lowered, mix, row_chunks, span_hash, span_sums, spans, string_bytes
 
 #: Labelled documents, in hash order, from which features are counted and the field is trained.
 TRAIN_DOCS = 8_000
@@ -279,7 +279,6 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Learn token labels, the chain and the document score from the labelled training documents."""
     spark = docs.sparkSession
-    small_batches(spark)
     sample = sampled_labels(labels)
     texts = _distinct_texts(docs, sample).persist()
     try:
@@ -314,7 +313,6 @@ _SPANS = "array<struct<start:bigint,end:bigint,score:double>>"
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """Adds score, predicted and toxic_spans (code-point offsets of runs of toxic words) to every row."""
     spark, schema = docs.sparkSession, docs.schema
-    small_batches(spark)
     names = [c for c in docs.columns if c not in ("score", "predicted", "toxic_spans")]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     if "constant" in model:
