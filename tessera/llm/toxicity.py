@@ -4,12 +4,14 @@ Documents are labelled, tokens are not, so token labels are derived first: Spark
 the labelled training documents, and a token of a toxic document is toxic if one of its features is bound to toxic
 documents beyond chance (log-likelihood ratio, in enough different contexts that copies of one text don't count).
 A two-state linear chain is then trained in numpy on segments of these tokens. Every document is scored by
-forward-backward over segments of its tokens: marginals of one half or more give the offending spans, and their sum,
-the largest marginal and the length give the document's score by a logistic fit on the training documents.
+forward-backward over its whole text: marginals of one half or more give the offending spans, and their sum,
+the largest marginal and the length give the document's score by a logistic fit on the training documents, each of which
+is tagged for it by a chain that was learned from the other half of them.
 
 Null, empty and blank texts have no tokens and get the score of a document without toxic tokens. Texts are processed
-whole. Rows are scored one by one, so repeated rows get equal scores; documents without a label are only scored, and
-where labels are absent or of one class every score is the share of toxic labels (0 without labels).
+whole, whatever their length. Rows are scored one by one, so repeated rows get equal scores; documents without a label are
+only scored, and where labels are absent or of one class every score is the share of toxic labels (0 without labels). An
+empty table gives an empty result. Columns of the input named score, predicted or toxic_spans give way to the operator's.
 """
 
 from __future__ import annotations
@@ -80,22 +82,66 @@ def _segments(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return firsts, np.diff(np.append(firsts, len(rows)))
 
 
+def _blocks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of SEGMENT tokens at most of rows of such lengths: row, number within the row, length."""
+    n = -(-lengths // SEGMENT)
+    row = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, k, np.minimum(lengths[row] - k * SEGMENT, SEGMENT)
+
+
+def _messages(emission: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, row: np.ndarray, k: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every block (longest first) the log odds that come into its first token and, from behind, into its last one."""
+    m, e = np.exp(move), np.exp(np.clip(emission, -60, 60))
+    g = np.zeros((len(firsts), 2, 2))  # what a block makes of either state before its first token: (state after, state before)
+    g[:, 0, 0], g[:, 1, 1] = 1, e[firsts]
+    for t in range(1, int(lengths[0])):
+        n = int(np.searchsorted(-lengths, -t, "left"))
+        clean, toxic = g[:n, 0].copy(), g[:n, 1]
+        g[:n, 0] = clean * m[0, 0] + toxic * m[1, 0]
+        g[:n, 1] = (clean * m[0, 1] + toxic * m[1, 1]) * e[firsts[:n] + t, None]
+        if t % 4 == 0:
+            g[:n] /= g[:n].max((1, 2), keepdims=True)
+    by = np.lexsort((row, k))  # first blocks of all rows, then second ones
+    counts = np.bincount(k)
+    ends, n_rows = np.cumsum(counts), int(row.max()) + 1
+    into, back = np.zeros((len(firsts), 2)), np.zeros((len(firsts), 2))
+    forward, backward = np.tile(np.exp(start - start.max()), (n_rows, 1)), np.ones((n_rows, 2))
+    for hi, n in zip(ends, counts, strict=True):
+        at = by[hi - n : hi]
+        into[at] = forward[row[at]]
+        a = np.einsum("bij,bj->bi", g[at], into[at]) @ m
+        forward[row[at]] = a / a.max(1, keepdims=True)
+    for hi, n in zip(ends[::-1], counts[::-1], strict=True):
+        at = by[hi - n : hi]
+        back[at] = backward[row[at]]
+        b = np.einsum("bij,bi->bj", g[at], back[at]) @ m.T
+        backward[row[at]] = b / b.max(1, keepdims=True)
+    odds = lambda x: np.log(np.maximum(x[:, 1], 1e-300)) - np.log(np.maximum(x[:, 0], 1e-300))
+    return odds(into), odds(back)
+
+
 def marginals(emission: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Probability of the toxic state for every token: forward-backward over all segments side by side.
+    """Probability of the toxic state for every token: forward-backward over whole rows of any length.
 
-    emission is the toxic state's score less the clean one's; start and move are log potentials.
+    emission is the toxic state's score less the clean one's; start and move are log potentials. Rows are worked on in
+    blocks side by side; what reaches a block from the tokens before and behind it is found first, so nothing is cut.
     """
     out = np.zeros(len(emission))
+    firsts, lengths = firsts[lengths > 0], lengths[lengths > 0]
     if not len(firsts):
         return out
-    order = np.argsort(-lengths, kind="stable")
-    firsts, lengths = firsts[order], lengths[order]
-    alive = [int(np.searchsorted(-lengths, -t, "left")) for t in range(int(lengths[0]))]  # segments longer than t
-    forward = [emission[firsts] + start[1] - start[0]]  # log odds of the toxic state given the tokens so far
+    row, k, n = _blocks(lengths)
+    order = np.argsort(-n, kind="stable")
+    row, k, lengths = row[order], k[order], n[order]
+    firsts = firsts[row] + k * SEGMENT
+    into, back = _messages(emission, firsts, lengths, row, k, start, move)
+    alive = [int(np.searchsorted(-lengths, -t, "left")) for t in range(int(lengths[0]))]  # blocks longer than t
+    forward = [emission[firsts] + into]  # log odds of the toxic state given the tokens so far
     for t in range(1, len(alive)):
         a = forward[-1][: alive[t]]
         forward.append(emission[firsts[: alive[t]] + t] + np.logaddexp(move[0, 1], move[1, 1] + a) - np.logaddexp(move[0, 0], move[1, 0] + a))
-    backward = np.zeros(len(firsts))
+    backward = back
     for t in range(len(alive) - 1, -1, -1):
         n = alive[t]
         out[firsts[:n] + t] = 1 / (1 + np.exp(-np.clip(forward[t] + backward[:n], -60, 60)))
@@ -104,54 +150,54 @@ def marginals(emission: np.ndarray, firsts: np.ndarray, lengths: np.ndarray, sta
     return out
 
 
+def chain_gradient(cells: np.ndarray, toxic: np.ndarray, lengths: np.ndarray, w: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Conditional log-likelihood of chains of SEGMENT tokens at most, and its gradient by weights, start and transitions."""
+    firsts = np.cumsum(lengths) - lengths
+    pad = firsts[:, None] + np.arange(SEGMENT)
+    mask = np.arange(SEGMENT) < lengths[:, None]
+    at = np.where(mask, pad, 0)
+    y = np.where(mask, toxic[at], 0).astype(np.int64)
+    e = np.where(mask, w[cells].sum(1)[at], 0)
+    emit = np.stack([np.zeros_like(e), e], 2)
+    alpha, beta = np.zeros((len(lengths), SEGMENT, 2)), np.zeros((len(lengths), SEGMENT, 2))
+    alpha[:, 0] = start + emit[:, 0]
+    for t in range(1, SEGMENT):
+        alpha[:, t] = np.where(mask[:, t, None], emit[:, t] + np.logaddexp(alpha[:, t - 1, :1] + move[0], alpha[:, t - 1, 1:] + move[1]), alpha[:, t - 1])
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    for t in range(SEGMENT - 2, -1, -1):
+        nxt = emit[:, t + 1] + beta[:, t + 1]
+        beta[:, t] = np.where(mask[:, t + 1, None], np.logaddexp(nxt[:, :1] + move[:, 0], nxt[:, 1:] + move[:, 1]), 0)
+    p = np.exp(alpha + beta - z[:, None, None])
+    steps = mask[:, 1:] & mask[:, :-1]
+    before, after = y[:, :-1][steps], y[:, 1:][steps]
+    pairs, seen = np.zeros((2, 2)), np.zeros((2, 2))
+    np.add.at(seen, (before, after), 1.0)
+    for i in range(2):
+        for j in range(2):
+            x = alpha[:, :-1, i] + move[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - z[:, None]
+            pairs[i, j] = np.exp(x[steps]).sum()
+    wrong = np.zeros(len(toxic))
+    wrong[pad[mask]] = (y - p[:, :, 1])[mask]
+    score = start[y[:, 0]].sum() + (e * y).sum() + move[before, after].sum() - z.sum()
+    up = np.bincount(cells.ravel(), np.repeat(wrong, cells.shape[1]), len(w))
+    return float(score), [up, np.bincount(y[:, 0], minlength=2) - p[:, 0].sum(0), seen - pairs]
+
+
 def train_chain(cells: np.ndarray, toxic: np.ndarray, lengths: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> dict:
     """Fit weights, start and transition potentials by AdaGrad on the exact gradient of the conditional likelihood."""
-    firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    pad = np.full((len(lengths), SEGMENT), -1, np.int64)
-    for t in range(SEGMENT):
-        on = lengths > t
-        pad[on, t] = firsts[on] + t
-    mask, at = pad >= 0, np.maximum(pad, 0)
-    y = np.where(mask, toxic[at], 0).astype(np.int64)
     used, cells = np.unique(cells, return_inverse=True)
     cells = cells.reshape(len(toxic), -1)
-    w, start, move = np.zeros(len(used)), np.zeros(2), np.zeros((2, 2))
-    squares = [np.full_like(x, 1e-3) for x in (w, start, move)]
-    steps = mask[:, 1:] & mask[:, :-1]
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[:, :-1][steps], y[:, 1:][steps]), 1.0)
-    first = np.bincount(y[:, 0], minlength=2).astype(float)
-    n = len(lengths)
+    known = [np.zeros(len(used)), np.zeros(2), np.zeros((2, 2))]
+    squares = [np.full_like(x, 1e-3) for x in known]
     for _ in range(rounds):
-        e = np.where(mask, w[cells].sum(1)[at], 0)
-        emit = np.stack([np.zeros_like(e), e], 2)
-        alpha, beta = np.zeros((n, SEGMENT, 2)), np.zeros((n, SEGMENT, 2))
-        alpha[:, 0] = start + emit[:, 0]
-        for t in range(1, SEGMENT):
-            alpha[:, t] = np.where(mask[:, t, None], emit[:, t] + np.logaddexp(alpha[:, t - 1, :1] + move[0], alpha[:, t - 1, 1:] + move[1]), alpha[:, t - 1])
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        for t in range(SEGMENT - 2, -1, -1):
-            nxt = emit[:, t + 1] + beta[:, t + 1]
-            beta[:, t] = np.where(mask[:, t + 1, None], np.logaddexp(nxt[:, :1] + move[:, 0], nxt[:, 1:] + move[:, 1]), 0)
-        p = np.exp(alpha + beta - z[:, None, None])
-        pairs = np.zeros((2, 2))
-        for i in range(2):
-            for j in range(2):
-                x = alpha[:, :-1, i] + move[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - z[:, None]
-                pairs[i, j] = np.exp(x[steps]).sum()
-        wrong = np.zeros(len(toxic))
-        wrong[pad[mask]] = (y - p[:, :, 1])[mask]
-        up = [
-            np.bincount(cells.ravel(), np.repeat(wrong, cells.shape[1]), len(used)) - ridge * w,
-            first - p[:, 0].sum(0) - ridge * start,
-            seen - pairs - ridge * move,
-        ]
-        for x, g, s in zip((w, start, move), up, squares, strict=True):
+        _, up = chain_gradient(cells, toxic, lengths, *known)
+        for x, g, s in zip(known, up, squares, strict=True):
+            g = g - ridge * x
             s += g * g
             x += 0.3 * g / np.sqrt(s)
     weights = np.zeros(1 << _BITS, np.float32)
-    weights[used] = w
-    return {"weights": weights, "start": start, "move": move}
+    weights[used] = known[0]
+    return {"weights": weights, "start": known[1], "move": known[2]}
 
 
 def sampled_labels(labels: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
@@ -193,12 +239,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _distinct_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """Different texts of the sampled documents with their label (TRAIN_DOCS rows at most are broadcast)."""
     d = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id")).select("text", "_toxic")
-    return d.groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text", True).alias("text"), F.max("_toxic").alias("toxic")).select("text", "toxic")
+    return d.groupBy(F.xxhash64("text").alias("_h")).agg(F.first("text", True).alias("text"), F.max("_toxic").alias("toxic")).select("text", "toxic", F.pmod("_h", F.lit(2)).cast("int").alias("half"))
 
 
 def seed_features(texts: DataFrame) -> np.ndarray:
     """Hashes of the word and prefix features bound to toxic texts, sorted; SEEDS at most, the strongest."""
-    counts = texts.mapInArrow(_counted, "f bigint, bits bigint, t bigint, c bigint")
+    counts = texts.select("text", "toxic").mapInArrow(_counted, "f bigint, bits bigint, t bigint, c bigint")
     total = counts.groupBy("f").agg(F.expr("bit_or(bits)").alias("bits"), F.sum("t").alias("t"), F.sum("c").alias("c"))
     total = total.where(f"bit_count(bits) >= {LEAST_CONTEXTS}").where("t >= 8 * c")
     share = texts.select(F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("n"), "toxic").agg(
@@ -248,7 +294,8 @@ def tag(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.n
         cells = x.features()
         for k in range(cells.shape[1]):
             e += w[cells[:, k]]
-    return x, marginals(e, *_segments(x.rows), model["start"], model["move"])
+    firsts = np.flatnonzero(np.concatenate([[True], x.rows[1:] != x.rows[:-1]])) if len(x.rows) else np.zeros(0, np.int64)
+    return x, marginals(e, firsts, np.diff(np.append(firsts, len(x.rows))), model["start"], model["move"])
 
 
 def _evidence(x: Words, p: np.ndarray, n: int) -> np.ndarray:
@@ -276,32 +323,48 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return b
 
 
+def _chain(texts: DataFrame, n: int) -> dict:
+    """The chain learned from ``texts`` (text, toxic), of which there are n."""
+    seeds = seed_features(texts)
+    rows = texts.select("text", "toxic").mapInArrow(_segment_rows(seeds, min(1.0, TRAIN_SEGMENTS / n / 8)), "rank bigint, has boolean, marked binary, cells binary")
+    rows = [r for part in (True, False) for r in rows.where(F.col("has") == part).orderBy("rank", "cells").limit(TRAIN_SEGMENTS // 2).collect()]
+    toxic = np.concatenate([np.zeros(0, bool), *(np.frombuffer(r.marked, bool) for r in rows)])
+    cells = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(r.cells, np.int32) for r in rows)]).reshape(len(toxic), -1) if len(toxic) else np.zeros((0, 1), np.int32)
+    return train_chain(cells, toxic.astype(np.int64), np.array([len(r.marked) for r in rows], np.int64))
+
+
+def _seen(texts: DataFrame, model: dict) -> np.ndarray:
+    """Evidence and label of every one of ``texts`` (TRAIN_DOCS rows at most)."""
+    box = texts.sparkSession.sparkContext.broadcast(model)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [_evidence(*tag(box.value, data, offsets), hi - lo) for lo, hi, data, offsets in row_chunks(*string_bytes(batch.column(0)))]
+            if out:
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(out).T), batch.column(1)], ["a", "b", "c", "toxic"])
+
+    rows = texts.select("text", "toxic").mapInArrow(evidence, "a double, b double, c double, toxic int").collect()
+    box.unpersist()
+    return np.array([tuple(r) for r in rows], float).reshape(-1, 4)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Learn token labels, the chain and the document score from the labelled training documents."""
-    spark = docs.sparkSession
     sample = sampled_labels(labels)
     texts = _distinct_texts(docs, sample).persist()
     try:
-        sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        n, bad = sum(sizes.values()), sizes.get(1, 0)
+        sizes = {(r.toxic, r.half): r.n for r in texts.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+        n, bad = sum(sizes.values()), sum(k for (toxic, _), k in sizes.items() if toxic)
         if not n or bad in (0, n):
             return {"constant": bad / n if n else 0.0}
-        seeds = seed_features(texts)
-        rows = texts.mapInArrow(_segment_rows(seeds, min(1.0, TRAIN_SEGMENTS / n / 8)), "rank bigint, has boolean, marked binary, cells binary")
-        rows = [r for part in (True, False) for r in rows.where(F.col("has") == part).orderBy("rank", "cells").limit(TRAIN_SEGMENTS // 2).collect()]
-        toxic = np.concatenate([np.frombuffer(r.marked, bool) for r in rows])
-        cells = np.concatenate([np.frombuffer(r.cells, np.int32) for r in rows]).reshape(len(toxic), -1)
-        model = train_chain(cells, toxic.astype(np.int64), np.array([len(r.marked) for r in rows]))
-        box = spark.sparkContext.broadcast(model)
-
-        def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = [_evidence(*tag(box.value, data, offsets), hi - lo) for lo, hi, data, offsets in row_chunks(*string_bytes(batch.column(0)))]
-                if out:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(out).T), batch.column(1)], ["a", "b", "c", "toxic"])
-
-        seen = np.array([tuple(r) for r in texts.mapInArrow(evidence, "a double, b double, c double, toxic int").collect()], float)  # TRAIN_DOCS rows at most
-        box.unpersist()
+        parts = [sum(sizes.get((t, half), 0) for t in (0, 1)) for half in (0, 1)]
+        if all(sizes.get((t, half)) for t in (0, 1) for half in (0, 1)):  # each half is tagged by the chain of the other
+            halves = [(texts.where(F.col("half") == h), _chain(texts.where(F.col("half") == 1 - h), parts[1 - h])) for h in (0, 1)]
+            seen = np.concatenate([_seen(*x) for x in halves])
+            model = _chain(texts, n)
+        else:
+            model = _chain(texts, n)
+            seen = _seen(texts, model)
         return model | {"logistic": fit_logistic(_inputs(seen[:, :3]), seen[:, 3])}
     finally:
         texts.unpersist()
@@ -310,7 +373,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 _SPANS = "array<struct<start:bigint,end:bigint,score:double>>"
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
+def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """Adds score, predicted and toxic_spans (code-point offsets of runs of toxic words) to every row."""
     spark, schema = docs.sparkSession, docs.schema
     names = [c for c in docs.columns if c not in ("score", "predicted", "toxic_spans")]
@@ -318,7 +381,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     if "constant" in model:
         return docs.withColumns({"score": F.lit(model["constant"]), "predicted": F.lit(int(model["constant"] >= THRESHOLD)), "toxic_spans": F.array().cast(_SPANS)})
     box = spark.sparkContext.broadcast(model)
-    text_at = names.index("text")
+    text_at = names.index(text_col)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
