@@ -6,8 +6,9 @@ number of whole epochs and a part of one more. An epoch is a permutation of the
 ranges); the part takes whole blocks, then whole sub-blocks of the next block, then documents in order until the next
 one would exceed the budget. What is chosen is one threshold on the hash per source, so texts are never shuffled.
 
-Tokens are words. A null source is a source of its own. Documents without words are never chosen, and a source without
-words has no weight. Rows that repeat an id are chosen together. An empty table gives an empty result.
+Tokens are words of whole texts. A null source is a source of its own. Documents without words are never chosen, and a
+source without words has no weight. Rows that repeat an id, or have none, are chosen together within their source. An empty
+table gives an empty result. Of columns named copies or weight the operator's stay; other names can't clash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ SEED = 17
 #: Exponents that one pass over the sources tries: 15 are four steps of bisection.
 _TRIES = 15
 _BLOCK_BITS = 12
+#: Sources whose figures are broadcast at most; beyond that the rows of a source are dealt to so many tasks.
+BROADCAST_SOURCES, SALTS = 100_000, 32
+#: Largest exponent that is tried; equal shares have no higher entropy at any.
+HIGHEST = 8.0
 
 
 def _key(source: Column) -> Column:
@@ -53,7 +58,13 @@ def _bisect(low: float, high: float, values: Callable[[list[float]], list[float]
 
 
 def exponent(sources: DataFrame, entropy_share: float | None, repeats: float | None, budget_share: float) -> tuple[float, float]:
-    """The exponent and the sum of the raised shares, from one row (share) per source."""
+    """The exponent and the sum of the raised shares, from one row (share) per source.
+
+    It is the largest one, up to HIGHEST, that leaves the entropy; where a source would then be repeated too often, the nearest
+    to it that doesn't. A limit that no mixture can meet is an error.
+    """
+    if entropy_share is not None and not 0 < entropy_share <= 1 or repeats is not None and repeats < budget_share:
+        raise ValueError("the entropy's share must lie in (0, 1], and the budget's share can't exceed the repeats")
 
     def sums(tries: list[float]) -> list[tuple[float, float, float]]:
         p = F.col("share")
@@ -65,18 +76,33 @@ def exponent(sources: DataFrame, entropy_share: float | None, repeats: float | N
         return [math.log(z) - t * d / z for t, (z, d, _) in zip(tries, sums(tries), strict=True)]
 
     def fewest(tries: list[float]) -> list[float]:
-        """Largest repetition at 1 - t, negated: it grows as the exponent falls."""
+        """Largest repetition at 1 - t, negated: it grows as the exponent leaves 1."""
         return [-budget_share * m / z for z, _, m in sums([1 - t for t in tries])]
 
+    def most(tries: list[float]) -> list[float]:
+        return [-budget_share * m / z for z, _, m in sums(tries)]
+
     n = sources.count()
     tau = 1.0
     if entropy_share is not None and n > 1:
-        tau = _bisect(0.0, 8.0, entropies, entropy_share * math.log(n))
+        tau = _bisect(0.0, HIGHEST, entropies, entropy_share * math.log(n))
     if repeats is not None and tau < 1:
         tau = max(tau, 1 - _bisect(0.0, 1.0, fewest, -repeats))
+    elif repeats is not None and tau > 1:
+        tau = min(tau, _bisect(1.0, HIGHEST, most, -repeats))
     return tau, sums([tau])[0][0]
 
 
+def _beside(rows: DataFrame, figures: DataFrame, sources: int, salt: Column) -> DataFrame:
+    """``rows`` with the figures of their source (both have the column key): broadcast, or the rows of a source dealt out."""
+    figures = figures.withColumnRenamed("key", "_key")
+    if sources <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(figures), F.col("key") == F.col("_key"), "left").drop("_key")
+    figures = figures.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
+    return rows.join(figures, (F.col("key") == F.col("_key")) & (F.col("_salt") == F.col("_part")), "left").drop("_key", "_salt", "_part")
+
+
 def _boundary(rows: DataFrame, level: Column) -> DataFrame:
     """Per source the first block that doesn't fit whole into what is left of the budget, and what is left before it."""
     blocks = rows.withColumn("block", level).groupBy("key", "left", "block").agg(F.sum("n").alias("n"))
@@ -101,38 +127,43 @@ def plan(
     mixed = shares.withColumn("weight", F.pow("share", F.lit(tau)) / F.lit(z)).withColumn("budget", budget)
     mixed = mixed.withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("left", F.col("budget") - F.col("epochs") * F.col("tokens"))
     mixed = stash(mixed.drop("share"), "mixed")
-    shift = 63 - _BLOCK_BITS
-    rows = light.join(mixed.select("key", "left", "epochs"), "key").select("key", "left", "n", _place(F.col("epochs"), F.col("id"), seed).alias("u"))
+    shift, n_sources = 63 - _BLOCK_BITS, mixed.count()
+    rows = _beside(light, mixed.select("key", "left", "epochs"), n_sources, F.xxhash64("id", "n"))
+    rows = rows.groupBy("key", "left", _place(F.col("epochs"), F.col("id"), seed).alias("u")).agg(F.sum("n").alias("n"))  # one row a place, however many share it
     rows = stash(rows, "places")
     for name in ("first", "second"):  # the block, then the sub-block, where the budget ends
-        b = _boundary(rows, F.shiftright("u", shift))
-        rows = rows.join(b, "key").where(F.shiftright("u", shift) == F.col("block")).select("key", F.col("rest").alias("left"), "n", "u")
+        b = _boundary(rows, F.shiftright("u", shift)).withColumnRenamed("key", "_key")
+        side = F.broadcast(b) if n_sources <= BROADCAST_SOURCES else b
+        rows = rows.join(side, (F.col("key") == F.col("_key")) & (F.shiftright("u", shift) == F.col("block"))).select("key", F.col("rest").alias("left"), "n", "u")
         rows = stash(rows, name)
         shift -= _BLOCK_BITS
-    w = Window.partitionBy("key").orderBy("u")  # documents of one sub-block; equal places stand together
+    w = Window.partitionBy("key").orderBy("u")  # places of one sub-block: a 2**24th of a source
     last = rows.withColumn("over", F.sum("n").over(w)).where(F.col("over") > F.col("left")).groupBy("key").agg(F.min("u").alias("threshold"))
     return mixed.join(last, "key", "left").select("key", "n_docs", "tokens", "weight", "epochs", "budget", F.coalesce("threshold", F.lit(0)).alias("threshold"))
 
 
+def _copied(docs: DataFrame, mixture: DataFrame, seed: int) -> DataFrame:
+    """Every row of ``docs`` as a struct, its number of copies and its weight."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(F.col("source")).alias("key"), F.col("doc_id").alias("id"), (F.size(words(F.col("text"))) > 0).alias("some"))
+    mixture = stash(mixture, "mixture")
+    d = _beside(d, mixture.select("key", "epochs", "threshold", "weight"), mixture.count(), F.xxhash64("id"))
+    part = (_place(F.col("epochs"), F.col("id"), seed) < F.col("threshold")).cast("int")
+    n = F.when(F.col("some"), F.coalesce(F.col("epochs") + part, F.lit(0))).otherwise(0)
+    return d.select("row", n.alias("copies"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
 def copies(docs: DataFrame, mixture: DataFrame, seed: int = SEED) -> DataFrame:
     """Adds the number of times that every row of ``docs`` is in the mixture (int) and its source's weight."""
-    names = docs.columns
-    d = docs.withColumn("_key", _key(F.col("source"))).withColumn("_some", F.size(words(F.col("text"))) > 0)
-    m = mixture.select(F.col("key").alias("_k"), F.col("epochs").alias("_e"), F.col("threshold").alias("_t"), F.col("weight").alias("_w"))
-    d = d.join(m, F.col("_key") == F.col("_k"), "left")
-    part = (_place(F.col("_e"), F.col("doc_id"), seed) < F.col("_t")).cast("int")
-    n = F.when(F.col("_some"), F.coalesce(F.col("_e") + part, F.lit(0))).otherwise(0)
-    return d.withColumn("_copies", n).select(*[F.col(f"`{c}`") for c in names], F.col("_copies").alias("copies"), F.coalesce("_w", F.lit(0.0)).alias("weight"))
+    names = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copies", "weight")]
+    return _copied(docs, mixture, seed).select(*names, "copies", "weight")
 
 
 def mix_sources(docs: DataFrame, **targets) -> DataFrame:
     """``docs`` with copies and weight."""
-    seed = targets.get("seed", SEED)
-    return copies(docs, plan(docs, **targets), seed)
+    return copies(docs, plan(docs, **targets), targets.get("seed", SEED))
 
 
 def realise(docs: DataFrame, **targets) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is in it."""
-    names = docs.columns
-    out = mix_sources(docs, **targets).where("copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in names])
+    d = _copied(docs, plan(docs, **targets), targets.get("seed", SEED)).where("copies > 0")
+    return d.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
