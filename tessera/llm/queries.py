@@ -14,7 +14,7 @@ from tessera.llm.common import table
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole document, learned from three quarters of the labels."""
     out = toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("toxic_spans").alias("n_spans"))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "toxic_spans")
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best licence match of every document."""
-    return license_scans.license_scans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "part", "line")
+    """Licence matches of every document, the best one apart."""
+    return license_scans.license_scans(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "dice", "line", "licenses")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
