@@ -6,8 +6,9 @@ few packings; a child takes whole well-filled bins of one parent into the other,
 best-fits the displaced pieces. Elites migrate to the next island between rounds, in Spark, and the best packing of a
 block counts. Last, the poorly filled bins of many blocks are packed anew together.
 
-Null and empty texts have the end id alone. Rows that repeat an id are packed as documents of their own. Every piece is
-placed exactly once; an empty table gives an empty result.
+Null and empty texts have the end id alone. Texts are encoded whole. Rows that repeat an id, or have none, are packed as
+documents of their own. Every piece is placed exactly once; an empty table gives an empty result. Columns other than
+doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,10 +45,10 @@ def _bytes_of_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Token ids of whole texts by the vocabulary of a tokenizers file.
+    """Token ids of whole texts as ``Tokenizer.encode(text, add_special_tokens=False)`` of a tokenizers file gives them.
 
-    The same vocabulary as ranks gives the same ids several times faster; texts with letters that the two libraries may
-    class differently, and texts that the faster one gives up on, are left to tokenizers itself.
+    The same vocabulary as ranks gives the same ids several times faster; texts with an added token's string, with letters
+    that the two libraries may class differently, and texts that the faster one gives up on, are left to tokenizers itself.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -56,11 +57,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         letters = _bytes_of_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if set(token) <= letters.keys() and not token.startswith("<|")}
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.unusual = re.compile("[^\x00-\u024f]")
+        self.unusual = re.compile("|".join(["[^\x00-\u024f]", *map(re.escape, added)]))
 
     @classmethod
     def at(cls, path: str) -> Encoder:
