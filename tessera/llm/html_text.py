@@ -7,13 +7,17 @@ read again: the text is what stands in all containers at the host's winning path
 they hold a fair share of the page or are marked as content, or else in the page's own best container.
 
 Null and empty pages, and pages without text outside boilerplate, have an empty text. Pages without a host (null URLs)
-vote together. Repeated rows vote as often as they stand and get equal texts; nothing of a text is dropped or capped.
+vote together. Repeated rows vote as often as they stand and get equal texts; nothing of a text is dropped or capped, and
+memory grows with a page's length, however deep its elements lie. Of equal votes the path of more text wins, then the first
+in order. An empty table gives an empty result. Columns other than page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +41,9 @@ _SPACE = re.compile(r"\s+")
 #: Elements without content, with content that is no text, and inline ones; every other element bounds a block.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template iframe svg math canvas object video audio textarea select title".split())
+_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A) for tag in _RAW}
+#: Those of them that run to the page's end if nothing closes them; an unclosed other one is only its tag.
+_OPEN_ENDED = frozenset("script style textarea title".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _BOILER_TAGS = frozenset("nav footer aside form header button dialog menu head".split())
 #: Words of a class, id or role that mark boilerplate.
@@ -46,60 +53,118 @@ _BOILER = frozenset(
     "consent gdpr notice notices popup modal overlay newsletter subscribe signup widget toolbar pagination pager hidden skip alert search login".split()
 )
 _CONTENT = frozenset("article main content post entry story".split())
+#: Words that may stand beside one of those in a class name within an article: ``related-posts`` is boilerplate there, ``related-work`` isn't.
+_NEUTRAL = frozenset("list box section block area wrapper wrap container inner outer links link buttons button bar form posts post articles items item widget top bottom left right inline".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
+_MASK = (1 << 63) - 1
+
+
+def _step(tag: str, names: list[str]) -> str:
+    """One step of a generalised path: the tag and its first class, digits as N."""
+    return f"/{tag}" + (f".{re.sub('[0-9]+', 'N', names[0].lower())}" if names else "")
+
+
 class Page:
-    """Elements (parent, key, boilerplate?, worth) and blocks (element, text, boilerplate?) of a page."""
+    """Elements (parent, key of the path, tag, boilerplate?, worth) and blocks (element, text, linked, boilerplate?) of a page.
+
+    Inline elements are elements of their own only where boilerplate begins.
+    """
 
     def __init__(self, source: str):
-        self.parent, self.key, self.tag, self.boiler, self.marked = [-1], [""], [""], [False], [False]
-        self.blocks: list[tuple[int, str, int, bool]] = []
+        self.parent, self.key, self.tag, self.step = array("q", [-1]), array("q", [0]), [""], [""]
+        self.boiler, self.marked = bytearray(1), bytearray(1)
+        self.texts: list[str] = []
+        self.block_at, self.linked_in, self.block_boiler = array("q"), array("q"), bytearray()
         self._read(source)
         self._weigh()
 
     def _open(self, tag: str, attributes: str) -> int:
+        """A new element, or the one around an inline one that changes nothing."""
         up = self.stack[-1]
         found = {n.lower(): a or b or c for n, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
-        names = found.get("class", "")
-        words = {w.lower() for w in _TOKEN.findall(f"{names} {found.get('id', '')} {found.get('role', '')}")}
-        inside = any(self.tag[k] in ("article", "main") for k in self.stack) if tag == "header" else False
-        boiler = tag in _BOILER_TAGS and not inside
+        names = found.get("class", "").split()
+        words = {w.lower() for w in _TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}")} if found else frozenset()
+        inside = bool(self.open.get("article") or self.open.get("main"))
+        boiler = tag in _BOILER_TAGS and not (tag == "header" and inside)
         if tag not in ("html", "body", "main", "article"):
-            boiler |= bool(words & _BOILER) or "hidden" in attributes and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+            boiler |= self._named(words, [*names, found.get("id", ""), found.get("role", "")], inside)
+            boiler |= "hidden" in attributes and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
             boiler |= found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         elif words & {"comment", "comments", "reply"}:
             boiler = tag == "article"
-        first = names.split()
+        if tag in _INLINE and (not boiler or self.boiler[up]):
+            return up
+        step = _step(tag, names)
         self.parent.append(up)
         self.tag.append(tag)
-        self.key.append(f"{self.key[up]}/{tag}" + (f".{re.sub('[0-9]+', 'N', first[0].lower())}" if first else ""))
+        self.step.append(step)
+        self.key.append((self.key[up] * 0x5851F42D4C957F2D + (zlib.crc32(step.encode()) << 20) + len(step)) & _MASK)
         self.boiler.append(boiler or self.boiler[up])
         self.marked.append(tag in ("article", "main") or bool(words & _CONTENT))
         return len(self.parent) - 1
 
+    @staticmethod
+    def _named(words: frozenset | set, names: list[str], inside: bool) -> bool:
+        """Whether classes, id or role mark boilerplate: by any word, but by whole names within an article."""
+        if not words & _BOILER:
+            return False
+        if not inside:
+            return bool(words & _BOILER - ({"header"} if words & _CONTENT else frozenset()))
+        for name in names:
+            parts = {w.lower() for w in _TOKEN.findall(name)}
+            if parts & _BOILER - {"header"} and parts <= _BOILER | _NEUTRAL:
+                return True
+        return False
+
+    def path(self, k: int) -> str:
+        """The generalised path of an element as text."""
+        steps = []
+        while k > 0:
+            steps.append(self.step[k])
+            k = self.parent[k]
+        return "".join(reversed(steps))
+
     def _flush(self) -> None:
         if self.pieces:
             text = _SPACE.sub(" ", html.unescape("".join(self.pieces))).strip()
             if text:
                 at = self.stack[-1]
-                self.blocks.append((at, text, min(self.linked, len(text)), self.boiler[at]))
+                self.texts.append(text)
+                self.block_at.append(at)
+                self.linked_in.append(min(self.linked, len(text)))
+                self.block_boiler.append(self.boiler[at])
             self.pieces, self.linked = [], 0
 
     def _close(self, tag: str) -> None:
         """Ends the innermost open ``tag`` and all within it."""
         while len(self.stack) > 1:
-            k = self.stack.pop()
-            self.open[self.tag[k]] -= 1
-            if self.tag[k] == tag:
+            self.stack.pop()
+            name = self.names.pop()
+            self.open[name] -= 1
+            if name == tag:
                 return
 
+    def _after(self, source: str, tag: str, at: int) -> int:
+        """Where an element whose content is no text ends; elements that nothing closes are searched for once."""
+        if tag in self.unclosed:
+            return at
+        if m := _ENDS[tag].search(source, at):
+            return m.start()
+        if tag in _OPEN_ENDED:
+            return len(source)
+        self.unclosed.add(tag)
+        return at
+
     def _read(self, source: str) -> None:
-        self.stack, self.open, self.pieces, self.linked = [0], {}, [], 0
-        at, low = 0, None
+        self.stack, self.names, self.open, self.pieces, self.linked, self.unclosed = array("q", [0]), [""], {}, [], 0, set()
+        at, last = 0, source.rfind(">") + 1  # no tag begins beyond it
+        if (comment := source.find("<!--", last)) >= 0:
+            source = source[:comment]
         while True:
-            m = _TAG.search(source, at)
+            m = _TAG.search(source, at, last) if at < last else None
             piece = source[at : m.start() if m else len(source)]
             if piece:
                 self.pieces.append(piece)
@@ -110,13 +175,13 @@ class Page:
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
             if not tag:
+                if at >= last and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = len(source)
                 continue
             inline = tag in _INLINE
             if m[1] or m[4]:
                 if self.open.get(tag):
-                    if not inline:
-                        self._flush()
-                    elif self.boiler[self.stack[-1]]:
+                    if not inline or self.boiler[self.stack[-1]]:
                         self._flush()
                     self._close(tag)
                 elif tag == "p":
@@ -125,10 +190,10 @@ class Page:
             if tag == "br":
                 self.pieces.append(" ")
                 continue
+            attributes = m[3] or m[6] or ""
             if tag in _RAW:
-                low = low or source.lower()
-                end = low.find(f"</{tag}", at)
-                at = len(source) if end < 0 else end
+                if tag in _OPEN_ENDED or not attributes.endswith("/") and not m[0].endswith("/>"):
+                    at = self._after(source, tag, at)
                 continue
             if not inline:
                 self._flush()
@@ -139,50 +204,51 @@ class Page:
                         self._end_item(other)
             if tag in _VOID:
                 continue
-            k = self._open(tag, m[3] or m[6] or "")
+            k = self._open(tag, attributes)
             if self.boiler[k] != self.boiler[self.stack[-1]]:
                 self._flush()
             self.stack.append(k)
+            self.names.append(tag)
             self.open[tag] = self.open.get(tag, 0) + 1
         self._flush()
 
     def _end_paragraph(self) -> None:
-        for k in reversed(self.stack):
-            if self.tag[k] == "p":
+        for name in reversed(self.names):
+            if name == "p":
                 return self._close("p")
-            if self.tag[k] not in _INLINE:
+            if name not in _INLINE:
                 return None
         return None
 
     def _end_item(self, tag: str) -> None:
-        for k in reversed(self.stack):
-            if self.tag[k] == tag:
+        for name in reversed(self.names):
+            if name == tag:
                 return self._close(tag)
-            if self.tag[k] in ("ul", "ol", "dl", "table", "select"):
+            if name in ("ul", "ol", "dl", "table", "select"):
                 return None
         return None
 
-    def _sums(self, own: list[int]) -> list[int]:
+    def _sums(self, own: array) -> array:
         """Sums over every element and all within it; parents stand before children."""
-        sums = own.copy()
+        sums = array("q", own)
         for k in range(len(sums) - 1, 0, -1):
             sums[self.parent[k]] += sums[k]
         return sums
 
     def _weigh(self) -> None:
         """Worth of every element: its text without boilerplate and blocks of links; nothing lowers an ancestor's."""
-        self.own = [0] * len(self.parent)
-        for at, text, linked, boiler in self.blocks:
+        self.own = array("q", bytes(8 * len(self.parent)))
+        for at, text, linked, boiler in zip(self.block_at, self.texts, self.linked_in, self.block_boiler, strict=True):
             if not boiler:
                 self.own[at] += max(0, len(text) - 2 * linked)
         self.worth = self._sums(self.own)
 
     def best(self) -> int:
         """The smallest container with all text of the articles if these hold most of the page, else with nearly all of the page."""
-        inside = [m and not b and t not in _INLINE for m, b, t in zip(self.marked, self.boiler, self.tag, strict=True)]
+        inside = bytearray(m and not b and t not in _INLINE for m, b, t in zip(self.marked, self.boiler, self.tag, strict=True))
         for k in range(1, len(inside)):
             inside[k] = inside[k] or inside[self.parent[k]]
-        target = [w if i else 0 for w, i in zip(self.own, inside, strict=True)]
+        target = array("q", (w if i else 0 for w, i in zip(self.own, inside, strict=True)))
         if not self.worth[0]:
             return 0
         if articles := sum(target) >= ARTICLES * self.worth[0]:
@@ -196,8 +262,8 @@ class Page:
 
     def _with_headings(self, k: int) -> int:
         """The highest container around ``k`` that adds only headings and paragraphs of its own."""
-        every, beside = [0] * len(self.parent), [0] * len(self.parent)
-        for at, _, _, boiler in self.blocks:
+        every, beside = (array("q", bytes(8 * len(self.parent))) for _ in range(2))
+        for at, boiler in zip(self.block_at, self.block_boiler, strict=True):
             every[at] += not boiler
             if not boiler and self.tag[at] in _PARAGRAPHS:
                 beside[self.parent[at]] += 1
@@ -210,54 +276,58 @@ class Page:
             found, k = (up if more else found), up
         return found
 
-    def at(self, path: str) -> list[int]:
+    def at(self, key: int) -> list[int]:
         """All elements with text at a path, if they are marked as content or together hold a fair share of the page."""
-        fit = [k for k in range(len(self.parent)) if self.key[k] == path and not self.boiler[k] and self.worth[k] > 0]
+        fit = [k for k, x in enumerate(self.key) if x == key and not self.boiler[k] and self.worth[k] > 0]
         return fit if any(self.marked[k] for k in fit) or sum(self.worth[k] for k in fit) >= FAIR * self.worth[0] else []
 
     def text(self, elements: list[int]) -> str:
-        inside = set(elements)
+        inside = bytearray(len(self.parent))
+        for k in elements:
+            inside[k] = 1
         for k in range(min(elements) + 1, len(self.parent)):
-            if self.parent[k] in inside:
-                inside.add(k)
-        return "\n\n".join(text for at, text, _, boiler in self.blocks if at in inside and not boiler)
+            inside[k] |= inside[self.parent[k]]
+        return "\n\n".join(text for at, text, boiler in zip(self.block_at, self.texts, self.block_boiler, strict=True) if inside[at] and not boiler)
+
+
+_VOTES = "host string, key bigint, path string, worth bigint"
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths, worth = [], [], []
+        rows = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             page = Page(source.as_py() or "")
             k = page.best()
             if page.worth[k] > 0:
-                hosts.append(host)
-                paths.append(page.key[k])
-                worth.append(page.worth[k])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(worth, pa.int64())], ["host", "path", "worth"])
+                rows.append((host, page.key[k], page.path(k), page.worth[k]))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, kinds, strict=True)], ["host", "key", "path", "worth"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for source, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
+        for source, keys in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
             page = Page(source.as_py() or "")
-            found = next((k for p in paths or () if (k := page.at(p))), None)
+            found = next((k for p in keys or () if (k := page.at(p))), None)
             out.append(page.text(found or [page.best()]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """Winning paths of every host: host, paths (most votes first, PATHS at most)."""
-    votes = pages.select(parts(F.col("url"))[0].alias("host"), "html").mapInArrow(_votes, "host string, path string, worth bigint")
-    votes = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("worth").alias("worth"))
+    """Winning paths of every host, most votes first, PATHS at most: host, keys (hashes of the paths) and paths."""
+    votes = pages.select(parts(F.col("url"))[0].alias("host"), "html").mapInArrow(_votes, _VOTES)
+    votes = votes.groupBy("host", "key").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("votes"), F.sum("worth").alias("worth"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("worth"), "path"))
     top = votes.withColumn("rank", rank).where(F.col("rank") <= PATHS)
-    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    top = top.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "path"))).alias("top"))
+    return top.select("host", F.col("top.key").alias("keys"), F.col("top.path").alias("paths"))
 
 
 def html_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
-    winners = stash(consensus(pages).withColumnRenamed("host", "_host"), "paths")
+    winners = stash(consensus(pages).select(F.col("host").alias("_host"), "keys"), "paths")
     d = pages.select("page_id", "url", "html").withColumn("host", parts(F.col("url"))[0])
     if winners.count() <= BROADCAST_HOSTS:
         d = d.join(F.broadcast(winners), F.col("host") == F.col("_host"), "left")
@@ -266,4 +336,4 @@ def html_text(pages: DataFrame) -> DataFrame:
         winners = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         d = d.withColumn("salt", salt).join(winners, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return d.select("page_id", "url", "html", "paths").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars bigint")
+    return d.select("page_id", "url", "html", "keys").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars bigint")
