@@ -9,7 +9,9 @@ the class's probability times its smoothed share of the class (words never seen
 
 Counts of the most frequent words are broadcast; rarer words are joined with their counts by a shuffle. Words are told
 apart by 64-bit hashes. Null and empty texts have the end token alone. Rows that repeat are scored, and counted, as
-often as they stand; without training documents every token has the same probability in the base, and in the model.
+often as they stand; without training documents every token has the same probability in the base, and in the model. Texts
+are scored whole, whatever their length; an empty table gives an empty result. Columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,6 +132,21 @@ def contexts(symbol: np.ndarray, first: np.ndarray, start: int = _N) -> tuple[np
     return one, two
 
 
+def contrast(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, w: np.ndarray, drawn: np.ndarray, log_noise: np.ndarray) -> tuple[float, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The noise-contrastive objective of positions (contexts x and y, word w) against drawn noise words, and its gradients: rows of a table, and theirs.
+
+    log_noise is the log of NOISE times a word's noise probability; each position has NOISE noise words in expectation.
+    """
+    q, r, noise = p["a"][x] + p["b"][y], p["r"][w], p["r"][drawn]
+    s = np.clip(np.einsum("ij,ij->i", q, r) + p["bias"][w] - log_noise[w], -30, 30)
+    z = np.clip(q @ noise.T + p["bias"][drawn] - log_noise[drawn], -30, 30)
+    share = np.float32(NOISE / len(drawn))
+    up, down = 1 / (1 + np.exp(s)), -share / (1 + np.exp(-z))
+    gq, both = up[:, None] * r + down @ noise, np.concatenate([w, drawn])
+    gradient = {"r": (both, np.concatenate([up[:, None] * q, down.T @ q])), "bias": (both, np.concatenate([up, down.sum(0)])), "a": (x, gq), "b": (y, gq)}
+    return float(-np.log1p(np.exp(-s)).sum() - share * np.log1p(np.exp(z)).sum()), gradient
+
+
 class Learner:
     """Noise-contrastive estimation with AdaGrad: context vectors by position, word vectors, biases; goes on from a state."""
 
@@ -158,20 +175,10 @@ class Learner:
             order = self.rng.permutation(n)
             for i in range(0, n, batch):
                 at = order[i : i + batch]
-                x, y, w = one[at], two[at], word[at]
-                q = p["a"][x] + p["b"][y]
                 drawn = np.minimum(np.searchsorted(self.bins, self.rng.random(DRAWN)), len(self.bins) - 1)  # noise words shared by the batch: one matrix product
-                r, noise = p["r"][w], p["r"][drawn]
-                s = np.einsum("ij,ij->i", q, r) + p["bias"][w]
-                z = q @ noise.T + p["bias"][drawn]
-                up = 1 / (1 + np.exp(np.clip(s - self.log_noise[w], -30, 30)))
-                down = np.float32(-NOISE / DRAWN) / (1 + np.exp(-np.clip(z - self.log_noise[drawn], -30, 30)))
-                gq = up[:, None] * r + down @ noise
-                both = np.concatenate([w, drawn])
-                self._step("r", both, np.concatenate([up[:, None] * q, down.T @ q]), 0.1)
-                self._step("bias", both, np.concatenate([up, down.sum(0)]), 0.05)
-                self._step("a", x, gq, 0.1)
-                self._step("b", y, gq, 0.1)
+                _, up = contrast(p, one[at], two[at], word[at], drawn, self.log_noise)
+                for k, (rows, g) in up.items():
+                    self._step(k, rows, g, 0.05 if k == "bias" else 0.1)
         self.seen += n
 
 
@@ -314,17 +321,18 @@ def _scored(box, key: str):
 
 
 def _head(counts: DataFrame, most: int = HEAD) -> np.ndarray:
-    """The most frequent words, ``most`` at most: all above a count that a small histogram of log counts gives. Rows (hash, class, count), falling."""
+    """The most frequent words, about ``most``: all above a count that a small histogram of log counts gives, and some at it. Rows (hash, class, count), falling."""
     step = F.floor(F.log2("c") * 16).cast("int")
-    above, limit = 0, None
+    above, limit, part = 0, None, None
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # 16 rows a doubling
-        above += r.n
-        if above > most:
+        if above + r.n > most:  # of this step a share, by hash
+            part = (r.step, int(0.98 * (1 << 20) * (most - above) / r.n))
             break
-        limit = r.step
-    if limit is None:
-        return np.zeros((0, 3), np.int64)
-    head = counts.where(step >= limit).select("h", "kind", "c").toPandas().to_numpy(np.int64).reshape(-1, 3)
+        above, limit = above + r.n, r.step
+    wanted = F.lit(False) if limit is None else step >= limit
+    if part:
+        wanted |= (step == part[0]) & (F.col("h").bitwiseAND(F.lit((1 << 20) - 1)) < part[1])
+    head = counts.where(wanted).select("h", "kind", "c").toPandas().to_numpy(np.int64).reshape(-1, 3)
     return head[np.lexsort((head[:, 0], -head[:, 2]))]
 
 

@@ -8,7 +8,8 @@ agreeing cells falls with the edit distance, and texts of the same k-mers in ano
 Null texts count as empty; a text without words has an empty fingerprint, and two empty fingerprints have likeness 1.
 Rows repeated with the same id and text share one place in the order of documents, so every copy has the same next
 document; rows of one id with different texts follow each other by a hash of the text, and null ids come first. A lone
-document is its own next. Positions count modulo 2**24 words; texts are taken whole at any length.
+document is its own next. Positions count modulo 2**24 words; texts are taken whole at any length. An empty table gives an
+empty result. Columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ bounded sample: different URLs, so many of each class, weighted to the shares of
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by its features like any
 other. Repeated URLs get equal verdicts. Without labelled URLs of both classes the verdict is the only class's, or allow.
+URLs are taken whole, whatever their length; an empty table gives an empty result. Of columns named host, path, rule or
+verdict the operator's stay; other names can't clash.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -169,6 +170,21 @@ def test_url_rules_match_plain(spark):
         assert r.verdict == (verdict or r.verdict) and r.verdict in ("allow", "block")
 
 
+def test_url_features_equal_plain(spark):
+    urls = [u or "" for u in URLS] + ["http://www.a-b.co.uk/p/12/34?x=1&y=2&z=é#frag?q=1"]
+    d = spark.createDataFrame([(u,) for u in urls], "url string")
+    host, path = url_filters.parts(F.col("url"))
+    for r in url_filters.lexical(d.withColumn("host", host).withColumn("path", path)).collect():
+        u, (h, p) = r.url, plain_parts(r.url)
+        q = re.search(r"(?s)\?([^#]*)", u)
+        q = q[1] if q else ""
+        shares = np.array([n / len(u) for n in Counter(u).values()]) if u else np.zeros(0)
+        names = h.split(".")
+        want = [len(u), len(h), len(p), p.count("/"), sum(c in "0123456789" for c in u) / len(u) if u else 0, -(shares * np.log2(shares)).sum(), q.count("&") + 1 if q else 0, len(q), len(names), u.count("-")]
+        assert np.allclose([r[k] for k in url_filters.FEATURES[:10]], want), u
+        assert (r.top, r.site, r["head"]) == (names[-1], ".".join(names[-2:]), (p.split("/") + [""])[1])
+
+
 def test_url_trees_learn(spark):
     rng = np.random.default_rng(1)
     rows = [(f"http://h{rng.integers(30)}.{'bad' if bad else 'good'}.net/p/{rng.integers(10**6) if bad else 'text'}", int(bad)) for bad in rng.random(600) < 0.4]
@@ -355,9 +371,87 @@ def test_order_minhash_sees_order(spark):
     assert near[1] > 0.85 and near[2] < 0.75 and near[3] == 0
 
 
+def plain_sketch(text):
+    """A fingerprint's numbers, unsigned: least occurrence-numbered word pairs of 64 cells, in text order, hashed."""
+
+    def chain(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v, h)
+        return h
+
+    eight, top = lambda v: (v & (1 << 64) - 1).to_bytes(8, "little"), ((1 << 64) - 1) ^ ((1 << 24) - 1)
+    u = [chain(w.encode()) for w in words(text)]
+    cells, seen = {}, Counter()
+    for i in range(len(u)):
+        pair = chain(eight(u[i]), *([eight(u[i + 1])] if i + 1 < len(u) else [])) & top
+        signed = pair - (1 << 64) if pair >> 63 else pair
+        numbered = chain(eight(signed >> 24), seen[pair].to_bytes(4, "little")) & top | i
+        seen[pair] += 1
+        cells.setdefault(numbered >> 58, []).append(numbered)
+    out = []
+    for cell, members in sorted(cells.items()):
+        ordered = sorted(sorted(members)[:2], key=lambda x: x & (1 << 24) - 1)
+        out.append(cell << 56 | chain(*[eight(x >> 25) for x in ordered]) >> 8)
+    return sorted(out, key=lambda x: (x >> 56 < 32, x))  # cells are the first bits of signed numbers
+
+
+def plain_likeness(a, b):
+    either = {x >> 56 for x in a} | {x >> 56 for x in b}
+    return len(set(a) & set(b)) / len(either) if either else 1.0
+
+
+def test_order_minhash_equals_plain(spark):
+    rng = np.random.default_rng(9)
+    lots = [" ".join(f"w{k}" for k in rng.integers(0, size, int(n))) for size, n in ((5, 40), (50, 300), (400, 500), (3, 3), (1, 200))] + ["", " \t", "one", BASE]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(lots)], "doc_id bigint, text string")
+    out = {r.doc_id: r for r in order_minhash.with_edits(d).collect()}
+    for i, t in enumerate(lots):
+        after = lots[(i + 1) % len(lots)]
+        edited, own = t[: len(t) - len(t) // 4] + after[: len(t) // 4], plain_sketch(t)
+        assert out[i].fingerprint == "".join(f"{x:016x}" for x in own) and out[i].edited_fingerprint == "".join(f"{x:016x}" for x in plain_sketch(edited))
+        assert math.isclose(out[i].near_edited, plain_likeness(own, plain_sketch(edited))) and math.isclose(out[i].near_next, plain_likeness(own, plain_sketch(after)))
+
+
+def test_order_minhash_falls_with_the_edit_distance():
+    rng = np.random.default_rng(10)
+    means = []
+    for share in (0, 0.01, 0.03, 0.1, 0.3):
+        near = []
+        for _ in range(30):
+            w = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+            x = [f"e{i}" if rng.random() < share else v for i, v in enumerate(w)]
+            near.append(plain_likeness(plain_sketch(" ".join(w)), plain_sketch(" ".join(x))))
+        means.append(np.mean(near))
+    assert means[0] == 1 and all(a > b + 0.02 for a, b in zip(means, means[1:], strict=False)) and means[-1] < 0.4
+
+
 # 6 log-bilinear model
 
 
+def test_contrast_gradient_equals_differences(monkeypatch):
+    rng = np.random.default_rng(4)
+    p = {k: rng.normal(0, 0.5, s) for k, s in (("a", (6, 3)), ("b", (6, 3)), ("r", (5, 3)), ("bias", 5))}
+    x, y, w, drawn, noise = rng.integers(0, 6, 8), rng.integers(0, 6, 8), rng.integers(0, 5, 8), rng.integers(0, 5, 4), rng.normal(size=5)
+    _, up = log_bilinear.contrast(p, x, y, w, drawn, noise)
+    for k, (rows, g) in up.items():
+        total = np.zeros_like(p[k])
+        np.add.at(total, rows, g)
+        for i in np.ndindex(p[k].shape):
+            p[k][i] += 1e-5
+            high = log_bilinear.contrast(p, x, y, w, drawn, noise)[0]
+            p[k][i] -= 2e-5
+            low = log_bilinear.contrast(p, x, y, w, drawn, noise)[0]
+            p[k][i] += 1e-5
+            assert math.isclose(total[i], (high - low) / 2e-5, rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_the_head_holds_some_of_a_crowded_count(spark):
+    counts = spark.range(4000).selectExpr("xxhash64(id) AS h", "0L AS kind", "IF(id < 10, 100L, 1L) AS c")
+    head = log_bilinear._head(counts, 500)
+    assert (head[:10, 2] == 100).all() and 400 < len(head) <= 500
+
+
 def test_log_bilinear_base_is_exact_and_model_is_normalised(docs, empty):
     out = log_bilinear.log_bilinear(docs).collect()
     assert len(out) == len(texts())
