@@ -31,9 +31,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; ratios and threshold are learned from all documents of the stage."""
-    ratios, threshold = quality_rules.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    model = quality_rules.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     d, names = _renamed(docs)
-    return quality_rules.judge(d, ratios, threshold, names["doc_id"], names["text"]).where("kept").select(*names.values()).toDF(*names)
+    return quality_rules.judge(d, model, names["doc_id"], names["text"]).where("kept").select(*names.values()).toDF(*names)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

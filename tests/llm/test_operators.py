@@ -293,14 +293,14 @@ def plain_quality(text):
 
 def test_quality_rules(docs, empty, labels):
     out = quality_rules.quality_rules(docs, labels).collect()
-    threshold = quality_rules.fit(docs, labels)[1]
+    threshold = quality_rules.fit(docs, labels).threshold
     assert len(out) == len(texts())
     for r in out:
         n, *rest = plain_quality(r.text)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, *rest)
         assert r.base_failed == (n < 50 or 100 * rest[3] > 50 * n)
         assert r.kept == (not r.base_failed and r.score >= threshold)
-    assert quality_rules.judge(docs, [0.0] * quality_rules.BUCKETS, 0.0).select("lang", "source").count() == len(texts())
+    assert quality_rules.judge(docs, quality_rules.fit(docs, labels.limit(0))).select("lang", "source").count() == len(texts())
     assert quality_rules.quality_rules(empty, labels).count() == 0
     assert all(r.score == 0 for r in quality_rules.quality_rules(docs, labels.limit(0)).collect())
 
@@ -333,7 +333,7 @@ def test_quality_scores_equal_plain_log_ratios(spark):
     near = [abs(out[i] - score(t, target[0] + target[1])) for i, t, _ in rows]
     assert np.median(near) < 2e-3 and max(near) < 0.1
     crossed = [score(t, target[1 - half[i]]) for i, t, q in rows if q]
-    assert abs(quality_rules.fit(d, d)[1] - min(0, np.quantile(crossed, quality_rules.BELOW))) < 0.05
+    assert abs(quality_rules.fit(d, d).threshold - min(0, np.quantile(crossed, quality_rules.BELOW))) < 0.05
 
 
 # 5 Order MinHash
