@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -33,13 +33,6 @@ def concordance(x: Column | str, y: Column | str) -> Column:
     return F.when(below == 0, F.when(F.count(F.lit(1)) > 0, F.lit(1.0))).otherwise(ratio(2 * F.covar_pop(x, y), below))
 
 
-def average_rank(x: Column | str, by: list[str] | None = None) -> Column:
-    """Rank from 1 with the average rank for ties; over the whole table without ``by``."""
-    by = by or []
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, col(x)))
-    return F.rank().over(Window.partitionBy(*by).orderBy(col(x))) + (ties - 1) / 2
-
-
 def fisher_bounds(r: Column, n: Column, z: float) -> tuple[Column, Column]:
     """Fisher interval of a correlation; r itself if |r| is 1, NULL for three pairs or fewer."""
     half = F.lit(z) / F.sqrt(F.when(n > 3, n - 3).cast("double"))

@@ -20,7 +20,7 @@ def expand_grid(axes: Mapping[str, Sequence]) -> list[dict]:
     out = []
     for values in itertools.product(*axes.values()):
         point = dict(zip(axes, values, strict=True))
-        out.append({"config_id": "|".join(f"{k}={point[k]}" for k in varying) or "baseline", **point})
+        out.append({"config_id": "|".join(f"{k}={label(point[k])}" for k in varying) or "baseline", **point})
     return out
 
 
@@ -75,7 +75,10 @@ def wilcoxon_p(differences: Sequence[float]) -> float:
 
 
 def compare_to_baseline(folds: DataFrame, metric: str, baseline: str, lower_is_better: bool = True, method: str = "holm") -> DataFrame:
-    """Every setting against the baseline on the same repeats and folds: paired differences, corrected t, adjusted p-values."""
+    """Every setting against the baseline on the same repeats and folds: paired differences, corrected t and signed-rank tests.
+
+    The p-values of each test are a family, adjusted by itself.
+    """
     base = folds.where(F.col("config_id") == baseline).groupBy("repeat", "fold").agg(F.avg(metric).alias("_base"))
     own = folds.where(F.col("config_id") != baseline).groupBy("config_id", "repeat", "fold").agg(
         F.avg(metric).alias("_own"), F.first("n_train").alias("n_train"), F.first("n_test").alias("n_test")
@@ -83,4 +86,64 @@ def compare_to_baseline(folds: DataFrame, metric: str, baseline: str, lower_is_b
     d = own.join(base, ["repeat", "fold"]).withColumn("diff", F.col("_own") - F.col("_base"))
     t = corrected_t(d, "diff", "n_train", "n_test", ["config_id"])
     better = F.col("mean_diff") < 0 if lower_is_better else F.col("mean_diff") > 0
-    return adjust(t.withColumn("better", better), "p_value", ["config_id"], method)
+    out = adjust(t.withColumn("better", better), "p_value", ["config_id"], method)
+    signed = F.udf(lambda v: wilcoxon_p([x for x in v if x is not None]), "double")  # a few differences a setting
+    ranks = d.groupBy("config_id").agg(signed(F.sort_array(F.collect_list("diff"))).alias("p_wilcoxon"))
+    return adjust(out.join(ranks, "config_id"), "p_wilcoxon", ["config_id"], method, out="p_wilcoxon_adjusted")
+
+
+def label(value) -> str:
+    """A setting's value in an id: numbers in short, texts joined by +, numbers of a tuple by /."""
+    if isinstance(value, (tuple, list)):
+        texts = bool(value) and all(isinstance(v, str) for v in value)
+        return ("+" if texts else "/").join(v if isinstance(v, str) else label(v) for v in value)
+    return f"{value:g}" if isinstance(value, float) else str(value)
+
+
+#: Axes of a grid in their order.
+AXES = ("n_ceps", "n_mels", "delta_order", "energy_term", "frame_hop_ms", "lifter", "statistics", "reducer", "model")
+
+
+def problems(axes: Mapping[str, Sequence], task: str = "regression", metric: str | None = None, normalization: str = "none", n_ceps: int = 12, n_mels: int = 23) -> list[str]:
+    """What is wrong with a grid: a message per problem, none if every point can be run."""
+    from tessera.operators import metrics, models
+    from tessera.operators.pooling import constant_statistics
+
+    out = [f"unknown axis {a!r}; known: {', '.join(AXES)}" for a in axes if a not in AXES]
+    out += [f"model {m!r} doesn't fit {task}; choose from {', '.join(models.MODELS[task])}" for m in axes.get("model", ()) if m not in models.MODELS[task]]
+    if task == "regression" and "lda" in axes.get("reducer", ()):
+        out.append("the reducer lda needs classes")
+    if metric is not None and metric not in metrics.METRICS[task]:
+        out.append(f"metric {metric!r} doesn't fit {task}; choose from {', '.join(metrics.METRICS[task])}")
+    for s in axes.get("statistics", ()):
+        if fixed := constant_statistics(s, normalization):
+            out.append(f"statistics {label(s)}: {', '.join(fixed)} would be the same for all after {normalization}")
+    most, fewest = max(axes.get("n_ceps") or (n_ceps,)), min(axes.get("n_mels") or (n_mels,))
+    if most >= fewest:
+        out.append(f"n_ceps up to {most} needs more filters than n_mels down to {fewest}")
+    return out
+
+
+def run(points: Sequence[Mapping], features, y: str, repeats: Sequence[str], task: str = "regression", positive=None, score: str | None = None) -> DataFrame:
+    """Metrics of every setting, repeat and fold: config_id, repeat, fold, n_train, n_test and the task's metrics.
+
+    ``features(point)`` gives a setting's table and predictor columns; all tables hold the same fold columns (``repeats``), so
+    settings are compared on the same rows. Tables that settings share are made once.
+    """
+    from tessera.operators import metrics, models
+
+    made: dict = {}
+    out = None
+    for point in points:
+        key = tuple((k, label(v)) for k, v in point.items() if k not in ("config_id", "model", "reducer"))
+        if key not in made:
+            d, x = features(point)
+            made[key] = (d.persist(), x)
+        d, x = made[key]
+        for r, fold in enumerate(repeats):
+            p = models.cross_validate(d, x, y, point.get("model", "ridge"), task, fold=fold, reducer=point.get("reducer", "none"))
+            table = models.evaluated(p, y, task, fold, positive, score).where(F.col(fold).isNotNull())
+            columns = [F.col(m) for m in metrics.METRICS[task] if m in table.columns]
+            rows = table.select(F.lit(point["config_id"]).alias("config_id"), F.lit(r).alias("repeat"), F.col(fold).alias("fold"), "n_train", F.col("n").alias("n_test"), *columns)
+            out = rows if out is None else out.unionByName(rows)
+    return out

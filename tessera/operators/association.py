@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ranks import value_ranks
 from tessera.functions.special import normal_ppf, t_two_sided
-from tessera.functions.stats import average_rank, concordance, fisher_bounds, pearson, ratio
+from tessera.functions.stats import concordance, fisher_bounds, pearson, ratio
 
 CORRECTIONS = ("holm", "fdr_bh")
 
@@ -34,11 +35,27 @@ def pearson_ci(df: DataFrame, x: str, y: str, by: Sequence[str] = (), confidence
     return d.withColumn("p_value", _p_value(F.col("r"), F.col("n"))) if p_value else d
 
 
+def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: n and Pearson's r of the average ranks (rho).
+
+    Equal pairs are counted first; ranks are those of different values, so ties cost nothing and no group is one task.
+    """
+    by = list(by)
+    pairs = df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    d = pairs.join(pairs.groupBy(*by).agg(F.sum("_w").alias("_n")), by) if by else pairs.join(F.broadcast(pairs.agg(F.sum("_w").alias("_n"))))  # one row
+    for c in ("_x", "_y"):
+        ranks = value_ranks(pairs, c, "_w", by).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col(c).alias("_v"), F.col("rank").alias(f"_r{c}"))
+        same = F.col(c) == F.col("_v")
+        for i, b in enumerate(by):
+            same &= F.col(b) == F.col(f"_g{i}")
+        d = d.join(ranks, same).drop("_v", *[f"_g{i}" for i in range(len(by))])
+    a, b, w = F.col("_r_x") - (F.col("_n") + 1) / 2, F.col("_r_y") - (F.col("_n") + 1) / 2, F.col("_w")
+    return d.groupBy(*by).agg(F.sum(w).alias("n"), ratio(F.sum(w * a * b), F.sqrt(F.sum(w * a * a) * F.sum(w * b * b))).alias("rho"))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), p_value: bool = True) -> DataFrame:
     """Per group: n, Pearson's r of the average ranks, p-value."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.select(*by, average_rank(x, list(by)).alias("_rx"), average_rank(y, list(by)).alias("_ry"))
-    d = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), pearson("_rx", "_ry").alias("rho"))
+    d = rank_correlation(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), x, y, by)
     return d.withColumn("p_value", _p_value(F.col("rho"), F.col("n"))) if p_value else d
 
 
@@ -86,4 +103,4 @@ def feature_correlations(df: DataFrame, features: Sequence[str], target: str, co
     return d.orderBy(F.abs("r").desc_nulls_last(), "ordinal")
 
 
-__all__ = ["adjust", "agreement", "bland_altman_pairs", "feature_correlations", "pearson_ci", "quantile", "ratio", "spearman"]
+__all__ = ["adjust", "agreement", "bland_altman_pairs", "feature_correlations", "pearson_ci", "quantile", "rank_correlation", "ratio", "spearman"]

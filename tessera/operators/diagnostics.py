@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ranks
 from tessera.functions.special import chi2_sf, normal_quantile, normal_sf
 from tessera.functions.stats import ratio
 from tessera.operators.linear import LeastSquares, Moments, fit_ols
@@ -61,11 +62,14 @@ def variance_inflation(m: Moments) -> list[tuple[str, float, float]]:
         raise ValueError("two predictors at least")
     mean = g[0, 1 : p + 1] / g[0, 0]
     c = g[1 : p + 1, 1 : p + 1] / g[0, 0] - np.outer(mean, mean)
-    r = c / np.sqrt(np.outer(np.diag(c), np.diag(c)))
-    if np.linalg.eigvalsh(r)[0] <= 1e-12:
-        return [(n, 1.0, math.inf) for n in m.names]
-    v = np.diag(np.linalg.inv(r))
-    return [(n, 1 - 1 / x, float(x)) for n, x in zip(m.names, v, strict=True)]
+    size = np.sqrt(np.diag(c))
+    r = c / np.outer(size, size)
+    out = []
+    for k, name in enumerate(m.names):  # only terms that the others give are infinite
+        others = [j for j in range(p) if j != k]
+        r2 = float(min(1.0, r[k, others] @ np.linalg.lstsq(r[np.ix_(others, others)], r[others, k], rcond=1e-12)[0]))
+        out.append((name, r2, math.inf if r2 >= 1 - 1e-12 else 1 / (1 - r2)))
+    return out
 
 
 def condition_number(m: Moments) -> float:
@@ -78,53 +82,126 @@ def condition_number(m: Moments) -> float:
     return math.inf if values[0] <= 0 else float(math.sqrt(values[-1] / values[0]))
 
 
-def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
-    """W and p-value by Royston's approximation, for 3 values or more (it was fitted up to 5000); NaN for constant ones."""
-    x = np.sort(np.asarray(values, float))
-    n = len(x)
-    if n < 3:
-        raise ValueError("three values at least")
-    if x[0] == x[-1]:
-        return math.nan, math.nan
-    from statistics import NormalDist
+def _royston(n: int, mm: float, last: float, before: float) -> tuple[float, float, float]:
+    """Weights of the largest and second largest value, and what the other normal scores are divided by; mm is the scores' sum of squares."""
+    u, c = 1 / math.sqrt(n), 1 / math.sqrt(mm)
+    # The published polynomials.
+    top = last * c + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
+    if n <= 5:
+        return top, math.nan, math.sqrt((mm - 2 * last**2) / (1 - 2 * top**2))
+    second = before * c + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+    return top, second, math.sqrt((mm - 2 * last**2 - 2 * before**2) / (1 - 2 * top**2 - 2 * second**2))
 
-    inverse = NormalDist().inv_cdf
-    m = np.array([inverse((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    mm, u = m @ m, 1 / math.sqrt(n)
-    a = np.zeros(n)
-    if n == 3:
-        a[2] = math.sqrt(0.5)
-    else:
-        c = m / math.sqrt(mm)
-        last = c[-1] + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
-        if n > 5:
-            before = c[-2] + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
-            a = m / math.sqrt(phi)
-            a[-1], a[-2] = last, before
-        else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = m / math.sqrt(phi)
-            a[-1] = last
-    half = n // 2
-    a[:half] = -a[::-1][:half]
-    if n % 2:
-        a[half] = 0.0
-    w = min(1.0, float((a @ x) ** 2 / ((x - x.mean()) ** 2).sum()))
+
+def _royston_p(w: float, n: int) -> float:
+    """p-value of W."""
     if n == 3:
-        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
-    if w == 1:
-        return w, 1.0
-    y = math.log(1 - w)
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    if w >= 1:
+        return 1.0
+    y, k = math.log(1 - w), math.log(n)
+    # The published approximations of mean and deviation.
     if n <= 11:
         gamma = 0.459 * n - 2.273
         if y >= gamma:
-            return w, 0.0
+            return 0.0
         y = -math.log(gamma - y)
         mu = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3
         sigma = math.exp(1.3822 - 0.77857 * n + 0.062767 * n**2 - 0.0020322 * n**3)
     else:
-        k = math.log(n)
         mu = -1.5861 - 0.31082 * k - 0.083751 * k**2 + 0.0038915 * k**3
         sigma = math.exp(-0.4803 - 0.082676 * k + 0.0030302 * k**2)
-    return w, float(normal_sf((y - mu) / sigma))
+    return float(normal_sf((y - mu) / sigma))
+
+
+def shapiro_wilk_table(df: DataFrame, value: str, by: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
+    """Per group: n, Royston's W and p, for any number of values (NULL below three and for constant ones).
+
+    Values are ranked in ranges and weighted by the normal score of their rank in two sums, so that no group is one task.
+    """
+    by = list(by)
+    d = df.where(F.col(value).isNotNull()).select(*by, *[c for c in tiebreak if c not in by], F.col(value).cast("double").alias("_x"))
+    d = ranks.numbered(d, ["_x", *tiebreak], by, ranks.numeric_range(d, "_x")).withColumn("_i", F.col("_number") + 1)
+    spread = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("_x").alias("_m")).select(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)], "_n", "_m")
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_g{k}"))
+    d = d.join(spread, same)
+    score = normal_quantile((F.col("_i") - 0.375) / (F.col("_n") + 0.25))
+    d = d.withColumn("_s", score).withColumn("_e", F.col("_x") - F.col("_m"))
+    i, n, s, e = F.col("_i"), F.col("_n"), F.col("_s"), F.col("_e")
+    inner = F.when((i > 1) & (i < n), s * e)
+    inmost = F.when((i > 2) & (i < n - 1), s * e)
+    at = lambda k: F.max(F.when(i == k, e))
+    sums = d.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(s * s).alias("mm"), F.sum(e * e).alias("ss"), F.max(F.when(i == n, s)).alias("s1"), F.max(F.when(i == n - 1, s)).alias("s2"),
+        F.sum(inner).alias("inner"), F.sum(inmost).alias("inmost"), at(1).alias("e1"), at(2).alias("e2"), at(n - 1).alias("f2"), at(n).alias("f1"),
+    )
+
+    @F.pandas_udf("w double, p_value double")
+    def test(n, mm, ss, s1, s2, inner, inmost, e1, e2, f2, f1):
+        import pandas as pd
+
+        rows = []
+        for n_, mm_, ss_, s1_, s2_, inner_, inmost_, e1_, e2_, f2_, f1_ in zip(n, mm, ss, s1, s2, inner, inmost, e1, e2, f2, f1, strict=True):
+            if n_ < 3 or not ss_ > 0:
+                rows.append((None, None))
+                continue
+            if n_ == 3:
+                b = math.sqrt(0.5) * (f1_ - e1_)
+            else:
+                top, second, phi = _royston(int(n_), mm_, s1_, s2_)
+                b = top * (f1_ - e1_) + (inner_ / phi if n_ <= 5 else second * (f2_ - e2_) + (0.0 if math.isnan(inmost_) else inmost_) / phi)
+            w = min(1.0, b * b / ss_)
+            rows.append((w, _royston_p(w, int(n_))))
+        return pd.DataFrame(rows, columns=["w", "p_value"])
+
+    return sums.withColumn("_t", test("n", "mm", "ss", "s1", "s2", F.coalesce("inner", F.lit(0.0)), F.coalesce("inmost", F.lit(0.0)), "e1", "e2", "f2", "f1")).select(*by, "n", "_t.w", "_t.p_value")
+
+
+def residual_report(df: DataFrame, fit: LeastSquares, y: str, order: Sequence[str]) -> DataFrame:
+    """One row: n, mean and deviation of the residuals, Shapiro-Wilk, Jarque-Bera, Breusch-Pagan and Durbin-Watson; NULL where undefined."""
+    d = df.withColumn("_residual", F.col(y) - fit.predicted()).withColumn("_all", F.lit(0))
+    e = F.col("_residual")
+    jb, jb_p = jarque_bera("_residual")
+    spread = d.agg(F.count(e).alias("n"), F.avg(e).alias("residual_mean"), F.stddev_samp(e).alias("residual_sd"), jb.alias("jarque_bera"), jb_p.alias("jarque_bera_p"))
+    try:
+        lm, lm_p = breusch_pagan(df, fit, y)
+    except ValueError:
+        lm = lm_p = math.nan
+    clean = lambda v: F.lit(None if math.isnan(v) else v).cast("double")
+    out = spread.join(shapiro_wilk_table(d, "_residual", ["_all"], list(order)).select(F.col("w").alias("shapiro_w"), F.col("p_value").alias("shapiro_p")))  # one row and one row
+    out = out.join(durbin_watson(d, "_residual", list(order), ["_all"]).select("durbin_watson"))
+    return out.withColumns({"breusch_pagan": clean(lm), "breusch_pagan_p": clean(lm_p)})
+
+
+def influence_table(df: DataFrame, fit: LeastSquares, y: str, tiebreak: Sequence[str]) -> DataFrame:
+    """Of every row: observed, fitted, residual, studentized, leverage, cooks, normal_quantile (of the residual's rank)."""
+    d = influence(df, fit, y).withColumnRenamed(y, "observed")
+    d = ranks.numbered(d, ["residual", *tiebreak], [], ranks.numeric_range(d, "residual")).withColumn("_n", F.lit(fit.stats["n"]))
+    d = d.withColumn("normal_quantile", normal_quantile((F.col("_number") + 1 - 0.375) / (F.col("_n") + 0.25)))
+    return d.select(*tiebreak, "observed", "fitted", "residual", "studentized", "leverage", "cooks", "normal_quantile")
+
+
+def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
+    """W and p-value of a few values at hand, as the table's; NaN for constant ones."""
+    x = np.sort(np.asarray(values, float))
+    n = len(x)
+    if n < 3:
+        raise ValueError("three values at least")
+    if x[0] == x[-1]:
+        return math.nan, math.nan
+    if n == 3:
+        b = math.sqrt(0.5) * (x[2] - x[0])
+    else:
+        from statistics import NormalDist
+
+        m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        top, second, phi = _royston(n, float(m @ m), m[-1], m[-2])
+        a = m / phi
+        a[-1], a[0] = top, -top
+        if n > 5:
+            a[-2], a[1] = second, -second
+        b = float(a @ x)
+    w = min(1.0, b * b / float(((x - x.mean()) ** 2).sum()))
+    return w, _royston_p(w, n)

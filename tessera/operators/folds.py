@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ranks
+
 
 def shuffle_key(seed: int, *ids: str) -> Column:
     """A text that orders rows at random but always alike."""
@@ -29,45 +31,89 @@ def hashed(k: int, seed: int, *ids: str) -> Column:
 
 
 def shuffled(df: DataFrame, k: int, ids: list[str], seed: int = 0) -> DataFrame:
-    """Adds fold; sizes differ by one at most. Rows are numbered in one global sort, so it is for feature tables (one row per entity)."""
-    order = Window.orderBy(shuffle_key(seed, *ids), *ids)
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    """Adds fold; sizes differ by one at most. Rows are numbered in ranges of their shuffle key."""
+    check(df, k)
+    d = df.withColumn("_key", shuffle_key(seed, *ids))
+    d = ranks.numbered(d, ["_key", *ids], [], ranks.hex_range(F.col("_key")))
+    return d.withColumn("fold", (F.col("_number") % k).cast("int")).drop("_key", "_number")
 
 
 def stratified(df: DataFrame, k: int, label: str, ids: list[str], seed: int = 0) -> DataFrame:
     """Adds fold; each class is dealt out by itself, starting where the class before it ended."""
-    order = Window.partitionBy(label).orderBy(shuffle_key(seed, *ids), *ids)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col(label).alias("_label"), before.alias("_start"))
-    d = df.join(starts, F.col(label).eqNullSafe(F.col("_label")))
-    return d.withColumn("fold", ((F.col("_start") + F.row_number().over(order) - 1) % k).cast("int")).drop("_label", "_start")
+    check(df, k, label=label)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # a row a class
+    start = F.coalesce(F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(label).alias("_label"), start.alias("_first"))
+    d = df.withColumn("_key", shuffle_key(seed, *ids)).join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("_label")))
+    d = ranks.numbered(d, ["_key", *ids], [label], ranks.hex_range(F.col("_key")))
+    return d.withColumn("fold", ((F.col("_first") + F.col("_number")) % k).cast("int")).drop("_label", "_first", "_key", "_number")
+
+
+def dealt(loads: list[int], size: int, n: int) -> list[tuple[int, list[int]]]:
+    """Folds of n groups of one size, each to the least loaded (the first of equals): runs of (first group, folds in turn). Adds to ``loads``.
+
+    The least loaded folds, those within one group of the least, take turns until they reach the next one's load.
+    """
+    runs, i = [], 0
+    while i < n:
+        order = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+        turn = [f for f in order if loads[f] < loads[order[0]] + size]
+        rounds = -(-n // len(turn)) if len(turn) == len(order) else (loads[order[len(turn)]] - loads[turn[-1]] - 1) // size + 1
+        runs.append((i, turn))
+        given = min(n - i, rounds * len(turn))
+        for place, f in enumerate(turn):
+            loads[f] += size * (given // len(turn) + (place < given % len(turn)))
+        i += given
+    return runs
 
 
 def grouped(df: DataFrame, k: int, group: str, seed: int = 0) -> DataFrame:
     """One row per group with its fold: largest groups first, each to the fold with the fewest rows so far (the first of equals).
 
-    The groups' sizes, not the rows, pass through one ordered fold over an array.
+    Only the numbers of groups of every size come to the driver (for a billion rows some 45,000 sizes at most); a group's fold
+    follows from its size and its number among the groups of that size.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    entry = F.struct((-F.col("n")).alias("order"), shuffle_key(seed, group).alias("tie"), F.col(group).alias("g"), F.col("n").alias("n"))
-    every = sizes.agg(F.sort_array(F.collect_list(entry)).alias("groups"))
-    kind = sizes.schema[group].dataType.simpleString()
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), k).alias("loads"), F.array().cast(f"array<struct<g:{kind},n:bigint,fold:int>>").alias("out"))
+    check(df, k, group)
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("_key", shuffle_key(seed, group))
+    loads, rows = [0] * k, []
+    for r in groups.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect():
+        rows.append((r.n, [(start, turn) for start, turn in dealt(loads, r.n, r.c)]))
+    runs = df.sparkSession.createDataFrame(rows, "_size bigint, _runs array<struct<start:bigint,turn:array<int>>>")
+    d = ranks.numbered(groups, ["_key", group], ["n"], ranks.hex_range(F.col("_key"))).join(F.broadcast(runs), F.col("n") == F.col("_size"))
+    run = F.element_at(F.filter("_runs", lambda r: r["start"] <= F.col("_number")), -1)
+    fold = F.element_at(run["turn"], ((F.col("_number") - run["start"]) % F.size(run["turn"]) + 1).cast("int"))
+    return d.select(group, "n", fold.alias("fold"))
+
+
+def repeat_seeds(seed: int, repeats: int) -> list[int]:
+    """Independent seeds of repeats, from one seed."""
+    import numpy as np
+
+    return [int(s.generate_state(1)[0]) & 0x7FFFFFFF for s in np.random.SeedSequence(seed).spawn(repeats)]
+
+
+def has_groups(df: DataFrame, group: str) -> bool:
+    """Whether any row has a group that isn't null or blank."""
+    return bool(df.agg(F.max(F.trim(F.coalesce(F.col(group).cast("string"), F.lit(""))) != "")).first()[0])
 
-    def deal(state: Column, item: Column) -> Column:
-        at = F.array_position(state["loads"], F.array_min(state["loads"])).cast("int") - 1
-        loads = F.transform(state["loads"], lambda v, i: F.when(i == at, v + item["n"]).otherwise(v))
-        return F.struct(loads.alias("loads"), F.concat(state["out"], F.array(F.struct(item["g"].alias("g"), item["n"].alias("n"), at.alias("fold")))).alias("out"))
 
-    dealt = every.select(F.explode(F.aggregate("groups", start, deal, lambda s: s["out"])).alias("x"))
-    return dealt.select(F.col("x.g").alias(group), F.col("x.n").alias("n"), F.col("x.fold").alias("fold"))
+def repeated(df: DataFrame, k: int, repeats: int, ids: list[str], seed: int = 0, group: str | None = None, label: str | None = None) -> DataFrame:
+    """Adds fold_r0, fold_r1, ...: shuffled, stratified by ``label``, or with whole groups; every setting shares them."""
+    for r, s in enumerate(repeat_seeds(seed, repeats)):
+        if group:
+            fold = grouped(df, k, group, s).select(F.col(group).alias("_group"), F.col("fold").alias(f"fold_r{r}"))
+            df = df.join(fold, F.col(group) == F.col("_group")).drop("_group")
+        else:
+            made = stratified(df, k, label, ids, s) if label else shuffled(df, k, ids, s)
+            df = made.withColumnRenamed("fold", f"fold_r{r}")
+    return df
 
 
 def stratified_groups(df: DataFrame, k: int, group: str, label: str, seed: int = 0) -> dict:
     """Fold of every group, whole groups, class counts balanced greedily; from the group by class counts on the driver."""
     import numpy as np
 
+    check(df, k, group)
     rows = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).collect()
     classes = sorted({r[label] for r in rows}, key=str)
     table = {}

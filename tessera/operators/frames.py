@@ -81,14 +81,18 @@ def log_energy(frame: Column, floor: float = 1e-10) -> Column:
     return F.ln(F.greatest(F.aggregate(frame, F.lit(0.0), lambda s, x: s + x.cast("double") * x), F.lit(floor)))
 
 
-def power_spectrum(frame: Column, n_fft: int) -> Column:
-    """|DFT|^2 at bins 0..n_fft/2 of a frame padded with zeros."""
-    turn = 2 * math.pi / n_fft
-
-    def part(k: Column, f) -> Column:
-        return F.aggregate(F.transform(frame, lambda x, i: x.cast("double") * f(F.lit(turn) * k * i)), F.lit(0.0), lambda s, x: s + x)
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n_fft // 2)), lambda k: F.pow(part(k, F.cos), F.lit(2.0)) + F.pow(part(k, F.sin), F.lit(2.0)))
+def power_spectrum(frame: Column, n_fft: int, length: int | None = None) -> Column:
+    """|DFT|^2 at bins 0..n_fft/2 of a frame padded with zeros; ``length`` is its number of samples (n_fft without).
+
+    The cosines and sines are constants of the plan; see ``audio.cepstra`` for a transform of long frames.
+    """
+    turn, n = 2 * math.pi / n_fft, length or n_fft
+    waves = [(f(turn * k * i) for i in range(n)) for k in range(n_fft // 2 + 1) for f in (math.cos, math.sin)]
+    table = F.array(*[weights([round(v, 15) for v in w]) for w in waves])
+    x = F.transform(frame, lambda v: v.cast("double"))
+    parts = F.transform(table, lambda w: dot(x, w))
+    square = lambda k: F.pow(F.get(parts, k), F.lit(2.0))
+    return F.transform(F.sequence(F.lit(0), F.lit(n_fft // 2)), lambda k: square(2 * k) + square(2 * k + 1))
 
 
 def deltas(frames: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], half: int = 3, prefix: str = "d_") -> DataFrame:

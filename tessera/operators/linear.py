@@ -84,6 +84,13 @@ def ridge(gram: np.ndarray, m: Moments, alpha: float = 1.0) -> tuple[float, np.n
     return float(real[p] - beta @ real[:p]), beta
 
 
+def _linear(beta: np.ndarray, terms: Sequence[str]) -> Column:
+    value = F.lit(float(beta[0]))
+    for b, c in zip(beta[1:], terms[1:], strict=True):
+        value = value + F.lit(float(b)) * F.col(f"`{c}`")
+    return value
+
+
 @dataclass
 class LeastSquares:
     """Coefficients (intercept first) and statistics of a fit; undefined ones are NaN."""
@@ -104,11 +111,25 @@ class LeastSquares:
         rows = [(n, *map(clean, r)) for n, *r in zip(self.terms, self.beta, self.se, self.t, self.p_value, self.low, self.high, strict=True)]
         return spark.createDataFrame(rows, "term string, estimate double, std_error double, t double, p_value double, ci_low double, ci_high double")
 
-    def predicted(self) -> Column:
-        value = F.lit(float(self.beta[0]))
-        for b, c in zip(self.beta[1:], self.terms[1:], strict=True):
-            value = value + F.lit(float(b)) * F.col(c)
-        return value
+    def predicted(self, columns: Sequence[str] | None = None) -> Column:
+        """The prediction from the fit's own columns, or from as many others in their order."""
+        names = self.terms[1:] if columns is None else list(columns)
+        if len(names) != len(self.beta) - 1:
+            raise ValueError(f"{len(names)} columns for {len(self.beta) - 1} predictors")
+        return _linear(self.beta, ["intercept", *names])
+
+    @property
+    def estimable(self) -> bool:
+        """Whether degrees of freedom are left for errors and statistics."""
+        return self.stats["df_resid"] > 0
+
+    def summary(self) -> str:
+        """The coefficient table and the statistics as text."""
+        lines = [f"{'term':<20}{'estimate':>14}{'std_error':>12}{'t':>10}{'p_value':>10}{'ci_low':>14}{'ci_high':>14}"]
+        for n, *r in zip(self.terms, self.beta, self.se, self.t, self.p_value, self.low, self.high, strict=True):
+            lines.append(f"{n:<20}{r[0]:>14.6g}{r[1]:>12.4g}{r[2]:>10.3f}{r[3]:>10.4f}{r[4]:>14.6g}{r[5]:>14.6g}")
+        lines += [f"{k:<20}{v:>14.6g}" for k, v in self.stats.items()]
+        return "\n".join(lines if self.estimable else [*lines, "no degrees of freedom are left: errors and statistics aren't defined"])
 
     def leverage(self) -> Column:
         """x' (X'X)^-1 x on the standardised columns."""
@@ -152,18 +173,57 @@ def least_squares(m: Moments, confidence: float = 0.95, gram: np.ndarray | None
     r2 = 1 - rss / tss if tss > 0 and df > 0 else nan
     f = ((tss - rss) / p) / (rss / df) if p and df > 0 and rss > 0 else nan
     loglik = -n / 2 * (math.log(2 * math.pi * rss * y2 / n) + 1) if df > 0 and rss > 0 else nan
+    mse_model = (tss - rss) / p if p else nan
     stats = {
         "n": n, "p": p + 1, "df_resid": df, "rss": rss * y2, "tss": tss * y2, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / df if df > 0 else nan, "sigma2": sigma2 * y2,
         "f": f, "f_p_value": float(f_sf(f, p, df)) if not math.isnan(f) else nan, "log_likelihood": loglik, "aic": -2 * loglik + 2 * (p + 1), "bic": -2 * loglik + (p + 1) * math.log(n),
+        "rmse": math.sqrt(rss * y2 / n), "residual_std_error": math.sqrt(sigma2 * y2) if df > 0 else nan, "df_model": p, "ms_model": mse_model * y2, "confidence": confidence,
     }
     stats = {k: v if isinstance(v, int) else float(v) for k, v in stats.items()}
     return LeastSquares(["intercept", *m.names], beta, se, t, 2 * t_sf(np.abs(t), df), beta - half, beta + half, stats, inverse, m)
 
 
-def fit_ols(df: DataFrame, x: Sequence[str], y: str, confidence: float = 0.95) -> LeastSquares:
+def fit_ols(df: DataFrame, x: Sequence[str], y: str, confidence: float = 0.95, intercept: bool = True) -> LeastSquares:
     if not x:
         raise DesignMatrixError("no predictors")
-    return least_squares(moments(df, x, y), confidence)
+    m = moments(df, x, y)
+    return least_squares(m, confidence) if intercept else through_origin(m, confidence)
+
+
+def through_origin(m: Moments, confidence: float = 0.95) -> LeastSquares:
+    """Fit without an intercept: the total sum of squares isn't centred, and the adjusted R2 counts all rows."""
+    p = len(m.names)
+    real = np.eye(p + 2)  # to sums of products of the columns as they are
+    real[1:, 0], real[1:, 1:] = m.center, np.diag(m.scale)
+    g = (real @ m.total @ real.T)[1:, 1:]
+    n, size = int(round(m.total[0, 0])), np.sqrt(np.maximum(np.diag(g), 0))
+    if n < p or not size[:p].all():
+        raise DesignMatrixError(f"{n} rows for {p} coefficients, or a column of zeros")
+    a = g[:p, :p] / np.outer(size[:p], size[:p])
+    values = np.linalg.eigvalsh(a)
+    if values[0] <= values[-1] * max(n, p) * np.finfo(float).eps:
+        raise DesignMatrixError("the predictors are collinear")
+    inverse = np.linalg.inv(a) / np.outer(size[:p], size[:p])
+    beta, tss, df, nan = inverse @ g[:p, p], g[p, p], n - p, math.nan
+    rss = max(0.0, float(tss - beta @ g[:p, p]))
+    sigma2 = rss / df if df > 0 else nan
+    se = np.sqrt(np.diag(inverse) * sigma2)
+    t = np.divide(beta, se, out=np.full(p, nan), where=se > 0)
+    half = t_ppf(0.5 + confidence / 2, df) * se if df > 0 else np.full(p, nan)
+    r2 = 1 - rss / tss if tss > 0 and df > 0 else nan
+    f = ((tss - rss) / p) / sigma2 if df > 0 and rss > 0 else nan
+    loglik = -n / 2 * (math.log(2 * math.pi * rss / n) + 1) if df > 0 and rss > 0 else nan
+    stats = {
+        "n": n, "p": p, "df_resid": df, "rss": rss, "tss": float(tss), "r2": float(r2), "adj_r2": 1 - (1 - r2) * n / df if df > 0 else nan, "sigma2": sigma2,
+        "f": float(f), "f_p_value": float(f_sf(f, p, df)) if not math.isnan(f) else nan, "log_likelihood": loglik, "aic": -2 * loglik + 2 * p, "bic": -2 * loglik + p * math.log(n),
+        "rmse": math.sqrt(rss / n), "residual_std_error": math.sqrt(sigma2) if df > 0 else nan, "df_model": p, "ms_model": float((tss - rss) / p), "confidence": confidence,
+    }
+    zero, none = np.zeros(1), np.full(1, nan)
+    wide = np.zeros((p + 1, p + 1))
+    wide[1:, 1:] = inverse
+    plain = Moments(m.names, np.zeros(p + 1), np.ones(p + 1))
+    join = lambda first, rest: np.concatenate([first, rest])
+    return LeastSquares(["intercept", *m.names], join(zero, beta), join(none, se), join(none, t), join(none, 2 * t_sf(np.abs(t), df)), join(none, beta - half), join(none, beta + half), stats, wide, plain)
 
 
 def residual_sum(m: Moments, chosen: Sequence[int]) -> float:
@@ -184,48 +244,96 @@ def partial_f(rss_reduced: float, rss_full: float, df_full: int, q: int = 1) ->
     return f, float(f_sf(f, q, df_full))
 
 
-def stepwise(m: Moments, p_enter: float = 0.05, p_remove: float = 0.10, start: str = "empty") -> tuple[list[str], list[dict]]:
-    """Forward and backward selection by partial F tests, all from one set of moments; names in order and the steps."""
+def _described(m: Moments, chosen: Sequence[int]) -> tuple[float, float, float]:
+    """Residual sum of squares, R2 and adjusted R2 of a subset of the predictors."""
+    n, total, rss = int(round(m.total[0, 0])), residual_sum(m, []), residual_sum(m, chosen)
+    df, r2 = n - len(chosen) - 1, 1 - rss / total if total > 0 else math.nan
+    return rss, r2, 1 - (1 - r2) * (n - 1) / df if df > 0 else math.nan
+
+
+def stepwise(m: Moments, p_enter: float = 0.05, p_remove: float = 0.10, start: str = "empty", max_steps: int | None = None) -> tuple[list[str], list[dict]]:
+    """Forward and backward selection by partial F tests, all from one set of moments: the names chosen, and the log of steps.
+
+    The log begins with a row of the start. A step enters the term of the least p below ``p_enter`` (the first of equals), or
+    else removes the one of the largest p above ``p_remove`` (the last of equals); it ends before a model comes up again.
+    """
     n, every = int(round(m.total[0, 0])), range(len(m.names))
+    if not 0 < p_enter <= p_remove < 1:
+        raise ValueError(f"0 < p_enter <= p_remove < 1 must hold, not {p_enter} and {p_remove}")
+    if start not in ("empty", "full"):
+        raise ValueError(f"start must be empty or full, got {start!r}")
+    if start == "full" and len(m.names) + 1 >= n:
+        raise ValueError(f"the full model has {len(m.names) + 1} coefficients for {n} rows; start from the empty one")
     chosen = [] if start == "empty" else list(every)
-    seen, steps = {tuple(sorted(chosen))}, []
-    while True:
-        now = residual_sum(m, chosen)
-        tries = []
-        for k in every:
-            if k not in chosen and n - len(chosen) - 2 >= 1:
-                f, p = partial_f(now, residual_sum(m, [*chosen, k]), n - len(chosen) - 2)
-                tries.append((p, k, f))
-        best = min(tries, default=None)
+    seen, steps = {frozenset(chosen)}, []
+
+    def log(action: str, term: str, f: float, p: float) -> None:
+        _, r2, adjusted = _described(m, chosen)
+        steps.append({"step": len(steps), "action": action, "term": term, "f": f, "p_value": p, "n_terms": len(chosen), "r2": r2, "adj_r2": adjusted})
+
+    log("start", "", math.nan, math.nan)
+    while len(steps) <= (2 * len(m.names) + 10 if max_steps is None else max_steps):
+        now, free = residual_sum(m, chosen), n - len(chosen) - 2
+        tests = {k: partial_f(now, residual_sum(m, [*chosen, k]), free) for k in every if k not in chosen and free >= 1}
+        best = min(((p, k) for k, (_, p) in tests.items()), default=None)
         if best and best[0] < p_enter:
-            chosen.append(best[1])
-            action, (p, k, f) = "enter", best
+            action, k = "enter", best[1]
+            after = [*chosen, k]
         else:
-            drops = []
-            for k in chosen:
-                f, p = partial_f(residual_sum(m, [c for c in chosen if c != k]), now, n - len(chosen) - 1)
-                drops.append((-p, k, f))
-            worst = min(drops, default=None)
-            if not worst or -worst[0] <= p_remove:
+            tests = {k: partial_f(residual_sum(m, [c for c in chosen if c != k]), now, free + 1) for k in chosen}
+            worst = max(((p, k) for k, (_, p) in tests.items()), default=None)
+            if not worst or not worst[0] > p_remove:
                 break
-            chosen.remove(worst[1])
-            action, p, k, f = "remove", -worst[0], worst[1], worst[2]
-        steps.append({"step": len(steps) + 1, "action": action, "term": m.names[k], "f": f, "p_value": p})
-        state = tuple(sorted(chosen))
-        if state in seen:
+            action, k = "remove", worst[1]
+            after = [c for c in chosen if c != k]
+        if frozenset(after) in seen:
             break
-        seen.add(state)
+        chosen = after
+        seen.add(frozenset(chosen))
+        log(action, m.names[k], *tests[k])
     return [m.names[k] for k in sorted(chosen)], steps
 
 
-def gradient_descent(m: Moments, rate: float = 0.1, tol: float = 1e-12, max_iter: int = 20_000) -> tuple[np.ndarray, list[float], str]:
-    """Batch gradient descent on standardised columns: coefficients (intercept first), costs, how it ended."""
+@dataclass
+class Descent:
+    """Where a gradient descent ended: intercept and coefficients on the scale of the columns, cost of every iteration, how it ended."""
+
+    terms: list[str]
+    beta: np.ndarray
+    costs: list[float]
+    status: str
+
+    def __iter__(self):
+        return iter((self.beta, self.costs, self.status))
+
+    def predicted(self) -> Column:
+        return _linear(self.beta, self.terms)
+
+
+def gradient_descent(m: Moments, rate: float = 0.1, tol: float = 1e-12, max_iter: int = 20_000, standardize: bool = True, intercept: bool = True) -> Descent:
+    """Batch gradient descent from zero, all iterations from one set of moments.
+
+    Columns are standardised (only scaled without an intercept) or taken as they are; y is never changed. It ends when the cost's
+    relative decrease is at most ``tol``, when the cost grows or isn't finite (diverged), or after ``max_iter`` iterations.
+    """
     g, p = m.total, len(m.names)
     n = g[0, 0]
-    a, b, c = g[: p + 1, : p + 1] / n, g[: p + 1, p + 1] / n, g[p + 1, p + 1] / n
+    real = np.eye(p + 2)  # from the moments' columns to the real ones, then to those that the descent sees
+    real[1:, 0], real[1:, 1:] = m.center, np.diag(m.scale)
+    g = real @ g @ real.T / n
+    mean, scale = g[0, 1 : p + 1].copy(), np.ones(p)
+    if standardize:
+        variance = np.diag(g)[1 : p + 1] - mean**2
+        scale = np.where(variance > 0, np.sqrt(np.maximum(variance, 0)), 1.0)
+    shift = mean if standardize and intercept else np.zeros(p)
+    change = np.eye(p + 2)
+    change[1 : p + 1, 0], change[1 : p + 1, 1 : p + 1] = -shift / scale, np.diag(1 / scale)
+    g = change @ g @ change.T
+    keep = np.arange(0 if intercept else 1, p + 1)
+    a, b, c = g[np.ix_(keep, keep)], g[keep, p + 1], g[p + 1, p + 1]
     cost = lambda v: float(0.5 * (v @ a @ v - 2 * b @ v + c))
-    theta, costs, status = np.zeros(p + 1), [], "max_iter"
-    costs.append(cost(theta))
+    theta, status = np.zeros(len(keep)), "max_iter"
+    costs = [cost(theta)]
     for _ in range(max_iter):
         theta = theta - rate * (a @ theta - b)
         new = cost(theta)
@@ -236,10 +344,10 @@ def gradient_descent(m: Moments, rate: float = 0.1, tol: float = 1e-12, max_iter
         if costs[-2] - new <= tol * abs(costs[-2]):
             status = "converged"
             break
-    beta = np.empty(p + 1)
-    beta[1:] = theta[1:] * m.scale[p] / m.scale[:p]
-    beta[0] = m.center[p] + theta[0] * m.scale[p] - beta[1:] @ m.center[:p]
-    return beta, costs, status
+    beta = np.zeros(p + 1)
+    beta[1:] = theta[-p:] / scale
+    beta[0] = theta[0] - beta[1:] @ shift if intercept else 0.0
+    return Descent(["intercept", *m.names], beta, costs, status)
 
 
 def quadratic_surface(df: DataFrame, x: Sequence[str], means: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
@@ -269,6 +377,10 @@ class PolynomialBasis:
         """One pass for the centre, one for the power sums, from which the recurrence follows."""
         v = F.col(x).cast("double")
         first = df.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.countDistinct(v).alias("d")).first()
+        if degree < 1:
+            raise ValueError(f"the degree must be 1 at least, got {degree}")
+        if not first.n or df.where(_bad([x])).limit(1).count():
+            raise DesignMatrixError("no values, or null, NaN or infinite ones")
         if first.d <= degree:
             raise DesignMatrixError(f"{first.d} different values for degree {degree}")
         z = (v - F.lit(first.m)) / F.lit(first.s)
@@ -287,11 +399,14 @@ class PolynomialBasis:
             norms.append(float(inner(new, new)))
         return cls(degree, first.m, first.s, alpha, beta, norms)
 
-    def transform(self, df: DataFrame, x: str, orthogonal: bool = True) -> DataFrame:
-        """Adds p1..pd, of any rows, by the fitted recurrence."""
+    def transform(self, df: DataFrame, x: str, kind: str = "orthogonal") -> DataFrame:
+        """Adds p1..pd, of any rows: by the fitted recurrence, or powers of the column standardised ("centered") or as it is ("raw")."""
+        if kind not in ("orthogonal", "centered", "raw"):
+            raise ValueError(f"kind must be orthogonal, centered or raw, got {kind!r}")
         z = (F.col(x).cast("double") - F.lit(self.center)) / F.lit(self.scale)
-        if not orthogonal:
-            return df.withColumns({f"p{k}": F.pow(z, F.lit(float(k))) for k in range(1, self.degree + 1)})
+        if kind != "orthogonal":
+            base = z if kind == "centered" else F.col(x).cast("double")
+            return df.withColumns({f"p{k}": F.pow(base, F.lit(float(k))) for k in range(1, self.degree + 1)})
         before, now, made = F.lit(0.0), F.lit(1.0), {}
         for k in range(self.degree):
             before, now = now, (z - F.lit(self.alpha[k])) * now - F.lit(self.beta[k]) * before
@@ -316,11 +431,34 @@ def order_sweep(df: DataFrame, x: str, y: str, degrees: int, fold: str | None =
     return out
 
 
+CRITERIA = {"bic": 1, "aic": 1, "loocv_rmse": 1, "kfold_rmse": 1, "adj_r2": -1}
+
+
+def recommended(sweep: Sequence[dict], criterion: str = "bic") -> int:
+    """The degree that the criterion likes best, the lower one of equals; undefined values don't count."""
+    if criterion not in CRITERIA:
+        raise ValueError(f"criterion must be one of {', '.join(CRITERIA)}, got {criterion!r}")
+    known = [(CRITERIA[criterion] * r[criterion], r["degree"]) for r in sweep if r.get(criterion) is not None and not math.isnan(r[criterion])]
+    if not known:
+        raise ValueError(f"no degree has a {criterion}")
+    return min(known)[1]
+
+
+def evaluation_grid(spark, low: Sequence[float], high: Sequence[float], steps: int, names: Sequence[str] = ("x1", "x2")) -> DataFrame:
+    """A regular grid over two columns, from the lowest to the highest values: so many nodes a side."""
+    n = F.lit(max(1, steps - 1))
+    side = lambda k, i: F.lit(float(low[k])) + i * F.lit(float(high[k] - low[k])) / n
+    nodes = spark.range(steps * steps)
+    return nodes.select(side(0, F.floor(F.col("id") / steps)).alias(names[0]), side(1, F.col("id") % steps).alias(names[1]))
+
+
 def _fold_error(df: DataFrame, x: str, y: str, degree: int, fold: str) -> float:
     """Mean over the folds of the error of a basis and fit learned on the others."""
     errors = []
     for (k,) in df.select(fold).distinct().orderBy(fold).collect():
         train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
+        if train.count() <= degree + 1:
+            return math.nan
         basis = PolynomialBasis.fit(train, x, degree)
         fit = fit_ols(basis.transform(train, x), [f"p{i}" for i in range(1, degree + 1)], y)
         e = F.col(y) - fit.predicted()

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import average_rank, concordance, pearson, ratio
+from tessera.functions.ranks import before, numeric_range
+from tessera.functions.stats import concordance, pearson, ratio
+from tessera.operators.association import rank_correlation
 
+#: Metrics of each task in report order, the one that stands for the rest, and those of which less is better.
+METRICS = {"regression": ("mae", "rmse", "r2", "r", "rho", "ccc"), "classification": ("uar", "accuracy", "macro_f1", "sensitivity", "specificity", "auc")}
+HEADLINE = {"regression": "rmse", "classification": "uar"}
 LOWER_IS_BETTER = frozenset({"mae", "rmse"})
 
 
@@ -16,12 +21,14 @@ def regression(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()
     """Per group: n, MAE, RMSE, R2, Pearson's r, Spearman's rho, concordance."""
     by = list(by)
     d = df.select(*by, F.col(truth).cast("double").alias("_t"), F.col(predicted).cast("double").alias("_p"))
-    d = d.withColumns({"_rt": average_rank("_t", by), "_rp": average_rank("_p", by)})
     e, n = F.col("_t") - F.col("_p"), F.count(F.lit(1))
-    return d.groupBy(*by).agg(
+    out = d.groupBy(*by).agg(
         n.alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - ratio(F.avg(e * e), F.var_pop("_t"))).alias("r2"),
-        pearson("_t", "_p").alias("r"), pearson("_rt", "_rp").alias("rho"), F.when(n >= 3, concordance("_t", "_p")).alias("ccc"),
+        pearson("_t", "_p").alias("r"), F.when(n >= 3, concordance("_t", "_p")).alias("ccc"),
     )
+    rho = rank_correlation(d, "_t", "_p", by).drop("n")
+    out = out.join(rho, by) if by else out.join(rho)  # one row and one row
+    return out.select(*by, "n", "mae", "rmse", "r2", "r", "rho", "ccc")
 
 
 def with_pooled(df: DataFrame, metric, by: str) -> DataFrame:
@@ -48,32 +55,52 @@ def per_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def classification(df: DataFrame, truth: str, predicted: str, positive=None, score: str | None = None) -> DataFrame:
-    """One row: n, accuracy, UAR (classes present in truth), macro F1 (classes of either side), and for two classes sensitivity, specificity, AUC."""
+    """One row: n, accuracy, UAR (classes present in truth), macro F1 (classes of either side), and for two classes sensitivity, specificity, AUC.
+
+    With more than two classes sensitivity, specificity and AUC are NULL; with one class only its own recall is defined.
+    """
     table = per_class(df, truth, predicted)
-    out = table.agg(F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("uar"), F.avg("f1").alias("macro_f1"))
+    out = table.agg(F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("uar"), F.avg("f1").alias("macro_f1"), F.count_if(F.col("support") > 0).alias("_classes"))
     right, is_pos = (F.col(truth) == F.col(predicted)).cast("double"), F.col(truth) == F.lit(positive)
     more: list[Column] = [F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy")]
     if positive is not None:
         more += [F.avg(F.when(is_pos, right)).alias("sensitivity"), F.avg(F.when(~is_pos, right)).alias("specificity")]
     out = df.agg(*more).join(out)  # one row and one row
-    return out.join(auc(df, is_pos, score)) if score else out
+    if score:
+        out = out.join(auc(df, is_pos, score))
+    two = [c for c in ("sensitivity", "specificity", "auc") if c in out.columns]
+    return out.withColumns({c: F.when(F.col("_classes") <= 2, F.col(c)) for c in two}).drop("_classes")
+
+
+def _by_score(df: DataFrame, positive: Column, score: str, by: Sequence[str]) -> DataFrame:
+    """Per different score: positive and negative rows."""
+    return df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(F.sum(positive.cast("long")).alias("_p"), F.sum((~positive).cast("long")).alias("_n"))
 
 
 def auc(df: DataFrame, positive: Column, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve by average ranks; NULL unless both classes are there."""
+    """Area under the ROC curve: pairs of a positive and a negative row that the score orders, ties half; NULL unless both classes are there."""
     by = list(by)
-    d = df.select(*by, positive.cast("double").alias("_pos"), F.col(score).cast("double").alias("_s"))
-    d = d.withColumn("_rank", average_rank("_s", by))
-    n1, n0 = F.sum("_pos"), F.sum(1 - F.col("_pos"))
-    return d.groupBy(*by).agg(ratio(F.sum(F.col("_rank") * F.col("_pos")) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
-
-
-def roc_curve(df: DataFrame, positive: Column, score: str) -> DataFrame:
-    """False and true positive rates at every distinct score, highest first. Scores are counted before they are sorted."""
-    steps = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(positive.cast("long")).alias("_p"), F.sum((~positive).cast("long")).alias("_n"))
-    run = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    return steps.select("threshold", ratio(F.sum("_n").over(run), F.sum("_n").over(every)).alias("fpr"), ratio(F.sum("_p").over(run), F.sum("_p").over(every)).alias("tpr"))
+    steps = _by_score(df, positive, score, by)
+    steps = before(steps, "_n", ["threshold"], by, numeric_range(steps, "threshold"), "_below")
+    pairs = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
+    return steps.groupBy(*by).agg(ratio(pairs, F.sum("_p") * F.sum("_n")).alias("auc"))
+
+
+def roc_curve(df: DataFrame, positive: Column, score: str, cap: float | None = None) -> DataFrame:
+    """False and true positive rates from (0, 0) on, at every different score, highest first. The start's threshold is infinite, or ``cap``."""
+    steps = _by_score(df, positive, score, []).withColumn("_down", -F.col("threshold"))
+    steps = before(before(steps, "_n", ["_down"], [], numeric_range(steps, "_down"), "_fp"), "_p", ["_down"], [], numeric_range(steps, "_down"), "_tp")
+    every = steps.agg(F.sum("_p").alias("_all_p"), F.sum("_n").alias("_all_n"))
+    rates = steps.join(F.broadcast(every)).select("threshold", ratio(F.col("_fp") + F.col("_n"), "_all_n").alias("fpr"), ratio(F.col("_tp") + F.col("_p"), "_all_p").alias("tpr"))  # one row
+    start = df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    out = start.unionByName(rates)
+    return out if cap is None else out.withColumn("threshold", F.least("threshold", F.lit(cap)))
+
+
+def class_scores(df: DataFrame, scores: str, model_classes: Sequence, classes: Sequence) -> DataFrame:
+    """Adds score_<class> for every class from an array of a model's scores; 0 for classes that the model hasn't seen."""
+    at = {c: i for i, c in enumerate(model_classes)}
+    return df.withColumns({f"score_{c}": F.coalesce(F.get(scores, F.lit(at[c])), F.lit(0.0)) if c in at else F.lit(0.0) for c in classes})
 
 
 def summarize(df: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

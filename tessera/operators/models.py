@@ -1,30 +1,53 @@
-"""Estimators that are fitted and scored fold by fold, and cross-validation over a fold column."""
+"""Estimators with their scaling and reduction: fitted, applied, saved, cross-validated and tuned over fold columns."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from itertools import product
+from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.errors import ModelFileError
+from tessera.operators import kernels, metrics
 from tessera.operators.linear import moments, ridge
 
-REGRESSORS = ("linear", "ridge", "random_forest", "svr", "mlp")
-CLASSIFIERS = ("logistic", "random_forest", "mlp")
+MODELS = {"regression": ("linear", "ridge", "random_forest", "svr", "mlp"), "classification": ("logistic", "random_forest", "mlp")}
+REDUCERS = ("none", "pca", "lda")
+#: Settings that tuning tries.
+SEARCH = {
+    ("regression", "ridge"): {"alpha": (0.01, 0.1, 1.0, 10.0, 100.0)},
+    ("regression", "svr"): {"c": (0.1, 1.0, 10.0), "epsilon": (0.05, 0.1, 0.5)},
+    ("regression", "random_forest"): {"depth": (4, 8, 20), "leaf": (1, 3)},
+    ("regression", "mlp"): {"ridge": (1e-4, 1e-2, 1.0)},
+    ("classification", "logistic"): {"c": (0.01, 0.1, 1.0, 10.0)},
+    ("classification", "random_forest"): {"depth": (4, 8, 20), "leaf": (1, 3)},
+    ("classification", "mlp"): {"rate": (0.01, 0.03, 0.1)},
+}
+_FORMAT = "tessera/model-v1"
 
 
-def standardizer(train: DataFrame, x: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
-    """Centres and scales by the training rows' means and population deviations; a constant column is only centred."""
-    row = train.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    made = {c: (F.col(c) - F.lit(row[f"m{i}"])) / F.lit(row[f"s{i}"] or 1.0) for i, c in enumerate(x)}
-    return lambda df: df.withColumns(made)
+def check(name: str, task: str, reducer: str = "none") -> None:
+    if task not in MODELS:
+        raise ValueError(f"task must be one of {', '.join(MODELS)}, got {task!r}")
+    if name not in MODELS[task]:
+        raise ValueError(f"{task} has the models {', '.join(MODELS[task])}, not {name!r}")
+    if reducer not in REDUCERS or reducer == "lda" and task == "regression":
+        raise ValueError(f"the reducer {reducer!r} doesn't fit {task}")
+
+
+def _quoted(c: str):
+    return F.col(f"`{c}`").cast("double")
 
 
 def linear_cv(df: DataFrame, x: Sequence[str], y: str, fold: str = "fold", alpha: float = 0.0) -> DataFrame:
@@ -44,101 +67,22 @@ def linear_cv(df: DataFrame, x: Sequence[str], y: str, fold: str = "fold", alpha
     return d.withColumn("predicted", value).drop("_fold", *[f"_b{i}" for i in range(len(x) + 1)])
 
 
-def _estimator(name: str, task: str, p: int, classes: int, n: int, seed: int):
-    if name == "random_forest":
-        kind = RandomForestRegressor if task == "regression" else RandomForestClassifier
-        return kind(numTrees=50, maxDepth=10, featureSubsetStrategy="all" if task == "regression" else "auto", seed=seed)
-    if name == "logistic":
-        return LogisticRegression(regParam=1 / n, standardization=False, maxIter=200, tol=1e-9)
-    if name == "mlp":
-        return MultilayerPerceptronClassifier(layers=[p, 16, classes], maxIter=200, seed=seed)
-    raise ValueError(f"no such estimator: {name!r}")
-
-
-def ml_cv(df: DataFrame, x: Sequence[str], y: str, name: str, folds: int, task: str = "regression", components: int = 0, seed: int = 0) -> DataFrame:
-    """Held-out predictions of an estimator of pyspark.ml, fitted with its scaling and reduction on each fold's training rows."""
-    out = None
-    for k in range(folds):
-        train, test = df.where(F.col("fold") != k), df.where(F.col("fold") == k)
-        scale = standardizer(train, x)
-        steps = [VectorAssembler(inputCols=list(x), outputCol="_x")]
-        column = "_x"
-        if components:
-            steps.append(PCA(k=components, inputCol="_x", outputCol="_pc"))
-            column = "_pc"
-        est = _estimator(name, task, components or len(x), 2, max(1, train.count()), seed)
-        est.setFeaturesCol(column).setLabelCol(y)
-        model = Pipeline(stages=[*steps, est]).fit(scale(train))
-        part = model.transform(scale(test)).drop("_x", "_pc", "rawPrediction", "probability").withColumnRenamed("prediction", "predicted")
-        part = part.select(*[c for c in df.columns if c not in x], "predicted")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def svr_fit(x: np.ndarray, y: np.ndarray, c: float = 1.0, epsilon: float = 0.1, gamma: float | None = None, rounds: int = 300) -> Callable[[np.ndarray], np.ndarray]:
-    """RBF support vector regression: the dual solved by coordinate descent on standardised inputs and target."""
-    mx, sx, my, sy = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1), y.mean(), y.std() or 1.0
-    z, t = (x - mx) / sx, (y - my) / sy
-    g = gamma or 1 / (z.shape[1] * (z.var() or 1.0))
-    kernel = lambda a, b: np.exp(-g * ((a[:, None] - b[None]) ** 2).sum(2)) + 1.0  # noqa: E731  the constant stands for the intercept
-    k = kernel(z, z)
-    beta = np.zeros(len(t))
-    f = np.zeros(len(t))
-    for _ in range(rounds):
-        moved = 0.0
-        for i in range(len(t)):
-            r = t[i] - f[i] + beta[i] * k[i, i]
-            new = np.clip(np.sign(r) * max(abs(r) - epsilon, 0) / k[i, i], -c, c)
-            if (d := new - beta[i]) != 0:
-                beta[i] = new
-                f += d * k[i]
-                moved = max(moved, abs(d))
-        if moved < 1e-6:
-            break
-    return lambda q: kernel((q - mx) / sx, z) @ beta * sy + my
-
-
-def mlp_fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, rounds: int = 400, rate: float = 0.01, ridge_: float = 1e-4, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
-    """One hidden logistic layer on standardised inputs and target, by Adam."""
-    rng = np.random.default_rng(seed)
-    mx, sx, my, sy = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1), y.mean(), y.std() or 1.0
-    z, t = (x - mx) / sx, (y - my) / sy
-    p = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
-    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    for k in range(1, rounds + 1):
-        h = 1 / (1 + np.exp(-np.clip(z @ p[0] + p[1], -30, 30)))
-        e = (h @ p[2] + p[3] - t) / len(t)
-        back = np.outer(e, p[2]) * h * (1 - h)
-        grads = [z.T @ back + ridge_ * p[0], back.sum(0), h.T @ e + ridge_ * p[2], np.array([e.sum()])]
-        for a, g, s1, s2 in zip(p, grads, m, v, strict=True):
-            s1 += 0.1 * (g - s1)
-            s2 += 0.001 * (g * g - s2)
-            a -= rate * (s1 / (1 - 0.9**k)) / (np.sqrt(s2 / (1 - 0.999**k)) + 1e-8)
-    return lambda q: (1 / (1 + np.exp(-np.clip((q - mx) / sx @ p[0] + p[1], -30, 30))) @ p[2] + p[3]) * sy + my
-
-
-KERNELS = {"svr": svr_fit, "mlp": mlp_fit}
-
-
-def kernel_cv(df: DataFrame, x: Sequence[str], y: str, ids: Sequence[str], folds: int, names: Sequence[str] = ("svr", "mlp")) -> DataFrame:
-    """Held-out predictions of small numpy estimators: one task per estimator and fold, for feature tables that fit a task."""
-    tasks = df.sparkSession.createDataFrame([(n, k) for n in names for k in range(folds)], "model string, test_fold int")
-    fields = ", ".join(f"{i} {df.schema[i].dataType.simpleString()}" for i in ids)
-    x = list(x)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, name = int(pdf.test_fold.iloc[0]), pdf.model.iloc[0]
-        pdf = pdf.sort_values(list(ids))
-        train, test = pdf[pdf.fold != k], pdf[pdf.fold == k]
-        f = KERNELS[name](train[x].to_numpy(float), train[y].to_numpy(float))
-        return test.assign(predicted=f(test[x].to_numpy(float)) if len(test) else [])[["model", *ids, "fold", y, "predicted"]]
-
-    rows = df.select(*ids, "fold", y, *x).join(F.broadcast(tasks))  # every task needs all rows of the feature table
-    return rows.groupBy("model", "test_fold").applyInPandas(run, f"model string, {fields}, fold int, {y} {df.schema[y].dataType.simpleString()}, predicted double")
+def principal_directions(m, components: int | float | None = None) -> np.ndarray:
+    """Directions (columns) of standardised predictors with the most variance: so many, or as many as hold a share of it (95 % without)."""
+    p, g = len(m.names), m.total
+    mean = g[0, 1 : p + 1] / g[0, 0]
+    values, vectors = np.linalg.eigh(g[1 : p + 1, 1 : p + 1] / g[0, 0] - np.outer(mean, mean))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    share = 0.95 if components is None else components
+    k = int(share) if share >= 1 else int(np.searchsorted(np.cumsum(values) / values.sum(), share - 1e-12) + 1)
+    if k > p:
+        raise ValueError(f"{p} predictors have no {k} components")
+    vectors = vectors[:, :k]
+    return vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(k)])
 
 
 def lda_directions(df: DataFrame, x: Sequence[str], label: str, components: int) -> np.ndarray:
-    """Discriminant directions (columns) from grouped moments; at most classes - 1 of them."""
+    """Discriminant directions (columns) of the predictors from grouped moments; at most classes - 1 of them."""
     m = moments(df, list(x), x[0], [label])
     p = len(x)
     total = m.total
@@ -156,14 +100,173 @@ def lda_directions(df: DataFrame, x: Sequence[str], label: str, components: int)
     return (white @ u[:, np.argsort(-v)[:components]]) / m.scale[:p, None]
 
 
-def save_model(path: str, spark, kind: str, config: dict, coefficients: dict[str, float]) -> None:
-    """A linear model as a one-row JSON table with its configuration."""
-    text = json.dumps({"format": "tessera/model-v1", "kind": kind, "config": config, "coefficients": coefficients}, sort_keys=True)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+@dataclass
+class Model:
+    """A fitted estimator: what it was asked for, the scaling and projection before it, and its parameters."""
+
+    task: str
+    name: str
+    x: list[str]
+    y: str
+    settings: dict[str, Any]
+    center: list[float]
+    scale: list[float]
+    projection: list[list[float]] | None
+    classes: list | None
+    state: dict[str, Any] = field(default_factory=dict)
+    stages: PipelineModel | None = None
+
+    @property
+    def inputs(self) -> list[str]:
+        return [f"_f{i}" for i in range(len(self.projection[0]) if self.projection else len(self.x))]
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """Adds the estimator's inputs: standardised predictors, or their projections."""
+        z = [(_quoted(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(self.x, self.center, self.scale, strict=True)]
+        if self.projection:
+            z = [sum((F.lit(row[k]) * v for row, v in zip(self.projection, z, strict=True)), F.lit(0.0)) for k in range(len(self.inputs))]
+        return df.withColumns(dict(zip(self.inputs, z, strict=True)))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Adds predicted, and for classes score_<class>."""
+        if missing := [c for c in self.x if c not in df.columns]:
+            raise ValueError(f"columns are missing: {', '.join(missing)}")
+        d = self.prepared(df)
+        if self.name in ("linear", "ridge"):
+            value = F.lit(self.state["intercept"])
+            for b, c in zip(self.state["beta"], self.inputs, strict=True):
+                value = value + F.lit(b) * F.col(c)
+            return d.withColumn("predicted", value).drop(*self.inputs)
+        if self.stages is None:
+            kernel = kernels.KERNELS[self.name](**self.settings)
+            return kernels.predicted(d, self.inputs, kernel, {0: self.state}).drop(*self.inputs)
+        d = self.stages.transform(d)
+        if self.task == "regression":
+            return d.withColumn("predicted", F.col("prediction")).drop(*self.inputs, "_x", "prediction")
+        names = F.array(*[F.lit(c) for c in self.classes])
+        d = d.withColumn("predicted", F.get(names, F.col("prediction").cast("int"))).withColumn("_scores", vector_to_array("probability"))
+        return metrics.class_scores(d, "_scores", self.classes, self.classes).drop(*self.inputs, "_x", "_y", "_scores", "prediction", "rawPrediction", "probability")
+
+    def save(self, path: str, spark: SparkSession) -> None:
+        """A one-row text table, and the stages of pyspark.ml beside it."""
+        named = {k: v for k, v in self.__dict__.items() if k != "stages"}
+        text = json.dumps({"format": _FORMAT, "stages": self.stages is not None, **named}, sort_keys=True)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+        if self.stages is not None:
+            self.stages.write().overwrite().save(f"{path}/stages")
+
+
+def load(path: str, spark: SparkSession) -> Model:
+    try:
+        found = json.loads(spark.read.text(f"{path}/model").first().value)
+    except Exception as e:
+        raise ModelFileError(f"{path} isn't a model: {type(e).__name__}") from e
+    if not isinstance(found, dict) or found.pop("format", None) != _FORMAT:
+        raise ModelFileError(f"{path} isn't a {_FORMAT} file")
+    stages = found.pop("stages", False)
+    if missing := {"task", "name", "x", "y", "settings", "center", "scale", "projection", "classes", "state"} - set(found):
+        raise ModelFileError(f"{path} lacks {', '.join(sorted(missing))}")
+    if found["task"] == "classification" and not found["classes"]:
+        raise ModelFileError(f"{path} has no classes")
+    return Model(**found, stages=PipelineModel.load(f"{path}/stages") if stages else None)
+
+
+def _staged(task: str, name: str, settings: Mapping, p: int, classes: int, n: int, seed: int):
+    if name == "random_forest":
+        kind = RandomForestRegressor if task == "regression" else RandomForestClassifier
+        trees, depth, leaf = settings.get("trees", 200), min(30, settings.get("depth") or 30), settings.get("leaf", 1)
+        return kind(numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all" if task == "regression" else "sqrt", seed=seed)
+    if name == "logistic":
+        return LogisticRegression(regParam=1 / (settings.get("c", 1.0) * max(1, n)), standardization=False, maxIter=200, tol=1e-9)
+    return MultilayerPerceptronClassifier(layers=[p, settings.get("hidden", 16), classes], maxIter=200, stepSize=settings.get("rate", 0.03), seed=seed)
+
+
+def fit(df: DataFrame, x: Sequence[str], y: str, name: str, task: str = "regression", settings: Mapping | None = None, reducer: str = "none", components=None, seed: int = 0) -> Model:
+    """Fit an estimator with its scaling, and reduction, on all rows of ``df``."""
+    check(name, task, reducer)
+    x, settings = list(x), dict(settings or {})
+    classes = [r[0] for r in df.select(y).distinct().orderBy(y).collect()] if task == "classification" else None
+    m = moments(df, x, y if task == "regression" else x[0])
+    p = len(x)
+    projection = None
+    if reducer == "pca":
+        projection = principal_directions(m, components)
+    elif reducer == "lda":
+        projection = lda_directions(df, x, y, int(components or len(classes) - 1)) * m.scale[:p, None]
+    model = Model(task, name, x, y, settings, m.center[:p].tolist(), m.scale[:p].tolist(), None if projection is None else projection.tolist(), classes)
+    d = model.prepared(df)
+    if name in ("linear", "ridge"):
+        inner = moments(d, model.inputs, y)
+        b0, b = ridge(inner.total, inner, settings.get("alpha", 1.0) if name == "ridge" else 0.0)
+        model.state = {"intercept": b0, "beta": b.tolist()}
+    elif task == "regression" and name in kernels.KERNELS:
+        kernel = kernels.KERNELS[name](**settings)
+        model.state = kernel.fit(d.withColumn("_none", F.lit(-1)), model.inputs, y, "_none", [0])[0]
+    else:
+        target = y
+        if classes is not None:
+            d, target = d.withColumn("_y", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(y)) - 1).cast("double")), "_y"
+        estimator = _staged(task, name, settings, len(model.inputs), len(classes or ()), int(m.total[0, 0]), seed)
+        estimator.setFeaturesCol("_x").setLabelCol(target)
+        assembler = VectorAssembler(inputCols=model.inputs, outputCol="_x")
+        model.stages = PipelineModel([assembler, estimator.fit(assembler.transform(d))])
+    return model
+
+
+def folds_of(df: DataFrame, fold: str) -> list[int]:
+    return [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # one row a fold
+
+
+def cross_validate(
+    df: DataFrame, x: Sequence[str], y: str, name: str, task: str = "regression", settings: Mapping | None = None, fold: str = "fold", reducer: str = "none", components=None, seed: int = 0
+) -> DataFrame:
+    """``df`` with predicted (and score_<class>): every row by a model of the other folds, scaling and reduction included.
+
+    Least squares and ridge take one pass for all folds, the kernels the same passes for all folds, the others a fit a fold.
+    """
+    check(name, task, reducer)
+    settings = dict(settings or {})
+    if reducer == "none" and name in ("linear", "ridge"):  # their penalty is on standardised columns of all rows
+        m = moments(df, list(x), y)
+        wide = df.withColumns({f"_z{i}": (_quoted(c) - F.lit(float(a))) / F.lit(float(s)) for i, (c, a, s) in enumerate(zip(x, m.center, m.scale, strict=False))})
+        return linear_cv(wide, [f"_z{i}" for i in range(len(x))], y, fold, settings.get("alpha", 1.0) if name == "ridge" else 0.0).drop(*[f"_z{i}" for i in range(len(x))])
+    keys = folds_of(df, fold)
+    if reducer == "none" and task == "regression" and name in kernels.KERNELS:
+        kernel = kernels.KERNELS[name](**settings)
+        return kernels.predicted(df, list(x), kernel, kernel.fit(df, list(x), y, fold, keys), fold)
+    out = None
+    classes = [r[0] for r in df.select(y).distinct().orderBy(y).collect()] if task == "classification" else []
+    for k in keys:
+        model = fit(df.where(F.col(fold) != k), x, y, name, task, settings, reducer, components, seed)
+        part = model.predict(df.where(F.col(fold) == k))
+        part = part.withColumns({f"score_{c}": F.lit(0.0) for c in classes if c not in model.classes})
+        part = part.select(*[F.col(f"`{c}`") for c in df.columns], "predicted", *[f"`score_{c}`" for c in classes])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def evaluated(predictions: DataFrame, y: str, task: str = "regression", fold: str = "fold", positive=None, score: str | None = None) -> DataFrame:
+    """All metrics per fold and pooled over all rows (fold NULL), with the rows that were learned from and tested on."""
+    sizes = predictions.groupBy(fold).agg(F.count(F.lit(1)).alias("n_test")).collect()
+    total = sum(r.n_test for r in sizes)
+    if task == "regression":
+        out = metrics.with_pooled(predictions, lambda d, by: metrics.regression(d, y, "predicted", by), fold)
+    else:
+        out = metrics.classification(predictions, y, "predicted", positive, score).withColumn(fold, F.lit(None).cast(predictions.schema[fold].dataType))
+        for r in sizes:
+            part = metrics.classification(predictions.where(F.col(fold) == r[fold]), y, "predicted", positive, score)
+            out = out.unionByName(part.withColumn(fold, F.lit(r[fold]).cast(predictions.schema[fold].dataType)))
+    return out.withColumn("n_train", F.when(F.col(fold).isNotNull(), F.lit(total) - F.col("n")))
 
 
-def load_model(path: str, spark) -> dict:
-    found = json.loads(spark.read.text(path).first().value)
-    if found.get("format") != "tessera/model-v1":
-        raise ValueError(f"{path} isn't a model file")
-    return found
+def tune(df: DataFrame, x: Sequence[str], y: str, name: str, task: str = "regression", fold: str = "fold", grid: Mapping[str, Sequence] | None = None, **other) -> tuple[Model, list[dict]]:
+    """The model of the best settings on all rows, and the score of every setting over the folds: RMSE, or one less UAR; the first of equals."""
+    grid = SEARCH.get((task, name), {}) if grid is None else grid
+    tried = []
+    for values in product(*grid.values()):
+        settings = dict(zip(grid, values, strict=True))
+        table = evaluated(cross_validate(df, x, y, name, task, settings, fold, **other), y, task, fold).where(F.col(fold).isNotNull())
+        score = table.agg(F.avg("rmse") if task == "regression" else 1 - F.avg("uar")).first()[0]
+        tried.append({"settings": settings, "score": math.inf if score is None else float(score)})
+    best = min(tried, key=lambda t: t["score"])
+    return fit(df, x, y, name, task, best["settings"], **other), tried

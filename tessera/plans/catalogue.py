@@ -280,6 +280,25 @@ def coefficient_table(spark, sf_dir):
     return linear.fit_ols(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice").coefficients(spark)
 
 
+@query(f"""WITH v AS {_NORMAL}, s AS (SELECT *, rss / (n - 4) AS s2 FROM v)
+  SELECT 'l_quantity' AS term, round(b1, 3) + 0.0 AS estimate, round(sqrt(s2 * (bb*dd-bd*bd) / det), 4) + 0.0 AS std_error, round(b1 / sqrt(s2 * (bb*dd-bd*bd) / det), 4) + 0.0 AS t FROM s
+  UNION ALL SELECT 'l_discount', round(b2 * 100, 3) + 0.0, round(100 * sqrt(s2 * (aa*dd-ad*ad) / det), 4) + 0.0, round(b2 / sqrt(s2 * (aa*dd-ad*ad) / det), 4) + 0.0 FROM s
+  UNION ALL SELECT 'l_tax', round(b3 * 100, 3) + 0.0, round(100 * sqrt(s2 * (aa*bb-ab*ab) / det), 4) + 0.0, round(b3 / sqrt(s2 * (aa*bb-ab*ab) / det), 4) + 0.0 FROM s""")
+def coefficient_estimates(spark, sf_dir):
+    """Estimates, standard errors and t of the slopes."""
+    d = linear.fit_ols(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice").coefficients(spark).where("term <> 'intercept'").select("term", "estimate", "std_error", "t")
+    return _round(_round(d, "estimate", digits=3), "std_error", "t", digits=4)
+
+
+@query("""WITH s AS (SELECT sum(l_quantity * l_quantity) AS xx, sum(l_quantity * l_extendedprice) AS xy, sum(l_extendedprice * l_extendedprice) AS yy, count(*) AS n FROM lineitem)
+  SELECT n, round(xy / xx, 4) + 0.0 AS slope, round(xy * xy / xx / yy, 6) + 0.0 AS r2, round(1 - (1 - xy * xy / xx / yy) * n / (n - 1), 6) + 0.0 AS adj_r2, round(sqrt((yy - xy * xy / xx) / (n - 1)), 3) + 0.0 AS residual_std_error FROM s""")
+def regression_through_origin(spark, sf_dir):
+    fit = linear.fit_ols(_t(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice", intercept=False)
+    s = fit.stats
+    d = spark.createDataFrame([(s["n"], float(fit.beta[1]), s["r2"], s["adj_r2"], s["residual_std_error"])], "n bigint, slope double, r2 double, adj_r2 double, residual_std_error double")
+    return _round(_round(_round(d, "slope", digits=4), "r2", "adj_r2"), "residual_std_error", digits=3)
+
+
 @query("""WITH p AS (SELECT o_orderkey, o_totalprice, sum(l_extendedprice) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
   s AS (SELECT count(*) AS n, avg(o_totalprice) AS mx, regr_sxx(y, o_totalprice) AS sxx, regr_slope(y, o_totalprice) AS b, regr_intercept(y, o_totalprice) AS a, regr_syy(y, o_totalprice) - power(regr_sxy(y, o_totalprice), 2) / regr_sxx(y, o_totalprice) AS rss FROM p),
   r AS (SELECT o_orderkey, y - a - b * o_totalprice AS e, 1.0::double / n + power(o_totalprice - mx, 2) / sxx AS h, rss / (n - 2) AS s2 FROM p, s)
@@ -333,24 +352,72 @@ def polynomial_order_sweep(spark, sf_dir):
     d = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x")).join(
         _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("y")), "c_custkey"
     ).withColumn("fold", folds.hashed(5, 3, "c_custkey"))
-    rows = linear.order_sweep(d.persist(), "x", "y", 4, "fold")
+    rows = linear.order_sweep(d, "x", "y", 4, "fold")
     names = ("degree", "n", "rss", "r2", "aic", "bic", "loocv_rmse", "kfold_rmse")
     return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], "degree int, n int, rss double, r2 double, aic double, bic double, loocv_rmse double, kfold_rmse double")
 
 
+def _orders_of_lines(spark, sf_dir) -> DataFrame:
+    """Per order the sum of its lines' prices, and what may predict it."""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_extendedprice").alias("y"), F.count(F.lit(1)).cast("double").alias("n_lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax")
+    )
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+_ORDER_X = ("n_lines", "quantity", "discount", "tax", "price")
+
+
 @query()
 def stepwise_selection(spark, sf_dir):
-    """Steps of forward and backward selection on line items."""
-    m = linear.moments(_t(spark, sf_dir, "lineitem"), [*_X, "l_linenumber"], "l_extendedprice")
-    _, steps = linear.stepwise(m)
-    return spark.createDataFrame([(s["step"], s["action"], s["term"], s["f"], s["p_value"]) for s in steps], "step int, action string, term string, f double, p_value double")
+    """The log of a selection among what may predict the sum of an order's lines."""
+    _, steps = linear.stepwise(linear.moments(_orders_of_lines(spark, sf_dir), _ORDER_X, "y"))
+    clean = lambda v: None if v is None or v != v else float(v)
+    rows = [(s["step"], s["action"], s["term"], clean(s["f"]), clean(s["p_value"]), s["n_terms"], clean(s["r2"]), clean(s["adj_r2"])) for s in steps]
+    return spark.createDataFrame(rows, "step int, action string, term string, f double, p_value double, n_terms int, r2 double, adj_r2 double")
+
+
+_ORDER_LINES = "(SELECT o_orderkey, o_totalprice AS price, sum(l_extendedprice) AS y, count(*)::double AS n_lines, sum(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)"
+
+
+@query(f"""WITH o AS {_ORDER_LINES}, r AS (SELECT term, r2, n FROM (SELECT count(*) AS n, power(corr(y, n_lines), 2) AS n_lines, power(corr(y, quantity), 2) AS quantity, power(corr(y, discount), 2) AS discount,
+  power(corr(y, tax), 2) AS tax, power(corr(y, price), 2) AS price FROM o) UNPIVOT (r2 FOR term IN (n_lines, quantity, discount, tax, price)))
+  SELECT term, round(r2, 6) + 0.0 AS r2, round(r2 / ((1 - r2) / (n - 2)) / 1000, 5) + 0.0 AS f_thousands FROM r""")
+def entry_tests(spark, sf_dir):
+    """Partial F tests of the first step of a selection: every candidate against the empty model."""
+    m = linear.moments(_orders_of_lines(spark, sf_dir), _ORDER_X, "y")
+    empty, n = linear.residual_sum(m, []), int(round(m.total[0, 0]))
+    rows = []
+    for k, name in enumerate(m.names):
+        rss = linear.residual_sum(m, [k])
+        rows.append((name, 1 - rss / empty, linear.partial_f(empty, rss, n - 2)[0] / 1000))
+    return _round(_round(spark.createDataFrame(rows, "term string, r2 double, f_thousands double"), "r2"), "f_thousands", digits=5)
 
 
 @query()
 def gradient_descent_costs(spark, sf_dir):
     """Cost of every iteration of gradient descent from one pass of moments."""
-    _, costs, status = linear.gradient_descent(linear.moments(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice"))
-    return spark.createDataFrame([(k, c, status) for k, c in enumerate(costs)], "iteration int, cost double, status string")
+    found = linear.gradient_descent(linear.moments(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice"))
+    return spark.createDataFrame([(k, c, found.status) for k, c in enumerate(found.costs)], "iteration int, cost double, status string")
+
+
+@query("""WITH s AS (SELECT avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v, covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) AS c FROM lineitem)
+  SELECT k::int AS iteration, round(0.5::double * (power(m, 2) * power(0.8::double, 2 * k) + v - power(c, 2) * (1 - power(0.8::double, 2 * k))) / 1e6, 4) + 0.0 AS cost_millions FROM s, range(0, 21) t(k)""")
+def gradient_descent_of_one(spark, sf_dir):
+    """Twenty iterations with one predictor, whose costs have a closed form."""
+    found = linear.gradient_descent(linear.moments(_t(spark, sf_dir, "lineitem"), ["l_quantity"], "l_extendedprice"), rate=0.2, tol=0.0, max_iter=20)
+    return _round(spark.createDataFrame([(k, c / 1e6) for k, c in enumerate(found.costs)], "iteration int, cost_millions double"), "cost_millions", digits=4)
+
+
+@query("""WITH s AS (SELECT count(*)::double AS n, avg(o_totalprice) AS mx, regr_sxx(y, o_totalprice) AS sxx, regr_slope(y, o_totalprice) AS b, regr_intercept(y, o_totalprice) AS a FROM
+    (SELECT o_totalprice, sum(l_extendedprice) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice)),
+  p AS (SELECT o_totalprice AS x, sum(l_extendedprice) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice)
+  SELECT round(sqrt(avg(power((y - a - b * x) / (1 - 1 / n - power(x - mx, 2) / sxx), 2))), 3) + 0.0 AS loocv_rmse FROM p, s""")
+def leave_one_out_line(spark, sf_dir):
+    """Error of leaving out one row at a time, from leverages instead of refits."""
+    row = linear.order_sweep(_pairs(spark, sf_dir), "a", "b", 1)[0]
+    return _round(spark.createDataFrame([(row["loocv_rmse"],)], "loocv_rmse double"), "loocv_rmse", digits=3)
 
 
 def _md5(*parts: str) -> str:
@@ -399,7 +466,14 @@ def cross_validated_ridge(spark, sf_dir):
     return metrics.with_pooled(p, lambda x, by: metrics.regression(x, "l_extendedprice", "predicted", by), "fold")
 
 
-_SUPPLIERS = "(SELECT s_suppkey, s_nationkey, s_acctbal AS y FROM supplier)"
+@query(f"""WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, {_hash_fold(5, 'l_suppkey', 4)} AS fold FROM lineitem), t AS (SELECT DISTINCT fold AS k FROM d),
+  b AS (SELECT k, regr_sxy(y, x) / (regr_sxx(y, x) + 1e6) AS b, avg(y) - regr_sxy(y, x) / (regr_sxx(y, x) + 1e6) * avg(x) AS a FROM d JOIN t ON fold <> k GROUP BY k)
+  SELECT fold, count(*) AS n, round(avg(abs(y - a - b * x)), 3) + 0.0 AS mae, round(sqrt(avg(power(y - a - b * x, 2))), 3) + 0.0 AS rmse, round(1 - avg(power(y - a - b * x, 2)) / var_pop(y), 6) + 0.0 AS r2 FROM d JOIN b ON k = fold GROUP BY fold""")
+def cross_validated_ridge_of_one(spark, sf_dir):
+    """Ridge with one predictor and a penalty that is felt."""
+    d = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", folds.hashed(4, 5, "l_suppkey").alias("fold"))
+    out = metrics.regression(models.linear_cv(d, ["l_quantity"], "l_extendedprice", alpha=1e6), "l_extendedprice", "predicted", ["fold"])
+    return _round(_round(out.select("fold", "n", "mae", "rmse", "r2"), "mae", "rmse", digits=3), "r2")
 
 
 def _features(spark, sf_dir) -> DataFrame:
@@ -414,15 +488,17 @@ _POOLED = [f"{s}_{c}" for s in ("mean", "std") for c in LINE]
 
 @query()
 def cross_validated_kernels(spark, sf_dir):
-    """Support vectors and a small network on the feature table, a task per estimator and fold."""
-    p = models.kernel_cv(_features(spark, sf_dir), _POOLED, "y", ["s_suppkey"], 3)
-    return metrics.regression(p, "y", "predicted", ["model"])
+    """Support vectors and a network on the feature table, trained for all folds in the same passes."""
+    d, out = _features(spark, sf_dir), None
+    for name in ("svr", "mlp"):
+        p = metrics.regression(models.cross_validate(d, _POOLED, "y", name), "y", "predicted").withColumn("model", F.lit(name))
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 @query()
 def cross_validated_forest(spark, sf_dir):
-    d = _features(spark, sf_dir).persist()
-    return metrics.regression(models.ml_cv(d, _POOLED, "y", "random_forest", 3), "y", "predicted")
+    return metrics.regression(models.cross_validate(_features(spark, sf_dir), _POOLED, "y", "random_forest", settings={"trees": 50, "depth": 10}), "y", "predicted")
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -436,9 +512,8 @@ _LABELLED = "(SELECT doc_id, quality, n_chars::double AS score, (n_chars > 1000)
 @query()
 def cross_validated_logistic(spark, sf_dir):
     """Quality by length, a logistic regression per fold."""
-    d = _labelled(spark, sf_dir).withColumn("x", F.ln("score")).withColumn("fold", folds.hashed(3, 1, "doc_id")).persist()
-    p = models.ml_cv(d, ["x"], "quality", "logistic", 3, "classification").withColumn("predicted", F.col("predicted").cast("int"))
-    return metrics.classification(p, "quality", "predicted", 1)
+    d = _labelled(spark, sf_dir).withColumn("x", F.ln("score")).withColumn("fold", folds.hashed(3, 1, "doc_id"))
+    return metrics.classification(models.cross_validate(d.drop("score"), ["x"], "quality", "logistic", "classification"), "quality", "predicted", 1, "score_1")
 
 
 @query(f"SELECT quality AS truth, count(*) FILTER (called = 0) AS as_0, count(*) FILTER (called = 1) AS as_1 FROM {_LABELLED} GROUP BY 1")
@@ -465,9 +540,10 @@ def classification_metrics(spark, sf_dir):
 
 
 @query(f"""WITH s AS (SELECT score AS threshold, sum(quality) AS p, sum(1 - quality) AS n FROM {_LABELLED} GROUP BY 1)
-  SELECT threshold, round(sum(n) OVER w / sum(n) OVER (), 6) + 0.0 AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) + 0.0 AS tpr FROM s WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)""")
+  SELECT threshold, round(sum(n) OVER w / sum(n) OVER (), 6) + 0.0 AS fpr, round(sum(p) OVER w / sum(p) OVER (), 6) + 0.0 AS tpr FROM s WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT 1e12::double, 0.0::double, 0.0::double""")
 def roc_curve(spark, sf_dir):
-    return _round(metrics.roc_curve(_labelled(spark, sf_dir), F.col("quality") == 1, "score"), "fpr", "tpr")
+    return _round(metrics.roc_curve(_labelled(spark, sf_dir), F.col("quality") == 1, "score", cap=1e12), "fpr", "tpr")
 
 
 def _settings(spark, sf_dir) -> DataFrame:
@@ -531,18 +607,18 @@ def index_duplicates(spark, sf_dir):
     return tables.duplicates(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-_IDS = "(SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '/' || c_custkey ELSE (c_custkey % 1000)::varchar END AS id FROM customer WHERE c_custkey % 3 <> 0)"
+_IDS = "(SELECT CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || '/' || c_custkey ELSE c_custkey::varchar END AS id FROM customer)"
 
 
 @query(f"""WITH f AS (SELECT c_mktsegment || '/' || c_custkey || '.wav' AS path, c_mktsegment || '/' || c_custkey AS rel, c_custkey::varchar AS stem FROM customer), s AS (SELECT stem, min(path) AS path, count(*) AS n FROM f GROUP BY stem)
   SELECT id, coalesce(f.path, CASE WHEN s.n = 1 THEN s.path END) AS path, CASE WHEN coalesce(f.path, CASE WHEN s.n = 1 THEN s.path END) IS NOT NULL THEN 'matched' WHEN s.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status
   FROM {_IDS} i LEFT JOIN f ON f.rel = id LEFT JOIN s ON s.stem = id""")
 def index_match(spark, sf_dir):
-    """Ids are matched by relative path first, else by stem."""
+    """An id of every customer, its file's relative path or its stem, matched by the path first."""
     c = _t(spark, sf_dir, "customer")
     files = c.select(F.concat("c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".wav")).alias("path"))
     rel = F.concat("c_mktsegment", F.lit("/"), F.col("c_custkey").cast("string"))
-    ids = c.where("c_custkey % 3 <> 0").select(F.when(F.col("c_custkey") % 2 == 0, rel).otherwise((F.col("c_custkey") % 1000).cast("string")).alias("id")).distinct()
+    ids = c.select(F.when(F.col("c_custkey") % 2 == 0, rel).otherwise(F.col("c_custkey").cast("string")).alias("id"))
     return tables.match_ids(ids, files)
 
 
@@ -579,14 +655,8 @@ def sliding_windows(spark, sf_dir):
 
 @query()
 def shapiro_wilk_by_user(spark, sf_dir):
-    """W and p of every user's values, whatever their number; a user's values meet in one task."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = diagnostics.shapiro_wilk(pdf.value) if len(pdf) >= 3 else (None, None)
-        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "n": [len(pdf)], "w": [w], "p_value": [p]})
-
-    return _t(spark, sf_dir, "events").select("user_id", "value").groupBy("user_id").applyInPandas(run, "user_id bigint, n bigint, w double, p_value double")
+    """W and p of every user's values, whatever their number."""
+    return diagnostics.shapiro_wilk_table(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", ["user_id"], ["event_id"])
 
 
 @query()

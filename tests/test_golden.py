@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.errors import DatasetError
+from tessera.errors import DatasetError, ModelFileError
 from tessera.functions import special
 from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, pooling
 from tessera.sources import audio, tables
@@ -66,7 +67,7 @@ def test_cement(spark):
     assert fit.stats["r2"] == pytest.approx(0.9824, abs=1e-4)
     m = linear.moments(d, ["x1", "x2", "x3", "x4"], "heat")
     assert linear.stepwise(m)[0] == ["x1", "x4"]
-    assert [(s["action"], s["term"]) for s in linear.stepwise(m, 0.15, 0.15)[1]] == [("enter", "x4"), ("enter", "x1"), ("enter", "x2"), ("remove", "x4")]
+    assert [(s["action"], s["term"]) for s in linear.stepwise(m, 0.15, 0.15)[1]] == [("start", ""), ("enter", "x4"), ("enter", "x1"), ("enter", "x2"), ("remove", "x4")]
     assert linear.stepwise(m, start="full")[0] == ["x1", "x2"]
     beta, costs, status = linear.gradient_descent(linear.moments(d, ["x1", "x2"], "heat"), 0.5)
     assert status == "converged" and beta == pytest.approx(linear.fit_ols(d, ["x1", "x2"], "heat").beta, abs=1e-4)
@@ -187,12 +188,78 @@ def test_ridge_equals_closed_form(spark):
     assert b == pytest.approx(want) and b0 == pytest.approx(y.mean() - want @ x.mean(0))
 
 
-def test_kernels_learn():
+@pytest.fixture(scope="module")
+def curved(spark):
     rng = np.random.default_rng(2)
-    x = rng.uniform(-2, 2, (120, 2))
+    x = rng.uniform(-2, 2, (240, 2))
     y = np.sin(x[:, 0]) + x[:, 1] ** 2
-    for f in (models.svr_fit, models.mlp_fit):
-        assert np.corrcoef(f(x[:90], y[:90])(x[90:]), y[90:])[0, 1] > 0.9
+    rows = [(i, *map(float, r), float(v), "high" if v > 1.2 else "low", i % 3) for i, (r, v) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "k int, a double, b double, y double, label string, fold int").repartition(3, "k").persist()
+
+
+def test_kernels_learn(curved):
+    for name in ("svr", "mlp"):
+        r = models.evaluated(models.cross_validate(curved, ["a", "b"], "y", name), "y").collect()
+        pooled = next(x for x in r if x.fold is None)
+        assert len(r) == 4 and pooled.n == 240 and pooled.r > 0.95, name
+
+
+@pytest.mark.parametrize(("name", "task", "y"), [("linear", "regression", "y"), ("ridge", "regression", "y"), ("svr", "regression", "y"), ("random_forest", "regression", "y"), ("logistic", "classification", "label"), ("mlp", "classification", "label")])
+def test_models_round_trip(curved, spark, tmp_path, name, task, y):
+    settings = {"trees": 10, "depth": 6} if name == "random_forest" else {}
+    model = models.fit(curved, ["a", "b"], y, name, task, settings)
+    model.save(str(tmp_path / "m"), spark)
+    again = models.load(str(tmp_path / "m"), spark)
+    both = model.predict(curved).select("k", F.col("predicted").alias("p")).join(again.predict(curved), "k").where("p = predicted")
+    assert both.count() == 240
+    if task == "classification":
+        r = again.predict(curved).first()
+        assert r.score_high + r.score_low == pytest.approx(1)
+    with pytest.raises(ValueError, match="missing"):
+        model.predict(curved.drop("a"))
+
+
+def test_models_refuse(curved, spark, tmp_path):
+    with pytest.raises(ModelFileError):
+        models.load(str(tmp_path / "nothing"), spark)
+    for name, task, reducer in (("logistic", "regression", "none"), ("ridge", "nothing", "none"), ("ridge", "regression", "lda")):
+        with pytest.raises(ValueError):
+            models.check(name, task, reducer)
+
+
+def test_reducers(curved):
+    rows = np.array(curved.select("a", "b").collect())
+    z = (rows - rows.mean(0)) / rows.std(0)
+    p = models.principal_directions(linear.moments(curved, ["a", "b"], "y"), 1)
+    want = np.linalg.svd(z - z.mean(0), full_matrices=False)[2][0]
+    assert abs(float(p[:, 0] @ want)) == pytest.approx(1, abs=1e-6)
+    assert models.principal_directions(linear.moments(curved, ["a", "b"], "y")).shape == (2, 2)
+    r = models.evaluated(models.cross_validate(curved, ["a", "b"], "label", "logistic", "classification", reducer="lda", components=1), "label", "classification", positive="high", score="score_high")
+    assert r.where("fold IS NULL").first().auc > 0.5 and r.count() == 4
+
+
+def test_ridge_cv_equals_refits(curved):
+    a = models.cross_validate(curved, ["a", "b"], "y", "linear").orderBy("k").collect()
+    rows = np.array([(r.a, r.b, r.y, r.fold) for r in a])
+    for f in range(3):
+        train, test = rows[rows[:, 3] != f], rows[rows[:, 3] == f]
+        b = np.linalg.lstsq(np.column_stack([np.ones(len(train)), train[:, :2]]), train[:, 2], rcond=None)[0]
+        assert [r.predicted for r in a if r.fold == f] == pytest.approx(b[0] + test[:, :2] @ b[1:])
+
+
+def test_tuning_takes_the_best(curved):
+    model, tried = models.tune(curved, ["a", "b"], "y", "ridge", grid={"alpha": (0.1, 1e6)})
+    assert model.settings == {"alpha": 0.1} and len(tried) == 2 and tried[0]["score"] < tried[1]["score"]
+
+
+def test_ablation_run(curved, spark):
+    points = ablation.expand_grid({"model": ["linear", "ridge"], "statistics": [("mean",)]})
+    assert ablation.problems({"model": ["ridge"]}) == [] and len(ablation.problems({"model": ["nope"], "reducer": ["lda"], "n_ceps": [23], "statistics": [("mean",)]}, metric="uar", normalization="cmn")) == 5
+    d = folds.repeated(curved.drop("fold"), 3, 2, ["k"])
+    table = ablation.run(points, lambda p: (d, ["a", "b"]), "y", ["fold_r0", "fold_r1"]).persist()
+    assert table.count() == 12 and {r.n_train + r.n_test for r in table.collect()} == {240}
+    r = ablation.compare_to_baseline(table, "rmse", "model=linear").first()
+    assert r.j == 6 and 0 <= r.p_wilcoxon <= r.p_wilcoxon_adjusted <= 1
 
 
 def test_tables(spark):
@@ -210,9 +277,94 @@ def test_tables(spark):
     assert names == ["a"] and out.count() == 3
 
 
-def test_model_round_trip(spark, tmp_path):
-    models.save_model(str(tmp_path / "m"), spark, "ridge", {"alpha": 1}, {"intercept": 2.0})
-    assert models.load_model(str(tmp_path / "m"), spark)["coefficients"] == {"intercept": 2.0}
+def test_dealt_equals_a_plain_loop():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        k = int(rng.integers(2, 6))
+        loads = [int(v) for v in rng.integers(0, 40, k)]
+        size, n = int(rng.integers(1, 12)), int(rng.integers(1, 60))
+        want, plain = [], list(loads)
+        for _ in range(n):
+            f = min(range(k), key=lambda f: (plain[f], f))
+            plain[f] += size
+            want.append(f)
+        runs = folds.dealt(loads, size, n)
+        got = []
+        for i in range(n):
+            start, turn = [r for r in runs if r[0] <= i][-1]
+            got.append(turn[(i - start) % len(turn)])
+        assert got == want and loads == plain
+
+
+def test_seeds_and_groups(spark):
+    assert folds.repeat_seeds(0, 3) == folds.repeat_seeds(0, 3) and len(set(folds.repeat_seeds(0, 3))) == 3
+    assert not folds.has_groups(spark.createDataFrame([(" ",), (None,)], "g string"), "g") and folds.has_groups(spark.createDataFrame([("a",)], "g string"), "g")
+    with pytest.raises(ValueError):
+        folds.shuffled(spark.range(3), 5, ["id"])
+
+
+def test_ranks_equal_plain(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 40, 500) / 4
+    d = spark.createDataFrame([(int(i % 3), float(v), float(rng.normal() + v)) for i, v in enumerate(x)], "g int, x double, y double")
+    pdf = d.toPandas()
+    for by in ([], ["g"]):
+        groups = [pdf] if not by else [g for _, g in pdf.groupby("g")]
+        want = sorted(g.x.rank().corr(g.y.rank()) for g in groups)
+        assert sorted(r.rho for r in association.spearman(d, "x", "y", by, p_value=False).collect()) == pytest.approx(want)
+
+
+def test_stepwise_rules(spark):
+    m = linear.moments(tables.cement(spark), ["x1", "x2", "x3", "x4"], "heat")
+    _, steps = linear.stepwise(m)
+    assert steps[0]["action"] == "start" and math.isnan(steps[0]["f"]) and [s["n_terms"] for s in steps] == [0, 1, 2] and steps[-1]["r2"] == pytest.approx(0.9725, abs=1e-4)
+    for bad in ((0.5, 0.05), (0.0, 0.1), (0.1, 1.0)):
+        with pytest.raises(ValueError):
+            linear.stepwise(m, *bad)
+    assert linear.stepwise(m, max_steps=1)[0] == ["x4"]
+
+
+def test_no_intercept(spark):
+    d = spark.createDataFrame([(1.0, 2.0, 3.1), (2.0, 1.0, 3.9), (3.0, 5.0, 9.2), (4.0, 1.0, 6.1)], "a double, b double, y double")
+    fit = linear.fit_ols(d, ["a", "b"], "y", intercept=False)
+    x, y = np.array([(1, 2), (2, 1), (3, 5), (4, 1)], float), np.array([3.1, 3.9, 9.2, 6.1])
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    assert fit.beta == pytest.approx([0, *b]) and fit.stats["tss"] == pytest.approx((y**2).sum()) and fit.stats["rss"] == pytest.approx(((y - x @ b) ** 2).sum())
+    assert [r[0] for r in d.select(fit.predicted()).collect()] == pytest.approx(x @ b) and "no degrees" not in fit.summary()
+    with pytest.raises(ValueError, match="columns"):
+        fit.predicted(["a"])
+
+
+def test_descent_without_standardising(spark):
+    d = spark.createDataFrame([(float(k), 2.0 * k + 1) for k in range(5)], "x double, y double")
+    m = linear.moments(d, ["x"], "y")
+    got = linear.gradient_descent(m, 0.1, 1e-16, 50_000, standardize=False)
+    assert got.beta == pytest.approx([1, 2], abs=1e-4) and [r[0] for r in d.select(got.predicted()).collect()] == pytest.approx([1, 3, 5, 7, 9], abs=1e-3)
+    assert linear.gradient_descent(m, 0.1, 1e-15, intercept=False).beta[0] == 0 and linear.gradient_descent(m, 5.0).status == "diverged"
+
+
+def test_variance_inflation_of_one_collinear_pair(spark):
+    rng = np.random.default_rng(0)
+    d = spark.createDataFrame([(float(a), float(2 * a + 1), float(b), float(c)) for a, b, c in rng.normal(size=(40, 3))], "a double, b double, c double, y double")
+    v = {n: x for n, _, x in diagnostics.variance_inflation(linear.moments(d, ["a", "b", "c"], "y"))}
+    assert v["a"] == v["b"] == math.inf and v["c"] < 2
+
+
+def test_reports(spark):
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(i, float(a), float(2 * a + e)) for i, (a, e) in enumerate(rng.normal(size=(60, 2)))], "k int, x double, y double")
+    fit = linear.fit_ols(d, ["x"], "y")
+    r = diagnostics.residual_report(d, fit, "y", ["k"]).first()
+    residuals = [x[0] for x in d.orderBy("k").select(F.col("y") - fit.predicted()).collect()]
+    w, p = diagnostics.shapiro_wilk(residuals)
+    assert (r.n, r.shapiro_w, r.shapiro_p) == (60, pytest.approx(w), pytest.approx(p)) and r.residual_mean == pytest.approx(0, abs=1e-9) and 0 <= r.breusch_pagan_p <= 1
+    table = diagnostics.influence_table(d, fit, "y", ["k"]).orderBy("residual").collect()
+    q = [x.normal_quantile for x in table]
+    assert q == sorted(q) and q[0] == pytest.approx(special.normal_ppf(0.625 / 60.25))
+    roc = metrics.roc_curve(d.selectExpr("x > 0 AS pos", "y"), F.col("pos"), "y", cap=1.0).orderBy("fpr", "tpr").collect()
+    assert (roc[0].fpr, roc[0].tpr, roc[-1].fpr, roc[-1].tpr) == (0, 0, 1, 1) and len(roc) == 61
+    three = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "a")], "t string, p string")
+    assert metrics.classification(three, "t", "p", "a").first().sensitivity is None
 
 
 def test_shapiro_wilk_of_a_large_user(spark, tmp_path):
