@@ -260,6 +260,7 @@ def fit(learn: DataFrame, lexicon: Lexicon) -> tuple[dict[str, np.ndarray], int]
         share = learn.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == number).select("text")
         pieces = share.mapInArrow(_round(box, number, passes), "piece int, numbers binary")
         rows = pieces.repartition(8, "piece").mapInArrow(_summed, "piece int, numbers binary").collect()  # the size of one state
+        box.destroy()
         if rows:
             state, n = _averaged(np.concatenate([np.frombuffer(r.numbers, float) for r in sorted(rows)]), state)
             seen += n

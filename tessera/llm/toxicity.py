@@ -344,7 +344,7 @@ def _seen(texts: DataFrame, model: dict) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([*map(pa.array, np.concatenate(out).T), batch.column(1)], ["a", "b", "c", "toxic"])
 
     rows = texts.select("text", "toxic").mapInArrow(evidence, "a double, b double, c double, toxic int").collect()
-    box.unpersist()
+    box.destroy()
     return np.array([tuple(r) for r in rows], float).reshape(-1, 4)
 
 
