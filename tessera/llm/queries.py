@@ -63,9 +63,59 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of the URL of every page: the rules' part of operator 2."""
+    host, path = url_filters.parts(F.col("url"))
+    d = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule = url_filters.rule_for(F.col("host"), F.col("path"))
+    return d.select("page_id", "host", "path", rule["rule"].alias("rule"), rule["verdict"].alias("verdict"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base figures and rules of operator 4 for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.base(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and documents of every source, as operator 3 counts them."""
+    plan = mixing.plan(table(spark, sf_dir, "documents"))
+    return plan.select(F.regexp_replace("key", "^s:", "").alias("source"), "n_docs", "tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op6_log_bilinear, op7_license_scans, op8_packing, op9_html_text, op10_ngram_join)}
+    operators = (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op6_log_bilinear, op7_license_scans, op8_packing, op9_html_text, op10_ngram_join)
+    return {f.__name__: f for f in (*operators, url_rules, quality_base, mixing_weights)}
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_URL_RULES = r"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+  p AS (SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM u),
+  r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(verdict, h, p)),
+  m AS (SELECT page_id, host, path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+    FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY page_id, host, path)
+  SELECT page_id, host, path, rule, verdict FROM m"""
+
+_QUALITY_BASE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format('text')} AS w FROM documents),
+  x AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM d, range(1, greatest(len(w) - 1, 1)) t(i) WHERE len(w) >= 3),
+  c AS (SELECT doc_id, g FROM x GROUP BY doc_id, g HAVING count(*) > 1),
+  r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM x JOIN c USING (doc_id, g), range(0, 3) s(k) GROUP BY doc_id),
+  l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: len({_WORDS.format('s')}) > 0) AS lines FROM d)
+  SELECT d.doc_id, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines, coalesce(r.n, 0)::bigint AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+  FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)"""
+
+_NGRAM_JOIN = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 5 THEN w ELSE w[i : i + 4] END) AS g FROM d, range(1, greatest(len(w) - 4, 1) + 1) t(i) WHERE len(w) > 0),
+  n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  e AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2) JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+  r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+  SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)"""
+
+_MIXING_WEIGHTS = f"""SELECT coalesce(source, 'null') AS source, count(*) AS n_docs, sum(len({_WORDS.format('text')}))::bigint AS tokens FROM documents WHERE len({_WORDS.format('text')}) > 0 GROUP BY 1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what of the operators SQL can express; the learned parts are tested against plain versions."""
+    return {"op10_ngram_join": _NGRAM_JOIN, "url_rules": _URL_RULES, "quality_base": _QUALITY_BASE, "mixing_weights": _MIXING_WEIGHTS}
