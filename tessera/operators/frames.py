@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -87,8 +88,8 @@ def power_spectrum(frame: Column, n_fft: int, length: int | None = None) -> Colu
     The cosines and sines are constants of the plan; see ``audio.cepstra`` for a transform of long frames.
     """
     turn, n = 2 * math.pi / n_fft, length or n_fft
-    waves = [(f(turn * k * i) for i in range(n)) for k in range(n_fft // 2 + 1) for f in (math.cos, math.sin)]
-    table = F.array(*[weights([round(v, 15) for v in w]) for w in waves])
+    waves = [[f(turn * k * i) for i in range(n)] for k in range(n_fft // 2 + 1) for f in (math.cos, math.sin)]
+    table = F.from_json(F.lit(json.dumps(waves)), "array<array<double>>")  # folded to one constant
     x = F.transform(frame, lambda v: v.cast("double"))
     parts = F.transform(table, lambda w: dot(x, w))
     square = lambda k: F.pow(F.get(parts, k), F.lit(2.0))
