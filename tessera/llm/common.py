@@ -49,6 +49,18 @@ def cleared(*tables: DataFrame) -> None:
         df.sparkSession.range(0).write.mode("overwrite").parquet(df._stashed)
 
 
+#: Bytes of an Arrow batch: what a Python worker holds of its input at a time, and of its output.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches of the session, so that long texts don't add up in workers; no result depends on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "0").lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def crc_of_id(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of an id written as text; a null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
