@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 
-from tessera.errors import ConfigError
+from tessera.errors import ConfigError, MissingDependencyError
 
 #: Allowed values of settings that have a closed vocabulary.
 ALLOWED = {
@@ -17,6 +17,7 @@ ALLOWED = {
     "analysis.correction": ("holm", "fdr_bh"),
     "analysis.stepwise_start": ("empty", "full"),
     "model.name": ("linear", "ridge", "svr", "random_forest", "mlp", "logistic"),
+    "model.reducer": ("none", "pca", "lda"),
 }
 
 
@@ -27,6 +28,8 @@ class Data:
     folds: int = 5
     repeats: int = 1
     seed: int = 0
+    group: str = ""
+    positive: str = ""
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,8 @@ class Analysis:
 class Model:
     name: str = "ridge"
     alpha: float = 1.0
+    reducer: str = "none"
+    tune: bool = False
 
 
 @dataclass(frozen=True)
@@ -85,8 +90,10 @@ class Config:
 
     @classmethod
     def from_yaml(cls, text: str) -> Config:
-        import yaml
-
+        try:
+            import yaml
+        except ImportError as e:
+            raise MissingDependencyError("reading YAML needs the library yaml") from e
         return cls.from_dict(yaml.safe_load(text) or {})
 
     def to_dict(self) -> dict:
@@ -108,13 +115,16 @@ def _override(section, values: Mapping, prefix: str):
     return replace(section, **new)
 
 
+_WORDS = {"true": True, "false": False, "none": None}
+
+
 def coerce(text: str):
-    """A command line's value: true, false and none, then JSON, then the text."""
+    """A command line's value: one of the words true, false and none, a JSON value, or else the text itself."""
     import json
 
-    if text.lower() in ("true", "false", "none"):
-        return {"true": True, "false": False, "none": None}[text.lower()]
+    if text.lower() in _WORDS:
+        return _WORDS[text.lower()]
     try:
         return json.loads(text)
-    except ValueError:
+    except json.JSONDecodeError:
         return text

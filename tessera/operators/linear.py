@@ -14,13 +14,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.errors import DesignMatrixError
 from tessera.functions.special import f_sf, t_ppf, t_sf
 
 
-class DesignMatrixError(ValueError):
-    """The design has no unique least-squares solution."""
-
-
 @dataclass
 class Moments:
     """Sums of products of [1, z_1 .. z_p, z_y] with z = (x - center) / scale, per group; groups add up."""

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import io
 import math
 import struct
-import wave
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.frames import dct_matrix, frame_sizes, lifter_weights, mel_matrix, window_weights
+from tessera.errors import DatasetError
+from tessera.operators.frames import dct_matrix, deltas, frame_sizes, lifter_weights, mel_matrix, window_weights
+from tessera.operators.pooling import pool
 
 # Bits of an HTK parameter kind.
 HTK_MFCC, HTK_ENERGY, HTK_C0, HTK_DELTA, HTK_ACCELERATION = 6, 0o100, 0o20000, 0o400, 0o1000
@@ -35,23 +35,62 @@ class FrontEnd:
     floor: float = 1e-10
 
 
+#: Named front ends: the default, and one of shorter frames and log energy.
+PRESETS = {"htk_c0": FrontEnd(), "compact": FrontEnd(frame_ms=25.0, hop_ms=10.0, mels=26, low=0.0, window="hamming", energy="log_energy")}
+
+
 def list_audio(spark: SparkSession, root: str) -> DataFrame:
     """path and length of every WAV file below a folder, in path order."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(root)
     return files.select("path", "length").orderBy("path")
 
 
+def _chunks(content: bytes) -> dict[bytes, bytes]:
+    """The named parts of a RIFF file."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError("not a WAV file")
+    found, at = {}, 12
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
+        found.setdefault(name, content[at + 8 : at + 8 + size])
+        at += 8 + size + size % 2
+    return found
+
+
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and mono samples in [-1, 1] of a PCM file of 8, 16 or 32 bits."""
-    with wave.open(io.BytesIO(content)) as w:
-        rate, width, channels, data = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
-    if width == 1:
+    """Sample rate and mono samples of a file of 8, 16, 24 or 32 bits (in [-1, 1]) or of 32- or 64-bit floats; NaN and infinities are errors."""
+    parts = _chunks(content)
+    if b"fmt " not in parts or b"data" not in parts:
+        raise ValueError("the file has no format or no samples")
+    kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", parts[b"fmt "][:16])
+    if kind == 0xFFFE and len(parts[b"fmt "]) >= 26:  # the extensible form names its kind further on
+        kind = struct.unpack("<H", parts[b"fmt "][24:26])[0]
+    width, data = bits // 8, parts[b"data"]
+    if not channels or not width:
+        raise ValueError("the file has no channels or no bits")
+    data = data[: len(data) // (width * channels) * width * channels]
+    if kind == 3 and bits in (32, 64):
+        x = np.frombuffer(data, f"<f{width}").astype(float)
+    elif kind == 1 and bits == 8:
         x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    elif kind == 1 and bits in (16, 32):
+        x = np.frombuffer(data, f"<i{width}").astype(float) / 2.0 ** (bits - 1)
+    elif kind == 1 and bits == 24:
+        three = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16) << 8 >> 8) / 2.0**23
     else:
-        x = np.frombuffer(data, {2: "<i2", 4: "<i4"}[width]).astype(float) / 2 ** (8 * width - 1)
+        raise ValueError(f"samples of kind {kind} with {bits} bits can't be read")
+    if not np.isfinite(x).all():
+        raise ValueError("the samples have NaN or infinite values")
     return rate, x.reshape(-1, channels).mean(1)
 
 
+def trimmed(signal: Column, rate: Column, seconds: float) -> Column:
+    """A signal without so many seconds at either end; an error if nothing would be left."""
+    cut = F.round(rate * F.lit(seconds)).cast("int")
+    return F.when(F.size(signal) > 2 * cut, F.slice(signal, cut + 1, F.size(signal) - 2 * cut)).otherwise(F.raise_error(F.lit(f"nothing is left of a signal after {seconds} s are cut from both ends")).cast("array<double>"))
+
+
 def read_wav(spark: SparkSession, root: str) -> DataFrame:
     """path, sample_rate, signal and error; a file that can't be read has a message and no signal."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][aA][vV]").load(root).select("path", "content")
@@ -63,7 +102,7 @@ def read_wav(spark: SparkSession, root: str) -> DataFrame:
                 try:
                     rate, x = decode_wav(bytes(content))
                     rows.append((path, rate, x, None))
-                except (wave.Error, EOFError, KeyError, ValueError) as e:
+                except (struct.error, ValueError) as e:
                     rows.append((path, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "signal", "error"])
 
@@ -100,6 +139,8 @@ def cepstral_frames(recordings: DataFrame, f: FrontEnd = FrontEnd()) -> DataFram
             for path, rate, signal in zip(batch.path, batch.sample_rate, batch.signal, strict=True):
                 if signal is not None:
                     v = cepstra(np.asarray(signal, float), int(rate), f)
+                    if not len(v):
+                        continue
                     yield pd.DataFrame({"path": path, "frame": np.arange(len(v), dtype=np.int32), "v": list(v)})
 
     return recordings.select("path", "sample_rate", "signal").mapInPandas(run, "path string, frame int, v array<double>")
@@ -110,6 +151,75 @@ def frame_columns(f: FrontEnd = FrontEnd(), delta_order: int = 0) -> list[str]:
     return [p + c for p in ("", "d_", "dd_")[: delta_order + 1] for c in static]
 
 
+def frame_features(recordings: DataFrame, f: FrontEnd = FrontEnd(), delta_order: int = 2) -> DataFrame:
+    """A row per frame of every recording: path, frame, and a column per coefficient, delta and delta of deltas."""
+    names = frame_columns(f)
+    d = cepstral_frames(recordings, f).select("path", "frame", *[F.get("v", k).alias(c) for k, c in enumerate(names)])
+    if delta_order >= 1:
+        d = deltas(d, ["path"], ["frame"], names, 3)
+    if delta_order >= 2:
+        d = deltas(d, ["path"], ["frame"], [f"d_{c}" for c in names], 2, "_")
+        d = d.withColumnsRenamed({f"_d_{c}": f"dd_{c}" for c in names})
+    return d.select("path", "frame", *frame_columns(f, delta_order))
+
+
+def utterance_features(recordings: DataFrame, f: FrontEnd = FrontEnd(), delta_order: int = 2, statistics: Sequence[str] = ("mean", "std"), percentiles: Sequence[float] = (), normalization: str = "none") -> DataFrame:
+    """A row of pooled features per recording; an error names a recording without a whole frame."""
+    pooled = pool(frame_features(recordings, f, delta_order), ["path"], frame_columns(f, delta_order), statistics, percentiles, normalization)
+    short = recordings.select("path").join(pooled.select("path"), "path", "left_anti").limit(1).collect()
+    if short:
+        raise DatasetError(f"{short[0].path} is shorter than a frame")
+    return pooled
+
+
+def extraction_status(recordings: DataFrame, f: FrontEnd = FrontEnd()) -> DataFrame:
+    """path, frames and status (ok, too_short or error) of every recording of ``read_wav``."""
+    frames = cepstral_frames(recordings.where("error IS NULL"), f).groupBy("path").agg(F.count(F.lit(1)).alias("frames"))
+    d = recordings.select("path", "error").join(frames, "path", "left")
+    status = F.when(F.col("error").isNotNull(), "error").when(F.col("frames").isNull(), "too_short").otherwise("ok")
+    return d.select("path", F.coalesce("frames", F.lit(0)).alias("frames"), status.alias("status"), "error")
+
+
+def export_frames(frames: DataFrame, columns: Sequence[str], path: str, kind: str = "parquet", hop: int = 240, rate: int = 16000, htk: int = 8966) -> None:
+    """Frame features as Parquet, as text lines (``%.8e``), or as HTK files' bytes (path, content), a row per recording."""
+    if kind == "parquet":
+        frames.write.mode("overwrite").parquet(path)
+    elif kind == "text":
+        line = F.concat_ws(" ", *[F.format_string("%.8e", F.col(f"`{c}`").cast("double")) for c in columns])
+        frames.select("path", "frame", line.alias("line")).write.mode("overwrite").parquet(path)
+    elif kind == "htk":
+
+        def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            v = pdf.sort_values("frame")[list(columns)].to_numpy(float)
+            return pd.DataFrame({"path": [key[0]], "content": [encode_htk(v, hop, rate, htk)]})
+
+        frames.groupBy("path").applyInPandas(encode, "path string, content binary").write.mode("overwrite").parquet(path)
+    else:
+        raise ValueError(f"kind must be parquet, text or htk, got {kind!r}")
+
+
+def read_htk(spark: SparkSession, root: str) -> DataFrame:
+    """A row per frame of every HTK file below a folder: path, frame, v."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.htk").load(root).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch.path, batch.content, strict=True):
+                v = decode_htk(bytes(content))[2]
+                if not len(v):
+                    continue
+                yield pd.DataFrame({"path": path, "frame": np.arange(len(v), dtype=np.int32), "v": list(v)})
+
+    return files.mapInPandas(run, "path string, frame int, v array<double>")
+
+
+def read_text_frames(spark: SparkSession, root: str) -> DataFrame:
+    """A row per line of numbers of every text file below a folder: path, v (lines that aren't numbers throughout are errors)."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("path"), text_matrix(F.col("value")).alias("v")).where(F.size("v") > 0)
+    bad = F.exists("v", lambda x: x.isNull())
+    return lines.withColumn("v", F.when(bad, F.raise_error(F.concat(F.lit("not numbers: "), "path")).cast("array<double>")).otherwise(F.col("v")))
+
+
 def htk_kind(energy: str = "c0", delta_order: int = 2) -> int:
     return HTK_MFCC | {"c0": HTK_C0, "log_energy": HTK_ENERGY, "none": 0}[energy] | (HTK_DELTA if delta_order >= 1 else 0) | (HTK_ACCELERATION if delta_order >= 2 else 0)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,3 +101,43 @@ _CEMENT_ROWS = [
 
 def cement(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_CEMENT_ROWS, CEMENT)
+
+
+def _table(spark: SparkSession, names: str, columns) -> DataFrame:
+    return spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns, strict=True)], ", ".join(f"{n} double" for n in names.split()))
+
+
+def quadratic_surface_table(spark: SparkSession, n: int = 30, noise: float = 1.0, seed: int = 0) -> DataFrame:
+    """x1, x2 and a quadratic surface over them with normal noise."""
+    rng = np.random.default_rng(seed)
+    x1, x2 = rng.uniform(-3, 3, (2, n))
+    return _table(spark, "x1 x2 y", (x1, x2, 5 + 2 * x1 - 1.5 * x2 - 0.8 * x1**2 + 0.3 * x2**2 + 0.6 * x1 * x2 + noise * rng.standard_normal(n)))
+
+
+def polynomial_table(spark: SparkSession, n: int = 10, coefficients: Sequence[float] = (1.0, -2.0, 0.0, 0.5), noise: float = 0.5, seed: int = 0) -> DataFrame:
+    """Evenly spaced x of [-2, 2] and a polynomial (coefficients by rising power) with normal noise."""
+    x = np.linspace(-2, 2, n)
+    y = sum(c * x**k for k, c in enumerate(coefficients))
+    return _table(spark, "x y", (x, y + noise * np.random.default_rng(seed).standard_normal(n)))
+
+
+def collinear_table(spark: SparkSession, n: int = 40, noise: float = 2.0, seed: int = 0) -> DataFrame:
+    """Four shares that add up to nearly 100, and a response."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([2, 5, 2, 3], n) * rng.uniform(98, 100, (n, 1))
+    return _table(spark, "p1 p2 p3 p4 y", (*p.T, 50 + p @ [1.5, 0.6, 0.1, -0.2] + noise * rng.standard_normal(n)))
+
+
+def first_appearance(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
+    """Different values of a column in the order in which they first come up."""
+    first = df.groupBy(column).agg(F.min(F.struct(*order)).alias("_first"))
+    return first.orderBy("_first").select(column)
+
+
+def tagged_union(tables: dict[str, DataFrame], tag: str = "run") -> DataFrame:
+    """Tables of the same columns under each other, each row with its table's name."""
+    out = None
+    for name, df in tables.items():
+        part = df.withColumn(tag, F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,13 +2,17 @@
 
 import json
 import math
+import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.config import Config, coerce
 from tessera.errors import ConfigError, DatasetError
-from tessera.sources import sinks, tables
+from tessera.operators import linear
+from tessera.sources import audio, sinks, tables
 from tessera.streaming import windows
 
 
@@ -44,10 +48,68 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["stepwise", "--table", table, "--target", "heat"]) == 0
     assert json.loads(capsys.readouterr().out)["selected"] == ["x1", "x4"]
     assert cli.main(["evaluate", "--table", table, "--target", "heat", "--set", "data.folds=3", "--out", str(tmp_path / "e")]) == 0
+    capsys.readouterr()
+    assert cli.main(["train", "--table", table, "--target", "heat", "--set", "model.name=ridge", "--set", "model.tune=true", "--set", "data.folds=3", "--out", str(tmp_path / "m")]) == 0
+    assert len(json.loads(capsys.readouterr().out)["tried"]) == 5
+    assert cli.main(["predict", "--table", table, "--model", str(tmp_path / "m"), "--out", str(tmp_path / "p")]) == 0
+    assert spark.read.parquet(str(tmp_path / "p")).where("predicted IS NOT NULL").count() == 13
+    assert cli.main(["diagnose", "--table", table, "--target", "heat", "--out", str(tmp_path / "d")]) == 0
+    assert cli.main(["descend", "--table", table, "--target", "heat"]) == 0
+    assert cli.main(["ablate", "--table", table, "--target", "heat", "--set", "data.folds=3", "--out", str(tmp_path / "a")]) == 0
+    assert cli.main(["predict", "--table", table, "--model", str(tmp_path / "nothing")]) == 2
+    assert cli.main(["synthesize", "--table", "collinear", "--out", str(tmp_path / "c")]) == 0 and cli.main(["synthesize", "--table", "nope"]) == 2
+    assert cli.main(["evaluate", "--table", table, "--target", "heat", "--set", "model.name=logistic"]) == 2
     assert cli.main(["regress", "--table", table, "--target", "nope"]) == 2
     assert cli.main(["regress", "--table", table, "--target", "heat", "--set", "analysis.nope=1"]) == 2
 
 
+def test_recordings(spark, tmp_path, capsys):
+    """Float and 24-bit files, deltas of every recording, exports and their readers."""
+    tone = np.sin(np.arange(16000) * 0.1)
+    (tmp_path / "w").mkdir()
+    for name, kind, bits, data in (("f.wav", 3, 32, tone.astype("<f4").tobytes()), ("i.wav", 1, 24, (tone * 2**22).astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()), ("s.wav", 1, 16, b"\0" * 40), ("n.wav", 3, 32, np.full(9, np.nan, "<f4").tobytes())):
+        head = struct.pack("<HHIIHH", kind, 1, 16000, 16000 * bits // 8, bits // 8, bits)
+        (tmp_path / "w" / name).write_bytes(b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<I", 16) + head + b"data" + struct.pack("<I", len(data)) + data)
+    d = audio.read_wav(spark, str(tmp_path / "w")).persist()
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in audio.extraction_status(d).collect()} == {"f.wav": "ok", "i.wav": "ok", "s.wav": "too_short", "n.wav": "error"}
+    assert np.allclose(next(r.signal for r in d.collect() if r.path.endswith("i.wav")), tone / 2, atol=1e-6)
+    names = audio.frame_columns(audio.FrontEnd(), 2)
+    frames = audio.frame_features(d.where("error IS NULL")).persist()
+    assert frames.columns == ["path", "frame", *names] and len(names) == 39 and frames.count() == 130
+    with pytest.raises(DatasetError, match="s.wav"):
+        audio.utterance_features(d.where("error IS NULL"))
+    one = d.where("path LIKE '%f.wav'")
+    assert len(audio.utterance_features(one).columns) == 79
+    assert one.select(F.size(audio.trimmed(F.col("signal"), F.col("sample_rate"), 0.1)).alias("n")).first().n == 12800
+    audio.export_frames(frames, names, str(tmp_path / "htk"), "htk")
+    (tmp_path / "h").mkdir()
+    for k, r in enumerate(spark.read.parquet(str(tmp_path / "htk")).collect()):
+        (tmp_path / "h" / f"{k}.htk").write_bytes(r.content)
+    assert audio.read_htk(spark, str(tmp_path / "h")).count() == 130
+    audio.export_frames(frames, names, str(tmp_path / "lines"), "text")
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_text("\n".join(r.line for r in spark.read.parquet(str(tmp_path / "lines")).orderBy("path", "frame").collect()))
+    assert {len(r.v) for r in audio.read_text_frames(spark, str(tmp_path / "t")).collect()} == {39}
+    assert audio.PRESETS["htk_c0"] == audio.FrontEnd() and audio.cepstra(tone, 16000, audio.PRESETS["compact"]).shape[1] == 13
+    assert cli.main(["extract", "--table", str(tmp_path / "w"), "--out", str(tmp_path / "x")]) == 0
+    assert json.loads(capsys.readouterr().out) == {"ok": 2, "too_short": 1, "error": 1}
+
+
+def test_toy_tables(spark):
+    assert linear.fit_ols(tables.quadratic_surface_table(spark, 40, 0.0), ["x1", "x2"], "y").stats["n"] == 40
+    basis = linear.PolynomialBasis.fit(tables.polynomial_table(spark, noise=0.0), "x", 3)
+    raw = linear.fit_ols(basis.transform(tables.polynomial_table(spark, noise=0.0), "x", "raw"), ["p1", "p2", "p3"], "y")
+    assert raw.beta == pytest.approx([1, -2, 0, 0.5], abs=1e-8)
+    shares = tables.collinear_table(spark)
+    assert shares.where("p1 + p2 + p3 + p4 BETWEEN 98 AND 100").count() == 40
+    d = spark.createDataFrame([(2, "b"), (1, "c"), (3, "b"), (4, "a")], "k int, v string")
+    assert [r.v for r in tables.first_appearance(d, "v", ["k"]).collect()] == ["c", "b", "a"]
+    assert tables.tagged_union({"x": d, "y": d}).groupBy("run").count().count() == 2
+    grid = linear.evaluation_grid(spark, (0, 1), (1, 3), 3).collect()
+    assert sorted(map(tuple, grid)) == [(a, b) for a in (0.0, 0.5, 1.0) for b in (1.0, 2.0, 3.0)]
+    assert linear.recommended([{"degree": 1, "bic": 2.0}, {"degree": 2, "bic": 2.0}, {"degree": 3, "bic": math.nan}]) == 1
+
+
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", events_time()).select("ts", "event_type", "value")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
