@@ -56,7 +56,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of Arrow batches of the session, so that long texts don't add up in workers; no result depends on it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "0").lower().rstrip("b")
+    now = spark.conf.get(key).lower().rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
