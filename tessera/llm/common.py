@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: The six white-space characters that separate words, as Spark's trim and translate take them.
 SPACE = " \t\n\x0b\f\r"
 #: Bytes of text that one vectorised step works on; a single longer text is still taken whole.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +50,7 @@ def cleared(*tables: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch: what a Python worker holds of its input at a time, and of its output.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
