@@ -88,12 +88,10 @@ def power_spectrum(frame: Column, n_fft: int, length: int | None = None) -> Colu
     The cosines and sines are constants of the plan; see ``audio.cepstra`` for a transform of long frames.
     """
     turn, n = 2 * math.pi / n_fft, length or n_fft
-    waves = [[f(turn * k * i) for i in range(n)] for k in range(n_fft // 2 + 1) for f in (math.cos, math.sin)]
-    table = F.from_json(F.lit(json.dumps(waves)), "array<array<double>>")  # folded to one constant
-    x = F.transform(frame, lambda v: v.cast("double"))
-    parts = F.transform(table, lambda w: dot(x, w))
-    square = lambda k: F.pow(F.get(parts, k), F.lit(2.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(n_fft // 2)), lambda k: square(2 * k) + square(2 * k + 1))
+    waves = [[[f(turn * k * i) for i in range(n)] for f in (math.cos, math.sin)] for k in range(n_fft // 2 + 1)]
+    table = F.from_json(F.lit(json.dumps(waves)), "array<array<array<double>>>")  # folded to one constant
+    part = lambda w, k: F.pow(dot(frame, F.get(w, F.lit(k))), F.lit(2.0))
+    return F.transform(table, lambda w: part(w, 0) + part(w, 1))
 
 
 def deltas(frames: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], half: int = 3, prefix: str = "d_") -> DataFrame:

@@ -352,7 +352,9 @@ def polynomial_order_sweep(spark, sf_dir):
     d = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x")).join(
         _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("y")), "c_custkey"
     ).withColumn("fold", folds.hashed(5, 3, "c_custkey"))
+    d = d.persist()
     rows = linear.order_sweep(d, "x", "y", 4, "fold")
+    d.unpersist()
     names = ("degree", "n", "rss", "r2", "aic", "bic", "loocv_rmse", "kfold_rmse")
     return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], "degree int, n int, rss double, r2 double, aic double, bic double, loocv_rmse double, kfold_rmse double")
 
