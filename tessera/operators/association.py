@@ -25,6 +25,15 @@ def _p_value(r, n):
     return F.when((F.abs(r) >= 1) & (n > 2), 0.0).otherwise(t_two_sided(t, free))
 
 
+def check_pairs(df: DataFrame, x: str, y: str) -> int:
+    """Number of pairs; an error if they are fewer than three, or if any value is null, NaN or infinite."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad(x) | bad(y)).alias("bad")).first()
+    if row.bad or row.n < 3:
+        raise ValueError(f"{row.n} pairs, {row.bad} of them without two finite values; three finite ones are needed")
+    return row.n
+
+
 def pearson_ci(df: DataFrame, x: str, y: str, by: Sequence[str] = (), confidence: float = 0.95, p_value: bool = True) -> DataFrame:
     """Per group: n, Pearson's r, its Fisher interval and p-value. Rows with a null on either side don't count."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -103,4 +112,4 @@ def feature_correlations(df: DataFrame, features: Sequence[str], target: str, co
     return d.orderBy(F.abs("r").desc_nulls_last(), "ordinal")
 
 
-__all__ = ["adjust", "agreement", "bland_altman_pairs", "feature_correlations", "pearson_ci", "quantile", "rank_correlation", "ratio", "spearman"]
+__all__ = ["adjust", "agreement", "bland_altman_pairs", "check_pairs", "feature_correlations", "pearson_ci", "quantile", "rank_correlation", "ratio", "spearman"]

@@ -47,12 +47,17 @@ def normalize(frames: DataFrame, keys: Sequence[str], columns: Sequence[str], ho
 
 
 def pool(
-    frames: DataFrame, keys: Sequence[str], columns: Sequence[str], statistics: Sequence[str] = STATISTICS, percentiles: Sequence[float] = (), normalization: str = "none"
+    frames: DataFrame, keys: Sequence[str], columns: Sequence[str], statistics: Sequence[str] = STATISTICS, percentiles: Sequence[float] = (), normalization: str = "none", accuracy: int | None = None
 ) -> DataFrame:
-    """One pass over all entities: every statistic of every column, statistic-major; percentiles interpolate linearly."""
+    """One pass over all entities: every statistic of every column, statistic-major; percentiles interpolate linearly.
+
+    Exact percentiles hold an entity's different values in one buffer; with ``accuracy`` they are values whose rank is off by a
+    1/accuracy of the entity's rows at most, from sketches of bounded size.
+    """
     if fixed := constant_statistics(statistics, normalization):
         raise ValueError(f"{', '.join(fixed)} is the same for every entity after {normalization}")
     frames = normalize(frames, keys, columns, normalization)
     made = [_statistic(s, c).alias(f"{s}_{c}") for s in statistics for c in columns]
-    made += [F.percentile(F.col(c), F.lit(q / 100)).alias(f"{percent_label(q)}_{c}") for q in percentiles for c in columns]
+    percentile = lambda c, q: F.percentile_approx(c, F.lit(q / 100), F.lit(accuracy)) if accuracy else F.percentile(F.col(c), F.lit(q / 100))
+    made += [percentile(c, q).alias(f"{percent_label(q)}_{c}") for q in percentiles for c in columns]
     return frames.groupBy(*keys).agg(*made)

@@ -314,6 +314,16 @@ def test_ranks_equal_plain(spark):
         assert sorted(r.rho for r in association.spearman(d, "x", "y", by, p_value=False).collect()) == pytest.approx(want)
 
 
+def test_pairs_and_approximate_percentiles(spark):
+    d = spark.createDataFrame([(1, float(k), float(-k)) for k in range(101)], "g int, x double, y double")
+    assert association.check_pairs(d, "x", "y") == 101
+    for bad in (d.limit(2), d.withColumn("x", F.lit(float("nan"))), d.withColumn("y", F.lit(None).cast("double"))):
+        with pytest.raises(ValueError):
+            association.check_pairs(bad, "x", "y")
+    r = pooling.pool(d, ["g"], ["x"], (), (10, 50), accuracy=1000).first()
+    assert (r.p10_x, r.p50_x) == (10, 50)
+
+
 def test_stepwise_rules(spark):
     m = linear.moments(tables.cement(spark), ["x1", "x2", "x3", "x4"], "heat")
     _, steps = linear.stepwise(m)
