@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, license_scans, log_bilinear, mixing, ngram_join, order_minhash, packing, quality_rules, toxicity, url_filters
+from tessera.llm import conversation_repair, html_text, license_scans, log_bilinear, merkle, mixing, ngram_join, order_minhash, packing, piece_codec, quality_rules, toxicity, url_filters
 from tessera.llm.common import table
 
 
@@ -63,6 +63,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the SentencePiece ids of every whole document and of the text that they decode to."""
+    return piece_codec.piece_codec(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every damaged conversation."""
+    return conversation_repair.conversation_repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document in the dataset's Merkle manifest."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path and rule of the URL of every page: the rules' part of operator 2."""
     host, path = url_filters.parts(F.col("url"))
@@ -84,7 +99,7 @@ def mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op6_log_bilinear, op7_license_scans, op8_packing, op9_html_text, op10_ngram_join)
+    operators = (op1_toxicity, op2_url_filters, op3_mixing, op4_quality_rules, op5_order_minhash, op6_log_bilinear, op7_license_scans, op8_packing, op9_html_text, op10_ngram_join, op11_piece_codec, op12_conversation_repair, op13_merkle)
     return {f.__name__: f for f in (*operators, url_rules, quality_base, mixing_weights)}
 
 
@@ -116,6 +131,69 @@ _NGRAM_JOIN = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_WORDS.forma
 _MIXING_WEIGHTS = f"""SELECT coalesce(source, 'null') AS source, count(*) AS n_docs, sum(len({_WORDS.format('text')}))::bigint AS tokens FROM documents WHERE len({_WORDS.format('text')}) > 0 GROUP BY 1"""
 
 
+def _crc32(text: str) -> str:
+    """crc32 of a text of ASCII characters."""
+    bits = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, i: CASE WHEN (r & 1) = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(a, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT), lambda a, b: {bits}, 4294967295), 4294967295)"
+
+
+def _edit(way: str, cost: str, letter: str) -> str:
+    """A way (ten digits of cost and an audit) with one more edit; ways compare by cost, then audit."""
+    return f"(printf('%010d', left({way}, 10)::BIGINT + {cost}) || substr({way}, 11) || '{letter}')"
+
+
+_BEFORE_U = ("s0", "s1", "s3")
+_CONVERSATIONS = f"""WITH RECURSIVE h AS (SELECT coalesce(conv_id::varchar, ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))")} % 20 AS hit FROM conversations),
+  d AS (SELECT key, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, range(CASE WHEN hit = 3 THEN 2 ELSE 1 END) WHERE hit <> 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, left(role, 1) AS ini FROM d),
+  f AS MATERIALIZED (SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+    lag(ini) OVER (PARTITION BY key ORDER BY i) || ini AS pair FROM o),
+  g AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key),
+  r AS (SELECT key, 0::BIGINT AS i, '0000000000' AS s0, NULL::varchar AS s1, '0000000003I' AS s2, '0000000006II' AS s3 FROM g
+    UNION ALL
+    SELECT key, i, s0, s1, u AS s2, least(s3, {_edit("u", "3", "I")}) AS s3 FROM (SELECT *, least(s2, {", ".join(_edit(s, "3", "I") for s in _BEFORE_U)}) AS u FROM (
+      SELECT r.key, f.i, {_edit("s0", "4", "D")} AS s0, least({_edit("s1", "4", "D")}, CASE WHEN stays AND ini = 's' THEN {_edit("s0", "m", "K")} END) AS s1,
+        least({_edit("s2", "4", "D")}, CASE WHEN stays AND ini = 'u' THEN least({", ".join(_edit(s, "m", "K") for s in _BEFORE_U)}) END, CASE WHEN stays THEN least({", ".join(_edit(s, "m + 3", "R") for s in _BEFORE_U)}) END) AS s2,
+        least({_edit("s3", "4", "D")}, CASE WHEN stays AND ini = 'a' THEN {_edit("s2", "m", "K")} END, CASE WHEN stays THEN {_edit("s2", "m + 3", "R")} END) AS s3
+      FROM r JOIN (SELECT *, fault IN ('t', '-') AS stays, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS m FROM f) f ON f.key = r.key AND f.i = r.i + 1))),
+  b AS (SELECT key, arg_max(least(s0, s3), i) AS way FROM r GROUP BY key),
+  a AS (SELECT key, substr(way, 11) AS audit, left(way, 10)::BIGINT AS cost FROM b),
+  e AS (SELECT key, p, substr(audit, p, 1) AS letter, p - length(replace(left(audit, p), 'I', '')) AS inserted, length(replace(left(audit, p), 'D', '')) - length(replace(audit, 'D', '')) % 2 AS q FROM a, range(1, length(audit) + 1) t(p)),
+  x AS (SELECT e.key, string_agg(CASE WHEN letter = 'K' THEN f.role WHEN q % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY p) AS said
+    FROM e LEFT JOIN f ON f.key = e.key AND f.i = e.p - e.inserted WHERE letter <> 'D' GROUP BY e.key)
+  SELECT c.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal,
+    coalesce(cost, 0)::bigint AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id, coalesce(conv_id::varchar, ' ') AS key FROM conversations) c LEFT JOIN g USING (key) LEFT JOIN a USING (key) LEFT JOIN x USING (key)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id::varchar", "source", "lang", f"({n_chars})::varchar", "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """The nodes of all levels of every tree of ``leaves`` (k, pos, d, n)."""
+    return f"{name} AS (SELECT k, 0::BIGINT AS lvl, pos, d, n FROM {leaves} UNION ALL SELECT k, lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY k, lvl, pos // 2, n)"
+
+
+def _sides(nodes: str, at: str, key: str) -> str:
+    """Per level the sibling of a node with its side, ``-`` for none."""
+    return f"SELECT a.id, v.lvl, CASE WHEN s.d IS NULL THEN '-' WHEN s.pos < ({at} >> v.lvl) THEN 'L' || s.d ELSE 'R' || s.d END AS side FROM l a JOIN tops t ON t.tree = a.k JOIN (SELECT DISTINCT k, lvl FROM {nodes} WHERE n > 1) v ON v.k = {key} LEFT JOIN {nodes} s ON s.k = v.k AND s.lvl = v.lvl AND s.pos = xor({at} >> v.lvl, 1::BIGINT)"
+
+
+_MERKLE = f"""WITH RECURSIVE x AS (SELECT doc_id, coalesce('=' || lang, '') AS k, {_leaf("n_chars")} AS d, CASE WHEN {_crc32("doc_id::varchar")} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS given FROM documents),
+  l AS MATERIALIZED (SELECT *, row_number() OVER () AS id, (row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, d) - 1)::BIGINT AS pos, count(*) OVER (PARTITION BY k) AS n FROM x),
+  {_levels("t", "l")}, tops AS MATERIALIZED (SELECT k AS tree, d AS subroot, (row_number() OVER (ORDER BY k) - 1)::BIGINT AS pos FROM t WHERE n = 1),
+  y AS (SELECT '' AS k, pos, subroot AS d, count(*) OVER () AS n FROM tops), {_levels("u", "y")},
+  w AS (SELECT 0 AS part, * FROM ({_sides("t", "a.pos", "a.k")}) UNION ALL SELECT 1, * FROM ({_sides("u", "t.pos", "''")})),
+  p AS (SELECT id, list(side ORDER BY part, lvl) AS way FROM w GROUP BY id),
+  z AS (SELECT l.*, coalesce(way, []) AS way FROM l LEFT JOIN p USING (id)),
+  q AS (SELECT z.*, subroot, (SELECT d FROM u WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(way, lambda s: substr(s, 2)), ''), '')) AS proof_sha256,
+    list_reduce(way, lambda h, s: CASE s[1] WHEN 'L' THEN sha256(substr(s, 2) || h) WHEN 'R' THEN sha256(h || substr(s, 2)) ELSE sha256(h) END, given) AS folded_root FROM z JOIN tops ON tree = k)
+  SELECT doc_id, d AS leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what of the operators SQL can express; the learned parts are tested against plain versions."""
-    return {"op10_ngram_join": _NGRAM_JOIN, "url_rules": _URL_RULES, "quality_base": _QUALITY_BASE, "mixing_weights": _MIXING_WEIGHTS}
+    return {"op10_ngram_join": _NGRAM_JOIN, "op12_conversation_repair": _CONVERSATIONS, "op13_merkle": _MERKLE, "url_rules": _URL_RULES, "quality_base": _QUALITY_BASE, "mixing_weights": _MIXING_WEIGHTS}
