@@ -33,7 +33,7 @@ from tessera.llm.common import shared_folder, small_batches, span_hash, span_sum
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Letters of text of a unit (a longer text is a unit by itself), and bytes of text whose distinct chunks are one slice on average.
-UNIT_BYTES, SLICE_BYTES = 8 << 20, 64 << 20
+UNIT_BYTES, SLICE_BYTES = 8 << 20, 24 << 20
 
 
 class Model:
@@ -190,29 +190,48 @@ def _segmented(path: str, step: int = 20_000):
             at += len(chunks)
             rows.append((pack(counts[own]), pack(flat[spread(starts[own], counts[own])])))
         c, i = zip(*rows, strict=True)
+        pa.default_memory_pool().release_unused()
         return pa.table({"unit": table.column("unit"), "slice": table.column("slice"), "counts": pa.array(c, pa.binary()), "ids": pa.array(i, pa.binary())})
 
     return run
 
 
-_ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+#: Chunks of the documents that one batch of results holds at most, a longer one aside.
+BATCH_CHUNKS = 1 << 16
+
+
+def _joined(path: str, decoded: bool):
+    kinds = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *[("decoded", pa.string())] * decoded]
+
+    def run(key: tuple, units: pa.Table, answers: pa.Table) -> pa.Table:
+        """The ids of a unit's documents, its chunks' ids put in order by position, in batches of bounded size."""
+        answers = answers.sort_by("slice")
+        parts = lambda name: np.concatenate([np.zeros(0, np.int32), *(unpack(x.as_py())[0] for x in answers.column(name))])
+        answered, flat = parts("counts"), parts("ids")
+        codes, where = (unpack(units.column(c)[0].as_py())[0] for c in ("codes", "slices"))
+        if len(answered) != len(where):
+            raise RuntimeError(f"{len(answered)} of {len(where)} chunks of unit {key[0].as_py()} were answered")
+        order = np.argsort(where, kind="stable")
+        counts, starts = np.empty_like(answered), np.empty_like(answered)
+        counts[order], starts[order] = answered, np.cumsum(answered) - answered
+        doc_ids, sizes = units.column("doc_ids")[0].values, units.column("sizes")[0].values.to_numpy()
+        ends, lo, batches = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), 0, []
+        library = Model.at(path).library
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + BATCH_CHUNKS, "right")) - 1)
+            own = codes[ends[lo] : ends[hi]]
+            each = counts[own]
+            ids = flat[spread(starts[own], each)]
+            cuts = np.concatenate([[0], np.cumsum(each)])[ends[lo : hi + 1] - ends[lo]]
+            columns = [doc_ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded:
+                columns.append(pa.array([library.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(cuts, cuts[1:], strict=False)], pa.string()))
+            batches.append(pa.RecordBatch.from_arrays(columns, schema=pa.schema(kinds)))
+            lo = hi
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(batches, pa.schema(kinds))
 
-
-def _joined(key: tuple, units: pa.Table, answers: pa.Table) -> pa.Table:
-    """The ids of a unit's documents, its chunks' ids put in order by position."""
-    answers = answers.sort_by("slice")
-    parts = lambda name: np.concatenate([np.zeros(0, np.int32), *(unpack(x.as_py())[0] for x in answers.column(name))])
-    answered, flat = parts("counts"), parts("ids")
-    codes, where = (unpack(units.column(c)[0].as_py())[0] for c in ("codes", "slices"))
-    if len(answered) != len(where):
-        raise RuntimeError(f"{len(answered)} of {len(where)} chunks of unit {key[0].as_py()} were answered")
-    order = np.argsort(where, kind="stable")
-    counts, starts = np.empty_like(answered), np.empty_like(answered)
-    counts[order], starts[order] = answered, np.cumsum(answered) - answered
-    sizes, each = units.column("sizes")[0].values.to_numpy(), counts[codes]
-    ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(sizes)])]
-    ids = flat[spread(starts[codes], each)]
-    return pa.table([units.column("doc_ids")[0].values, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], _ENCODED)
+    return run
 
 
 def _bucketed(units: DataFrame) -> DataFrame:
@@ -224,14 +243,17 @@ def _bucketed(units: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def encode(docs: DataFrame, model: str = "", unit_bytes: int = UNIT_BYTES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """doc_id and ids of every row of ``docs`` (doc_id, text), as the library's ``encode`` gives them without begin or end ids."""
+def encode(docs: DataFrame, model: str = "", unit_bytes: int = UNIT_BYTES, slice_bytes: int = SLICE_BYTES, decoded: bool = False) -> DataFrame:
+    """doc_id and ids of every row of ``docs`` (doc_id, text), as the library's ``encode`` gives them without begin or end ids.
+
+    With ``decoded`` also the text that its ``decode`` makes of them.
+    """
     small_batches(docs.sparkSession)
     path = model or public_tokenizers.path(MODEL)
     slices = max(1, round((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / slice_bytes))
     units = _bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_units(path, unit_bytes, slices), _UNIT))
     answers = units.select("unit", "chunks", "slices").mapInArrow(_asked, _ASKED).groupBy("slice").applyInArrow(_segmented(path), _ANSWERED)
-    return units.drop("chunks").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_joined, "doc_id bigint, ids array<int>")
+    return units.drop("chunks").groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(_joined(path, decoded), "doc_id bigint, ids array<int>" + ", decoded string" * decoded)
 
 
 def _decoded(path: str):
@@ -254,6 +276,6 @@ def decode(encoded: DataFrame, model: str = "") -> DataFrame:
 
 def piece_codec(docs: DataFrame, model: str = "") -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the decoded text of every document."""
-    found = decode(encode(docs, model), model)
+    found = encode(docs, model, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -54,8 +54,13 @@ def test_chunks_leave_the_library_s_ids(library):
 
 
 @pytest.mark.parametrize("unit_bytes", [1, 900, 1 << 24])
-def test_ids_and_texts_equal_the_library_s(docs, library, unit_bytes):
-    got = piece_codec.decode(piece_codec.encode(docs, unit_bytes=unit_bytes, slice_bytes=2000)).collect()
+def test_ids_and_texts_equal_the_library_s(docs, library, unit_bytes, monkeypatch):
+    monkeypatch.setattr(piece_codec, "BATCH_CHUNKS", 50)
+    got = piece_codec.encode(docs, unit_bytes=unit_bytes, slice_bytes=2000, decoded=True)
+    again = piece_codec.decode(got.select("doc_id", "ids"))
+    assert got.columns == again.columns
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
+    got = got.collect()
     want = [(r.doc_id, library.encode(r.text or ""), library.decode(library.encode(r.text or "")) if r.text else "") for r in docs.collect()]
     assert sorted(((r.doc_id, list(r.ids), r.decoded) for r in got), key=str) == sorted(want, key=str)
 
