@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Config, coerce
-from tessera.operators import ablation, association, diagnostics, folds, linear, metrics, models, pooling
+from tessera.operators import ablation, association, diagnostics, folds, linear, metrics, models, nested, pooling
 from tessera.sources import audio, sinks, tables
 
 
@@ -88,9 +88,13 @@ def features(args, config, spark):
 def match(args, config, spark):
     """Ids of a table matched to the recordings below a folder (``--model``)."""
     ids = _read(spark, args.table).select(F.col(args.key or "id").cast("string").alias("id"))
-    out = tables.match_ids(ids, audio.list_audio(spark, args.model).select("path"))
+    files = audio.list_audio(spark, args.model).select("path")
+    out = tables.match_ids(ids, files).persist()
     sinks.write_csv(out, args.out)
-    return {r.status: r["count"] for r in out.groupBy("status").count().collect()}
+    found = {r.status: r["count"] for r in out.groupBy("status").count().collect()}
+    unused = tables.check_matches(out, files).count()
+    out.unpersist()
+    return found | {"unused": unused}
 
 
 def correlate(args, config, spark):
@@ -108,14 +112,17 @@ def regress(args, config, spark):
 
 
 def diagnose(args, config, spark):
-    """Residual report, influence of every row, and collinearity."""
-    d, x = _analysis(args, spark)
-    m = linear.moments(d, x, args.target)
-    fit = linear.least_squares(m, config.analysis.confidence)
-    order = [*x, args.target]
-    sinks.write_csv(diagnostics.influence_table(d.withColumn("_order", F.xxhash64(*order)), fit, args.target, ["_order"]), args.out)
-    report = diagnostics.residual_report(d, fit, args.target, order).first().asDict()
-    return {"residuals": report, "vif": {t: v for t, _, v in diagnostics.variance_inflation(m)} if len(x) > 1 else {}, "condition_number": diagnostics.condition_number(m)}
+    """Residual report in the table's own row order (or by ``--order``), influence of every row, and collinearity."""
+    order = [c for c in (args.order or "").split(",") if c]
+    raw = _read(spark, args.table)
+    d, x = tables.analysis_table(raw if order else tables.with_place(raw), args.target, _columns(args), order or tables.PLACE)
+    d = tables.with_row_number(d, order or tables.PLACE).select("row", *order, args.target, *x).persist()
+    fit = linear.fit_ols(d, x, args.target, config.analysis.confidence)
+    sinks.write_csv(diagnostics.influence_table(d, fit, args.target, ["row", *order]), args.out)
+    report = diagnostics.residual_report(d, fit, args.target, ["row"]).first().asDict()
+    inflation = {t: v for t, _, v in diagnostics.variance_inflation(linear.moments(d, x, args.target))} if len(x) > 1 else {}
+    d.unpersist()
+    return {"residuals": report, "vif": inflation, "condition_number": diagnostics.condition_number(fit)}
 
 
 def stepwise(args, config, spark):
@@ -141,12 +148,17 @@ def evaluate(args, config, spark):
     d, x = _task_table(args, config, spark)
     task, m = config.data.task, config.model
     positive = _positive(config)
-    p = models.cross_validate(d, x, args.target, m.name, task, {"alpha": m.alpha} if m.name == "ridge" else {}, reducer=m.reducer, seed=config.data.seed)
+    fixed, other = {"alpha": m.alpha} if m.name == "ridge" else {}, {"reducer": m.reducer, "seed": config.data.seed}
+    chosen = []
+    if m.tune:
+        p, chosen = nested.cross_validate(d, x, args.target, m.name, task, inner=m.inner, group=config.data.group or None, fixed=fixed, **other)
+    else:
+        p = models.cross_validate(d, x, args.target, m.name, task, fixed, **other)
     out = models.evaluated(p, args.target, task, "fold", positive, None if positive is None else f"score_{positive}").persist()
     sinks.write_csv(out.orderBy("fold"), args.out)
     found = out.where("fold IS NULL").first().asDict()
     out.unpersist()
-    return found
+    return found | ({"tuned": [{k: c[k] for k in ("fold", "settings", "score")} for c in chosen]} if chosen else {})
 
 
 def train(args, config, spark):
@@ -204,6 +216,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--target")
     parser.add_argument("--key", default="")
     parser.add_argument("--columns")
+    parser.add_argument("--order", help="columns, separated by commas, that order the rows; by default their order in the files")
     parser.add_argument("--config", help="a YAML file")
     parser.add_argument("--set", action="append", metavar="SECTION.NAME=VALUE")
     parser.add_argument("--seed", type=int)

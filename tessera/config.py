@@ -66,6 +66,7 @@ class Model:
     alpha: float = 1.0
     reducer: str = "none"
     tune: bool = False
+    inner: int = 3
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,8 @@ class Config:
                 raise ConfigError(f"{key} must be one of {', '.join(map(str, allowed))}, got {value!r}")
         if self.data.folds < 2:
             raise ConfigError("data.folds must be 2 at least")
+        if self.model.inner < 2:
+            raise ConfigError("model.inner must be 2 at least")
 
     @classmethod
     def from_dict(cls, values: Mapping) -> Config:

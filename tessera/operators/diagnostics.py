@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import ranks
+from tessera.functions import halo, ranks
 from tessera.functions.special import chi2_sf, normal_quantile, normal_sf
 from tessera.functions.stats import ratio
 from tessera.operators.linear import LeastSquares, Moments, fit_ols
@@ -22,11 +22,11 @@ def jarque_bera(x: Column | str) -> tuple[Column, Column]:
     return jb, F.exp(-jb / 2)
 
 
-def durbin_watson(df: DataFrame, residual: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Per group, over the stated order of rows; NULL where all residuals are 0."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    step = F.col(residual) - F.lag(residual).over(w)
-    d = df.select(*by, F.col(residual).alias("_e"), step.alias("_step"))
+def durbin_watson(df: DataFrame, residual: str, order: Sequence[str], by: Sequence[str], rows: int = halo.RANGE_ROWS) -> DataFrame:
+    """Per group, over the stated order of rows; NULL where all residuals are 0. A group of any length is cut into ranges."""
+    d = halo.with_halo(df.select(*by, *[c for c in order if c not in by], F.col(residual).alias("_e")), by, order, ["_e"], 1, 0, rows)
+    step = F.col("_e") - F.lag("_e").over(Window.partitionBy(*by, halo.RANGE).orderBy(*order))
+    d = d.withColumn("_step", step).where(~F.col(halo.HALO))
     return d.groupBy(*by).agg(ratio(F.sum(F.col("_step") * F.col("_step")), F.sum(F.col("_e") * F.col("_e"))).alias("durbin_watson"))
 
 
@@ -41,10 +41,14 @@ def influence(df: DataFrame, fit: LeastSquares, y: str) -> DataFrame:
 
 
 def normal_scores(df: DataFrame, residual: str, tiebreak: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Adds the normal quantile of every residual's rank in its group."""
-    w = Window.partitionBy(*by)
-    place = (F.row_number().over(w.orderBy(residual, *tiebreak)) - 0.375) / (F.count(F.lit(1)).over(w) + 0.25)
-    return df.withColumn("normal_quantile", normal_quantile(place))
+    """Adds the normal quantile of every residual's rank in its group; ranks are numbered by ranges."""
+    d = ranks.numbered(df, [residual, *tiebreak], list(by), ranks.numeric_range(df, residual))
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)], "_n")
+    same = F.lit(True)
+    for k, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_g{k}"))
+    score = normal_quantile((F.col("_number") + 1 - 0.375) / (F.col("_n") + 0.25))
+    return d.join(sizes, same).withColumn("normal_quantile", score).drop("_number", "_n", *[f"_g{k}" for k in range(len(by))])
 
 
 def breusch_pagan(df: DataFrame, fit: LeastSquares, y: str) -> tuple[float, float]:
@@ -72,14 +76,9 @@ def variance_inflation(m: Moments) -> list[tuple[str, float, float]]:
     return out
 
 
-def condition_number(m: Moments) -> float:
-    """Ratio of the largest to the least singular value of the original design with intercept."""
-    p, g = len(m.names), m.total
-    back = np.eye(p + 1)
-    for k in range(p):
-        back[k + 1, k + 1], back[0, k + 1] = m.scale[k], m.center[k]
-    values = np.linalg.eigvalsh(back.T @ g[: p + 1, : p + 1] @ back)
-    return math.inf if values[0] <= 0 else float(math.sqrt(values[-1] / values[0]))
+def condition_number(fit: LeastSquares) -> float:
+    """Ratio of the largest to the least singular value of the original design, with its intercept if it has one."""
+    return fit.stats["condition_number"]
 
 
 def _royston(n: int, mm: float, last: float, before: float) -> tuple[float, float, float]:
@@ -159,20 +158,27 @@ def shapiro_wilk_table(df: DataFrame, value: str, by: Sequence[str], tiebreak: S
     return sums.withColumn("_t", test("n", "mm", "ss", "s1", "s2", F.coalesce("inner", F.lit(0.0)), F.coalesce("inmost", F.lit(0.0)), "e1", "e2", "f2", "f1")).select(*by, "n", "_t.w", "_t.p_value")
 
 
-def residual_report(df: DataFrame, fit: LeastSquares, y: str, order: Sequence[str]) -> DataFrame:
-    """One row: n, mean and deviation of the residuals, Shapiro-Wilk, Jarque-Bera, Breusch-Pagan and Durbin-Watson; NULL where undefined."""
-    d = df.withColumn("_residual", F.col(y) - fit.predicted()).withColumn("_all", F.lit(0))
+def residual_report(df: DataFrame, fit: LeastSquares, y: str, order: Sequence[str], rows: int = halo.RANGE_ROWS) -> DataFrame:
+    """One row of the tests of a fit's residuals; NULL where undefined.
+
+    n, mean and deviation of the residuals, Shapiro-Wilk, Jarque-Bera, Durbin-Watson in the stated ``order`` of rows,
+    Breusch-Pagan, the largest leverage and Cook's distance, and the design's condition number.
+    """
+    d = influence(df, fit, y).withColumnRenamed("residual", "_residual")
     e = F.col("_residual")
     jb, jb_p = jarque_bera("_residual")
-    spread = d.agg(F.count(e).alias("n"), F.avg(e).alias("residual_mean"), F.stddev_samp(e).alias("residual_sd"), jb.alias("jarque_bera"), jb_p.alias("jarque_bera_p"))
+    spread = d.agg(
+        F.count(e).alias("n"), F.avg(e).alias("residual_mean"), F.stddev_samp(e).alias("residual_sd"), jb.alias("jarque_bera"), jb_p.alias("jarque_bera_p"),
+        F.max("leverage").alias("max_leverage"), F.max("cooks").alias("max_cooks_distance"),
+    )
     try:
         lm, lm_p = breusch_pagan(df, fit, y)
     except ValueError:
         lm = lm_p = math.nan
     clean = lambda v: F.lit(None if math.isnan(v) else v).cast("double")
-    out = spread.join(shapiro_wilk_table(d, "_residual", ["_all"], list(order)).select(F.col("w").alias("shapiro_w"), F.col("p_value").alias("shapiro_p")))  # one row and one row
-    out = out.join(durbin_watson(d, "_residual", list(order), ["_all"]).select("durbin_watson"))
-    return out.withColumns({"breusch_pagan": clean(lm), "breusch_pagan_p": clean(lm_p)})
+    out = spread.join(shapiro_wilk_table(d, "_residual", [], list(order)).select(F.col("w").alias("shapiro_w"), F.col("p_value").alias("shapiro_p")), how="left")  # one row and one row
+    out = out.join(durbin_watson(d, "_residual", list(order), [], rows), how="left")
+    return out.withColumns({"breusch_pagan": clean(lm), "breusch_pagan_p": clean(lm_p), "condition_number": clean(condition_number(fit))})
 
 
 def influence_table(df: DataFrame, fit: LeastSquares, y: str, tiebreak: Sequence[str]) -> DataFrame:

@@ -38,15 +38,34 @@ def shuffled(df: DataFrame, k: int, ids: list[str], seed: int = 0) -> DataFrame:
     return d.withColumn("fold", (F.col("_number") % k).cast("int")).drop("_key", "_number")
 
 
+def within(df: DataFrame, k: int, by: list[str], ids: list[str], seed: int = 0, out: str = "fold") -> DataFrame:
+    """Adds a fold of k: the rows of each class of ``by`` (few classes) are dealt out by themselves, starting where the class before ended."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))  # a row a class
+    start = F.coalesce(F.sum("_n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*[F.col(b).alias(f"_class{i}") for i, b in enumerate(by)], start.alias("_first"))
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_class{i}"))
+    d = df.withColumn("_key", shuffle_key(seed, *ids)).join(F.broadcast(starts), same)
+    d = ranks.numbered(d, ["_key", *ids], by, ranks.hex_range(F.col("_key")))
+    return d.withColumn(out, ((F.col("_first") + F.col("_number")) % k).cast("int")).drop("_first", "_key", "_number", *[f"_class{i}" for i in range(len(by))])
+
+
 def stratified(df: DataFrame, k: int, label: str, ids: list[str], seed: int = 0) -> DataFrame:
     """Adds fold; each class is dealt out by itself, starting where the class before it ended."""
     check(df, k, label=label)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))  # a row a class
-    start = F.coalesce(F.sum("_n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col(label).alias("_label"), start.alias("_first"))
-    d = df.withColumn("_key", shuffle_key(seed, *ids)).join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("_label")))
-    d = ranks.numbered(d, ["_key", *ids], [label], ranks.hex_range(F.col("_key")))
-    return d.withColumn("fold", ((F.col("_first") + F.col("_number")) % k).cast("int")).drop("_label", "_first", "_key", "_number")
+    return within(df, k, [label], ids, seed)
+
+
+def inner(df: DataFrame, k: int, ids: list[str], seed: int = 0, fold: str = "fold", group: str | None = None, label: str | None = None, out: str = "inner") -> DataFrame:
+    """Adds a second fold of k within each fold, so that the training rows of every fold hold all inner folds in equal shares.
+
+    Whole groups stay together; classes of ``label`` are balanced where there are no groups.
+    """
+    if not group:
+        return within(df, k, [fold, *([label] if label else [])], ids, seed, out)
+    groups = within(df.groupBy(group).agg(F.min(fold).alias(fold)), k, [fold], [group], seed, out)
+    return df.join(groups.select(F.col(group).alias("_group"), out), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def dealt(loads: list[int], size: int, n: int) -> list[tuple[int, list[int]]]:

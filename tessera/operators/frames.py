@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import halo
+
 WINDOWS = ("hamming_symmetric", "hamming", "hann", "rectangular")
 
 
@@ -94,15 +96,19 @@ def power_spectrum(frame: Column, n_fft: int, length: int | None = None) -> Colu
     return F.transform(table, lambda w: part(w, 0) + part(w, 1))
 
 
-def deltas(frames: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], half: int = 3, prefix: str = "d_") -> DataFrame:
-    """Adds regression deltas over ``half`` frames to each side; the first and the last frame are repeated past the ends."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def deltas(frames: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], half: int = 3, prefix: str = "d_", rows: int = halo.RANGE_ROWS) -> DataFrame:
+    """Adds regression deltas over ``half`` frames to each side; the first and the last frame are repeated past the ends.
+
+    An entity of any length is cut into ranges of about ``rows`` frames with a halo of ``half`` frames on each side.
+    """
+    d = halo.with_halo(frames, keys, order, columns, half, half, rows)
+    w = Window.partitionBy(*keys, halo.RANGE).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     below = 2 * sum(n * n for n in range(1, half + 1))
     made = {}
-    for c in columns:
+    for c in columns:  # where a range has no frame so far ahead or back, the entity has none: its first or last one is in range
         steps = [
             n * (F.coalesce(F.lead(c, n).over(w), F.last(c).over(whole)) - F.coalesce(F.lag(c, n).over(w), F.first(c).over(whole))) for n in range(1, half + 1)
         ]
         made[f"{prefix}{c}"] = sum(steps[1:], steps[0]) / F.lit(float(below))
-    return frames.withColumns(made)
+    return d.withColumns(made).where(~F.col(halo.HALO)).drop(halo.RANGE, halo.HALO)

@@ -21,6 +21,38 @@ ROUNDS, EPOCHS, STEP = 10, 30, 64
 _PIECE = 1 << 14
 
 
+def learns(codes: np.ndarray, key: int, inner: int = 0) -> np.ndarray:
+    """Which rows the model of a key learns from: those of the other folds; of the other inner folds, too, where codes and keys hold both (fold * inner + inner fold)."""
+    if not inner:
+        return codes != key
+    return (codes // inner != key // inner) & (codes % inner != key % inner)
+
+
+def judged(codes: np.ndarray, key: int, inner: int) -> np.ndarray:
+    """Which rows judge the model of an outer and inner fold: those of the inner fold outside of the outer one."""
+    return (codes // inner != key // inner) & (codes % inner == key % inner)
+
+
+def squared_errors(df: DataFrame, x: Sequence[str], y: str, code: str, models: dict[int, list[tuple[SupportVectors | Network, dict]]], inner: int) -> dict[int, list[float]]:
+    """Mean squared error of the models of every key (a list, one per setting) on the rows that judge them, in one pass; NaN without rows."""
+    keys = list(models)
+
+    def add(v: np.ndarray, _: int) -> np.ndarray:
+        out = []
+        for k in keys:
+            z = v[judged(v[:, -1], k, inner)]
+            out.append(float(len(z)))
+            out += [float(((kernel.predict(state, z[:, :-2]) - z[:, -2]) ** 2).sum()) if len(z) else 0.0 for kernel, state in models[k]]
+        return np.array(out)
+
+    sums, at, found = summed(df, [*x, y, code], add), 0, {}
+    for k in keys:
+        n, part = sums[at], sums[at + 1 : at + 1 + len(models[k])]
+        found[k] = (part / n).tolist() if n else [float("nan")] * len(part)
+        at += 1 + len(models[k])
+    return found
+
+
 def summed(df: DataFrame, columns: Sequence[str], add: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
     """Sum over all partitions of what ``add`` makes of their rows (a matrix of the columns, and the partition's number)."""
 
@@ -48,14 +80,14 @@ def summed(df: DataFrame, columns: Sequence[str], add: Callable[[np.ndarray, int
     return np.concatenate([np.frombuffer(r.numbers, float) for r in sorted(rows, key=lambda r: r.piece)]) if rows else np.zeros(0)
 
 
-def _scales(df: DataFrame, x: Sequence[str], y: str, fold: str, keys: Sequence[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _scales(df: DataFrame, x: Sequence[str], y: str, fold: str, keys: Sequence[int], inner: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Means and deviations of predictors and target over the training rows of every key."""
     p = len(x) + 1
 
     def add(v: np.ndarray, _: int) -> np.ndarray:
         out = []
         for k in keys:
-            z = v[v[:, p] != k, :p]
+            z = v[learns(v[:, p], k, inner), :p]
             out += [[len(z)], z.sum(0), (z**2).sum(0)]
         return np.concatenate(out)
 
@@ -84,15 +116,15 @@ class SupportVectors:
         w, b = rng.normal(0, np.sqrt(2 * gamma), (z.shape[1], self.features)), rng.uniform(0, 2 * np.pi, self.features)
         return np.hstack([np.sqrt(2 / self.features) * np.cos(z @ w + b), np.ones((len(z), 1))])
 
-    def fit(self, df: DataFrame, x: Sequence[str], y: str, fold: str, keys: Sequence[int]) -> dict[int, dict]:
-        scales, q = _scales(df, x, y, fold, keys), self.features + 1
+    def fit(self, df: DataFrame, x: Sequence[str], y: str, fold: str, keys: Sequence[int], inner: int = 0) -> dict[int, dict]:
+        scales, q = _scales(df, x, y, fold, keys, inner), self.features + 1
         weights = {k: None for k in keys}
         for _ in range(PASSES):
 
             def add(v: np.ndarray, _: int, weights=weights) -> np.ndarray:
                 out = []
                 for k in keys:
-                    z = (v[v[:, -1] != k, :-1] - scales[k][0]) / scales[k][1]
+                    z = (v[learns(v[:, -1], k, inner), :-1] - scales[k][0]) / scales[k][1]
                     h, t = self.map(z[:, :-1]), z[:, -1]
                     if weights[k] is None:
                         a, target = np.ones(len(t)), t
@@ -141,8 +173,8 @@ class Network:
                 theta = theta - self.rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
         return theta
 
-    def fit(self, df: DataFrame, x: Sequence[str], y: str, fold: str, keys: Sequence[int]) -> dict[int, dict]:
-        scales, p, rng = _scales(df, x, y, fold, keys), len(x), np.random.default_rng(self.seed)
+    def fit(self, df: DataFrame, x: Sequence[str], y: str, fold: str, keys: Sequence[int], inner: int = 0) -> dict[int, dict]:
+        scales, p, rng = _scales(df, x, y, fold, keys, inner), len(x), np.random.default_rng(self.seed)
         first = np.concatenate([rng.normal(0, 1 / np.sqrt(p), p * self.hidden), np.zeros(self.hidden), rng.normal(0, 1 / np.sqrt(self.hidden), self.hidden), [0.0]])
         theta = {k: first for k in keys}
         for number in range(ROUNDS):
@@ -150,7 +182,7 @@ class Network:
             def add(v: np.ndarray, part: int, theta=theta, number=number) -> np.ndarray:
                 out = []
                 for k in keys:
-                    z = (v[v[:, -1] != k, :-1] - scales[k][0]) / scales[k][1]
+                    z = (v[learns(v[:, -1], k, inner), :-1] - scales[k][0]) / scales[k][1]
                     new = self._steps(theta[k], z[:, :-1], z[:, -1], np.random.default_rng([self.seed, number, part])) if len(z) else theta[k]
                     out.append(np.append(new * len(z), len(z)))
                 return np.concatenate(out)

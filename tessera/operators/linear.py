@@ -1,7 +1,8 @@
-"""Least squares from one pass of sufficient statistics, polynomial and quadratic designs, selection, gradient descent.
+"""Least squares, polynomial and quadratic designs, selection, gradient descent.
 
-Rows are reduced in Spark to the moments of centred and scaled columns (a p by p matrix); everything after that is
-driver algebra of that size. Row-level results are column expressions.
+Rows are reduced in Spark to a matrix the size of the columns: to the triangle of a QR for a fit with its statistics, or
+to the moments of centred and scaled columns for what needs sums that add up (folds, selection, descent). Everything after
+that is driver algebra of that size. Row-level results are column expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import DesignMatrixError
 from tessera.functions.special import f_sf, t_ppf, t_sf
+from tessera.operators import qr
 
 
 @dataclass
@@ -63,7 +65,7 @@ def moments(df: DataFrame, x: Sequence[str], y: str, by: Sequence[str] = ()) ->
 def _bad(names: Sequence[str]) -> Column:
     bad = F.lit(False)
     for c in names:
-        v = F.col(c).cast("double")
+        v = F.col(f"`{c}`").cast("double")
         bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     return bad
 
@@ -81,6 +83,26 @@ def ridge(gram: np.ndarray, m: Moments, alpha: float = 1.0) -> tuple[float, np.n
     return float(real[p] - beta @ real[:p]), beta
 
 
+def scaled_ridge(gram: np.ndarray, m: Moments, alpha: float = 1.0) -> tuple[float, np.ndarray]:
+    """As ``ridge``, but the penalty is on the coefficients of columns standardised over the rows of ``gram``."""
+    n, p = gram[0, 0], len(m.names)
+    mean = gram[0, 1:] / n
+    c = gram[1:, 1:] - n * np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(c)[:p], 0) / n)
+    sd = np.where(sd > 1e-12, sd, 1.0)
+    a = c[:p, :p] / np.outer(sd, sd) + alpha * np.eye(p)
+    beta = np.linalg.lstsq(a, c[:p, p] / sd, rcond=None)[0] / sd * m.scale[p] / m.scale[:p]
+    real = m.center + mean * m.scale
+    return float(real[p] - beta @ real[:p]), beta
+
+
+def squared_error(gram: np.ndarray, m: Moments, b0: float, beta: np.ndarray) -> float:
+    """Mean squared error of a line over the rows of ``gram``, from their sums alone."""
+    p = len(m.names)
+    w = np.concatenate([[b0 + beta @ m.center[:p] - m.center[p]], beta * m.scale[:p], [-m.scale[p]]])
+    return float(max(0.0, w @ gram @ w) / gram[0, 0]) if gram[0, 0] else math.nan
+
+
 def _linear(beta: np.ndarray, terms: Sequence[str]) -> Column:
     value = F.lit(float(beta[0]))
     for b, c in zip(beta[1:], terms[1:], strict=True):
@@ -88,6 +110,53 @@ def _linear(beta: np.ndarray, terms: Sequence[str]) -> Column:
     return value
 
 
+@dataclass
+class Factor:
+    """The triangle of [1, z_1 .. z_p, z_y], z = (x - center) / scale, or of [z_1 .. z_p, z_y] without an intercept."""
+
+    names: list[str]
+    center: np.ndarray
+    scale: np.ndarray
+    n: int
+    intercept: bool
+    root: np.ndarray
+
+    @property
+    def design(self) -> np.ndarray:
+        """The triangle of the predictors as they are, with the intercept if there is one."""
+        p, first = len(self.names), int(self.intercept)
+        back = np.diag(np.concatenate([np.ones(first), self.scale[:p]]))
+        if first:
+            back[0, 1:] = self.center[:p]
+        return self.root[: p + first, : p + first] @ back
+
+    @property
+    def singular(self) -> np.ndarray:
+        """Singular values of the predictors as they are, the largest first."""
+        return np.linalg.svd(self.design, compute_uv=False)
+
+    @property
+    def condition_number(self) -> float:
+        s = self.singular
+        return math.inf if s[-1] <= 0 else float(s[0] / s[-1])
+
+
+def factor(df: DataFrame, x: Sequence[str], y: str, intercept: bool = True) -> Factor:
+    """One aggregate for centres and scales, then a QR of the standardised columns."""
+    names = [*x, y]
+    value = {c: F.col(f"`{c}`").cast("double") for c in names}
+    spread = F.stddev_pop if intercept else lambda c: F.sqrt(F.avg(c * c))
+    first = df.agg(F.count(F.lit(1)).alias("n"), *[f(value[c]).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", spread))], F.count_if(_bad(names)).alias("bad")).first()
+    if first.bad:
+        raise ValueError(f"{first.bad} rows have a null, NaN or infinite value")
+    if first.n < len(x) + int(intercept):
+        raise DesignMatrixError(f"{len(x) + int(intercept)} parameters cannot be estimated from {first.n} observations")
+    center = np.array([first[f"m{i}"] if intercept else 0.0 for i in range(len(names))])
+    scale = np.array([first[f"s{i}"] or 1.0 for i in range(len(names))])
+    z = [F.lit(1.0)] * intercept + [(value[c] - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(names, center, scale, strict=True)]
+    return Factor(list(x), center, scale, first.n, intercept, qr.triangle(df, z))
+
+
 @dataclass
 class LeastSquares:
     """Coefficients (intercept first) and statistics of a fit; undefined ones are NaN."""
@@ -101,7 +170,7 @@ class LeastSquares:
     high: np.ndarray
     stats: dict[str, float]
     inverse: np.ndarray
-    moments: Moments
+    moments: Factor | Moments
 
     def coefficients(self, spark) -> DataFrame:
         clean = lambda v: None if math.isnan(v) else float(v)
@@ -120,6 +189,10 @@ class LeastSquares:
         """Whether degrees of freedom are left for errors and statistics."""
         return self.stats["df_resid"] > 0
 
+    def as_dict(self) -> dict:
+        """The statistics, whether they are estimable, and the coefficients."""
+        return {**self.stats, "estimable": self.estimable, "coefficients": dict(zip(self.terms, map(float, self.beta), strict=True))}
+
     def summary(self) -> str:
         """The coefficient table and the statistics as text."""
         lines = [f"{'term':<20}{'estimate':>14}{'std_error':>12}{'t':>10}{'p_value':>10}{'ci_low':>14}{'ci_high':>14}"]
@@ -139,89 +212,60 @@ class LeastSquares:
         return total
 
 
-def least_squares(m: Moments, confidence: float = 0.95, gram: np.ndarray | None = None) -> LeastSquares:
-    """Fit from moments; an error if the design is singular, NaN statistics if no degrees of freedom are left."""
-    g = m.total if gram is None else gram
-    n, p = int(round(g[0, 0])), len(m.names)
-    if n < p + 1:
-        raise DesignMatrixError(f"{n} rows for {p + 1} coefficients")
-    a, b = g[: p + 1, : p + 1], g[: p + 1, p + 1]
-    values = np.linalg.eigvalsh(a)
-    if values[0] <= values[-1] * max(n, p + 1) * np.finfo(float).eps:
-        raise DesignMatrixError("the predictors are collinear")
-    inverse = np.linalg.inv(a)
-    theta = inverse @ b
-    mean_y = g[0, p + 1] / n
-    tss = g[p + 1, p + 1] - n * mean_y**2
-    rss = max(0.0, g[p + 1, p + 1] - b @ theta)
-    df = n - p - 1
-    back = np.zeros((p + 1, p + 1))  # standardised to original coefficients
-    back[0, 0] = m.scale[p]
-    for k in range(p):
-        back[k + 1, k + 1] = m.scale[p] / m.scale[k]
-        back[0, k + 1] = -m.scale[p] * m.center[k] / m.scale[k]
+#: Rows up to which the rank rule's tolerance grows, so that it never depends on how often rows are repeated beyond.
+RANK_ROWS = 1000
+
+
+def least_squares(m: Factor, confidence: float = 0.95) -> LeastSquares:
+    """Fit from the triangle of a design; NaN statistics if no degrees of freedom are left.
+
+    An error if the design as it is has a singular value of at most ``max(p, min(n, RANK_ROWS)) * eps`` of its largest. Without
+    an intercept the total sum of squares isn't centred, and the adjusted R2 counts all rows.
+    """
+    n, p, first = m.n, len(m.names), int(m.intercept)
+    k, nan = p + first, math.nan
+    singular = m.singular
+    rank = int((singular > singular[0] * max(k, min(n, RANK_ROWS)) * np.finfo(float).eps).sum())
+    if rank < k:
+        raise DesignMatrixError(f"the design is rank deficient (rank {rank} < {k} columns): some predictors are exact linear combinations of others")
+    r, q = m.root[:k, :k], m.root[:k, k]
+    root = np.linalg.solve(r, np.eye(k))  # the inverse triangle
+    theta, inverse = root @ q, root @ root.T
+    rss, total = float(m.root[k, k] ** 2), float((m.root[first:, k] ** 2).sum())
+    df, y2 = n - k, m.scale[p] ** 2
+    back = np.zeros((p + 1, k))  # standardised to original coefficients, the intercept first
+    for j in range(p):
+        back[j + 1, j + first] = m.scale[p] / m.scale[j]
+    if first:
+        back[0, 0] = m.scale[p]
+        back[0, 1:] = -m.scale[p] * m.center[:p] / m.scale[:p]
     beta = back @ theta
-    beta[0] += m.center[p]
-    nan, y2 = math.nan, m.scale[p] ** 2
+    beta[0] += m.center[p] * first
     sigma2 = rss / df if df > 0 else nan
-    se = np.sqrt(np.diag(back @ inverse @ back.T) * sigma2) if df > 0 else np.full(p + 1, nan)
+    se = np.sqrt(((back @ root) ** 2).sum(1) * sigma2)
+    se[: 1 - first] = nan
     t = np.divide(beta, se, out=np.full(p + 1, nan), where=se > 0)
     half = t_ppf(0.5 + confidence / 2, df) * se if df > 0 else np.full(p + 1, nan)
-    r2 = 1 - rss / tss if tss > 0 and df > 0 else nan
-    f = ((tss - rss) / p) / (rss / df) if p and df > 0 and rss > 0 else nan
+    r2 = 1 - rss / total if total > 0 and df > 0 else nan
+    f = ((total - rss) / p) / sigma2 if p and df > 0 and rss > 0 else nan
     loglik = -n / 2 * (math.log(2 * math.pi * rss * y2 / n) + 1) if df > 0 and rss > 0 else nan
-    mse_model = (tss - rss) / p if p else nan
     stats = {
-        "n": n, "p": p + 1, "df_resid": df, "rss": rss * y2, "tss": tss * y2, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / df if df > 0 else nan, "sigma2": sigma2 * y2,
-        "f": f, "f_p_value": float(f_sf(f, p, df)) if not math.isnan(f) else nan, "log_likelihood": loglik, "aic": -2 * loglik + 2 * (p + 1), "bic": -2 * loglik + (p + 1) * math.log(n),
-        "rmse": math.sqrt(rss * y2 / n), "residual_std_error": math.sqrt(sigma2 * y2) if df > 0 else nan, "df_model": p, "ms_model": mse_model * y2, "confidence": confidence,
+        "n": n, "p": k, "df_resid": df, "rss": rss * y2, "tss": total * y2, "ess": (total - rss) * y2, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - first) / df if df > 0 else nan, "sigma2": sigma2 * y2,
+        "f": f, "f_p_value": float(f_sf(f, p, df)) if not math.isnan(f) else nan, "log_likelihood": loglik, "aic": -2 * loglik + 2 * k, "bic": -2 * loglik + k * math.log(n),
+        "rmse": math.sqrt(rss * y2 / n), "residual_std_error": math.sqrt(sigma2 * y2) if df > 0 else nan, "df_model": p, "ms_model": (total - rss) / p * y2 if p else nan, "confidence": confidence,
+        "condition_number": m.condition_number,
     }
-    stats = {k: v if isinstance(v, int) else float(v) for k, v in stats.items()}
-    return LeastSquares(["intercept", *m.names], beta, se, t, 2 * t_sf(np.abs(t), df), beta - half, beta + half, stats, inverse, m)
+    stats = {name: v if isinstance(v, int) else float(v) for name, v in stats.items()}
+    wide = np.zeros((p + 1, p + 1))
+    wide[1 - first :, 1 - first :] = inverse
+    return LeastSquares(["intercept", *m.names], beta, se, t, 2 * t_sf(np.abs(t), df), beta - half, beta + half, stats, wide, m)
 
 
 def fit_ols(df: DataFrame, x: Sequence[str], y: str, confidence: float = 0.95, intercept: bool = True) -> LeastSquares:
+    """Least squares by QR; without an intercept the coefficient of that name is 0."""
     if not x:
         raise DesignMatrixError("no predictors")
-    m = moments(df, x, y)
-    return least_squares(m, confidence) if intercept else through_origin(m, confidence)
-
-
-def through_origin(m: Moments, confidence: float = 0.95) -> LeastSquares:
-    """Fit without an intercept: the total sum of squares isn't centred, and the adjusted R2 counts all rows."""
-    p = len(m.names)
-    real = np.eye(p + 2)  # to sums of products of the columns as they are
-    real[1:, 0], real[1:, 1:] = m.center, np.diag(m.scale)
-    g = (real @ m.total @ real.T)[1:, 1:]
-    n, size = int(round(m.total[0, 0])), np.sqrt(np.maximum(np.diag(g), 0))
-    if n < p or not size[:p].all():
-        raise DesignMatrixError(f"{n} rows for {p} coefficients, or a column of zeros")
-    a = g[:p, :p] / np.outer(size[:p], size[:p])
-    values = np.linalg.eigvalsh(a)
-    if values[0] <= values[-1] * max(n, p) * np.finfo(float).eps:
-        raise DesignMatrixError("the predictors are collinear")
-    inverse = np.linalg.inv(a) / np.outer(size[:p], size[:p])
-    beta, tss, df, nan = inverse @ g[:p, p], g[p, p], n - p, math.nan
-    rss = max(0.0, float(tss - beta @ g[:p, p]))
-    sigma2 = rss / df if df > 0 else nan
-    se = np.sqrt(np.diag(inverse) * sigma2)
-    t = np.divide(beta, se, out=np.full(p, nan), where=se > 0)
-    half = t_ppf(0.5 + confidence / 2, df) * se if df > 0 else np.full(p, nan)
-    r2 = 1 - rss / tss if tss > 0 and df > 0 else nan
-    f = ((tss - rss) / p) / sigma2 if df > 0 and rss > 0 else nan
-    loglik = -n / 2 * (math.log(2 * math.pi * rss / n) + 1) if df > 0 and rss > 0 else nan
-    stats = {
-        "n": n, "p": p, "df_resid": df, "rss": rss, "tss": float(tss), "r2": float(r2), "adj_r2": 1 - (1 - r2) * n / df if df > 0 else nan, "sigma2": sigma2,
-        "f": float(f), "f_p_value": float(f_sf(f, p, df)) if not math.isnan(f) else nan, "log_likelihood": loglik, "aic": -2 * loglik + 2 * p, "bic": -2 * loglik + p * math.log(n),
-        "rmse": math.sqrt(rss / n), "residual_std_error": math.sqrt(sigma2) if df > 0 else nan, "df_model": p, "ms_model": float((tss - rss) / p), "confidence": confidence,
-    }
-    stats = {k: v if isinstance(v, int) else float(v) for k, v in stats.items()}
-    zero, none = np.zeros(1), np.full(1, nan)
-    wide = np.zeros((p + 1, p + 1))
-    wide[1:, 1:] = inverse
-    plain = Moments(m.names, np.zeros(p + 1), np.ones(p + 1))
-    join = lambda first, rest: np.concatenate([first, rest])
-    return LeastSquares(["intercept", *m.names], join(zero, beta), join(none, se), join(none, t), join(none, 2 * t_sf(np.abs(t), df)), join(none, beta - half), join(none, beta + half), stats, wide, plain)
+    return least_squares(factor(df, x, y, intercept), confidence)
 
 
 def residual_sum(m: Moments, chosen: Sequence[int]) -> float:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import ModelFileError
 from tessera.operators import kernels, metrics
-from tessera.operators.linear import moments, ridge
+from tessera.operators.linear import moments, ridge, scaled_ridge
 
 MODELS = {"regression": ("linear", "ridge", "random_forest", "svr", "mlp"), "classification": ("logistic", "random_forest", "mlp")}
 REDUCERS = ("none", "pca", "lda")
@@ -217,27 +217,52 @@ def folds_of(df: DataFrame, fold: str) -> list[int]:
     return [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]  # one row a fold
 
 
+def _by_fold(df: DataFrame, x: Sequence[str], fitted: Mapping[Any, tuple[float, np.ndarray]], fold: str) -> DataFrame:
+    """Adds predicted: by the line of the row's fold."""
+    names = ", ".join(f"_b{i} double" for i in range(len(x) + 1))
+    table = df.sparkSession.createDataFrame([(k, b0, *map(float, b)) for k, (b0, b) in fitted.items()], f"_fold {df.schema[fold].dataType.simpleString()}, {names}")  # one row a fold
+    value = F.col("_b0")
+    for i, c in enumerate(x):
+        value = value + F.col(f"_b{i + 1}") * _quoted(c)
+    return df.join(F.broadcast(table), F.col(fold) == F.col("_fold")).withColumn("predicted", value).drop("_fold", *[f"_b{i}" for i in range(len(x) + 1)])
+
+
 def cross_validate(
-    df: DataFrame, x: Sequence[str], y: str, name: str, task: str = "regression", settings: Mapping | None = None, fold: str = "fold", reducer: str = "none", components=None, seed: int = 0
-) -> DataFrame:
+    df: DataFrame, x: Sequence[str], y: str, name: str, task: str = "regression", settings: Mapping | None = None, fold: str = "fold", reducer: str = "none", components=None, seed: int = 0,
+    tune: bool = False, inner: int = 3, group: str | None = None, grid: Mapping[str, Sequence] | None = None,
+) -> DataFrame:
     """``df`` with predicted (and score_<class>): every row by a model of the other folds, scaling and reduction included.
 
     Least squares and ridge take one pass for all folds, the kernels the same passes for all folds, the others a fit a fold.
+    With ``tune`` the settings of each fold are those that do best on ``inner`` folds of its training rows (see ``nested``).
     """
     check(name, task, reducer)
-    settings = dict(settings or {})
-    if reducer == "none" and name in ("linear", "ridge"):  # their penalty is on standardised columns of all rows
-        m = moments(df, list(x), y)
-        wide = df.withColumns({f"_z{i}": (_quoted(c) - F.lit(float(a))) / F.lit(float(s)) for i, (c, a, s) in enumerate(zip(x, m.center, m.scale, strict=False))})
-        return linear_cv(wide, [f"_z{i}" for i in range(len(x))], y, fold, settings.get("alpha", 1.0) if name == "ridge" else 0.0).drop(*[f"_z{i}" for i in range(len(x))])
-    keys = folds_of(df, fold)
+    if tune:
+        from tessera.operators import nested
+
+        return nested.cross_validate(df, x, y, name, task, fold, inner, group, grid, reducer, components, seed, dict(settings or {}))[0]
+    return with_settings(df, x, y, name, task, dict.fromkeys(folds_of(df, fold), dict(settings or {})), fold, reducer, components, seed)
+
+
+def with_settings(
+    df: DataFrame, x: Sequence[str], y: str, name: str, task: str, settings: Mapping[Any, Mapping], fold: str = "fold", reducer: str = "none", components=None, seed: int = 0, sums=None
+) -> DataFrame:
+    """As ``cross_validate``, with settings of its own for every fold."""
+    keys, x = list(settings), list(x)
+    if reducer == "none" and name in ("linear", "ridge"):
+        m = sums or moments(df, x, y, [fold])
+        alpha = lambda k: settings[k].get("alpha", 1.0) if name == "ridge" else 0.0
+        return _by_fold(df, x, {k: scaled_ridge(m.total - sum(g for key, g in m.gram.items() if key[0] == k), m, alpha(k)) for k in keys}, fold)
     if reducer == "none" and task == "regression" and name in kernels.KERNELS:
-        kernel = kernels.KERNELS[name](**settings)
-        return kernels.predicted(df, list(x), kernel, kernel.fit(df, list(x), y, fold, keys), fold)
+        states: dict = {}
+        for chosen in {json.dumps(s, sort_keys=True): s for s in settings.values()}.values():
+            kernel = kernels.KERNELS[name](**chosen)
+            states |= kernel.fit(df, x, y, fold, [k for k in keys if settings[k] == chosen])
+        return kernels.predicted(df, x, kernels.KERNELS[name](**settings[keys[0]]), states, fold)  # what is tuned doesn't change how a state predicts
     out = None
     classes = [r[0] for r in df.select(y).distinct().orderBy(y).collect()] if task == "classification" else []
     for k in keys:
-        model = fit(df.where(F.col(fold) != k), x, y, name, task, settings, reducer, components, seed)
+        model = fit(df.where(F.col(fold) != k), x, y, name, task, settings[k], reducer, components, seed)
         part = model.predict(df.where(F.col(fold) == k))
         part = part.withColumns({f"score_{c}": F.lit(0.0) for c in classes if c not in model.classes})
         part = part.select(*[F.col(f"`{c}`") for c in df.columns], "predicted", *[f"`score_{c}`" for c in classes])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATISTICS = ("mean", "std", "min", "max", "skew", "kurtosis")
@@ -33,17 +33,24 @@ def constant_statistics(statistics: Sequence[str], normalization: str) -> list[s
 
 
 def normalize(frames: DataFrame, keys: Sequence[str], columns: Sequence[str], how: str = "cmn") -> DataFrame:
-    """Removes each entity's mean (cmn), and scales by its population deviation (cmvn; a constant column stays 0)."""
+    """Removes each entity's mean (cmn), and scales by its population deviation (cmvn; a constant column stays 0).
+
+    An aggregate and a join, which Spark splits where an entity is large; no entity is one task.
+    """
     if how not in NORMALIZATIONS:
         raise ValueError(f"normalization must be one of {', '.join(NORMALIZATIONS)}, got {how!r}")
     if how == "none":
         return frames
-    w = Window.partitionBy(*keys)
+    sizes = frames.groupBy(*keys).agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    sizes = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[f"_{n}{i}" for i in range(len(columns)) for n in ("mean", "sd")])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
     made = {}
-    for c in columns:
-        x = F.col(c) - F.avg(c).over(w)
-        made[c] = x if how == "cmn" else F.coalesce(F.try_divide(x, F.stddev_pop(c).over(w)), x)
-    return frames.withColumns(made)
+    for i, c in enumerate(columns):
+        x = F.col(c) - F.col(f"_mean{i}")
+        made[c] = x if how == "cmn" else F.coalesce(F.try_divide(x, F.col(f"_sd{i}")), x)
+    return frames.join(sizes, same).withColumns(made).select(*frames.columns)
 
 
 def pool(

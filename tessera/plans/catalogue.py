@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import pearson, ratio, rounded
-from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, pooling
+from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, nested, pooling
 from tessera.sources import audio, tables
 from tessera.streaming import windows
 
@@ -317,6 +317,25 @@ def durbin_watson_by_user(spark, sf_dir):
     return _round(diagnostics.durbin_watson(d, "e", ["ts", "event_id"], ["user_id"]), "durbin_watson")
 
 
+_LINE_OF_ORDERS = """p AS (SELECT o_orderkey, o_totalprice AS x, sum(l_extendedprice) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  s AS (SELECT count(*)::double AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_syy(y, x) - power(regr_sxy(y, x), 2) / regr_sxx(y, x) AS rss, sum(x) AS sx, sum(x * x) AS sx2 FROM p),
+  r AS (SELECT o_orderkey, x, y, y - a - b * x AS e, 1 / n + power(x - mx, 2) / sxx AS h, rss / (n - 2) AS s2, n FROM p, s)"""
+
+
+@query(f"""WITH {_LINE_OF_ORDERS}, k AS (SELECT avg(e) AS m, stddev_pop(e) AS sd, avg(power(e, 2)) AS m2 FROM r),
+  j AS (SELECT any_value(n) AS n, avg(power((e - m) / sd, 3)) AS g, avg(power((e - m) / sd, 4)) - 3 AS q FROM r, k), w AS (SELECT e, e - lag(e) OVER (ORDER BY o_orderkey) AS d FROM r)
+  SELECT (SELECT n FROM j)::bigint AS n, round((SELECT stddev_samp(e) FROM r), 2) + 0.0 AS residual_sd, round((SELECT n / 6 * (g * g + q * q / 4) FROM j), 3) + 0.0 AS jarque_bera, round((SELECT sum(d * d) / sum(e * e) FROM w), 6) + 0.0 AS durbin_watson,
+    round((SELECT count(*) * power(corr(e * e, x), 2) FROM r), 3) + 0.0 AS breusch_pagan, round((SELECT max(h) * 1e3 FROM r), 5) + 0.0 AS max_leverage_e3, round((SELECT max(e * e / (2 * s2) * h / power(1 - h, 2)) * 1e3 FROM r), 4) + 0.0 AS max_cooks_e3,
+    round((SELECT sqrt(((n + sx2) / 2 + sqrt(power((n - sx2) / 2, 2) + sx * sx)) * ((n + sx2) / 2 + sqrt(power((n - sx2) / 2, 2) + sx * sx)) / (n * sxx)) FROM s), 1) + 0.0 AS condition_number""")
+def residual_tests(spark, sf_dir):
+    """The tests of a fit's residuals, in the order of the orders' keys."""
+    d = _pairs(spark, sf_dir)
+    out = diagnostics.residual_report(d, linear.fit_ols(d, ["a"], "b"), "b", ["o_orderkey"], rows=5_000)
+    out = out.select("n", rounded("residual_sd", 2).alias("residual_sd"), rounded("jarque_bera", 3).alias("jarque_bera"), rounded("durbin_watson").alias("durbin_watson"), rounded("breusch_pagan", 3).alias("breusch_pagan"),
+        rounded(F.col("max_leverage") * 1e3, 5).alias("max_leverage_e3"), rounded(F.col("max_cooks_distance") * 1e3, 4).alias("max_cooks_e3"), rounded("condition_number", 1).alias("condition_number"))
+    return out
+
+
 @query("""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem), r AS (SELECT l_quantity AS x, power(l_extendedprice - a - b * l_quantity, 2) AS e2 FROM lineitem, f)
   SELECT round(count(*) * regr_r2(e2, x), 3) + 0.0 AS lm FROM r""")
 def breusch_pagan_test(spark, sf_dir):
@@ -488,6 +507,29 @@ def _features(spark, sf_dir) -> DataFrame:
 _POOLED = [f"{s}_{c}" for s in ("mean", "std") for c in LINE]
 
 
+_POOLED_X = "(SELECT s_suppkey, s_acctbal AS y, avg(l_extendedprice) AS x FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1, 2)"
+
+
+@query(f"""WITH a AS (SELECT *, {_hash_fold(2, 's_suppkey', 3)} AS fold FROM {_POOLED_X}), s AS (SELECT fold AS f, coalesce(sum(count(*)) OVER (ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM a GROUP BY 1),
+  d AS (SELECT x, y, fold, (first + row_number() OVER (PARTITION BY fold ORDER BY {_md5("'4'", 's_suppkey::varchar')}, s_suppkey) - 1) % 2 AS inner_fold FROM a JOIN s ON f = fold),
+  g AS (SELECT DISTINCT fold AS k FROM d), l AS (SELECT alpha::double AS alpha FROM (VALUES (1), (10), (100), (1000)) t(alpha)), j AS (SELECT * FROM (VALUES (0), (1)) t(j)),
+  t AS (SELECT k, j, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM d, g, j WHERE fold <> k AND inner_fold <> j GROUP BY k, j),
+  e AS (SELECT t.k, t.j, alpha, sqrt(avg(power(y - my - sxy * n / sxx / (n + alpha) * (x - mx), 2))) AS rmse FROM t, l, d WHERE fold <> t.k AND inner_fold = t.j GROUP BY 1, 2, 3),
+  c AS (SELECT k, arg_min(alpha, score) AS alpha, min(score) AS score FROM (SELECT k, alpha, avg(rmse) AS score FROM e GROUP BY 1, 2) GROUP BY k),
+  o AS (SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM d, g WHERE fold <> k GROUP BY k)
+  SELECT fold, alpha, round(any_value(score), 4) + 0.0 AS inner_rmse, count(*) AS n, round(sqrt(avg(power(y - my - sxy * o.n / sxx / (o.n + alpha) * (x - mx), 2))), 4) + 0.0 AS rmse FROM d JOIN c ON c.k = fold JOIN o ON o.k = fold GROUP BY fold, alpha""")
+def nested_ridge(spark, sf_dir):
+    """Ridge whose penalty is chosen on inner folds of each fold's training rows."""
+    pooled = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("x"))
+    s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"), folds.hashed(3, 2, "s_suppkey").alias("fold"))
+    d = s.join(pooled, F.col("s_suppkey") == F.col("l_suppkey")).drop("l_suppkey")
+    p, chosen = nested.cross_validate(d, ["x"], "y", "ridge", inner=2, grid={"alpha": (1.0, 10.0, 100.0, 1000.0)}, ids=["s_suppkey"], seed=4)
+    table = spark.createDataFrame([(c["fold"], c["settings"]["alpha"], c["score"]) for c in chosen], "_fold int, alpha double, inner_rmse double")
+    e = F.col("y") - F.col("predicted")
+    out = p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")).join(F.broadcast(table), F.col("fold") == F.col("_fold")).drop("_fold")
+    return _round(out, "inner_rmse", "rmse", digits=4)
+
+
 @query()
 def cross_validated_kernels(spark, sf_dir):
     """Support vectors and a network on the feature table, trained for all folds in the same passes."""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import DatasetError
+from tessera.functions import halo, ranks
 
 #: Values that a message lists before "and N more".
 LISTED = 5
@@ -31,6 +31,24 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
+#: Columns that say where a row stands in the files it was read from.
+PLACE = ("_file", "_block", "_line")
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds PLACE to a table read from files, by which its rows stand in the files' own order."""
+    meta = df.select("_metadata").schema[0].dataType.names
+    at = F.col("_metadata.row_index") if "row_index" in meta else F.monotonically_increasing_id()  # ascends within a block, which one task reads
+    block = F.lit(0).cast("bigint") if "row_index" in meta else F.col("_metadata.file_block_start")
+    return df.select("*", F.col("_metadata.file_path").alias(PLACE[0]), block.alias(PLACE[1]), at.alias(PLACE[2]))
+
+
+def with_row_number(df: DataFrame, order: Sequence[str] = PLACE, out: str = "row", rows: int = halo.RANGE_ROWS) -> DataFrame:
+    """Adds the number of each row in ``order``, from 0; rows are numbered in ranges."""
+    d, _ = halo.in_ranges(df, list(order), rows)
+    return ranks.numbered(d, list(order), [], F.col(halo.RANGE), out).drop(halo.RANGE)
+
+
 def numeric(c: str) -> Column:
     """A column as double, NULL where it is no number."""
     return F.expr(f"try_cast(`{c}` AS double)")
@@ -77,14 +95,30 @@ def match_ids(ratings: DataFrame, files: DataFrame) -> DataFrame:
     return d.select(*[F.col(c) for c in ratings.columns], path.alias("path"), status.alias("status"))
 
 
-def analysis_table(df: DataFrame, target: str, predictors: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Complete cases of the target and the predictors (by default every column that holds numbers only)."""
-    require(df, [target, *(predictors or [])])
+def check_matches(matched: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that no id claims; an error names ids that are unmatched, ambiguous or repeated, and files that several ids claim."""
+    wrong = []
+    for status in ("unmatched", "ambiguous"):
+        d = matched.where(F.col("status") == status).select("id")
+        if found := d.limit(LISTED + 1).collect():
+            wrong.append(f"{status} ids: {listing([r.id for r in found], d.count())}")
+    for column, what in (("id", "repeated ids"), ("path", "files claimed by several ids")):
+        twice = matched.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if found := twice.limit(LISTED + 1).collect():
+            wrong.append(f"{what}: {listing([r[column] for r in found], twice.count())}")
+    if wrong:
+        raise DatasetError("; ".join(wrong))
+    return files.select("path").join(matched.select("path"), "path", "left_anti")
+
+
+def analysis_table(df: DataFrame, target: str, predictors: Sequence[str] | None = None, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """Complete cases of the target and the predictors (by default every column that holds numbers only), with the columns of ``keep`` as they are."""
+    require(df, [target, *(predictors or []), *keep])
     if predictors is None:
-        others = [c for c in df.columns if c != target]
+        others = [c for c in df.columns if c != target and c not in keep]
         bad = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & numeric(c).isNull()).alias(c) for c in others]).first()
         predictors = [c for c in others if not bad[c]]
-    out = df.select(numeric(target).alias(target), *[numeric(c).alias(c) for c in predictors]).dropna()
+    out = df.select(numeric(target).alias(target), *[numeric(c).alias(c) for c in predictors], *[c for c in keep if c not in predictors]).dropna(subset=[target, *predictors])
     if out.limit(3).count() < 3:
         raise DatasetError("fewer than three complete rows")
     return out, list(predictors)
@@ -103,29 +137,42 @@ def cement(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_CEMENT_ROWS, CEMENT)
 
 
-def _table(spark: SparkSession, names: str, columns) -> DataFrame:
-    return spark.createDataFrame([tuple(map(float, r)) for r in zip(*columns, strict=True)], ", ".join(f"{n} double" for n in names.split()))
+def _uniform(seed: int, k: int) -> Column:
+    """A hashed number in (0, 1) per id: the same wherever it is computed."""
+    return (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+
+
+def _normal(seed: int, k: int) -> Column:
+    return F.sqrt(-2 * F.ln(_uniform(seed, k))) * F.cos(2 * F.pi() * _uniform(seed, k + 1))
+
+
+#: Coefficients of the toy tables (intercept, linear, squared and product terms; by rising power; per share).
+SURFACE, CURVE, SHARES = (5.0, 2.0, -1.5, -0.8, 0.3, 0.6), (1.0, -2.0, 0.0, 0.5), (50.0, 1.5, 0.6, 0.1, -0.2)
 
 
 def quadratic_surface_table(spark: SparkSession, n: int = 30, noise: float = 1.0, seed: int = 0) -> DataFrame:
-    """x1, x2 and a quadratic surface over them with normal noise."""
-    rng = np.random.default_rng(seed)
-    x1, x2 = rng.uniform(-3, 3, (2, n))
-    return _table(spark, "x1 x2 y", (x1, x2, 5 + 2 * x1 - 1.5 * x2 - 0.8 * x1**2 + 0.3 * x2**2 + 0.6 * x1 * x2 + noise * rng.standard_normal(n)))
+    """x1 and x2 in [-3, 3], and a quadratic surface over them with normal noise."""
+    d = spark.range(n).select("id", (6 * _uniform(seed, 0) - 3).alias("x1"), (6 * _uniform(seed, 1) - 3).alias("x2"))
+    terms = (F.lit(1.0), F.col("x1"), F.col("x2"), F.col("x1") * F.col("x1"), F.col("x2") * F.col("x2"), F.col("x1") * F.col("x2"))
+    y = sum((b * t for b, t in zip(SURFACE, terms, strict=True)), F.lit(0.0)) + noise * _normal(seed, 2)
+    return d.select("x1", "x2", y.alias("y"))
 
 
-def polynomial_table(spark: SparkSession, n: int = 10, coefficients: Sequence[float] = (1.0, -2.0, 0.0, 0.5), noise: float = 0.5, seed: int = 0) -> DataFrame:
+def polynomial_table(spark: SparkSession, n: int = 10, coefficients: Sequence[float] = CURVE, noise: float = 0.5, seed: int = 0) -> DataFrame:
     """Evenly spaced x of [-2, 2] and a polynomial (coefficients by rising power) with normal noise."""
-    x = np.linspace(-2, 2, n)
-    y = sum(c * x**k for k, c in enumerate(coefficients))
-    return _table(spark, "x y", (x, y + noise * np.random.default_rng(seed).standard_normal(n)))
+    d = spark.range(n).select("id", (4 * F.col("id") / max(1, n - 1) - 2).alias("x"))
+    y = sum((b * F.pow("x", F.lit(float(k))) for k, b in enumerate(coefficients)), F.lit(0.0)) + noise * _normal(seed, 0)
+    return d.select("x", y.alias("y"))
 
 
 def collinear_table(spark: SparkSession, n: int = 40, noise: float = 2.0, seed: int = 0) -> DataFrame:
-    """Four shares that add up to nearly 100, and a response."""
-    rng = np.random.default_rng(seed)
-    p = rng.dirichlet([2, 5, 2, 3], n) * rng.uniform(98, 100, (n, 1))
-    return _table(spark, "p1 p2 p3 p4 y", (*p.T, 50 + p @ [1.5, 0.6, 0.1, -0.2] + noise * rng.standard_normal(n)))
+    """Four shares that add up to between 98 and 100, and a response."""
+    parts = [-F.ln(_uniform(seed, k)) for k in range(4)]
+    total = sum(parts[1:], parts[0])
+    size = 98 + 2 * _uniform(seed, 4)
+    d = spark.range(n).select("id", *[(p / total * size).alias(f"p{k + 1}") for k, p in enumerate(parts)])
+    y = sum((b * F.col(f"p{k + 1}") for k, b in enumerate(SHARES[1:])), F.lit(SHARES[0])) + noise * _normal(seed, 5)
+    return d.select("p1", "p2", "p3", "p4", y.alias("y"))
 
 
 def first_appearance(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:

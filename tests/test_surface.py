@@ -54,6 +54,19 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["predict", "--table", table, "--model", str(tmp_path / "m"), "--out", str(tmp_path / "p")]) == 0
     assert spark.read.parquet(str(tmp_path / "p")).where("predicted IS NOT NULL").count() == 13
     assert cli.main(["diagnose", "--table", table, "--target", "heat", "--out", str(tmp_path / "d")]) == 0
+    capsys.readouterr()
+    ordered = str(tmp_path / "s.csv")
+    rows = [r.asDict() for r in tables.cement(spark).collect()]
+    (tmp_path / "s.csv").write_text("\n".join([",".join(rows[0]), *[",".join(map(str, r.values())) for r in rows]]))
+    assert cli.main(["diagnose", "--table", ordered, "--target", "heat", "--columns", "x1,x2", "--out", str(tmp_path / "d2")]) == 0
+    report = json.loads(capsys.readouterr().out)
+    fit = linear.fit_ols(tables.cement(spark), ["x1", "x2"], "heat")
+    e = np.array([r["heat"] - fit.beta[0] - fit.beta[1] * r["x1"] - fit.beta[2] * r["x2"] for r in rows])
+    assert report["residuals"]["durbin_watson"] == pytest.approx((np.diff(e) ** 2).sum() / (e**2).sum()) and report["condition_number"] == pytest.approx(fit.stats["condition_number"])
+    influence = sorted(spark.read.option("header", True).csv(str(tmp_path / "d2")).collect(), key=lambda r: int(r.row))
+    assert [float(r.residual) for r in influence] == pytest.approx(list(e))
+    assert cli.main(["evaluate", "--table", table, "--target", "heat", "--set", "data.folds=3", "--set", "model.tune=true", "--set", "model.inner=2", "--out", str(tmp_path / "e2")]) == 0
+    assert len(json.loads(capsys.readouterr().out)["tuned"]) == 3
     assert cli.main(["descend", "--table", table, "--target", "heat"]) == 0
     assert cli.main(["ablate", "--table", table, "--target", "heat", "--set", "data.folds=3", "--out", str(tmp_path / "a")]) == 0
     assert cli.main(["predict", "--table", table, "--model", str(tmp_path / "nothing")]) == 2
@@ -105,6 +118,12 @@ def test_toy_tables(spark):
     d = spark.createDataFrame([(2, "b"), (1, "c"), (3, "b"), (4, "a")], "k int, v string")
     assert [r.v for r in tables.first_appearance(d, "v", ["k"]).collect()] == ["c", "b", "a"]
     assert tables.tagged_union({"x": d, "y": d}).groupBy("run").count().count() == 2
+    files = spark.createDataFrame([("a/x.wav",), ("a/y.wav",), ("b/z.wav",)], "path string")
+    of = lambda *ids: tables.match_ids(spark.createDataFrame([(i,) for i in ids], "id string"), files)
+    assert [r.path for r in tables.check_matches(of("x", "z"), files).collect()] == ["a/y.wav"]
+    for ids, what in ((("x", "a/x"), "several ids"), (("x", "x"), "repeated ids: x"), (("x", "q"), "unmatched ids: q")):
+        with pytest.raises(DatasetError, match=what):
+            tables.check_matches(of(*ids), files)
     grid = linear.evaluation_grid(spark, (0, 1), (1, 3), 3).collect()
     assert sorted(map(tuple, grid)) == [(a, b) for a in (0.0, 0.5, 1.0) for b in (1.0, 2.0, 3.0)]
     assert linear.recommended([{"degree": 1, "bic": 2.0}, {"degree": 2, "bic": 2.0}, {"degree": 3, "bic": math.nan}]) == 1
