@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import quantiles
+from tessera.functions.shared import same
+
 STATISTICS = ("mean", "std", "min", "max", "skew", "kurtosis")
 NORMALIZATIONS = ("none", "cmn", "cmvn")
 
@@ -43,28 +46,34 @@ def normalize(frames: DataFrame, keys: Sequence[str], columns: Sequence[str], ho
         return frames
     sizes = frames.groupBy(*keys).agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
     sizes = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[f"_{n}{i}" for i in range(len(columns)) for n in ("mean", "sd")])
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
     made = {}
     for i, c in enumerate(columns):
         x = F.col(c) - F.col(f"_mean{i}")
         made[c] = x if how == "cmn" else F.coalesce(F.try_divide(x, F.col(f"_sd{i}")), x)
-    return frames.join(sizes, same).withColumns(made).select(*frames.columns)
+    return frames.join(sizes, same(keys, [f"_key{i}" for i in range(len(keys))])).withColumns(made).select(*frames.columns)
 
 
 def pool(
-    frames: DataFrame, keys: Sequence[str], columns: Sequence[str], statistics: Sequence[str] = STATISTICS, percentiles: Sequence[float] = (), normalization: str = "none", accuracy: int | None = None
-) -> DataFrame:
-    """One pass over all entities: every statistic of every column, statistic-major; percentiles interpolate linearly.
+    frames: DataFrame, keys: Sequence[str], columns: Sequence[str], statistics: Sequence[str] = STATISTICS, percentiles: Sequence[float] = (), normalization: str = "none", accuracy: int | None = None,
+    held: int = quantiles.HELD,
+) -> DataFrame:
+    """A row per entity: every statistic of every column, statistic-major; percentiles interpolate linearly.
 
-    Exact percentiles hold an entity's different values in one buffer; with ``accuracy`` they are values whose rank is off by a
-    1/accuracy of the entity's rows at most, from sketches of bounded size.
+    Statistics take one pass. Percentiles are exact for entities of any size: those of more than ``held`` rows by refining
+    histograms. With ``accuracy`` they are values whose rank is off by a 1/accuracy of the entity's rows at most, from sketches.
     """
     if fixed := constant_statistics(statistics, normalization):
         raise ValueError(f"{', '.join(fixed)} is the same for every entity after {normalization}")
     frames = normalize(frames, keys, columns, normalization)
+    label = lambda c, q: f"{percent_label(q)}_{c}"
     made = [_statistic(s, c).alias(f"{s}_{c}") for s in statistics for c in columns]
-    percentile = lambda c, q: F.percentile_approx(c, F.lit(q / 100), F.lit(accuracy)) if accuracy else F.percentile(F.col(c), F.lit(q / 100))
-    made += [percentile(c, q).alias(f"{percent_label(q)}_{c}") for q in percentiles for c in columns]
-    return frames.groupBy(*keys).agg(*made)
+    if accuracy:
+        made += [F.percentile_approx(c, F.lit(q / 100), F.lit(accuracy)).alias(label(c, q)) for q in percentiles for c in columns]
+    if accuracy or not percentiles:
+        return frames.groupBy(*keys).agg(*made)
+    exact = quantiles.percentiles(frames, keys, columns, percentiles, label, held)
+    if not made:
+        return exact
+    names = [f"_q{i}" for i in range(len(keys))]
+    exact = exact.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    return frames.groupBy(*keys).agg(*made).join(exact, same(keys, names)).drop(*names)

@@ -148,3 +148,33 @@ def test_normal_scores_and_normalisation_of_groups(spark):
     plain = d.withColumn("z", F.coalesce(F.try_divide(F.col("v") - F.avg("v").over(w), F.stddev_pop("v").over(w)), F.col("v") - F.avg("v").over(w)))
     assert {r.i: r.v for r in z.collect()} == pytest.approx({r.i: r.z for r in plain.collect()})
     assert z.columns == d.columns and not math.isnan(z.first().v)
+
+
+# Exact percentiles
+
+
+@pytest.mark.parametrize("held", [5, 10**6])
+def test_percentiles_of_large_groups_equal_spark_s(spark, held, monkeypatch):
+    from tessera.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "CELLS", 8)
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 11 == 0 else 1 if i % 11 < 8 else i % 5, float(rng.lognormal(0, 9)) if i % 3 else float(i % 4), None if i % 7 < 3 or i % 11 == 9 else float(rng.integers(3))) for i in range(700)]
+    d = spark.createDataFrame(rows, "k int, a double, b double").repartition(3)
+    percents = (0, 10, 25, 50, 99.5, 100)
+    want = d.groupBy("k").agg(*[F.percentile(c, F.lit(q / 100)).alias(f"p{q:g}_{c}") for q in percents for c in "ab"], F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    got = pooling.pool(d, ["k"], ["a", "b"], ("mean",), percents, held=held)
+    assert set(got.columns) == set(want.columns)
+    plain = lambda df: {r.k: [r[c] for c in sorted(want.columns) if c != "k"] for r in df.collect()}
+    a, b = plain(got), plain(want)
+    assert a.keys() == b.keys()
+    for k in b:
+        for x, y in zip(a[k], b[k], strict=True):
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=1e-12))
+
+
+def test_one_group_with_all_rows(spark):
+    """A million rows in one entity: nothing holds more than a hundredth of them."""
+    d = spark.range(0, 1_000_001, 1, 8).select(F.lit("x").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(1_000_001)) / 4).alias("v"))
+    r = pooling.pool(d, ["k"], ["v"], (), (1, 50, 90), held=10_000).first()
+    assert (r.p1_v, r.p50_v, r.p90_v) == (2500.0, 125000.0, 225000.0)
