@@ -65,9 +65,14 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
     kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", parts[b"fmt "][:16])
     if kind == 0xFFFE and len(parts[b"fmt "]) >= 26:  # the extensible form names its kind further on
         kind = struct.unpack("<H", parts[b"fmt "][24:26])[0]
-    width, data = bits // 8, parts[b"data"]
-    if not channels or not width:
+    if not channels or not bits // 8:
         raise ValueError("the file has no channels or no bits")
+    return rate, decoded(parts[b"data"], kind, bits, channels)
+
+
+def decoded(data: bytes, kind: int, bits: int, channels: int) -> np.ndarray:
+    """Mono samples of the bytes of whole blocks; what is left over of a block is dropped."""
+    width = bits // 8
     data = data[: len(data) // (width * channels) * width * channels]
     if kind == 3 and bits in (32, 64):
         x = np.frombuffer(data, f"<f{width}").astype(float)
@@ -82,7 +87,7 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
         raise ValueError(f"samples of kind {kind} with {bits} bits can't be read")
     if not np.isfinite(x).all():
         raise ValueError("the samples have NaN or infinite values")
-    return rate, x.reshape(-1, channels).mean(1)
+    return x.reshape(-1, channels).mean(1)
 
 
 def trimmed(signal: Column, rate: Column, seconds: float) -> Column:
@@ -109,8 +114,11 @@ def read_wav(spark: SparkSession, root: str) -> DataFrame:
     return files.mapInPandas(run, "path string, sample_rate int, signal array<double>, error string")
 
 
-def cepstra(signal: np.ndarray, rate: int, f: FrontEnd = FrontEnd()) -> np.ndarray:
-    """Static cepstra of a signal, a row per frame that fits whole; all frames in one transform and two products."""
+def cepstra(signal: np.ndarray, rate: int, f: FrontEnd = FrontEnd(), previous: float | None = None) -> np.ndarray:
+    """Static cepstra of a signal, a row per frame that fits whole; all frames in one transform and two products.
+
+    ``previous`` is the sample before a part of a longer signal, from which its pre-emphasis goes on.
+    """
     length, hop, n_fft = frame_sizes(rate, f.frame_ms, f.hop_ms)
     high = f.high or rate / 2
     if high > rate / 2:
@@ -119,7 +127,7 @@ def cepstra(signal: np.ndarray, rate: int, f: FrontEnd = FrontEnd()) -> np.ndarr
     if len(signal) < length:
         return np.zeros((0, columns))
     at = np.arange((len(signal) - length) // hop + 1)[:, None] * hop + np.arange(length)
-    emphasised = np.append(signal[:1], signal[1:] - f.emphasis * signal[:-1])
+    emphasised = np.append(signal[:1] - f.emphasis * (previous or 0.0), signal[1:] - f.emphasis * signal[:-1])
     power = np.abs(np.fft.rfft(emphasised[at] * np.array(window_weights(f.window, length)), n_fft)) ** 2
     logs = np.log(np.maximum(power @ np.array(mel_matrix(f.mels, n_fft, rate, f.low, high)).T, f.floor))
     c = logs @ np.array(dct_matrix(f.coefficients + 1, f.mels)).T
@@ -154,13 +162,18 @@ def frame_columns(f: FrontEnd = FrontEnd(), delta_order: int = 0) -> list[str]:
 def frame_features(recordings: DataFrame, f: FrontEnd = FrontEnd(), delta_order: int = 2) -> DataFrame:
     """A row per frame of every recording: path, frame, and a column per coefficient, delta and delta of deltas."""
     names = frame_columns(f)
-    d = cepstral_frames(recordings, f).select("path", "frame", *[F.get("v", k).alias(c) for k, c in enumerate(names)])
+    return with_deltas(cepstral_frames(recordings, f).select("path", "frame", *[F.get("v", k).alias(c) for k, c in enumerate(names)]), names, delta_order)
+
+
+def with_deltas(frames: DataFrame, names: Sequence[str], delta_order: int = 2) -> DataFrame:
+    """Adds deltas, and deltas of deltas, of the static columns: path, frame, then the columns by order."""
+    d = frames
     if delta_order >= 1:
         d = deltas(d, ["path"], ["frame"], names, 3)
     if delta_order >= 2:
         d = deltas(d, ["path"], ["frame"], [f"d_{c}" for c in names], 2, "_")
         d = d.withColumnsRenamed({f"_d_{c}": f"dd_{c}" for c in names})
-    return d.select("path", "frame", *frame_columns(f, delta_order))
+    return d.select("path", "frame", *[f"{p}{c}" for p in ("", "d_", "dd_")[: delta_order + 1] for c in names])
 
 
 def utterance_features(recordings: DataFrame, f: FrontEnd = FrontEnd(), delta_order: int = 2, statistics: Sequence[str] = ("mean", "std"), percentiles: Sequence[float] = (), normalization: str = "none") -> DataFrame:
