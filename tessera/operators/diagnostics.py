@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import halo, ranks
-from tessera.functions.special import chi2_sf, normal_quantile, normal_sf
+from tessera.functions.special import chi2_sf, normal_quantile, normal_sf, normal_tail
 from tessera.functions.stats import ratio
 from tessera.operators.linear import LeastSquares, Moments, fit_ols
 
@@ -137,25 +137,42 @@ def shapiro_wilk_table(df: DataFrame, value: str, by: Sequence[str], tiebreak: S
         F.sum(inner).alias("inner"), F.sum(inmost).alias("inmost"), at(1).alias("e1"), at(2).alias("e2"), at(n - 1).alias("f2"), at(n).alias("f1"),
     )
 
-    @F.pandas_udf("w double, p_value double")
-    def test(n, mm, ss, s1, s2, inner, inmost, e1, e2, f2, f1):
-        import pandas as pd
-
-        rows = []
-        for n_, mm_, ss_, s1_, s2_, inner_, inmost_, e1_, e2_, f2_, f1_ in zip(n, mm, ss, s1, s2, inner, inmost, e1, e2, f2, f1, strict=True):
-            if n_ < 3 or not ss_ > 0:
-                rows.append((None, None))
-                continue
-            if n_ == 3:
-                b = math.sqrt(0.5) * (f1_ - e1_)
-            else:
-                top, second, phi = _royston(int(n_), mm_, s1_, s2_)
-                b = top * (f1_ - e1_) + (inner_ / phi if n_ <= 5 else second * (f2_ - e2_) + (0.0 if math.isnan(inmost_) else inmost_) / phi)
-            w = min(1.0, b * b / ss_)
-            rows.append((w, _royston_p(w, int(n_))))
-        return pd.DataFrame(rows, columns=["w", "p_value"])
-
-    return sums.withColumn("_t", test("n", "mm", "ss", "s1", "s2", F.coalesce("inner", F.lit(0.0)), F.coalesce("inmost", F.lit(0.0)), "e1", "e2", "f2", "f1")).select(*by, "n", "_t.w", "_t.p_value")
+    w = _royston_w(*map(F.col, ("n", "mm", "ss", "s1", "s2")), F.coalesce("inner", F.lit(0.0)), F.coalesce("inmost", F.lit(0.0)), *map(F.col, ("e1", "e2", "f2", "f1")))
+    return sums.withColumn("w", w).select(*by, "n", "w", _royston_tail(F.col("w"), F.col("n")).alias("p_value"))
+
+
+def _power_sum(x: Column, coefficients: Sequence[float]) -> Column:
+    """A polynomial by rising power."""
+    out = F.lit(float(coefficients[-1]))
+    for c in coefficients[-2::-1]:
+        out = out * x + float(c)
+    return out
+
+
+# The published polynomials of the two outer weights, and of the mean and deviation of ln(1 - W), by rising power.
+_TOP, _SECOND = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056), (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+_FEW_MEAN, _FEW_LOG_SD = (0.5440, -0.39978, 0.025054, -0.0006714), (1.3822, -0.77857, 0.062767, -0.0020322)
+_MANY_MEAN, _MANY_LOG_SD = (-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302)
+
+
+def _royston_w(n, mm, ss, s1, s2, inner, inmost, e1, e2, f2, f1) -> Column:
+    """W from a group's sums: squares of scores and values, outer scores and values, and products of the inner ones."""
+    u, c = 1 / F.sqrt(n.cast("double")), 1 / F.sqrt(mm)
+    top, second = s1 * c + _power_sum(u, _TOP), s2 * c + _power_sum(u, _SECOND)
+    phi_few = F.sqrt((mm - 2 * s1 * s1) / (1 - 2 * top * top))
+    phi = F.sqrt((mm - 2 * s1 * s1 - 2 * s2 * s2) / (1 - 2 * top * top - 2 * second * second))
+    b = F.when(n == 3, math.sqrt(0.5) * (f1 - e1)).when(n <= 5, top * (f1 - e1) + inner / phi_few).otherwise(top * (f1 - e1) + second * (f2 - e2) + inmost / phi)
+    return F.when((n >= 3) & (ss > 0), F.least(F.lit(1.0), b * b / ss))
+
+
+def _royston_tail(w: Column, n: Column) -> Column:
+    """p-value of W."""
+    y, size, log_n = F.ln(1 - w), n.cast("double"), F.ln(n.cast("double"))
+    gamma = 0.459 * size - 2.273
+    few = normal_tail((-F.ln(gamma - y) - _power_sum(size, _FEW_MEAN)) / F.exp(_power_sum(size, _FEW_LOG_SD)))
+    many = normal_tail((y - _power_sum(log_n, _MANY_MEAN)) / F.exp(_power_sum(log_n, _MANY_LOG_SD)))
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    return F.when(w.isNull(), None).when(n == 3, three).when(w >= 1, 1.0).when((n <= 11) & (y >= gamma), 0.0).when(n <= 11, few).otherwise(many)
 
 
 def residual_report(df: DataFrame, fit: LeastSquares, y: str, order: Sequence[str], rows: int = halo.RANGE_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import special
 from tessera.functions.stats import pearson, ratio, rounded
 from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, nested, pooling
 from tessera.sources import audio, tables
@@ -44,6 +45,40 @@ def _round(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: rounded(c, digits) for c in columns})
 
 
+#: SQL of distribution tails, by the recurrences of ``functions.special``.
+_COEFFICIENT = """CASE WHEN e.j % 2 = 1 THEN ((e.j + 1) // 2) * (q_ - (e.j + 1) // 2) * z_ / ((p_ + 2 * ((e.j + 1) // 2) - 1) * (p_ + 2 * ((e.j + 1) // 2)))
+  ELSE -(p_ + (e.j + 1) // 2) * (p_ + q_ + (e.j + 1) // 2) * z_ / ((p_ + 2 * ((e.j + 1) // 2)) * (p_ + 2 * ((e.j + 1) // 2) + 1)) END"""
+
+
+def _t_tail(source: str, t: str, df: str, out: str) -> str:
+    """A relation with the two-sided p-value of a column of t statistics."""
+    fraction = f"""list_reduce(list_transform(range(1, 401), lambda j: {{'j': j, 'c': 1.0::double, 'd': 0.0::double, 'h': 0.0::double}}), lambda s, e: {{'j': e.j, 'c': 1 + ({_COEFFICIENT}) / s.c, 'd': 1 / (1 + ({_COEFFICIENT}) * s.d),
+      'h': s.h * (1 + ({_COEFFICIENT}) / s.c) / (1 + ({_COEFFICIENT}) * s.d)}}, {{'j': 0::bigint, 'c': 1.0::double, 'd': 1 / (1 - (p_ + q_) * z_ / (p_ + 1)), 'h': 1 / (1 - (p_ + q_) * z_ / (p_ + 1))}}).h"""
+    return f"""(SELECT * EXCLUDE (v_, x_, y_, s_, p_, q_, z_, w_, g_), CASE WHEN s_ THEN 1 - g_ ELSE g_ END AS {out} FROM (SELECT *, CASE WHEN z_ <= 0 THEN 0 ELSE exp(p_ * ln(z_) + q_ * ln(w_) + lgamma(p_ + q_) - lgamma(p_) - lgamma(q_)) / p_ * {fraction} END AS g_
+      FROM (SELECT *, CASE WHEN s_ THEN 0.5::double ELSE v_ / 2 END AS p_, CASE WHEN s_ THEN v_ / 2 ELSE 0.5::double END AS q_, CASE WHEN s_ THEN y_ ELSE x_ END AS z_, CASE WHEN s_ THEN x_ ELSE y_ END AS w_
+        FROM (SELECT *, x_ > (v_ / 2 + 1) / (v_ / 2 + 2.5) AS s_ FROM (SELECT *, ({df})::double AS v_, ({df}) / (({df}) + ({t}) * ({t})) AS x_, ({t}) * ({t}) / (({df}) + ({t}) * ({t})) AS y_ FROM {source})))))"""
+
+
+def _horner(coefficients, r: str) -> str:
+    out = f"{coefficients[-1]!r}::double"
+    for c in coefficients[-2::-1]:
+        out = f"({out} * {r} + {c!r}::double)"
+    return out
+
+
+def _normal_quantile(p: str) -> str:
+    part = lambda pair, r: f"({_horner(pair[0], r)} / {_horner(pair[1], r)})"
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    return f"""CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {part(special._MIDDLE, f'(0.180625::double - power({p} - 0.5, 2))')} WHEN {r} <= 5 THEN sign({p} - 0.5) * {part(special._TAIL, f'({r} - 1.6)')} ELSE sign({p} - 0.5) * {part(special._FAR, f'({r} - 5)')} END"""
+
+
+def _normal_tail(x: str) -> str:
+    """P(Z > x) by the series of the distribution function, to about 1e-16 of absolute size."""
+    z = f"greatest(-9.0, least(9.0, {x}))"
+    series = f"list_reduce(list_transform(range(1, 251), lambda j: {{'j': j, 't': 0.0::double, 's': 0.0::double}}), lambda a, e: {{'j': e.j, 't': a.t * power({z}, 2) / (2 * e.j + 1), 's': a.s + a.t * power({z}, 2) / (2 * e.j + 1)}}, {{'j': 0::bigint, 't': {z}, 's': {z}}}).s"
+    return f"(0.5 - exp(-power({z}, 2) / 2) / sqrt(2 * pi()) * {series})"
+
+
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _MOMENTS = """WITH m AS (SELECT l_suppkey AS k, avg({c}) AS a, stddev_pop({c}) AS s FROM lineitem GROUP BY 1)
   SELECT k, coalesce(avg(power(({c} - a) / nullif(s, 0), 3)), 0) AS skew, coalesce(avg(power(({c} - a) / nullif(s, 0), 4)) - 3, 0) AS kurt
@@ -231,10 +266,23 @@ def correlation_table(spark, sf_dir):
     return _round(d.select("feature", "n", "r", "rho"), "r", "rho")
 
 
-@query()
+_CORRELATIONS = ("(WITH u AS (UNPIVOT (SELECT l_extendedprice AS y, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME feature VALUE x), k AS (SELECT feature, x, y, "
+       f"{_ranked('x', 'feature')} AS rx, {_ranked('y', 'feature')} AS ry FROM u) "
+       "SELECT feature, list_position(['l_quantity', 'l_discount', 'l_tax'], feature) - 1 AS ordinal, count(*) AS n, covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) AS r, covar_pop(rx, ry) / (stddev_pop(rx) * stddev_pop(ry)) AS rho FROM k GROUP BY feature)")
+
+
+def _holm(p: str) -> str:
+    return f"least(1, max((3 - i_{p} + 1) * {p}) OVER (ORDER BY i_{p} ROWS UNBOUNDED PRECEDING))"
+
+
+@query(f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY p_value, ordinal) AS i_p_value, row_number() OVER (ORDER BY rho_p_value, ordinal) AS i_rho_p_value
+    FROM {_t_tail(_t_tail(_CORRELATIONS, 'r * sqrt((n - 2) / (1 - r * r))', 'n - 2', 'p_value'), 'rho * sqrt((n - 2) / (1 - rho * rho))', 'n - 2', 'rho_p_value')})
+  SELECT ordinal::int AS ordinal, feature, n, round(r, 6) + 0.0 AS r, round({_FISHER.format(s='-')}, 6) + 0.0 AS ci_low, round({_FISHER.format(s='+')}, 6) + 0.0 AS ci_high, round(p_value, 6) + 0.0 AS p_value, round(rho, 6) + 0.0 AS rho,
+    round(rho_p_value, 6) + 0.0 AS rho_p_value, round({_holm('p_value')}, 6) + 0.0 AS p_adjusted, round({_holm('rho_p_value')}, 6) + 0.0 AS rho_p_adjusted FROM p""")
 def correlation_p_values(spark, sf_dir):
     """p-values by the t distribution, both families adjusted."""
-    return association.feature_correlations(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice")
+    d = association.feature_correlations(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice")
+    return _round(d, "r", "ci_low", "ci_high", "p_value", "rho", "rho_p_value", "p_adjusted", "rho_p_adjusted")
 
 
 @query("""SELECT l_suppkey, feature, round(r, 6) + 0.0 AS r FROM (SELECT l_suppkey, 'l_quantity' AS feature, covar_pop(l_quantity, l_extendedprice) / nullif(stddev_pop(l_quantity) * stddev_pop(l_extendedprice), 0) AS r
@@ -274,10 +322,19 @@ def least_squares(spark, sf_dir):
     return d
 
 
-@query()
+_T95 = f"({_Z}::double + (power({_Z}, 3) + {_Z}) / (4 * df) + (5 * power({_Z}, 5) + 16 * power({_Z}, 3) + 3 * {_Z}) / (96 * df * df) + (3 * power({_Z}, 7) + 19 * power({_Z}, 5) + 17 * power({_Z}, 3) - 15 * {_Z}) / (384 * power(df, 3)))"
+_ALL_TERMS = f"""(WITH v AS {_NORMAL}, m AS (SELECT avg(l_extendedprice) AS y, avg(l_quantity) AS a, avg(l_discount) * 100 AS b, avg(l_tax) * 100 AS d FROM lineitem),
+  s AS (SELECT v.*, n - 4 AS df, rss / (n - 4) AS s2, m.y AS my, m.a AS ma, m.b AS mb, m.d AS md, (bb*dd-bd*bd)/det AS i11, (aa*dd-ad*ad)/det AS i22, (aa*bb-ab*ab)/det AS i33, -(ab*dd-bd*ad)/det AS i12, (ab*bd-bb*ad)/det AS i13, -(aa*bd-ab*ad)/det AS i23 FROM v, m)
+  SELECT 'intercept' AS term, df, my - b1*ma - b2*mb - b3*md AS estimate, sqrt(s2 * (1.0::double / n + ma*ma*i11 + mb*mb*i22 + md*md*i33 + 2*ma*mb*i12 + 2*ma*md*i13 + 2*mb*md*i23)) AS std_error FROM s
+  UNION ALL SELECT 'l_quantity', df, b1, sqrt(s2 * i11) FROM s UNION ALL SELECT 'l_discount', df, b2 * 100, 100 * sqrt(s2 * i22) FROM s UNION ALL SELECT 'l_tax', df, b3 * 100, 100 * sqrt(s2 * i33) FROM s)"""
+
+
+@query(f"""SELECT term, round(estimate, 3) + 0.0 AS estimate, round(std_error, 4) + 0.0 AS std_error, round(estimate / std_error, 4) + 0.0 AS t, round(p_value, 6) + 0.0 AS p_value, round(estimate - {_T95} * std_error, 2) + 0.0 AS ci_low,
+  round(estimate + {_T95} * std_error, 2) + 0.0 AS ci_high FROM {_t_tail(_ALL_TERMS, 'estimate / std_error', 'df', 'p_value')}""")
 def coefficient_table(spark, sf_dir):
     """Estimates, standard errors, t, p-values and intervals."""
-    return linear.fit_ols(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice").coefficients(spark)
+    d = linear.fit_ols(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice").coefficients(spark)
+    return _round(_round(_round(_round(d, "estimate", digits=3), "std_error", "t", digits=4), "p_value"), "ci_low", "ci_high", digits=2)
 
 
 @query(f"""WITH v AS {_NORMAL}, s AS (SELECT *, rss / (n - 4) AS s2 FROM v)
@@ -416,11 +473,19 @@ def entry_tests(spark, sf_dir):
     return _round(_round(spark.createDataFrame(rows, "term string, r2 double, f_thousands double"), "r2"), "f_thousands", digits=5)
 
 
-@query()
+_DESCENT_COST = "0.5::double * (b0*b0 + b1*b1 + b2*b2 + b3*b3 + 2*b1*b2*r12 + 2*b1*b3*r13 + 2*b2*b3*r23 - 2*(b0*my + b1*c1 + b2*c2 + b3*c3) + yy)"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT corr(l_quantity, l_discount) AS r12, corr(l_quantity, l_tax) AS r13, corr(l_discount, l_tax) AS r23, covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) AS c1, covar_pop(l_extendedprice, l_discount) / stddev_pop(l_discount) AS c2,
+    covar_pop(l_extendedprice, l_tax) / stddev_pop(l_tax) AS c3, avg(l_extendedprice) AS my, var_pop(l_extendedprice) + power(avg(l_extendedprice), 2) AS yy FROM lineitem),
+  g AS (SELECT 0 AS iteration, 0.0::double AS b0, 0.0::double AS b1, 0.0::double AS b2, 0.0::double AS b3, yy / 2 AS cost, false AS ended FROM s
+    UNION ALL SELECT iteration + 1, b0, b1, b2, b3, now, cost - now <= 1e-12 * abs(cost) FROM (SELECT *, {_DESCENT_COST} AS now FROM (SELECT iteration, cost, b0 - 0.1 * (b0 - my) AS b0, b1 - 0.1 * (b1 + r12*b2 + r13*b3 - c1) AS b1, b2 - 0.1 * (r12*b1 + b2 + r23*b3 - c2) AS b2,
+      b3 - 0.1 * (r13*b1 + r23*b2 + b3 - c3) AS b3, s.* FROM g, s WHERE NOT ended)))
+  SELECT iteration, round(cost / 1e6, 5) + 0.0 AS cost_millions, 'converged' AS status FROM g""")
 def gradient_descent_costs(spark, sf_dir):
     """Cost of every iteration of gradient descent from one pass of moments."""
     found = linear.gradient_descent(linear.moments(_t(spark, sf_dir, "lineitem"), _X, "l_extendedprice"))
-    return spark.createDataFrame([(k, c, found.status) for k, c in enumerate(found.costs)], "iteration int, cost double, status string")
+    return _round(spark.createDataFrame([(k, c / 1e6, found.status) for k, c in enumerate(found.costs)], "iteration int, cost_millions double, status string"), "cost_millions", digits=5)
 
 
 @query("""WITH s AS (SELECT avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v, covar_pop(l_extendedprice, l_quantity) / stddev_pop(l_quantity) AS c FROM lineitem)
@@ -697,10 +762,48 @@ def sliding_windows(spark, sf_dir):
     return d.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+_U, _LN = "(1 / sqrt(n::double))", "ln(n::double)"
+_FEW_TAIL = _normal_tail(f"((-ln(0.459 * n - 2.273 - ln(1 - w)) - {_horner(diagnostics._FEW_MEAN, 'n')}) / exp({_horner(diagnostics._FEW_LOG_SD, 'n')}))")
+_MANY_TAIL = _normal_tail(f"((ln(1 - w) - {_horner(diagnostics._MANY_MEAN, _LN)}) / exp({_horner(diagnostics._MANY_LOG_SD, _LN)}))")
+
+
+@query(f"""WITH v AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n, value - avg(value) OVER (PARTITION BY user_id) AS e FROM events WHERE value IS NOT NULL),
+  q AS (SELECT *, (i - 0.375::double) / (n + 0.25::double) AS p FROM v), z AS (SELECT *, {_normal_quantile('p')} AS s FROM q),
+  a AS (SELECT user_id, any_value(n) AS n, sum(s * s) AS mm, sum(e * e) AS ss, max(s) FILTER (i = n) AS s1, max(s) FILTER (i = n - 1) AS s2, coalesce(sum(s * e) FILTER (i > 1 AND i < n), 0) AS inner_, coalesce(sum(s * e) FILTER (i > 2 AND i < n - 1), 0) AS inmost,
+    max(e) FILTER (i = 1) AS e1, max(e) FILTER (i = 2) AS e2, max(e) FILTER (i = n - 1) AS f2, max(e) FILTER (i = n) AS f1 FROM z GROUP BY user_id),
+  t AS (SELECT *, s1 / sqrt(mm) + {_horner(diagnostics._TOP, _U)} AS top, s2 / sqrt(mm) + {_horner(diagnostics._SECOND, _U)} AS second FROM a),
+  b AS (SELECT *, CASE WHEN n = 3 THEN sqrt(0.5::double) * (f1 - e1) WHEN n <= 5 THEN top * (f1 - e1) + inner_ / sqrt((mm - 2 * s1 * s1) / (1 - 2 * top * top))
+    ELSE top * (f1 - e1) + second * (f2 - e2) + inmost / sqrt((mm - 2 * s1 * s1 - 2 * s2 * s2) / (1 - 2 * top * top - 2 * second * second)) END AS b FROM t),
+  w AS (SELECT user_id, n, CASE WHEN n >= 3 AND ss > 0 THEN least(1, b * b / ss) END AS w FROM b)
+  SELECT user_id, n, round(w, 7) + 0.0 AS w, round(CASE WHEN w IS NULL THEN NULL WHEN n = 3 THEN greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75::double)))) WHEN w >= 1 THEN 1 WHEN n <= 11 AND ln(1 - w) >= 0.459 * n - 2.273 THEN 0
+    WHEN n <= 11 THEN {_FEW_TAIL} ELSE {_MANY_TAIL} END, 7) + 0.0 AS p_value FROM w""")
 def shapiro_wilk_by_user(spark, sf_dir):
     """W and p of every user's values, whatever their number."""
-    return diagnostics.shapiro_wilk_table(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", ["user_id"], ["event_id"])
+    return _round(diagnostics.shapiro_wilk_table(_t(spark, sf_dir, "events").select("user_id", "event_id", "value"), "value", ["user_id"], ["event_id"]), "w", "p_value", digits=7)
+
+
+@query(f"""WITH {_LINE_OF_ORDERS}, q AS (SELECT *, (row_number() OVER (ORDER BY e, o_orderkey) - 0.375::double) / (n + 0.25::double) AS p FROM r)
+  SELECT o_orderkey, round(y, 2) + 0.0 AS observed, round(y - e, 2) + 0.0 AS fitted, round(e, 2) + 0.0 AS residual, round(e / sqrt(s2 * (1 - h)), 5) + 0.0 AS studentized, round(h * 1e4, 5) + 0.0 AS leverage_e4,
+    round(e * e / (2 * s2) * h / power(1 - h, 2) * 1e4, 4) + 0.0 AS cooks_e4, round({_normal_quantile('p')}, 6) + 0.0 AS normal_quantile FROM q""")
+def influence_of_orders(spark, sf_dir):
+    """The influence table of a line through orders, with the normal scores of the residuals' ranks."""
+    d = _pairs(spark, sf_dir).drop("o_custkey")
+    d = diagnostics.influence_table(d, linear.fit_ols(d, ["a"], "b"), "b", ["o_orderkey"])
+    d = d.withColumns({"leverage_e4": F.col("leverage") * 1e4, "cooks_e4": F.col("cooks") * 1e4}).drop("leverage", "cooks")
+    return _round(_round(_round(_round(d, "observed", "fitted", "residual", digits=2), "studentized", "leverage_e4", digits=5), "cooks_e4", digits=4), "normal_quantile")
+
+
+@query("""SELECT o_orderpriority FROM (SELECT o_orderpriority, min(o_orderkey) AS k FROM orders GROUP BY 1 ORDER BY k)""")
+def first_appearances(spark, sf_dir):
+    """Priorities in the order in which they first come up."""
+    return tables.first_appearance(_t(spark, sf_dir, "orders"), "o_orderpriority", ["o_orderkey"])
+
+
+@query("""SELECT run, n_nationkey, count(*) AS n FROM (SELECT 'customers' AS run, c_nationkey AS n_nationkey FROM customer UNION ALL SELECT 'suppliers', s_nationkey FROM supplier) GROUP BY 1, 2""")
+def tagged_nations(spark, sf_dir):
+    """Customers and suppliers under each other, counted by nation and table."""
+    both = {"customers": _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey")), "suppliers": _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))}
+    return tables.tagged_union(both).groupBy("run", "n_nationkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
