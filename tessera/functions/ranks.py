@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import written
+
 #: Ranges that a column is cut into, and distinct values up to which figures of them are broadcast.
 RANGES, BROADCAST_VALUES = 256, 100_000
 
@@ -51,7 +53,17 @@ def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str], pa
 
 
 def value_ranks(df: DataFrame, x: str, weight: str | None = None, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
-    """One row per different value of ``x`` within ``by``: n, and its average rank (from 1) among all rows."""
+    """One row per different value of ``x`` within ``by``: n, and its average rank (from 1) among all rows.
+
+    Up to BROADCAST_VALUES values are ranked in a window per group, and marked for a broadcast; more are cut into ranges.
+    """
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    values = df.groupBy(*by, x).agg(n.cast("bigint").alias("n"))
-    return before(values, "n", [x], by, numeric_range(df, x, ranges), "_less").select(*by, x, "n", (F.col("_less") + (F.col("n") + 1) / 2).alias("rank"))
+    values = written(df.groupBy(*by, x).agg(n.cast("bigint").alias("n")), "values")
+    few = values.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES
+    if few:
+        less = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = values.withColumn("_less", less)
+    else:
+        placed = before(values, "n", [x], by, numeric_range(values, x, ranges), "_less")
+    out = placed.select(*by, x, "n", (F.col("_less") + (F.col("n") + 1) / 2).alias("rank"))
+    return F.broadcast(out) if few else out

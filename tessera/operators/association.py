@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.ranks import value_ranks
+from tessera.functions.shared import written
 from tessera.functions.special import normal_ppf, t_two_sided
 from tessera.functions.stats import concordance, fisher_bounds, pearson, ratio
 
@@ -50,7 +51,7 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
     Equal pairs are counted first; ranks are those of different values, so ties cost nothing and no group is one task.
     """
     by = list(by)
-    pairs = df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w"))
+    pairs = written(df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w")), "pairs")
     d = pairs.join(pairs.groupBy(*by).agg(F.sum("_w").alias("_n")), by) if by else pairs.join(F.broadcast(pairs.agg(F.sum("_w").alias("_n"))))  # one row
     for c in ("_x", "_y"):
         ranks = value_ranks(pairs, c, "_w", by).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col(c).alias("_v"), F.col("rank").alias(f"_r{c}"))

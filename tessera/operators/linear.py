@@ -411,35 +411,35 @@ class PolynomialBasis:
     center: float
     scale: float
     alpha: list[float]
-    beta: list[float]
-    norms: list[float]
+    root: list[float]
 
     @classmethod
     def fit(cls, df: DataFrame, x: str, degree: int) -> PolynomialBasis:
-        """One pass for the centre, one for the power sums, from which the recurrence follows."""
+        """Stieltjes' procedure: a pass per degree for the next coefficients, from polynomials evaluated by those found so far."""
         v = F.col(x).cast("double")
-        first = df.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.countDistinct(v).alias("d")).first()
         if degree < 1:
             raise ValueError(f"the degree must be 1 at least, got {degree}")
-        if not first.n or df.where(_bad([x])).limit(1).count():
-            raise DesignMatrixError("no values, or null, NaN or infinite ones")
-        if first.d <= degree:
-            raise DesignMatrixError(f"{first.d} different values for degree {degree}")
-        z = (v - F.lit(first.m)) / F.lit(first.s)
-        power = lambda k: F.sum(F.pow(z, F.lit(float(k))))
-        sums = np.array(df.agg(*[power(k).alias(f"s{k}") for k in range(2 * degree + 1)]).first(), float)
-        inner = lambda a, b: sum(u * w * sums[i + j] for i, u in enumerate(a) for j, w in enumerate(b))
-        q, alpha, beta, norms = [np.array([1.0])], [], [0.0], [float(sums[0])]
-        for k in range(degree):
-            shifted = np.append(0.0, q[k])
-            alpha.append(inner(shifted, q[k]) / norms[k])
-            new = shifted - alpha[k] * np.append(q[k], 0.0)
-            if k:
-                beta.append(norms[k] / norms[k - 1])
-                new[: len(q[k - 1])] -= beta[k] * q[k - 1]
-            q.append(new)
-            norms.append(float(inner(new, new)))
-        return cls(degree, first.m, first.s, alpha, beta, norms)
+        center, scale, n, _ = _spread(df, x, degree)
+        z = (v - F.lit(center)) / F.lit(scale)
+        out = cls(degree, center, scale, [0.0], [math.sqrt(n)])
+        for _ in range(degree):
+            r = out._next(z)
+            s, t = df.select(r.alias("r"), z.alias("z")).agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("z") * F.col("r") * F.col("r"))).first()
+            out.alpha.append(t / s)
+            out.root.append(math.sqrt(s))
+        return out
+
+    def _polynomials(self, z: Column) -> list[Column]:
+        """q_0 .. of the coefficients so far: q_k of unit length over the fitted rows."""
+        before, now, made = F.lit(0.0), F.lit(1 / self.root[0]), []
+        for k in range(1, len(self.root)):
+            before, now = now, ((z - F.lit(self.alpha[k - 1])) * now - F.lit(self.root[k - 1] if k > 1 else 0.0) * before) / F.lit(self.root[k])
+            made.append(now)
+        return [F.lit(1 / self.root[0]), *made]
+
+    def _next(self, z: Column) -> Column:
+        q = self._polynomials(z)
+        return (z - F.lit(self.alpha[-1])) * q[-1] - (F.lit(self.root[-1]) * q[-2] if len(q) > 1 else F.lit(0.0))
 
     def transform(self, df: DataFrame, x: str, kind: str = "orthogonal") -> DataFrame:
         """Adds p1..pd, of any rows: by the fitted recurrence, or powers of the column standardised ("centered") or as it is ("raw")."""
@@ -449,30 +449,78 @@ class PolynomialBasis:
         if kind != "orthogonal":
             base = z if kind == "centered" else F.col(x).cast("double")
             return df.withColumns({f"p{k}": F.pow(base, F.lit(float(k))) for k in range(1, self.degree + 1)})
-        before, now, made = F.lit(0.0), F.lit(1.0), {}
-        for k in range(self.degree):
-            before, now = now, (z - F.lit(self.alpha[k])) * now - F.lit(self.beta[k]) * before
-            made[f"p{k + 1}"] = now / F.lit(math.sqrt(self.norms[k + 1]))
-        return df.withColumns(made)
+        d, names = df.withColumn("_z", z).withColumn("_q0", F.lit(1 / self.root[0])), ["_q0"]
+        for k in range(1, self.degree + 1):  # column by column, so that no expression grows with the degree
+            before = F.col(names[-2]) if k > 1 else F.lit(0.0)
+            q = ((F.col("_z") - F.lit(self.alpha[k - 1])) * F.col(names[-1]) - F.lit(self.root[k - 1] if k > 1 else 0.0) * before) / F.lit(self.root[k])
+            d, names = d.withColumn(f"p{k}", q), [*names, f"p{k}"]
+        return d.drop("_z", "_q0")
+
+
+def _spread(df: DataFrame, x: str, degree: int, bad: Sequence[str] = ()) -> tuple[float, float, int, tuple[float, float]]:
+    """Mean, deviation, rows and range of a column that a polynomial can be fitted to; an error for any other."""
+    v = F.col(x).cast("double")
+    first = df.agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"), F.stddev_pop(v).alias("s"), F.min(v).alias("a"), F.max(v).alias("b"), F.count_if(_bad([x, *bad])).alias("bad")).first()
+    if not first.n or first.bad:
+        raise DesignMatrixError("no values, or null, NaN or infinite ones")
+    values = df.select(v.alias("v")).distinct().limit(degree + 1).count()
+    if values <= degree:
+        raise DesignMatrixError(f"{values} different values for degree {degree}")
+    return first.m, first.s, first.n, (first.a, first.b)
 
 
 def order_sweep(df: DataFrame, x: str, y: str, degrees: int, fold: str | None = None) -> list[dict]:
-    """Per degree: statistics of the fit, leave-one-out error by PRESS, and k-fold error over a fold column."""
-    basis = PolynomialBasis.fit(df, x, degrees)
-    wide = basis.transform(df, x)
+    """Per degree: statistics of the fit, leave-one-out error by PRESS, and k-fold error over a fold column.
+
+    One QR of Chebyshev polynomials gives a triangle per fold, from which follow the fits of all degrees to all rows and to
+    the rows outside of every fold, and the errors on the fold; one pass over leverages gives PRESS.
+    """
+    _, _, n, (low, high) = _spread(df, x, degrees, [y])
+    u, size = (2 * F.col(x).cast("double") - F.lit(low + high)) / F.lit(high - low), degrees + 1
+    d, t = df.withColumn("_t0", F.lit(1.0)).withColumn("_t1", u), [f"_t{k}" for k in range(size)]
+    for k in range(2, size):
+        d = d.withColumn(t[k], 2 * F.col("_t1") * F.col(t[k - 1]) - F.col(t[k - 2]))
+    mean, sd = df.agg(F.avg(y).cast("double"), F.stddev_pop(y).cast("double")).first()
+    sd = sd or 1.0
+    target = (F.col(y).cast("double") - F.lit(mean)) / F.lit(sd)
+    parts = qr.triangles(d, [*map(F.col, t), target], F.col(fold) if fold else F.lit(0))
+    whole = qr.stacked(list(parts.values()), size + 1)
+    basis = np.linalg.solve(whole[:size, :size], np.eye(size))  # coefficients of the orthonormal polynomials
+    q = [sum((F.lit(float(basis[j, k])) * F.col(t[j]) for j in range(k)), F.lit(float(basis[k, k])) * F.col(t[k])) for k in range(size)]
+    wide = d.select(target.alias("_y"), *[c.alias(f"_q{k}") for k, c in enumerate(q)])
+    made, error, leverage = [], F.col("_y"), F.lit(0.0)
+    for k in range(size):
+        error = error - F.lit(float(whole[k, size])) * F.col(f"_q{k}")
+        leverage = leverage + F.col(f"_q{k}") * F.col(f"_q{k}")
+        if k:
+            press = error / (1 - leverage)
+            made += [F.sqrt(F.avg(press * press)).alias(f"r{k}"), F.max(leverage).alias(f"h{k}")]
+    loo = wide.agg(*made).first()
     out = []
-    for d in range(1, degrees + 1):
-        names = [f"p{k}" for k in range(1, d + 1)]
-        fit = fit_ols(wide, names, y)
-        press = (F.col(y) - fit.predicted()) / (1 - fit.leverage())
-        loo = wide.agg(F.sqrt(F.avg(press * press)).alias("r"), F.max(fit.leverage()).alias("h")).first()
-        row = {"degree": d, **fit.stats, "loocv_rmse": loo.r if loo.h < 1 - 1e-10 else math.nan}
+    for k in range(1, size):
+        keep = [*range(k + 1), size]
+        root = np.linalg.qr(whole[:, keep], "r")
+        fit = least_squares(Factor([f"p{i}" for i in range(1, k + 1)], np.append(np.zeros(k), mean), np.append(np.ones(k), sd), n, True, root))
+        row = {"degree": k, **fit.stats, "loocv_rmse": loo[f"r{k}"] * sd if loo[f"h{k}"] < 1 - 1e-10 else math.nan}
         if fold:
-            row["kfold_rmse"] = _fold_error(df, x, y, d, fold)
+            row["kfold_rmse"] = _fold_error({f: part[:, keep] for f, part in parts.items()}, n) * sd
         out.append(row)
     return out
 
 
+def _fold_error(parts: dict[int, np.ndarray], n: int) -> float:
+    """Mean over the folds of the error of a fit to the rows of the others, from a triangle per fold (the target last)."""
+    errors, size = [], next(iter(parts.values())).shape[1]
+    for f, own in parts.items():
+        rows = round(float((own[:, 0] ** 2).sum()))
+        if n - rows <= size - 1 or len(parts) < 2:
+            return math.nan
+        rest = qr.stacked([p for g, p in parts.items() if g != f], size)
+        beta = np.linalg.lstsq(rest[:-1, :-1], rest[:-1, -1], rcond=None)[0]
+        errors.append(math.sqrt(float(((own @ np.append(beta, -1.0)) ** 2).sum()) / rows))
+    return float(np.mean(errors))
+
+
 CRITERIA = {"bic": 1, "aic": 1, "loocv_rmse": 1, "kfold_rmse": 1, "adj_r2": -1}
 
 
@@ -492,17 +540,3 @@ def evaluation_grid(spark, low: Sequence[float], high: Sequence[float], steps: i
     side = lambda k, i: F.lit(float(low[k])) + i * F.lit(float(high[k] - low[k])) / n
     nodes = spark.range(steps * steps)
     return nodes.select(side(0, F.floor(F.col("id") / steps)).alias(names[0]), side(1, F.col("id") % steps).alias(names[1]))
-
-
-def _fold_error(df: DataFrame, x: str, y: str, degree: int, fold: str) -> float:
-    """Mean over the folds of the error of a basis and fit learned on the others."""
-    errors = []
-    for (k,) in df.select(fold).distinct().orderBy(fold).collect():
-        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
-        if train.count() <= degree + 1:
-            return math.nan
-        basis = PolynomialBasis.fit(train, x, degree)
-        fit = fit_ols(basis.transform(train, x), [f"p{i}" for i in range(1, degree + 1)], y)
-        e = F.col(y) - fit.predicted()
-        errors.append(basis.transform(test, x).agg(F.sqrt(F.avg(e * e))).first()[0])
-    return float(np.mean(errors))

@@ -79,6 +79,14 @@ def _normal_tail(x: str) -> str:
     return f"(0.5 - exp(-power({z}, 2) / 2) / sqrt(2 * pi()) * {series})"
 
 
+def _md5(*parts: str) -> str:
+    return f"md5(concat_ws(':', {', '.join(parts)}))"
+
+
+def _hash_fold(seed: int, key: str, k: int) -> str:
+    return f"(('0x' || substr({_md5(chr(39) + str(seed) + chr(39), key + '::varchar')}, 1, 8))::bigint % {k})::int"
+
+
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _MOMENTS = """WITH m AS (SELECT l_suppkey AS k, avg({c}) AS a, stddev_pop({c}) AS s FROM lineitem GROUP BY 1)
   SELECT k, coalesce(avg(power(({c} - a) / nullif(s, 0), 3)), 0) AS skew, coalesce(avg(power(({c} - a) / nullif(s, 0), 4)) - 3, 0) AS kurt
@@ -422,7 +430,26 @@ def orthogonal_polynomials(spark, sf_dir):
     return d.select("o_orderkey", rounded(F.col("p1") * 1000, 5).alias("p1"), rounded(F.col("p2") * 1000, 5).alias("p2"))
 
 
-@query()
+def _sweep_sql(degrees: int) -> str:
+    """Orthogonal polynomials of the rows outside of every fold (-1: of all rows), degree by degree, and what they predict."""
+    w = "FILTER (WHERE tr) OVER (PARTITION BY f)"
+    ctes = [f"""d AS (SELECT c_acctbal AS x, avg(o_totalprice) AS y, {_hash_fold(3, 'c_custkey', 5)} AS fold FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal),
+      g AS (SELECT DISTINCT fold AS f FROM d UNION ALL SELECT -1), s0 AS (SELECT f, fold, x, y, fold <> f AS tr FROM d, g),
+      s1 AS (SELECT *, (x - avg(x) {w}) / stddev_pop(x) {w} AS z, avg(y) {w} AS e0, (count(*) {w})::double AS n0, 1.0::double AS p0 FROM s0), s2 AS (SELECT *, z AS p1 FROM s1)"""]
+    for k in range(1, degrees + 1):
+        ctes.append(f"t{k} AS (SELECT *, sum(p{k} * p{k}) {w} AS n{k}, sum(z * p{k} * p{k}) {w} AS m{k}, sum(y * p{k}) {w} AS c{k} FROM s{k + 1})")
+        ctes.append(f"s{k + 2} AS (SELECT *, e{k - 1} + c{k} / n{k} * p{k} AS e{k}, (z - m{k} / n{k}) * p{k} - n{k} / n{k - 1} * p{k - 1} AS p{k + 1} FROM t{k})")
+    last, rows = f"s{degrees + 2}", []
+    for k in range(1, degrees + 1):
+        h = " + ".join(f"p{i} * p{i} / n{i}" for i in range(k + 1))
+        rows.append(f"""SELECT {k} AS degree, count(*) AS n, sum(power(y - e{k}, 2)) AS rss, 1 - sum(power(y - e{k}, 2)) / sum(power(y - e0, 2)) AS r2, sqrt(avg(power((y - e{k}) / (1 - ({h})), 2))) AS loocv_rmse,
+      (SELECT avg(r) FROM (SELECT sqrt(avg(power(y - e{k}, 2))) AS r FROM {last} WHERE f = fold GROUP BY f)) AS kfold_rmse FROM {last} WHERE f = -1""")
+    return f"""WITH {", ".join(ctes)}, a AS ({" UNION ALL ".join(rows)})
+      SELECT degree, n::int AS n, round(rss / 1e9, 4) + 0.0 AS rss_billions, round(r2, 6) + 0.0 AS r2, round(n * (ln(2 * pi() * rss / n) + 1) + 2 * (degree + 1), 4) + 0.0 AS aic, round(n * (ln(2 * pi() * rss / n) + 1) + (degree + 1) * ln(n), 4) + 0.0 AS bic,
+        round(loocv_rmse, 4) + 0.0 AS loocv_rmse, round(kfold_rmse, 4) + 0.0 AS kfold_rmse FROM a"""
+
+
+@query(_sweep_sql(4))
 def polynomial_order_sweep(spark, sf_dir):
     """Degrees 1 to 4: information criteria, PRESS and 5-fold errors."""
     d = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x")).join(
@@ -431,8 +458,19 @@ def polynomial_order_sweep(spark, sf_dir):
     d = d.persist()
     rows = linear.order_sweep(d, "x", "y", 4, "fold")
     d.unpersist()
-    names = ("degree", "n", "rss", "r2", "aic", "bic", "loocv_rmse", "kfold_rmse")
-    return spark.createDataFrame([tuple(r[c] for c in names) for r in rows], "degree int, n int, rss double, r2 double, aic double, bic double, loocv_rmse double, kfold_rmse double")
+    names = ("degree", "n", "r2", "aic", "bic", "loocv_rmse", "kfold_rmse")
+    out = spark.createDataFrame([(*(r[c] for c in names), r["rss"] / 1e9) for r in rows], "degree int, n int, r2 double, aic double, bic double, loocv_rmse double, kfold_rmse double, rss_billions double")
+    return _round(_round(out, "r2"), "aic", "bic", "loocv_rmse", "kfold_rmse", "rss_billions", digits=4)
+
+
+@query("""WITH z AS (SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS z, count(*) OVER ()::double AS n0 FROM customer),
+  a AS (SELECT *, z AS p1, sum(z * z) OVER () AS n1, sum(z * z * z) OVER () AS m1 FROM z), b AS (SELECT *, (z - m1 / n1) * p1 - n1 / n0 AS p2 FROM a), c AS (SELECT *, sum(p2 * p2) OVER () AS n2, sum(z * p2 * p2) OVER () AS m2 FROM b),
+  d AS (SELECT *, (z - m2 / n2) * p2 - n2 / n1 * p1 AS p3 FROM c)
+  SELECT c_custkey, round(p2 / sqrt(n2) * 1000, 5) + 0.0 AS p2, round(p3 / sqrt(sum(p3 * p3) OVER ()) * 1000, 5) + 0.0 AS p3 FROM d""")
+def orthogonal_cubics(spark, sf_dir):
+    d = _t(spark, sf_dir, "customer")
+    d = linear.PolynomialBasis.fit(d, "c_acctbal", 3).transform(d, "c_acctbal")
+    return d.select("c_custkey", rounded(F.col("p2") * 1000, 5).alias("p2"), rounded(F.col("p3") * 1000, 5).alias("p3"))
 
 
 def _orders_of_lines(spark, sf_dir) -> DataFrame:
@@ -506,10 +544,6 @@ def leave_one_out_line(spark, sf_dir):
     return _round(spark.createDataFrame([(row["loocv_rmse"],)], "loocv_rmse double"), "loocv_rmse", digits=3)
 
 
-def _md5(*parts: str) -> str:
-    return f"md5(concat_ws(':', {', '.join(parts)}))"
-
-
 @query(f"SELECT o_orderkey, ((row_number() OVER (ORDER BY {_md5(chr(39) + '7' + chr(39), 'o_orderkey::varchar')}, o_orderkey) - 1) % 5)::int AS fold FROM orders")
 def folds_shuffled(spark, sf_dir):
     return folds.shuffled(_t(spark, sf_dir, "orders"), 5, ["o_orderkey"], 7).select("o_orderkey", "fold")
@@ -529,10 +563,6 @@ def folds_grouped(spark, sf_dir):
     return folds.grouped(_t(spark, sf_dir, "customer"), 3, "c_nationkey", 3)
 
 
-def _hash_fold(seed: int, key: str, k: int) -> str:
-    return f"(('0x' || substr({_md5(chr(39) + str(seed) + chr(39), key + '::varchar')}, 1, 8))::bigint % {k})::int"
-
-
 @query(f"""WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, {_hash_fold(5, 'l_suppkey', 4)} AS fold FROM lineitem), t AS (SELECT DISTINCT fold AS k FROM d),
   b AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d JOIN t ON fold <> k GROUP BY k)
   SELECT fold, count(*) AS n, round(avg(abs(y - a - b * x)), 3) + 0.0 AS mae, round(sqrt(avg(power(y - a - b * x, 2))), 3) + 0.0 AS rmse, round(1 - avg(power(y - a - b * x, 2)) / var_pop(y), 6) + 0.0 AS r2 FROM d JOIN b ON k = fold GROUP BY fold""")

@@ -178,3 +178,41 @@ def test_one_group_with_all_rows(spark):
     d = spark.range(0, 1_000_001, 1, 8).select(F.lit("x").alias("k"), (F.pmod(F.col("id") * 7919, F.lit(1_000_001)) / 4).alias("v"))
     r = pooling.pool(d, ["k"], ["v"], (), (1, 50, 90), held=10_000).first()
     assert (r.p1_v, r.p50_v, r.p90_v) == (2500.0, 125000.0, 225000.0)
+
+
+# Polynomials
+
+
+def test_polynomials_of_degree_8_on_a_skewed_column(spark):
+    rng = np.random.default_rng(6)
+    x = rng.lognormal(0, 0.7, 3000)
+    d = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(4)
+    p = np.array(linear.PolynomialBasis.fit(d, "x", 8).transform(d, "x").select(*[f"p{k}" for k in range(1, 9)]).collect())
+    assert np.abs(p.T @ p - np.eye(8)).max() < 1e-12 and np.abs(p.sum(0)).max() < 1e-10
+
+
+def test_order_sweep_equals_fits_degree_by_degree(spark):
+    rng = np.random.default_rng(7)
+    x = rng.uniform(-2, 5, 120)
+    y = 1 + x - 0.3 * x**2 + rng.normal(size=120)
+    fold = np.arange(120) % 4
+    d = spark.createDataFrame([(float(a), float(b), int(f)) for a, b, f in zip(x, y, fold, strict=True)], "x double, y double, fold int").repartition(3)
+    for row in linear.order_sweep(d, "x", "y", 6, "fold"):
+        k = row["degree"]
+        v = np.polynomial.chebyshev.chebvander((2 * x - x.min() - x.max()) / (x.max() - x.min()), k)
+        q = np.linalg.qr(v)[0]
+        e, h = y - q @ (q.T @ y), (q**2).sum(1)
+        errors = [np.sqrt(np.mean((y[fold == f] - v[fold == f] @ np.linalg.lstsq(v[fold != f], y[fold != f], rcond=None)[0]) ** 2)) for f in range(4)]
+        n = len(x)
+        want = {"rss": (e**2).sum(), "loocv_rmse": np.sqrt(np.mean((e / (1 - h)) ** 2)), "kfold_rmse": np.mean(errors), "aic": n * (np.log(2 * np.pi * (e**2).sum() / n) + 1) + 2 * (k + 1)}
+        assert {c: row[c] for c in want} == pytest.approx(want, rel=1e-9)
+
+
+def test_ranks_in_ranges_equal_ranks_in_a_window(spark, monkeypatch):
+    from tessera.functions import ranks
+
+    d = ordered(spark)
+    plain = lambda: sorted(map(tuple, ranks.value_ranks(d, "v", by=["k"]).collect()), key=str)
+    few = plain()
+    monkeypatch.setattr(ranks, "BROADCAST_VALUES", 3)
+    assert [r for r in plain() if r[0] is not None] == [r for r in few if r[0] is not None]
