@@ -4,7 +4,7 @@ Every page weighs its containers by the text in them that isn't boilerplate or m
 tag-class path of the best one: the smallest with all text of its articles, where these hold most of the page, or else with
 nearly all of the page and the headings and paragraphs beside it. Spark adds the votes per host, and every page is then
 read again: the text is what stands in all containers at the host's winning path, or at the next one that the page has, if
-they hold a fair share of the page or are marked as content, or else in the page's own best container.
+they hold a fair share of the page, or else in the page's own best container.
 
 Null and empty pages, and pages without text outside boilerplate, have an empty text. Pages without a host (null URLs)
 vote together. Repeated rows vote as often as they stand and get equal texts; nothing of a text is dropped or capped, and
@@ -53,8 +53,14 @@ _BOILER = frozenset(
     "consent gdpr notice notices popup modal overlay newsletter subscribe signup widget toolbar pagination pager hidden skip alert search login".split()
 )
 _CONTENT = frozenset("article main content post entry story".split())
-#: Words that may stand beside one of those in a class name within an article: ``related-posts`` is boilerplate there, ``related-work`` isn't.
+#: Those of other people's words and of other pages: an element of theirs is struck whatever it holds. One that is struck for
+#: another reason, as a form around the page or a container named for its sidebar, stays if it holds most of the page's text,
+#: or an article with a good share of it.
+_FOREIGN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended recommendations comment comments disqus respond reply replies discussion".split())
+GOOD, MOST = 0.3, 0.5
+#: Words that may stand beside one of those in a class name: ``related-posts`` is boilerplate, ``related-work`` and ``has-sidebar`` aren't; and some more outside of articles.
 _NEUTRAL = frozenset("list box section block area wrapper wrap container inner outer links link buttons button bar form posts post articles items item widget top bottom left right inline".split())
+_PLACES = frozenset("site main primary secondary global page mobile desktop sub mega footer".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -75,10 +81,11 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.key, self.tag, self.step = array("q", [-1]), array("q", [0]), [""], [""]
-        self.boiler, self.marked = bytearray(1), bytearray(1)
+        self.mark, self.marked = bytearray(1), bytearray(1)  # what speaks for boilerplate: see _open
         self.texts: list[str] = []
-        self.block_at, self.linked_in, self.block_boiler = array("q"), array("q"), bytearray()
+        self.block_at, self.linked_in = array("q"), array("q")
         self._read(source)
+        self._strike()
         self._weigh()
 
     def _open(self, tag: str, attributes: str) -> int:
@@ -88,36 +95,51 @@ class Page:
         names = found.get("class", "").split()
         words = {w.lower() for w in _TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}")} if found else frozenset()
         inside = bool(self.open.get("article") or self.open.get("main"))
-        boiler = tag in _BOILER_TAGS and not (tag == "header" and inside)
+        mark = 0 if tag == "header" and inside else 2 if tag in ("form", "header") else int(tag in _BOILER_TAGS)
         if tag not in ("html", "body", "main", "article"):
-            boiler |= self._named(words, [*names, found.get("id", ""), found.get("role", "")], inside)
-            boiler |= "hidden" in attributes and bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
-            boiler |= found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        elif words & {"comment", "comments", "reply"}:
-            boiler = tag == "article"
-        if tag in _INLINE and (not boiler or self.boiler[up]):
+            named = self._named(words, [*names, found.get("id", ""), found.get("role", "")], inside)
+            mark = 1 if mark == 1 else max(mark, named)
+            if "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+                mark = 1
+        elif words & {"comment", "comments", "reply"} and tag == "article":
+            mark = 3
+        if tag in _INLINE and not mark:
             return up
         step = _step(tag, names)
         self.parent.append(up)
         self.tag.append(tag)
         self.step.append(step)
         self.key.append((self.key[up] * 0x5851F42D4C957F2D + (zlib.crc32(step.encode()) << 20) + len(step)) & _MASK)
-        self.boiler.append(boiler or self.boiler[up])
+        self.mark.append(mark)
         self.marked.append(tag in ("article", "main") or bool(words & _CONTENT))
         return len(self.parent) - 1
 
     @staticmethod
-    def _named(words: frozenset | set, names: list[str], inside: bool) -> bool:
-        """Whether classes, id or role mark boilerplate: by any word, but by whole names within an article."""
-        if not words & _BOILER:
-            return False
-        if not inside:
-            return bool(words & _BOILER - ({"header"} if words & _CONTENT else frozenset()))
-        for name in names:
-            parts = {w.lower() for w in _TOKEN.findall(name)}
-            if parts & _BOILER - {"header"} and parts <= _BOILER | _NEUTRAL:
-                return True
-        return False
+    def _named(words: frozenset | set, names: list[str], inside: bool) -> int:
+        """Whether a whole class, id or role marks boilerplate: 3 if it is foreign, 2 if it may be undone, else 0."""
+        found = 0
+        if words & _BOILER:
+            for name in names:
+                parts = {w.lower() for w in _TOKEN.findall(name)}
+                hit = parts & (_BOILER - {"header"} if inside or parts & _CONTENT - {"main"} else _BOILER)
+                if hit and parts <= (_BOILER | _NEUTRAL if inside else _BOILER | _NEUTRAL | _PLACES):
+                    found = max(found, 3 if hit & _FOREIGN else 2)
+        return found
+
+    def _strike(self) -> None:
+        """Settles which elements are boilerplate: the marked ones, those undone aside, and all within them."""
+        hard, whole = bytearray(m == 1 or m == 3 for m in self.mark), array("q", bytes(8 * len(self.parent)))
+        articles = array("q", (t in ("article", "main") and not m for t, m in zip(self.tag, self.mark, strict=True)))
+        for k in range(1, len(hard)):
+            hard[k] |= hard[self.parent[k]]
+        for at, text in zip(self.block_at, self.texts, strict=True):
+            whole[at] += 0 if hard[at] else len(text)
+        whole, articles = self._sums(whole), self._sums(articles)
+        self.boiler = bytearray(len(self.mark))
+        for k in range(1, len(self.mark)):
+            stays = self.mark[k] == 2 and (whole[k] > MOST * whole[0] or articles[k] and whole[k] > GOOD * whole[0])
+            self.boiler[k] = self.boiler[self.parent[k]] or bool(self.mark[k]) and not stays
+        self.block_boiler = bytearray(self.boiler[at] for at in self.block_at)
 
     def path(self, k: int) -> str:
         """The generalised path of an element as text."""
@@ -135,7 +157,6 @@ class Page:
                 self.texts.append(text)
                 self.block_at.append(at)
                 self.linked_in.append(min(self.linked, len(text)))
-                self.block_boiler.append(self.boiler[at])
             self.pieces, self.linked = [], 0
 
     def _close(self, tag: str) -> None:
@@ -181,7 +202,7 @@ class Page:
             inline = tag in _INLINE
             if m[1] or m[4]:
                 if self.open.get(tag):
-                    if not inline or self.boiler[self.stack[-1]]:
+                    if not inline or self.tag[self.stack[-1]] in _INLINE:
                         self._flush()
                     self._close(tag)
                 elif tag == "p":
@@ -205,7 +226,7 @@ class Page:
             if tag in _VOID:
                 continue
             k = self._open(tag, attributes)
-            if self.boiler[k] != self.boiler[self.stack[-1]]:
+            if inline and k != self.stack[-1]:
                 self._flush()
             self.stack.append(k)
             self.names.append(tag)
@@ -277,9 +298,9 @@ class Page:
         return found
 
     def at(self, key: int) -> list[int]:
-        """All elements with text at a path, if they are marked as content or together hold a fair share of the page."""
+        """All elements with text at a path, if together they hold a fair share of the page."""
         fit = [k for k, x in enumerate(self.key) if x == key and not self.boiler[k] and self.worth[k] > 0]
-        return fit if any(self.marked[k] for k in fit) or sum(self.worth[k] for k in fit) >= FAIR * self.worth[0] else []
+        return fit if sum(self.worth[k] for k in fit) >= FAIR * self.worth[0] else []
 
     def text(self, elements: list[int]) -> str:
         inside = bytearray(len(self.parent))

@@ -631,9 +631,44 @@ def test_html_text_of_a_large_broken_page_takes_bounded_memory(piece):
 def test_consensus_overrules_a_page(spark):
     body = "<div class=story><p>{}</p></div><div class=tips><p>{}</p></div>"
     rows = [(i, "http://a.org/x", f"<body>{body.format('story words ' * 20, 'tip')}</body>") for i in range(5)]
-    rows.append((9, "http://a.org/y", f"<body>{body.format('short story', 'tips that are much longer ' * 20)}</body>"))
+    rows.append((9, "http://a.org/y", f"<body>{body.format('short story ' * 12, 'tips that are longer ' * 5)}</body>"))
+    rows.append((8, "http://a.org/z", f"<body>{body.format('Teaser line.', 'own text ' * 200)}</body>"))  # what stands at the path is no fair share
     d = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    assert {r.page_id: r.text for r in html_text.html_text(d).collect()}[9] == "short story"
+    out = {r.page_id: r.text for r in html_text.html_text(d).collect()}
+    assert out[9] == ("short story " * 12).strip() and ("own text " * 200).strip() in out[8]
+
+
+ARTICLE = "The article goes on and on with words of its own. " * 30
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='site has-sidebar'><p>{}</p></div>", "<div class='no-sidebar'><article><p>{}</p></article></div>", "<div class='with-header'><main><p>{}</p></main></div>",
+        "<div class='doc-login-guide'><p>{}</p></div>", "<form id='aspnetForm' action=x><div><p>{}</p></div></form>", "<div id=sidebar-layout class=sidebar><p>{}</p></div>",
+        "<div class=widget><article><p>{}</p></article><div class=comments>" + "reader says " * 200 + "</div></div>", "<header class=page-header><h2>Site</h2></header><div class=search-results-page><p>{}</p></div>",
+        "<div class='site-header main-nav'>menu menu</div><div class=text><p>{}</p></div><div class='comments-section'>" + "reader says " * 300 + "</div>",
+    ],
+)
+def test_names_of_containers_lose_no_text(page):
+    found = html_text.Page(f"<html><body>{page.format(ARTICLE)}<div class='cookie-notice'>We use cookies</div></body></html>")
+    assert found.text([found.best()]) == ARTICLE.strip()
+
+
+def test_votes_equal_a_plain_count(spark):
+    shapes = ["<div class=a><p>{}</p></div>", "<section class=b2><p>{}</p></section>", "<article><p>{}</p></article>", "<nav>{}</nav>"]
+    rows = [(i, None if i % 7 == 0 else f"http://h{i % 3}.org/{i}", f"<body>{shapes[(i * i) % 4].format('some words ' * (5 + i % 5))}<p>x</p></body>") for i in range(60)]
+    votes = {}
+    for _, url, source in rows:
+        page = html_text.Page(source)
+        k = page.best()
+        if page.worth[k] > 0:
+            host = votes.setdefault(url.split("/")[2] if url else "", {})
+            n, worth = host.get(page.path(k), (0, 0))
+            host[page.path(k)] = (n + 1, worth + page.worth[k])
+    want = {h: sorted(v, key=lambda p: (-v[p][0], -v[p][1], p))[: html_text.PATHS] for h, v in votes.items()}
+    got = html_text.consensus(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r.host: list(r.paths) for r in got} == want
 
 
 def test_boilerplate_and_splits_leave_the_article_whole(spark):
