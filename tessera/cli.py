@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config, coerce
 from tessera.operators import ablation, association, diagnostics, folds, linear, metrics, models, nested, pooling
-from tessera.sources import audio, sinks, tables
+from tessera.sources import audio, recordings, sinks, tables
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +38,11 @@ def _analysis(args: argparse.Namespace, spark: SparkSession) -> tuple[DataFrame,
 
 def _front_end(config: Config) -> audio.FrontEnd:
     f = config.frontend
-    return audio.FrontEnd(f.frame_ms, f.hop_ms, f.mels, f.coefficients, window=f.window, energy=f.energy)
+    if f.preset:
+        if f.preset not in audio.PRESETS:
+            raise ValueError(f"frontend.preset must be one of {', '.join(audio.PRESETS)}, got {f.preset!r}")
+        return audio.PRESETS[f.preset]
+    return audio.FrontEnd(f.frame_ms, f.hop_ms, f.mels, f.coefficients, f.low, f.high, f.emphasis, f.lifter, f.window, f.energy, f.floor)
 
 
 def _task_table(args: argparse.Namespace, config: Config, spark: SparkSession) -> tuple[DataFrame, list[str]]:
@@ -68,11 +72,15 @@ def pool(args, config, spark):
 
 
 def extract(args, config, spark):
-    """Frame features of every recording below a folder, and the status of each file."""
-    recordings = audio.read_wav(spark, args.table)
+    """Frame features of every recording below a folder, and the status of each file: a table, or files in a mirrored tree."""
+    if args.format != "parquet":
+        c = config.frontend
+        table = recordings.extract_tree(spark, args.table, args.out, _front_end(config), c.delta_order, args.format, c.trim)
+        return {r.status: r["count"] for r in table.groupBy("status").count().collect()}
+    found = audio.read_wav(spark, args.table)
     f = _front_end(config)
-    audio.export_frames(audio.frame_features(recordings.where("error IS NULL"), f, config.frontend.delta_order), audio.frame_columns(f, config.frontend.delta_order), f"{args.out}/frames", args.format)
-    status = audio.extraction_status(recordings, f)
+    audio.export_frames(audio.frame_features(found.where("error IS NULL"), f, config.frontend.delta_order), audio.frame_columns(f, config.frontend.delta_order), f"{args.out}/frames", args.format)
+    status = audio.extraction_status(found, f)
     sinks.write_csv(status.orderBy("path"), f"{args.out}/status")
     return {r.status: r["count"] for r in status.groupBy("status").count().collect()}
 
@@ -148,7 +156,7 @@ def evaluate(args, config, spark):
     d, x = _task_table(args, config, spark)
     task, m = config.data.task, config.model
     positive = _positive(config)
-    fixed, other = {"alpha": m.alpha} if m.name == "ridge" else {}, {"reducer": m.reducer, "seed": config.data.seed}
+    fixed, other = config.model_settings(), {"reducer": m.reducer, "seed": config.data.seed}
     chosen = []
     if m.tune:
         p, chosen = nested.cross_validate(d, x, args.target, m.name, task, inner=m.inner, group=config.data.group or None, fixed=fixed, **other)
@@ -167,7 +175,7 @@ def train(args, config, spark):
     if m.tune:
         model, tried = models.tune(d, x, args.target, m.name, task, reducer=m.reducer, seed=config.data.seed)
     else:
-        model = models.fit(d, x, args.target, m.name, task, {"alpha": m.alpha} if m.name == "ridge" else {}, m.reducer, seed=config.data.seed)
+        model = models.fit(d, x, args.target, m.name, task, config.model_settings(), m.reducer, seed=config.data.seed)
     model.save(args.out, spark)
     return {"model": m.name, "settings": model.settings, "tried": tried}
 
@@ -179,20 +187,34 @@ def predict(args, config, spark):
 
 
 def ablate(args, config, spark):
-    """Models over the same repeats and folds, compared with the first of them."""
-    d, x = _analysis(args, spark)
-    axes = {"model": [n.strip() for n in (args.models or "linear,ridge").split(",")]}
-    if wrong := ablation.problems(axes, "regression"):
+    """Settings over the same repeats and folds, compared with the first of them.
+
+    The axes come from the configuration (``ablation.axes``) or are the models of ``--models``. With ``--recordings`` the table
+    is an index of recordings by path, and the axes may change their front end; frames are kept in a store beside the results.
+    """
+    axes = dict(config.ablation.axes) or {"model": [n.strip() for n in (args.models or "linear,ridge").split(",")]}
+    task = config.data.task
+    if wrong := ablation.problems(axes, task, normalization=config.pooling.normalization, n_ceps=config.frontend.coefficients, n_mels=config.frontend.mels):
         raise ValueError(" | ".join(wrong))
-    names = [f"fold_r{r}" for r in range(config.data.repeats)]
-    d = folds.repeated(d, config.data.folds, config.data.repeats, [*x, args.target], config.data.seed)
+    names, seed = [f"fold_r{r}" for r in range(config.data.repeats)], config.data.seed
+    if args.recordings:
+        ids = tables.load_index(_read(spark, args.table), args.target, task)
+        d = folds.repeated(ids, config.data.folds, config.data.repeats, ["path"], seed, "group" if folds.has_groups(ids, "group") else None)
+        p = config.pooling
+        features = ablation.recording_features(spark, args.recordings, d, f"{args.out}/frames", _front_end(config), config.frontend.delta_order, p.statistics, p.normalization)
+    else:
+        if set(axes) - {"model", "reducer"}:
+            raise ValueError("axes of the front end need --recordings")
+        d, x = _task_table(args, config, spark)
+        d = folds.repeated(d.drop("fold"), config.data.folds, config.data.repeats, [*x, args.target], seed, config.data.group or None, args.target if task == "classification" else None)
+        features = lambda point: (d, x)
     points = ablation.expand_grid(axes)
-    table = ablation.run(points, lambda p: (d, x), args.target, names).persist()
-    sinks.write_csv(ablation.summarize(table, metrics.HEADLINE["regression"]), f"{args.out}/summary")
+    metric = metrics.HEADLINE[task]
+    positive = _positive(config)
+    table = ablation.run(points, features, args.target, names, task, positive, None if positive is None else f"score_{positive}", config.model.tune, config.model.inner)
+    sinks.write_csv(ablation.summarize(table, metric, lower_is_better=task == "regression"), f"{args.out}/summary")
     sinks.write_csv(table, f"{args.out}/folds")
-    compared = ablation.compare_to_baseline(table, "rmse", points[0]["config_id"], method=config.analysis.correction)
-    sinks.write_csv(compared, f"{args.out}/comparison")
-    table.unpersist()
+    sinks.write_csv(ablation.compare_to_baseline(table, metric, points[0]["config_id"], task == "regression", config.analysis.correction), f"{args.out}/comparison")
     return {"settings": len(points), "folds": config.data.folds * config.data.repeats}
 
 
@@ -221,6 +243,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--set", action="append", metavar="SECTION.NAME=VALUE")
     parser.add_argument("--seed", type=int)
     parser.add_argument("--model", help="a saved model; of match: the folder of recordings")
+    parser.add_argument("--recordings", help="of ablate: the folder of recordings that the table is an index of")
     parser.add_argument("--models", help="models to compare, the baseline first")
     parser.add_argument("--format", default="parquet", choices=("parquet", "text", "htk"))
     parser.add_argument("--out", default="out")

@@ -16,7 +16,7 @@ ALLOWED = {
     "pooling.normalization": ("none", "cmn", "cmvn"),
     "analysis.correction": ("holm", "fdr_bh"),
     "analysis.stepwise_start": ("empty", "full"),
-    "model.name": ("linear", "ridge", "svr", "random_forest", "mlp", "logistic"),
+    "model.name": ("linear", "ridge", "svr", "random_forest", "mlp", "logistic", "svc"),
     "model.reducer": ("none", "pca", "lda"),
 }
 
@@ -41,6 +41,13 @@ class Frontend:
     window: str = "hamming_symmetric"
     energy: str = "c0"
     delta_order: int = 2
+    low: float = 64.0
+    high: float | None = None
+    emphasis: float = 0.97
+    lifter: int = 22
+    floor: float = 1e-10
+    trim: float = 0.0
+    preset: str = ""
 
 
 @dataclass(frozen=True)
@@ -64,11 +71,17 @@ class Analysis:
 class Model:
     name: str = "ridge"
     alpha: float = 1.0
+    settings: dict = field(default_factory=dict)
     reducer: str = "none"
     tune: bool = False
     inner: int = 3
 
 
+@dataclass(frozen=True)
+class Ablation:
+    axes: dict = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Config:
     data: Data = field(default_factory=Data)
@@ -76,6 +89,11 @@ class Config:
     pooling: Pooling = field(default_factory=Pooling)
     analysis: Analysis = field(default_factory=Analysis)
     model: Model = field(default_factory=Model)
+    ablation: Ablation = field(default_factory=Ablation)
+
+    def model_settings(self) -> dict:
+        """What the model is fitted with: ridge's penalty, and any other settings by name."""
+        return ({"alpha": self.model.alpha} if self.model.name == "ridge" else {}) | dict(self.model.settings)
 
     def __post_init__(self):
         for key, allowed in ALLOWED.items():
@@ -114,7 +132,7 @@ def _override(section, values: Mapping, prefix: str):
     new = {}
     for k, v in values.items():
         old = getattr(section, k)
-        new[k] = _override(old, v, f"{prefix}{k}.") if is_dataclass(old) else tuple(v) if isinstance(v, list) else v
+        new[k] = _override(old, v, f"{prefix}{k}.") if is_dataclass(old) else dict(v) if isinstance(v, Mapping) else tuple(v) if isinstance(v, list) else v
     return replace(section, **new)
 
 

@@ -124,26 +124,63 @@ def problems(axes: Mapping[str, Sequence], task: str = "regression", metric: str
     return out
 
 
-def run(points: Sequence[Mapping], features, y: str, repeats: Sequence[str], task: str = "regression", positive=None, score: str | None = None) -> DataFrame:
+def recording_features(spark, root: str, index, store: str, base=None, delta_order: int = 2, statistics: Sequence[str] = ("mean", "std"), normalization: str = "none"):
+    """``features`` for ``run``: pooled features of the recordings below ``root`` for a setting's front end, joined to ``index`` by path.
+
+    Static frames come from the store, which computes those of a front end once for all settings, repeats and runs that share it.
+    """
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.pooling import pool
+    from tessera.sources import audio, recordings
+
+    base = base or audio.FrontEnd()
+    names = {"n_ceps": "coefficients", "n_mels": "mels", "energy_term": "energy", "frame_hop_ms": None, "lifter": "lifter"}
+
+    def features(point: Mapping):
+        own = {field: point[axis] for axis, field in names.items() if field and axis in point}
+        if "frame_hop_ms" in point:
+            own["frame_ms"], own["hop_ms"] = point["frame_hop_ms"]
+        f, order, wanted = replace(base, **own), point.get("delta_order", delta_order), point.get("statistics", statistics)
+        static = audio.frame_columns(f, 0)
+        frames = recordings.stored_frames(spark, root, store, f).select("path", "frame", *[F.get("v", k).alias(c) for k, c in enumerate(static)])
+        columns = audio.frame_columns(f, order)
+        pooled = pool(audio.with_deltas(frames, static, order), ["path"], columns, wanted, (), point.get("normalization", normalization))
+        return index.join(pooled, "path"), [f"{s}_{c}" for s in wanted for c in columns]
+
+    return features
+
+
+def run(points: Sequence[Mapping], features, y: str, repeats: Sequence[str], task: str = "regression", positive=None, score: str | None = None, tune: bool = False, inner: int = 3, group: str | None = None) -> DataFrame:
     """Metrics of every setting, repeat and fold: config_id, repeat, fold, n_train, n_test and the task's metrics.
 
     ``features(point)`` gives a setting's table and predictor columns; all tables hold the same fold columns (``repeats``), so
-    settings are compared on the same rows. Tables that settings share are made once.
+    settings are compared on the same rows. Tables that settings share are made once, settings after each other, and let go
+    when the next one begins; a setting's rows are written, so the result reads a few small tables.
     """
+    from tessera.functions.shared import written
     from tessera.operators import metrics, models
 
-    made: dict = {}
-    out = None
-    for point in points:
-        key = tuple((k, label(v)) for k, v in point.items() if k not in ("config_id", "model", "reducer"))
-        if key not in made:
+    of = lambda point: tuple((k, label(v)) for k, v in point.items() if k not in ("config_id", "model", "reducer"))
+    out, now, d, x = None, None, None, None
+    for point in sorted(points, key=of):
+        if of(point) != now:
+            if d is not None:
+                d.unpersist()
+            now = of(point)
             d, x = features(point)
-            made[key] = (d.persist(), x)
-        d, x = made[key]
+            d = d.persist()
+        part = None
         for r, fold in enumerate(repeats):
-            p = models.cross_validate(d, x, y, point.get("model", "ridge"), task, fold=fold, reducer=point.get("reducer", "none"))
+            p = models.cross_validate(d, x, y, point.get("model", "ridge"), task, fold=fold, reducer=point.get("reducer", "none"), tune=tune, inner=inner, group=group)
             table = models.evaluated(p, y, task, fold, positive, score).where(F.col(fold).isNotNull())
             columns = [F.col(m) for m in metrics.METRICS[task] if m in table.columns]
             rows = table.select(F.lit(point["config_id"]).alias("config_id"), F.lit(r).alias("repeat"), F.col(fold).alias("fold"), "n_train", F.col("n").alias("n_test"), *columns)
-            out = rows if out is None else out.unionByName(rows)
+            part = rows if part is None else part.unionByName(rows)
+        part = written(part.coalesce(1), "ablation")
+        out = part if out is None else out.unionByName(part)
+    if d is not None:
+        d.unpersist()
     return out

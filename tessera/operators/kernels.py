@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 FEATURES, PASSES, LEAST = 200, 12, 1e-3
 #: Rounds of averaging, passes over a batch within a round, rows of a step.
 ROUNDS, EPOCHS, STEP = 10, 30, 64
+#: Rows of a partition that are worked on at a time.
+BLOCK = 8_192
 _PIECE = 1 << 14
 
 
@@ -56,13 +58,24 @@ def squared_errors(df: DataFrame, x: Sequence[str], y: str, code: str, models: d
 def summed(df: DataFrame, columns: Sequence[str], add: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
     """Sum over all partitions of what ``add`` makes of their rows (a matrix of the columns, and the partition's number)."""
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """A partition's rows, BLOCK at a time, however Arrow has cut them."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in batch.columns], 1))
+            n += len(batch)
+            while n >= BLOCK:
+                rows = np.concatenate(held)
+                yield rows[:BLOCK]
+                held, n = [rows[BLOCK:]], n - BLOCK
+        if n:
+            yield np.concatenate(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if len(batch):
-                x = np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in batch.columns], 1)
-                part = add(x, TaskContext.get().partitionId())
-                total = part if total is None else total + part
+        for x in blocks(batches):
+            part = add(x, TaskContext.get().partitionId())
+            total = part if total is None else total + part
         if total is not None:
             pieces = [total[i : i + _PIECE].tobytes() for i in range(0, len(total), _PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], ["piece", "numbers"])
@@ -145,6 +158,91 @@ class SupportVectors:
         return self.map((v - center[:-1]) / scale[:-1]) @ np.array(state["weights"]) * scale[-1] + center[-1]
 
 
+class SupportVectorClassifier(SupportVectors):
+    """Classes by squared hinge loss on the same features, one against the rest, with probabilities.
+
+    Every class's margin is turned into a probability by a sigmoid, fitted on margins of models that haven't seen the row:
+    three of them are trained beside the final one, each without the rows of one part, in the same passes.
+    """
+
+    PARTS = 3
+
+    def __init__(self, c: float = 1.0, gamma: float | None = None, features: int = FEATURES, seed: int = 0):
+        super().__init__(c, 0.0, gamma, features, seed)
+
+    def fit_classes(self, df: DataFrame, x: Sequence[str], y: str, part: str, n_classes: int) -> dict:
+        """State of the classifier; ``y`` holds class numbers from 0, ``part`` the parts 0 to PARTS - 1."""
+        keys, q = list(range(self.PARTS + 1)), self.features + 1  # the last key leaves no part out
+        scales = _scales(df, x, y, part, keys)
+        ones = list(range(n_classes)) if n_classes > 2 else [1]
+        z = lambda v, k: (v[:, :-2] - scales[k][0][:-1]) / scales[k][1][:-1]
+        weights = np.zeros((len(keys), len(ones), q))
+        for _ in range(PASSES):
+
+            def add(v: np.ndarray, _: int, weights=weights) -> np.ndarray:
+                out = []
+                for i, k in enumerate(keys):
+                    own = v[learns(v[:, -1], k)]
+                    h = self.map(z(own, k))
+                    for j, c in enumerate(ones):
+                        t = np.where(own[:, -2] == c, 1.0, -1.0)
+                        a = (t * (h @ weights[i, j]) < 1).astype(float)  # rows beyond the margin count nothing
+                        out += [(h.T @ (h * a[:, None])).ravel(), h.T @ (a * t)]
+                return np.concatenate(out)
+
+            sums = summed(df, [*x, y, part], add).reshape(len(keys), len(ones), -1)
+            ridge = np.diag(np.append(np.full(self.features, 1 / (2 * self.c)), 1e-6))
+            weights = np.array([[np.linalg.solve(s[: q * q].reshape(q, q) + ridge, s[q * q :]) for s in row] for row in sums])
+
+        def margins(v: np.ndarray) -> np.ndarray:
+            """Of every row and class, by the model without the row's part."""
+            out = np.zeros((len(v), len(ones)))
+            for i, k in enumerate(keys[:-1]):
+                at = v[:, -1] == k
+                out[at] = self.map(z(v[at], k)) @ weights[i].T
+            return out
+
+        counts = summed(df, [*x, y, part], lambda v, _: np.array([float((v[:, -2] == c).sum()) for c in ones] + [float(len(v))]))
+        yes, no = counts[:-1], counts[-1] - counts[:-1]
+        high, low = (yes + 1) / (yes + 2), 1 / (no + 2)
+        sigmoid = np.stack([np.full(len(ones), 1.0), np.log((yes + 1) / (no + 1))], 1)
+        for _ in range(PASSES):
+
+            def slopes(v: np.ndarray, _: int, sigmoid=sigmoid) -> np.ndarray:
+                m, out = margins(v), []
+                for j, c in enumerate(ones):
+                    p = 1 / (1 + np.exp(-np.clip(sigmoid[j, 0] * m[:, j] + sigmoid[j, 1], -30, 30)))
+                    e, w = p - np.where(v[:, -2] == c, high[j], low[j]), p * (1 - p)
+                    out += [e @ m[:, j], e.sum(), w @ m[:, j] ** 2, w @ m[:, j], w.sum()]
+                return np.array(out)
+
+            g = summed(df, [*x, y, part], slopes).reshape(len(ones), 5)
+            steps = np.array([np.linalg.solve([[a + 1e-6, b], [b, d + 1e-6]], [s, i]) for s, i, a, b, d in g])
+            sigmoid = sigmoid - np.clip(steps, -2, 2)
+            if np.abs(steps).max() < 1e-8:
+                break
+        center, scale = scales[keys[-1]]
+        return {"center": center[:-1].tolist(), "scale": scale[:-1].tolist(), "weights": weights[-1].tolist(), "sigmoid": sigmoid.tolist()}
+
+    def probabilities(self, state: dict, v: np.ndarray) -> np.ndarray:
+        """A column per class; rows add up to 1."""
+        m = self.map((v - np.array(state["center"])) / np.array(state["scale"])) @ np.array(state["weights"]).T
+        s = np.array(state["sigmoid"])
+        p = 1 / (1 + np.exp(-np.clip(m * s[:, 0] + s[:, 1], -30, 30)))
+        return np.hstack([1 - p, p]) if p.shape[1] == 1 else p / p.sum(1, keepdims=True)
+
+
+def class_probabilities(df: DataFrame, x: Sequence[str], kernel: SupportVectorClassifier, state: dict, out: str) -> DataFrame:
+    """Adds the array of every row's class probabilities."""
+
+    def value(*columns):
+        import pandas as pd
+
+        return pd.Series(list(kernel.probabilities(state, np.stack([c.to_numpy(float) for c in columns], 1))))
+
+    return df.withColumn(out, F.pandas_udf(value, "array<double>")(*[F.col(f"`{c}`").cast("double") for c in x]))
+
+
 class Network:
     """One hidden logistic layer on standardised rows and target: steps of Adam within partitions, parameters averaged."""
 

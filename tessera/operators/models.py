@@ -22,7 +22,7 @@ from tessera.errors import ModelFileError
 from tessera.operators import kernels, metrics
 from tessera.operators.linear import moments, ridge, scaled_ridge
 
-MODELS = {"regression": ("linear", "ridge", "random_forest", "svr", "mlp"), "classification": ("logistic", "random_forest", "mlp")}
+MODELS = {"regression": ("linear", "ridge", "random_forest", "svr", "mlp"), "classification": ("logistic", "svc", "random_forest", "mlp")}
 REDUCERS = ("none", "pca", "lda")
 #: Settings that tuning tries.
 SEARCH = {
@@ -31,6 +31,7 @@ SEARCH = {
     ("regression", "random_forest"): {"depth": (4, 8, 20), "leaf": (1, 3)},
     ("regression", "mlp"): {"ridge": (1e-4, 1e-2, 1.0)},
     ("classification", "logistic"): {"c": (0.01, 0.1, 1.0, 10.0)},
+    ("classification", "svc"): {"c": (0.1, 1.0, 10.0)},
     ("classification", "random_forest"): {"depth": (4, 8, 20), "leaf": (1, 3)},
     ("classification", "mlp"): {"rate": (0.01, 0.03, 0.1)},
 }
@@ -137,6 +138,11 @@ class Model:
             for b, c in zip(self.state["beta"], self.inputs, strict=True):
                 value = value + F.lit(b) * F.col(c)
             return d.withColumn("predicted", value).drop(*self.inputs)
+        if self.name == "svc":
+            d = kernels.class_probabilities(d, self.inputs, kernels.SupportVectorClassifier(**self.settings), self.state, "_scores")
+            best = F.array_position("_scores", F.array_max("_scores")).cast("int")
+            d = d.withColumn("predicted", F.element_at(F.array(*[F.lit(c) for c in self.classes]), best))
+            return metrics.class_scores(d, "_scores", self.classes, self.classes).drop(*self.inputs, "_scores")
         if self.stages is None:
             kernel = kernels.KERNELS[self.name](**self.settings)
             return kernels.predicted(d, self.inputs, kernel, {0: self.state}).drop(*self.inputs)
@@ -202,6 +208,10 @@ def fit(df: DataFrame, x: Sequence[str], y: str, name: str, task: str = "regress
     elif task == "regression" and name in kernels.KERNELS:
         kernel = kernels.KERNELS[name](**settings)
         model.state = kernel.fit(d.withColumn("_none", F.lit(-1)), model.inputs, y, "_none", [0])[0]
+    elif name == "svc":
+        number = (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(y)) - 1).cast("double")
+        d = d.withColumns({"_y": number, "_part": F.pmod(F.xxhash64(*model.inputs), F.lit(kernels.SupportVectorClassifier.PARTS))})
+        model.state = kernels.SupportVectorClassifier(**settings).fit_classes(d, model.inputs, "_y", "_part", len(classes))
     else:
         target = y
         if classes is not None:

@@ -563,6 +563,23 @@ def folds_grouped(spark, sf_dir):
     return folds.grouped(_t(spark, sf_dir, "customer"), 3, "c_nationkey", 3)
 
 
+_TRIALS = "list_transform([1, 2, 3], lambda f: list_transform(loads, lambda row, j: CASE WHEN j = f THEN list_transform(row, lambda v, c: v + g.v[c]) ELSE row END))"
+_COSTS = f"list_transform({_TRIALS}, lambda t: round(list_avg(list_transform(range(1, len(share) + 1), lambda c: list_stddev_pop([t[1][c] / share[c], t[2][c] / share[c], t[3][c] / share[c]]))), 9))"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT list(c_mktsegment ORDER BY c_mktsegment) AS classes FROM (SELECT DISTINCT c_mktsegment FROM customer)),
+  a AS (SELECT c_nationkey, list_transform(any_value(classes), lambda c: len(list_filter(list(c_mktsegment), lambda x: x = c))::double) AS v FROM customer, s GROUP BY 1),
+  o AS MATERIALIZED (SELECT c_nationkey, v, row_number() OVER (ORDER BY round(list_stddev_pop(v), 9) DESC, v DESC, {_md5("'5'", 'c_nationkey::varchar')}, c_nationkey) AS i FROM a),
+  h AS (SELECT list(greatest(t, 1) ORDER BY c) AS share FROM (SELECT c, sum(v[c]) AS t FROM o, range(1, (SELECT len(classes) FROM s) + 1) r(c) GROUP BY c)),
+  f AS (SELECT 0::bigint AS i, list_transform([1, 2, 3], lambda k: list_transform(share, lambda x: 0.0::double)) AS loads, share, NULL::int AS k, 0::int AS fold FROM h UNION ALL
+    SELECT i, list_transform(loads, lambda row, j: CASE WHEN j = fold + 1 THEN list_transform(row, lambda x, c: x + v[c]) ELSE row END), share, k, fold FROM (
+      SELECT g.i, loads, share, g.v, g.c_nationkey AS k, (list_sort(list_transform([1, 2, 3], lambda f: {{'c': ({_COSTS})[f], 'n': list_sum(loads[f]), 'f': f}}))[1].f - 1)::int AS fold FROM f JOIN o g ON g.i = f.i + 1))
+  SELECT k AS c_nationkey, fold FROM f WHERE i > 0""")
+def folds_stratified_groups(spark, sf_dir):
+    """Whole nations, with the market segments balanced between three folds."""
+    return folds.stratified_groups(_t(spark, sf_dir, "customer"), 3, "c_nationkey", "c_mktsegment", 5)
+
+
 @query(f"""WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, {_hash_fold(5, 'l_suppkey', 4)} AS fold FROM lineitem), t AS (SELECT DISTINCT fold AS k FROM d),
   b AS (SELECT k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM d JOIN t ON fold <> k GROUP BY k)
   SELECT fold, count(*) AS n, round(avg(abs(y - a - b * x)), 3) + 0.0 AS mae, round(sqrt(avg(power(y - a - b * x, 2))), 3) + 0.0 AS rmse, round(1 - avg(power(y - a - b * x, 2)) / var_pop(y), 6) + 0.0 AS r2 FROM d JOIN b ON k = fold GROUP BY fold""")
@@ -655,6 +672,20 @@ def cross_validated_logistic(spark, sf_dir):
     return metrics.classification(models.cross_validate(d.drop("score"), ["x"], "quality", "logistic", "classification"), "quality", "predicted", 1, "score_1")
 
 
+@query()
+def cross_validated_classifiers(spark, sf_dir):
+    """AUC and Brier score of support vectors and of a logistic regression on the same folds: quality by length and by how the text is spread over lines."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.ln(F.length("text") + 1.0).alias("a"), F.ln(F.length("text") / F.size(F.split("text", "\n"))).alias("b")).where("text IS NOT NULL AND length(text) > 0")
+    d = _t(spark, sf_dir, "labels").select("doc_id", "quality").join(d, "doc_id").withColumn("fold", folds.hashed(3, 1, "doc_id")).persist()
+    out = None
+    for name in ("svc", "logistic"):
+        p = models.cross_validate(d, ["a", "b"], "quality", name, "classification", {"features": 100} if name == "svc" else None)
+        brier = p.agg(F.avg(F.pow(F.col("score_1") - F.col("quality"), F.lit(2.0))).alias("brier"))
+        row = metrics.classification(p, "quality", "predicted", 1, "score_1").select("n", "auc").join(brier).withColumn("model", F.lit(name))  # one row and one row
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(f"SELECT quality AS truth, count(*) FILTER (called = 0) AS as_0, count(*) FILTER (called = 1) AS as_1 FROM {_LABELLED} GROUP BY 1")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion(_labelled(spark, sf_dir), "quality", "called", [0, 1])
