@@ -132,6 +132,11 @@ def _override(section, values: Mapping, prefix: str):
     new = {}
     for k, v in values.items():
         old = getattr(section, k)
+        if isinstance(old, float) and isinstance(v, str):  # YAML reads 1e-10 as text
+            try:
+                v = float(v)
+            except ValueError:
+                raise ConfigError(f"{prefix}{k} must be a number, got {v!r}") from None
         new[k] = _override(old, v, f"{prefix}{k}.") if is_dataclass(old) else dict(v) if isinstance(v, Mapping) else tuple(v) if isinstance(v, list) else v
     return replace(section, **new)
 

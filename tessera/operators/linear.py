@@ -540,3 +540,15 @@ def evaluation_grid(spark, low: Sequence[float], high: Sequence[float], steps: i
     side = lambda k, i: F.lit(float(low[k])) + i * F.lit(float(high[k] - low[k])) / n
     nodes = spark.range(steps * steps)
     return nodes.select(side(0, F.floor(F.col("id") / steps)).alias(names[0]), side(1, F.col("id") % steps).alias(names[1]))
+
+
+def response_surface(df: DataFrame, x: Sequence[str], y: str, steps: int = 25, confidence: float = 0.95) -> tuple[DataFrame, LeastSquares]:
+    """The fitted second-order surface over two predictors at the nodes of a regular grid of their ranges (x1, x2, fitted), and its fit."""
+    if len(x) != 2:
+        raise ValueError(f"a surface has two predictors, not {len(x)}")
+    row = df.agg(*[f(c).cast("double").alias(f"{k}{i}") for i, c in enumerate(x) for k, f in (("a", F.min), ("b", F.max), ("m", F.avg))]).first()
+    means = {c: row[f"m{i}"] for i, c in enumerate(x)}
+    wide, names = quadratic_surface(df, x, means)
+    fit = fit_ols(wide, names, y, confidence)
+    nodes = evaluation_grid(df.sparkSession, [row["a0"], row["a1"]], [row["b0"], row["b1"]], steps, x)
+    return quadratic_surface(nodes, x, means)[0].select(*x, fit.predicted().alias("fitted")), fit

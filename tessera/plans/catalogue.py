@@ -422,6 +422,28 @@ def quadratic_surface_terms(spark, sf_dir):
     return d.agg(rounded(F.sum(F.col("`l_quantity^2`")), 2).alias("q2"), rounded(F.sum(F.col("`l_discount^2`"))).alias("d2"), rounded(F.sum(F.col("`l_quantity*l_discount`")), 4).alias("qd"))
 
 
+def _surface_sql(steps: int) -> str:
+    """Second-order terms made orthogonal one by one over the rows of the table; nodes of the grid go along without counting."""
+    w, terms = "FILTER (WHERE tr) OVER ()", ("a", "b", "a * a", "b * b", "a * b")
+    rows = f"""r AS (SELECT l_quantity::double AS x1, l_discount::double AS x2, l_extendedprice::double AS y, true AS tr FROM lineitem UNION ALL
+      SELECT a1 + (b1 - a1) * i / {steps - 1}, a2 + (b2 - a2) * j / {steps - 1}, NULL, false FROM (SELECT min(l_quantity)::double AS a1, max(l_quantity)::double AS b1, min(l_discount)::double AS a2, max(l_discount)::double AS b2 FROM lineitem), range(0, {steps}) s(i), range(0, {steps}) t(j)),
+      c AS (SELECT *, x1 - avg(x1) {w} AS a, (x2 - avg(x2) {w}) * 100 AS b, avg(y) {w} AS p0 FROM r)"""
+    ctes, last = [rows], "c"
+    for k, term in enumerate(terms, 1):
+        ctes.append(f"z{k} AS (SELECT *, {term} - avg({term}) {w} AS z{k} FROM {last})")
+        away = "".join(f" - sum(z{k} * u{j}) {w} / n{j} * u{j}" for j in range(1, k))
+        ctes.append(f"v{k} AS (SELECT *, z{k}{away} AS u{k} FROM z{k})")
+        ctes.append(f"w{k} AS (SELECT *, sum(u{k} * u{k}) {w} AS n{k}, p{k - 1} + sum(y * u{k}) {w} / (sum(u{k} * u{k}) {w}) * u{k} AS p{k} FROM v{k})")
+        last = f"w{k}"
+    return f"WITH {', '.join(ctes)} SELECT round(x1, 6) + 0.0 AS l_quantity, round(x2, 6) + 0.0 AS l_discount, round(p{len(terms)}, 3) + 0.0 AS fitted FROM {last} WHERE NOT tr"
+
+
+@query(_surface_sql(6))
+def response_surface(spark, sf_dir):
+    """A second-order surface of prices over quantity and discount, at the nodes of a grid."""
+    return _round(_round(linear.response_surface(_t(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice", 6)[0], "l_quantity", "l_discount"), "fitted", digits=3)
+
+
 @query("""WITH z AS (SELECT o_orderkey, (o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER () AS z FROM orders), s AS (SELECT count(*)::double AS n, avg(power(z, 3)) AS m3, avg(power(z, 4)) AS m4 FROM z)
   SELECT o_orderkey, round(z / sqrt(n) * 1000, 5) + 0.0 AS p1, round((z * z - m3 * z - 1) / sqrt(n * (m4 - m3 * m3 - 1)) * 1000, 5) + 0.0 AS p2 FROM z, s""")
 def orthogonal_polynomials(spark, sf_dir):

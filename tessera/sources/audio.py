@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import DatasetError
+from tessera.functions import halo, ranks
 from tessera.operators.frames import dct_matrix, deltas, frame_sizes, lifter_weights, mel_matrix, window_weights
 from tessera.operators.pooling import pool
+from tessera.sources import tables
 
 # Bits of an HTK parameter kind.
 HTK_MFCC, HTK_ENERGY, HTK_C0, HTK_DELTA, HTK_ACCELERATION = 6, 0o100, 0o20000, 0o400, 0o1000
@@ -226,11 +228,30 @@ def read_htk(spark: SparkSession, root: str) -> DataFrame:
     return files.mapInPandas(run, "path string, frame int, v array<double>")
 
 
-def read_text_frames(spark: SparkSession, root: str) -> DataFrame:
-    """A row per line of numbers of every text file below a folder: path, v (lines that aren't numbers throughout are errors)."""
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root).select(F.col("_metadata.file_path").alias("path"), text_matrix(F.col("value")).alias("v")).where(F.size("v") > 0)
-    bad = F.exists("v", lambda x: x.isNull())
-    return lines.withColumn("v", F.when(bad, F.raise_error(F.concat(F.lit("not numbers: "), "path")).cast("array<double>")).otherwise(F.col("v")))
+def read_text_frames(spark: SparkSession, root: str, rows: int = halo.RANGE_ROWS) -> DataFrame:
+    """A row per line of numbers of every text file below a folder: path, frame (its number in the file), v; other lines are errors.
+
+    Lines are numbered in ranges, so a file of any length is many tasks.
+    """
+    lines = tables.with_place(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)).where(F.trim("value") != "")
+    d, _ = halo.in_ranges(lines, list(tables.PLACE), rows)
+    d = ranks.numbered(d, list(tables.PLACE), [tables.PLACE[0]], F.col(halo.RANGE), "frame")
+    v = text_matrix(F.col("value"))
+    bad = F.raise_error(F.concat(F.lit("not numbers: "), F.col(tables.PLACE[0]))).cast("array<double>")
+    return d.select(F.col(tables.PLACE[0]).alias("path"), F.col("frame").cast("int").alias("frame"), F.when(F.exists(v, lambda x: x.isNull()), bad).otherwise(v).alias("v"))
+
+
+def load_frames(spark: SparkSession, root: str) -> DataFrame:
+    """path, frame and v of frame files of any kind below a folder: HTK, lines of numbers, and Parquet tables of that layout."""
+    from tessera.sources import recordings
+
+    found = None
+    for suffix, read in ((".htk", lambda: recordings.register(spark).read.format("htk").load(root).select("path", "frame", "v")), (".txt", lambda: read_text_frames(spark, root)), (".parquet", lambda: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root).select("path", "frame", "v"))):
+        if recordings.listing(root, suffix):
+            found = read() if found is None else found.unionByName(read())
+    if found is None:
+        raise DatasetError(f"no frame files below {root}")
+    return found
 
 
 def htk_kind(energy: str = "c0", delta_order: int = 2) -> int:

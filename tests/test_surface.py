@@ -37,7 +37,11 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "abc").write_text("abc")
     assert sinks.manifest(spark, {}, [str(tmp_path / "in")])["inputs"][0]["sha256"].startswith("ba7816bf")
-    assert sinks.run_folder(tmp_path, "run").exists()
+    folder = sinks.run_folder(tmp_path, "run")
+    assert folder.exists()
+    sinks.save_run(spark, folder, Config().to_dict(), [str(tmp_path / "in")], {"note": 1})
+    assert Config.from_yaml((folder / "config.yaml").read_text()) == Config() and json.loads((folder / "manifest.json").read_text())["details"] == {"note": 1}
+    assert spark.read.parquet(str(folder / "inputs")).first().sha256.startswith("ba7816bf")
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -102,7 +106,11 @@ def test_recordings(spark, tmp_path, capsys):
     audio.export_frames(frames, names, str(tmp_path / "lines"), "text")
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.txt").write_text("\n".join(r.line for r in spark.read.parquet(str(tmp_path / "lines")).orderBy("path", "frame").collect()))
-    assert {len(r.v) for r in audio.read_text_frames(spark, str(tmp_path / "t")).collect()} == {39}
+    text = {r.frame: r.v for r in audio.read_text_frames(spark, str(tmp_path / "t"), 40).collect()}
+    assert {len(v) for v in text.values()} == {39} and sorted(text) == list(range(130))
+    (tmp_path / "t" / "b.htk").write_bytes(next((tmp_path / "h").iterdir()).read_bytes())
+    both = audio.load_frames(spark, str(tmp_path / "t")).groupBy("path").count().collect()
+    assert sorted(r["count"] for r in both) == [65, 130]
     assert audio.PRESETS["htk_c0"] == audio.FrontEnd() and audio.cepstra(tone, 16000, audio.PRESETS["compact"]).shape[1] == 13
     assert cli.main(["extract", "--table", str(tmp_path / "w"), "--out", str(tmp_path / "x")]) == 0
     assert json.loads(capsys.readouterr().out) == {"ok": 2, "too_short": 1, "error": 1}
@@ -126,6 +134,11 @@ def test_toy_tables(spark):
             tables.check_matches(of(*ids), files)
     grid = linear.evaluation_grid(spark, (0, 1), (1, 3), 3).collect()
     assert sorted(map(tuple, grid)) == [(a, b) for a in (0.0, 0.5, 1.0) for b in (1.0, 2.0, 3.0)]
+    surface, fit = linear.response_surface(tables.quadratic_surface_table(spark, 60, 0.0), ["x1", "x2"], "y", 4)
+    b = tables.SURFACE
+    for r in surface.collect():
+        assert r.fitted == pytest.approx(b[0] + b[1] * r.x1 + b[2] * r.x2 + b[3] * r.x1**2 + b[4] * r.x2**2 + b[5] * r.x1 * r.x2, abs=1e-8)
+    assert surface.count() == 16 and fit.stats["r2"] == pytest.approx(1)
     assert linear.recommended([{"degree": 1, "bic": 2.0}, {"degree": 2, "bic": 2.0}, {"degree": 3, "bic": math.nan}]) == 1
 
 
