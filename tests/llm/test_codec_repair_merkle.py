@@ -5,14 +5,13 @@ import random
 import re
 import zlib
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
 
-from tessera.llm import conversation_repair, merkle, piece_codec, queries
+from tessera.llm import conversation_repair, merkle, piece_codec
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, unit string, ids string, tree string, digest string"
 TALK = "conv_id bigint, turn bigint, role string, text string, key string, code string"
@@ -254,13 +253,3 @@ def test_manifests_of_few_rows(docs, n):
     few = docs.sparkSession.createDataFrame(docs.orderBy("n_chars").limit(n).collect(), docs.schema)
     rows = [tuple(r) for r in few.select("doc_id", "source", "lang", "n_chars", "text").collect()]
     assert sorted(map(tuple, merkle.manifest(few, 2).collect()), key=str) == (plain_manifest(rows) if rows else [])
-
-
-@pytest.mark.parametrize("name", ["op12_conversation_repair", "op13_merkle"])
-def test_queries_equal_sql(spark, sf_dir, name):
-    con = duckdb.connect()
-    for t in ("documents", "conversations"):
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    rel, df = con.sql(queries.oracle_sql()[name]), queries.queries()[name](spark, sf_dir)
-    assert df.columns == rel.columns
-    assert sorted(map(tuple, df.collect()), key=str) == sorted(rel.fetchall(), key=str)

@@ -72,7 +72,7 @@ def test_packed_pieces_hold_the_documents(spark, sf_dir):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df, rel = queries.queries()[name](spark, sf_dir), con.sql(queries.oracle_sql()[name])
     names = sorted(df.columns)
@@ -82,4 +82,4 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_every_operator_has_a_query():
     names = [n for n in queries.queries() if re.match("op[0-9]", n)]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
