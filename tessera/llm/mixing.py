@@ -4,11 +4,17 @@ Token shares of the sources are raised to an exponent and normalised; the expone
 target entropy, and again until no source is repeated more often than allowed. A token budget then gives every source a
 number of whole epochs and a part of one more. An epoch is a permutation of the source's documents in blocks (hash
 ranges); the part takes whole blocks, then whole sub-blocks of the next block, then documents in order until the next
-one would exceed the budget. What is chosen is one threshold on the hash per source, so texts are never shuffled.
+one would exceed the budget. What is chosen is one threshold on the hash per source, so texts are never shuffled. Every
+copy has its epoch, its block and its place in the epoch's permutation, and a point in [0, 1) of the whole mixture at which
+it is read: epochs follow each other, and the sources' rows alternate so that every stretch holds the target weights.
+
+Exponents beyond HIGHEST are not tried: a lower entropy than the one at HIGHEST stays unmet (shares of 2 to 1 have by then
+weights of 256 to 1).
 
 Tokens are words of whole texts. A null source is a source of its own. Documents without words are never chosen, and a
 source without words has no weight. Rows that repeat an id, or have none, are chosen together within their source. An empty
-table gives an empty result. Of columns named copies or weight the operator's stay; other names can't clash.
+table gives an empty result. Of columns named as the operator's own (copies, weight, places; epoch, block, place, point) the
+operator's stay; other names can't clash.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ SEED = 17
 #: Exponents that one pass over the sources tries: 15 are four steps of bisection.
 _TRIES = 15
 _BLOCK_BITS = 12
+#: Places of an epoch.
+_WHOLE = float(1 << 63)
 #: Sources whose figures are broadcast at most; beyond that the rows of a source are dealt to so many tasks.
 BROADCAST_SOURCES, SALTS = 100_000, 32
 #: Largest exponent that is tried; equal shares have no higher entropy at any.
@@ -149,17 +157,28 @@ def _copied(docs: DataFrame, mixture: DataFrame, seed: int) -> DataFrame:
     d = _beside(d, mixture.select("key", "epochs", "threshold", "weight"), mixture.count(), F.xxhash64("id"))
     part = (_place(F.col("epochs"), F.col("id"), seed) < F.col("threshold")).cast("int")
     n = F.when(F.col("some"), F.coalesce(F.col("epochs") + part, F.lit(0))).otherwise(0)
-    return d.select("row", n.alias("copies"), F.coalesce("weight", F.lit(0.0)).alias("weight"))
+    return d.select("row", "id", n.alias("copies"), F.coalesce("weight", F.lit(0.0)).alias("weight"), (F.col("epochs") + F.col("threshold") / F.lit(_WHOLE)).alias("length"))
+
+
+def _places(seed: int) -> Column:
+    """Epoch, block, place and point of every copy of a row; the point is the place among all that its source gives."""
+
+    def of(epoch: Column) -> Column:
+        place = _place(epoch, F.col("id"), seed)
+        point = (epoch + place / F.lit(_WHOLE)) / F.col("length")
+        return F.struct(epoch.alias("epoch"), F.shiftright(place, 63 - _BLOCK_BITS).cast("int").alias("block"), place.alias("place"), point.alias("point"))
+
+    return F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), of)).otherwise(F.array())
 
 
 def copies(docs: DataFrame, mixture: DataFrame, seed: int = SEED) -> DataFrame:
-    """Adds the number of times that every row of ``docs`` is in the mixture (int) and its source's weight."""
-    names = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copies", "weight")]
-    return _copied(docs, mixture, seed).select(*names, "copies", "weight")
+    """Adds the number of times that every row of ``docs`` is in the mixture (int), its source's weight, and its places (see ``ordered``)."""
+    names = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copies", "weight", "places")]
+    return _copied(docs, mixture, seed).select(*names, "copies", "weight", _places(seed).alias("places"))
 
 
 def mix_sources(docs: DataFrame, **targets) -> DataFrame:
-    """``docs`` with copies and weight."""
+    """``docs`` with copies, weight and places."""
     return copies(docs, plan(docs, **targets), targets.get("seed", SEED))
 
 
@@ -167,3 +186,14 @@ def realise(docs: DataFrame, **targets) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is in it."""
     d = _copied(docs, plan(docs, **targets), targets.get("seed", SEED)).where("copies > 0")
     return d.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
+def ordered(docs: DataFrame, **targets) -> DataFrame:
+    """The mixture with the order in which it is read: a row per copy with epoch, block (hash range of the epoch's permutation), place and point.
+
+    Sorted by (epoch, place) the rows of a source are its permutations one after the other; sorted by point all sources are read side by side.
+    """
+    seed = targets.get("seed", SEED)
+    d = _copied(docs, plan(docs, **targets), seed).where("copies > 0").select("row", F.explode(_places(seed)).alias("at"))
+    names = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("epoch", "block", "place", "point")]
+    return d.select(*names, "at.*")

@@ -2,7 +2,8 @@
 
 A text's k-mers are runs of two words, numbered by occurrence so that repeats count. Each numbered k-mer has one hash,
 whose first bits name a cell; in every cell the minimal k-mers are selected, put back into text order and hashed as a
-tuple. Two texts agree in a cell if the same k-mers are minimal there and stand in the same order, so the share of
+tuple; a cell with too few borrows from the next cells that have some, around the end, so that short texts show their
+order too. Two texts agree in a cell if the same k-mers are minimal there and stand in the same order, so the share of
 agreeing cells falls with the edit distance, and texts of the same k-mers in another order are told apart.
 
 Null texts count as empty; a text without words has an empty fingerprint, and two empty fingerprints have likeness 1.
@@ -51,14 +52,15 @@ def sketch(d: DataFrame, text: str, out: str) -> DataFrame:
 
     def of_cell(x: Column, j: Column) -> Column:
         """The tuple that starts with the cell's least k-mer; null for its other members."""
-        members = F.filter(F.slice(c("_m"), j + 1, TUPLE), lambda y: cell(y) == cell(x))
+        members = F.slice(c("_ring"), j + 1, TUPLE)  # of the cell first; what it lacks is the least of the next cells
         ordered = F.sort_array(F.transform(members, lambda y: F.shiftleft(y.bitwiseAND(F.lit(_LOW)), _TUPLE_BITS).bitwiseOR(F.shiftrightunsigned(y, 64 - _TUPLE_BITS))))
         value = F.xxhash64(F.transform(ordered, lambda z: z.bitwiseAND(F.lit((1 << _TUPLE_BITS) - 1))))
         first = F.coalesce(cell(at("_m", j - 1)) != cell(x), F.lit(True))
         return F.when(first, F.shiftleft(cell(x), 56).bitwiseOR(F.shiftrightunsigned(value, 8)))
 
+    d = d.withColumn("_ring", F.concat("_m", F.slice("_m", 1, TUPLE - 1)))
     d = d.withColumn(out, F.filter(F.transform("_m", of_cell), lambda x: x.isNotNull()))
-    return d.drop("_w", "_u", "_s", "_v", "_m")
+    return d.drop("_w", "_u", "_s", "_v", "_m", "_ring")
 
 
 def as_text(numbers: Column) -> Column:

@@ -23,8 +23,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often every document is in the mixture, and its source's weight."""
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copies", "weight")
+    """How often every document is in the mixture, its source's weight, and the place of every copy."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "copies", "weight", "places")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Rules decide where they fit: a rule holds for its host and all subdomains if the
 longest wins. Every other URL is judged by gradient-boosted trees trained on labelled URLs (by default those that the
 rules label): lengths, depth, digit ratio, entropy, parameter counts, and statistics of the host's suffixes and of the
 path's first part (how common they are and how often blocked among all labelled URLs). Only the trees are fitted on a
-bounded sample: different URLs, so many of each class, weighted to the shares of the classes.
+bounded sample: different URLs, so many of each class, weighted to the shares of the classes. The statistics that they are
+fitted with are crossed: those of a URL come from the other half (by hash) of all labelled URLs, so no label shows through
+its own statistics; a URL to judge has those of all labelled ones.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by its features like any
 other. Repeated URLs get equal verdicts. Without labelled URLs of both classes the verdict is the only class's, or allow.
@@ -81,11 +83,11 @@ def lexical(d: DataFrame, url: str = "url") -> DataFrame:
 _KEYS = ("top", "site", "head")
 
 
-def statistics(labelled: DataFrame) -> dict[str, DataFrame]:
-    """For each kind of key how common every key is among all labelled rows (url, label, n) and how often it is blocked (smoothed)."""
+def statistics(labelled: DataFrame, times: int = 1) -> dict[str, DataFrame]:
+    """For each kind of key how common every key is among all labelled rows (url, label, n), each counted so many times, and how often it is blocked (smoothed)."""
     found = {}
     for key in _KEYS:
-        s = labelled.groupBy(F.col(key).alias(f"_{key}")).agg(F.sum("n").alias("_n"), F.sum(F.col("label") * F.col("n")).alias("_b"))
+        s = labelled.groupBy(F.col(key).alias(f"_{key}")).agg((times * F.sum("n")).alias("_n"), (times * F.sum(F.col("label") * F.col("n"))).alias("_b"))
         found[key] = stash(s.select(f"_{key}", F.ln(F.col("_n") + 1).alias(f"{key}_known"), ((F.col("_b") + 2) / (F.col("_n") + 4)).alias(f"{key}_blocked")), f"urls-{key}")
     return found
 
@@ -117,7 +119,9 @@ def train(urls: DataFrame, bound: int = TRAIN_ROWS) -> tuple[dict[str, DataFrame
     for label, n in sorted(sizes.items()):
         some = labelled.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(part).withColumn("weight", F.lit(n / min(n, part)))
         sample = some if sample is None else sample.unionByName(some)
-    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_with_statistics(sample, found))
+    sample, second = stash(sample, "urls-sample"), F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == 1
+    crossed = [_with_statistics(sample.where(own), statistics(labelled.where(~own), 2)) for own in (second, ~second)]
+    ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(crossed[0].unionByName(crossed[1]))
     ready = ready.select("features", F.col("label").cast("double").alias("label"), "weight").repartition(4)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, seed=7, weightCol="weight").fit(ready)
     return found, trees

@@ -189,8 +189,22 @@ def test_url_trees_learn(spark):
     rng = np.random.default_rng(1)
     rows = [(f"http://h{rng.integers(30)}.{'bad' if bad else 'good'}.net/p/{rng.integers(10**6) if bad else 'text'}", int(bad)) for bad in rng.random(600) < 0.4]
     d = spark.createDataFrame(rows, "url string, label int")
-    out = url_filters.judge(d, url_filters.train(d.limit(400)), rules=()).collect()
-    assert sum((r.verdict == "block") == (r.label == 1) for r in out) >= 0.98 * len(out)
+    d = spark.createDataFrame(rows[400:], d.schema)  # none of the rows that were learned from
+    out = url_filters.judge(d, url_filters.train(spark.createDataFrame(rows[:400], d.schema)), rules=()).collect()
+    assert len(out) == 200 and sum((r.verdict == "block") == (r.label == 1) for r in out) >= 0.98 * len(out)
+
+
+def test_url_trees_learn_nothing_from_a_label_through_its_own_statistics(spark):
+    """Keys that stand once tell their own label apart; the trees must lean on the digits, which tell 80 in 100 of the others."""
+    rng = np.random.default_rng(4)
+    url = lambda k, digits: f"http://s{k}.net/q{k}/{''.join(rng.choice(list('0123456789' if digits else 'abcdefghij'), 12))}"
+    rows = [(url(k, (rng.random() < 0.8) == bad), int(bad)) for k, bad in enumerate(rng.random(1200) < 0.5)]
+    d = spark.createDataFrame(rows, "url string, label int")
+    model = url_filters.train(d.limit(800))
+    weight = dict(zip(url_filters.FEATURES, model[1].featureImportances.toArray(), strict=True))
+    out = url_filters.judge(spark.createDataFrame(rows[800:], d.schema), model, rules=()).collect()
+    assert weight["site_blocked"] < 0.1 and weight["head_blocked"] < 0.1
+    assert sum((r.verdict == "block") == (r.label == 1) for r in out) >= 0.7 * len(out)
 
 
 def test_url_empty_and_one_class(spark):
@@ -266,6 +280,42 @@ def test_mixing_equals_a_plain_permutation(spark, monkeypatch):
     assert max(r.budget / r.tokens for r in sharp) <= 1.5 + 1e-6
 
 
+def test_mixing_places_are_budgeted_block_permutations(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(rng.integers(1, 9)), "a" if i < 2500 else "b") for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = {r.key[2:]: r for r in mixing.plan(d, entropy_share=0.9).collect()}
+    out = mixing.ordered(d, entropy_share=0.9).collect()
+    assert Counter(r.doc_id for r in out) == Counter({r.doc_id: r.copies for r in mixing.mix_sources(d, entropy_share=0.9).collect() if r.copies})
+    listed = mixing.mix_sources(d, entropy_share=0.9).select("doc_id", F.explode("places").alias("p")).select("doc_id", "p.*").collect()
+    assert sorted(map(tuple, listed)) == sorted((r.doc_id, r.epoch, r.block, r.place, r.point) for r in out)
+    size, epochs = lambda rows: sum(len(words(r.text)) for r in rows), {}
+    for r in out:
+        assert r.block == r.place >> 51 and 0 <= r.point < 1
+        epochs.setdefault((r.source, r.epoch), []).append(r)
+    for (source, epoch), mine in epochs.items():
+        p = plan[source]
+        assert len({r.doc_id for r in mine}) == len(mine)  # an epoch takes no document twice
+        assert epoch <= p.epochs and (epoch == p.epochs or len(mine) == p.n_docs)
+        if epoch == p.epochs:  # whole blocks but for the last one, within what is left of the budget
+            left = p.budget - p.epochs * p.tokens
+            last = max(r.block for r in mine)
+            blocks = Counter(plain_block(i, epoch) for i, _, s in rows if s == source)
+            assert left - 9 < size(mine) <= left and all(Counter(r.block for r in mine)[b] == n for b, n in blocks.items() if b < last)
+    first, second = ([r.doc_id for r in sorted(epochs["b", e], key=lambda r: r.place)] for e in (0, 1))
+    assert first != sorted(first) and first != second[: len(first)]  # permutations differ between epochs
+    for lo in (0, 0.25, 0.5, 0.75):  # every stretch of the reading order holds the target weights
+        part = [r for r in out if lo <= r.point < lo + 0.25]
+        assert abs(size([r for r in part if r.source == "b"]) / size(part) - plan["b"].weight) < 0.05
+
+
+def plain_block(doc_id, epoch):
+    h = 42
+    for v in (doc_id.to_bytes(8, "little"), mixing.SEED.to_bytes(4, "little"), epoch.to_bytes(4, "little")):
+        h = xxhash.xxh64_intdigest(v, h)
+    return h >> 52
+
+
 def test_mixing_keeps_rows_with_clashing_names(spark):
     d = spark.createDataFrame([(1, "w w", "a", "x", "y", "z")], "doc_id bigint, text string, source string, copies string, `key` string, `a.b` string")
     out = mixing.mix_sources(d).first()
@@ -371,6 +421,19 @@ def test_order_minhash_sees_order(spark):
     assert near[1] > 0.85 and near[2] < 0.75 and near[3] == 0
 
 
+def test_order_minhash_sees_order_in_short_texts(spark):
+    """Halves that change places, in texts of 20 to 80 words: half of the tuples straddle the halves."""
+    rows = []
+    for n in (20, 40, 80):
+        for k in range(60):
+            w = [f"t{k}x{i}" for i in range(n)]
+            rows.append((n, " ".join(w), " ".join(w[n // 2 :] + w[: n // 2])))
+    d = spark.createDataFrame(rows, "n int, a string, b string")
+    d = order_minhash.sketch(order_minhash.sketch(d, "a", "fa"), "b", "fb")
+    near = d.groupBy("n").agg(F.avg(order_minhash.likeness(F.col("fa"), F.col("fb"))).alias("near")).collect()
+    assert len(near) == 3 and all(0.2 < r.near <= 0.6 for r in near)
+
+
 def plain_sketch(text):
     """A fingerprint's numbers, unsigned: least occurrence-numbered word pairs of 64 cells, in text order, hashed."""
 
@@ -389,11 +452,13 @@ def plain_sketch(text):
         numbered = chain(eight(signed >> 24), seen[pair].to_bytes(4, "little")) & top | i
         seen[pair] += 1
         cells.setdefault(numbered >> 58, []).append(numbered)
-    out = []
-    for cell, members in sorted(cells.items()):
-        ordered = sorted(sorted(members)[:2], key=lambda x: x & (1 << 24) - 1)
+    out, least = [], {cell: sorted(members) for cell, members in cells.items()}
+    ring = sorted(least, key=lambda cell: (cell < 32, cell))  # cells are the first bits of signed numbers
+    for k, cell in enumerate(ring):
+        pair = (least[cell] + least[ring[(k + 1) % len(ring)]])[:2]  # a lone k-mer borrows the next cell's least
+        ordered = sorted(pair, key=lambda x: x & (1 << 24) - 1)
         out.append(cell << 56 | chain(*[eight(x >> 25) for x in ordered]) >> 8)
-    return sorted(out, key=lambda x: (x >> 56 < 32, x))  # cells are the first bits of signed numbers
+    return out
 
 
 def plain_likeness(a, b):
