@@ -4,8 +4,9 @@ Words of the training documents are counted over the whole corpus. The most freq
 every other word belongs to a class by its ending. A log-bilinear model over the two symbols before predicts the next;
 it is trained in numpy by noise-contrastive estimation on every position of every training document: in a round each
 partition of a share of the documents goes on from the common parameters, and the parameters are averaged, each row by how
-often the partitions used it, in Spark. The number of symbols follows the number of distinct words. Scores are normalised: matrix products over batches of contexts give the normaliser of every context, and a word of a class has
-the class's probability times its smoothed share of the class (words never seen share one count's part).
+often the partitions used it, in Spark. The number of symbols is the root of the number of distinct words, however many.
+Scores are normalised: matrix products over batches of contexts give the normaliser of every context, and a word of a class
+has the class's probability times its smoothed share of the class (words never seen share one count's part).
 
 Counts of the most frequent words are broadcast; rarer words are joined with their counts by a shuffle. Words are told
 apart by 64-bit hashes. Null and empty texts have the end token alone. Rows that repeat are scored, and counted, as
@@ -17,6 +18,7 @@ ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,12 +29,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_of_id, lowered, mix, row_chunks, small_batches, span_hash, span_sums, spans, stash, string_bytes
 
-#: Words that are symbols at least and at most (see ``symbols_for``), classes of the others, size of the vectors.
-SYMBOLS, MOST_SYMBOLS, CLASSES, SIZE = 768, 2048, 128, 24
+#: Words that are symbols at least (see ``symbols_for``), classes of the others, size of the vectors.
+SYMBOLS, CLASSES, SIZE = 768, 128, 24
 #: Rounds that share out the documents, noise words of a position and those that a batch draws, positions of a batch.
 ROUNDS, NOISE, DRAWN, BATCH = 4, 12, 64, 2048
-#: Positions that are shuffled together; small corpora are passed over up to PASSES times, until FEW positions are done.
-BUFFER, PASSES, FEW = 1 << 17, 8, 1_200_000
+#: Positions that are shuffled together, and passes over them, whatever the size of the corpus.
+BUFFER, PASSES = 1 << 17, 1
+#: Contexts whose normalisers a worker holds at most; others are computed again.
+HELD = 1 << 21
 #: Bytes of a piece of the parameters, the unit that Spark sums.
 PIECE = 1 << 14
 #: Words whose counts are broadcast at most.
@@ -83,16 +87,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def symbols_for(distinct: int) -> int:
-    """Symbols for so many distinct words: the root, within bounds. The most make 1.3 MB of parameters and sums, and a table of normalisers of 19 MB."""
-    return min(MOST_SYMBOLS, max(SYMBOLS, math.isqrt(distinct)))
+    """Symbols for so many distinct words: the root, without an upper bound (a billion words: 31,622 symbols, 19 MB of parameters and sums)."""
+    return max(SYMBOLS, math.isqrt(distinct))
 
 
 class Lexicon:
     """Counts of the frequent words, symbol numbers, and sizes of the classes."""
 
-    def __init__(self, head: np.ndarray, total: int, distinct: int, classes: dict[int, tuple[int, int]]):
-        """head: rows (hash, class, count), most frequent first; classes: tokens and words of each over all words."""
-        self.total, self.distinct, self.symbols = total, distinct, symbols_for(distinct)
+    def __init__(self, head: np.ndarray, total: int, distinct: int, classes: dict[int, tuple[int, int]], symbols: int | None = None):
+        """head: rows (hash, class, count), most frequent first; classes: tokens and words of each over all words; symbols: by default ``symbols_for``."""
+        self.total, self.distinct, self.symbols = total, distinct, symbols_for(distinct) if symbols is None else symbols
         names, kinds, counts = head.T if len(head) else np.zeros((3, 0), np.int64)
         top = names[: self.symbols]
         order = np.argsort(names.view(_U))
@@ -251,10 +255,9 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "numbers"])
 
 
-def fit(learn: DataFrame, lexicon: Lexicon) -> tuple[dict[str, np.ndarray], int]:
+def fit(learn: DataFrame, lexicon: Lexicon, passes: int = PASSES) -> tuple[dict[str, np.ndarray], int]:
     """The model of all positions of ``learn`` (id, text), and how many they were. Every document is in one round."""
     spark, state, seen = learn.sparkSession, start(lexicon.frequency), 0
-    passes = min(PASSES, max(1, FEW // max(lexicon.total, 1)))
     for number in range(ROUNDS if lexicon.total else 0):
         box = spark.sparkContext.broadcast((lexicon, state))
         share = learn.where(F.pmod(F.xxhash64("id"), F.lit(ROUNDS)) == number).select("text")
@@ -268,22 +271,37 @@ def fit(learn: DataFrame, lexicon: Lexicon) -> tuple[dict[str, np.ndarray], int]
 
 
 class Scorer:
-    """Normalised log-probabilities of symbols; normalisers of contexts are kept once computed."""
+    """Normalised log-probabilities of symbols; normalisers of up to about ``held`` contexts are kept once computed."""
 
-    def __init__(self, model: dict[str, np.ndarray]):
-        self.m, self.side = model, len(model["bias"]) + 1
-        self.norm = np.full(self.side**2, np.nan, np.float32)
+    def __init__(self, model: dict[str, np.ndarray], held: int = HELD):
+        self.m, self.side, self.held = model, len(model["bias"]) + 1, held
+        self.codes, self.norms = np.zeros(0, np.int64), np.zeros(0, np.float32)
 
-    def __call__(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        m, code = self.m, one * self.side + two
-        fresh = np.unique(code[np.isnan(self.norm[code])])
-        for i in range(0, len(fresh), 1024):
-            c = fresh[i : i + 1024]
+    def _normalisers(self, codes: np.ndarray) -> np.ndarray:
+        m, out = self.m, np.empty(len(codes), np.float32)
+        step = max(1, (1 << 21) // len(m["bias"]))
+        for i in range(0, len(codes), step):
+            c = codes[i : i + step]
             z = (m["a"][c // self.side] + m["b"][c % self.side]) @ m["r"].T + m["bias"]
             top = z.max(1)
-            self.norm[c] = top + np.log(np.exp(z - top[:, None]).sum(1))
+            out[i : i + step] = top + np.log(np.exp(z - top[:, None]).sum(1))
+        return out
+
+    def __call__(self, one: np.ndarray, two: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        m = self.m
+        codes, at = np.unique(one * self.side + two, return_inverse=True)
+        place = np.searchsorted(self.codes, codes)
+        known = np.zeros(len(codes), bool)
+        inside = place < len(self.codes)
+        known[inside] = self.codes[place[inside]] == codes[inside]
+        norms = np.empty(len(codes), np.float32)
+        norms[known], norms[~known] = self.norms[place[known]], self._normalisers(codes[~known])
+        if len(self.codes) + int((~known).sum()) > self.held:  # only those of these positions stay
+            self.codes, self.norms = codes, norms
+        elif not known.all():
+            self.codes, self.norms = np.insert(self.codes, place[~known], codes[~known]), np.insert(self.norms, place[~known], norms[~known])
         logit = np.einsum("ij,ij->i", m["a"][one] + m["b"][two], m["r"][symbol]) + m["bias"][symbol]
-        return (logit - self.norm[code]).astype(float)
+        return (logit - norms[at]).astype(float)
 
 
 _HALF = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<struct<h:bigint,n:bigint>>"
@@ -341,8 +359,12 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return crc_of_id(doc_id) % 10 == 0
 
 
-def log_bilinear(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text)."""
+def log_bilinear(docs: DataFrame, symbols: int | None = None, passes: int = PASSES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
+
+    ``symbols`` most frequent words have vectors of their own (by default ``symbols_for``, HEAD at most); every position is
+    trained on ``passes`` times.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("id"), held_out().alias("held_out"), "text")
@@ -352,10 +374,10 @@ def log_bilinear(docs: DataFrame) -> DataFrame:
     sums = counts.groupBy("kind").agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("w")).collect()  # CLASSES rows at most
     total, distinct = sum(r.t for r in sums), sum(r.w for r in sums)
     head = _head(counts)
-    lexicon = Lexicon(head, total, distinct, {r.kind: (r.t, r.w) for r in sums})
-    model, _ = fit(learn, lexicon)
+    lexicon = Lexicon(head, total, distinct, {r.kind: (r.t, r.w) for r in sums}, symbols)
+    model, _ = fit(learn, lexicon, passes)
     both = spark.sparkContext.broadcast((lexicon, model))
-    half = stash(docs.mapInArrow(_scored(both, f"{id(model)}-{total}-{distinct}"), _HALF).withColumn("row", F.monotonically_increasing_id()), "half")
+    half = stash(docs.mapInArrow(_scored(both, uuid.uuid4().hex), _HALF).withColumn("row", F.monotonically_increasing_id()), "half")
     rare = half.select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.n").join(counts.select("h", "c"), "h", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + F.lit(ADDED))).alias("extra"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("found"))

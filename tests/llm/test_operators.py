@@ -544,6 +544,34 @@ def test_log_bilinear_learns_context(spark):
     assert all(r.score > r.base_score + 8 for r in out)
 
 
+def test_log_bilinear_calls_of_one_session_keep_their_models(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{rng.integers(5)}" for k in range(60))) for i in range(300)]
+    runs = [(i, " ".join(sorted(t.split(), key=lambda w: w[0]))) for i, t in rows]  # the same words and counts, in another order
+    for d in (rows, runs, rows):
+        out = log_bilinear.log_bilinear(spark.createDataFrame(d, "doc_id bigint, text string")).where("held_out").collect()
+        assert all(r.score > r.base_score + 8 for r in out)
+
+
+def test_log_bilinear_normalisers_that_are_not_held(spark):
+    rng = np.random.default_rng(3)
+    n = 300
+    m = {k: rng.normal(size=(r, log_bilinear.SIZE)).astype(np.float32) for k, r in (("a", n + 1), ("b", n + 1), ("r", n))} | {"bias": rng.normal(size=n).astype(np.float32)}
+    every, few = log_bilinear.Scorer(m), log_bilinear.Scorer(m, held=50)
+    for _ in range(6):
+        one, two, word = rng.integers(0, 20, 400), rng.integers(0, 20, 400), rng.integers(0, n, 400)
+        assert np.allclose(every(one, two, word), few(one, two, word), rtol=0, atol=1e-3)  # single precision
+    assert len(every.codes) <= 400 and (np.diff(every.codes) > 0).all() and (np.diff(few.codes) > 0).all()
+
+
+def test_log_bilinear_takes_symbols_and_passes(spark):
+    rows = [(i, " ".join(f"w{(i * k) % 90}" for k in range(40))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    base = {r.doc_id: r.base_score for r in log_bilinear.log_bilinear(d).collect()}
+    few = {r.doc_id: r for r in log_bilinear.log_bilinear(d, symbols=20, passes=3).collect()}
+    assert all(math.isclose(few[i].base_score, b) and few[i].score < 0 for i, b in base.items())
+
+
 def test_log_bilinear_trains_on_every_position(spark):
     d = spark.range(2000, numPartitions=3).selectExpr("id", "concat_ws(' ', transform(sequence(1, 249), k -> concat('w', pmod(xxhash64(id, k), 5000)))) AS text")
     counts = Counter(w for r in d.collect() for w in [*r.text.split(), ""])
@@ -552,7 +580,7 @@ def test_log_bilinear_trains_on_every_position(spark):
     lexicon = log_bilinear.Lexicon(head, sum(counts.values()), len(counts), classes)
     model, seen = log_bilinear.fit(d, lexicon)
     assert seen == 500_000 == lexicon.total and np.isfinite(model["r"]).all()
-    assert [log_bilinear.symbols_for(n) for n in (0, 10**6, 10**9)] == [768, 1000, 2048]
+    assert [log_bilinear.symbols_for(n) for n in (0, 10**6, 10**9)] == [768, 1000, 31622]
 
 
 # 7 licences
