@@ -783,6 +783,29 @@ def wilcoxon_statistic(spark, sf_dir):
     return ablation.wilcoxon_w(d, "diff", ["config_id"])
 
 
+# Subsets of the ranks 1 to k by their sum; the normal tail by its series of odd powers.
+_SIGNED = """ways(k, w) AS (SELECT 0, list_transform(range(0, 638), lambda i: CASE WHEN i = 0 THEN 1.0::double ELSE 0.0::double END)
+    UNION ALL SELECT k + 1, list_transform(range(0, 638), lambda i: w[i + 1] + CASE WHEN i > k THEN w[i - k] ELSE 0.0::double END) FROM ways WHERE k < 50),
+  t AS (SELECT family, abs(d) AS a, count(*) AS c, count(*) FILTER (d > 0) AS up FROM d WHERE d <> 0 GROUP BY 1, 2),
+  r AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY family ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (c + 1) / 2.0::double AS r FROM t),
+  s AS (SELECT family, sum(c)::bigint AS n, sum(up * r)::double AS w_plus, sum(c * c * c - c)::double AS ties FROM r GROUP BY 1),
+  z AS (SELECT *, greatest(1e-12, abs(w_plus - n * (n + 1) / 4.0::double) / sqrt(n::double * (n + 1) * (2 * n + 1) / 24 - ties / 48)) AS z, least(w_plus, n * (n + 1) / 2.0::double - w_plus) AS least_w FROM s),
+  p AS (SELECT family, n, w_plus, CASE WHEN n <= 50 AND ties = 0 THEN list_sum(list_slice(w, 1, floor(least_w)::int + 1)) / power(2.0::double, n)
+    ELSE 0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda j: exp((2 * j + 1) * ln(z) - lgamma(2 * j + 2) + j * ln(2) + lgamma(j + 1)))) END AS tail FROM z LEFT JOIN ways ON k = n)"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_nationkey, c_mktsegment, round(c_acctbal * 100)::bigint - 450000 AS d FROM customer),
+  d AS (SELECT c_nationkey::varchar AS family, d FROM c UNION ALL SELECT c_nationkey || ' ' || c_mktsegment, d FROM c UNION ALL SELECT 'rounded ' || c_nationkey, floor(d / 100000.0::double)::bigint FROM c),
+  {_SIGNED} SELECT f.family, coalesce(n, 0)::bigint AS n, coalesce(w_plus, 0.0::double) AS w_plus, round(coalesce(least(1.0::double, 2 * tail), 1.0::double), 6) + 0.0 AS p_value FROM (SELECT DISTINCT family FROM d) f LEFT JOIN p USING (family)""")
+def signed_rank_tests(spark, sf_dir):
+    """Balances against 4,500 by nation, by nation and segment (exact where untied and few), and in whole thousands (tied)."""
+    c = _t(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", (F.round(F.col("c_acctbal") * 100).cast("bigint") - 450000).alias("d"))
+    nation = F.col("c_nationkey").cast("string")
+    d = c.select(F.explode(F.array(F.struct(nation.alias("family"), F.col("d").alias("d")), F.struct(F.concat_ws(" ", nation, "c_mktsegment").alias("family"), F.col("d").alias("d")),
+                                   F.struct(F.concat(F.lit("rounded "), nation).alias("family"), F.floor(F.col("d") / 100000).alias("d")))).alias("x")).select("x.*")
+    return _round(ablation.signed_rank(d, "d", ["family"]), "p_value")
+
+
 @query(f"""SELECT repeat, fold, round(any_value(rmse) FILTER (config_id = 'mean'), 4) + 0.0 AS mean, round(any_value(rmse) FILTER (config_id = 'low'), 4) + 0.0 AS low FROM {_ABLATION} GROUP BY 1, 2""")
 def ablation_pivot(spark, sf_dir):
     d = _settings(spark, sf_dir).groupBy("repeat", "fold").pivot("config_id", ["mean", "low"]).avg("rmse")
