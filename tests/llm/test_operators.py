@@ -849,6 +849,19 @@ def test_ngram_join_many_copies_in_small_blocks(spark, monkeypatch):
     compare(spark, rows)
 
 
+def test_ngram_join_rows_without_words_under_repeated_ids(spark):
+    """They link with nothing, also where their ids' other rows are members of one family, and share their id's class."""
+    rng = np.random.default_rng(3)
+    base = [f"h{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 6))):
+            w[int(rng.integers(40))] = f"e{rng.integers(10**6)}"
+        rows.append((i % 40, " ".join(w)))
+    compare(spark, rows + [(i, "") for i in range(40)] + [(i, None) for i in range(0, 40, 3)] + [(100 + i, " ") for i in range(5)])
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(4)
     for n, m, same in ((300, 290, 20), (700, 720, 150), (300, 280, 240), (5000, 4000, 10)):
