@@ -20,9 +20,16 @@ def ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a).cast("double"), col(b).cast("double"))
 
 
+def constant(x: Column | str) -> Column:
+    """Whether all values are the same finite number, as an aggregate. Merged moments of such a column can be off 0 by rounding."""
+    x = col(x)
+    return (F.min(x) == F.max(x)) & (F.abs(F.max(x)) < float("inf"))
+
+
 def pearson(x: Column | str, y: Column | str) -> Column:
     """Pearson's r as an aggregate; NULL if a side is constant."""
-    return ratio(F.covar_pop(col(x), col(y)), F.stddev_pop(col(x)) * F.stddev_pop(col(y)))
+    r = ratio(F.covar_pop(col(x), col(y)), F.stddev_pop(col(x)) * F.stddev_pop(col(y)))
+    return F.when(~(F.coalesce(constant(x), F.lit(False)) | F.coalesce(constant(y), F.lit(False))), r)
 
 
 def concordance(x: Column | str, y: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import quantiles
 from tessera.functions.shared import same
+from tessera.functions.stats import constant
 
 STATISTICS = ("mean", "std", "min", "max", "skew", "kurtosis")
 NORMALIZATIONS = ("none", "cmn", "cmvn")
@@ -16,13 +17,14 @@ NORMALIZATIONS = ("none", "cmn", "cmvn")
 
 def _statistic(name: str, c: str) -> Column:
     x = F.col(c)
+    spread = lambda value: F.when(constant(x), 0.0).otherwise(value)
     return {
         "mean": lambda: F.avg(x),
-        "std": lambda: F.stddev_pop(x),
+        "std": lambda: spread(F.stddev_pop(x)),
         "min": lambda: F.min(x),
         "max": lambda: F.max(x),
-        "skew": lambda: F.coalesce(F.skewness(x), F.lit(0.0)),  # a constant column has none: 0 by definition
-        "kurtosis": lambda: F.coalesce(F.kurtosis(x), F.lit(0.0)),
+        "skew": lambda: spread(F.coalesce(F.skewness(x), F.lit(0.0))),  # a constant column has none: 0 by definition
+        "kurtosis": lambda: spread(F.coalesce(F.kurtosis(x), F.lit(0.0))),
     }[name]()
 
 
@@ -44,7 +46,7 @@ def normalize(frames: DataFrame, keys: Sequence[str], columns: Sequence[str], ho
         raise ValueError(f"normalization must be one of {', '.join(NORMALIZATIONS)}, got {how!r}")
     if how == "none":
         return frames
-    sizes = frames.groupBy(*keys).agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    sizes = frames.groupBy(*keys).agg(*[f(c).alias(f"_{n}{i}") for i, c in enumerate(columns) for n, f in (("mean", F.avg), ("sd", lambda c: _statistic("std", c)))])
     sizes = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[f"_{n}{i}" for i in range(len(columns)) for n in ("mean", "sd")])
     made = {}
     for i, c in enumerate(columns):
