@@ -52,6 +52,20 @@ def numbered(df: DataFrame, order: Sequence[str | Column], by: Sequence[str], pa
     return before(df.withColumn("_one", F.lit(1)), "_one", order, by, part, out).drop("_one")
 
 
+def running(df: DataFrame, value: str, best, choose, order: Sequence[str | Column], by: Sequence[str], part: Column, out: str) -> DataFrame:
+    """Adds the ``best`` (F.min or F.max, and ``choose`` F.least or F.greatest) of ``value`` over the rows up to each one in ``order`` within ``by``; ``part`` grows with the first of ``order``."""
+    d = df.withColumn("_part", part)
+    run = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ends = d.groupBy(*by, "_part").agg(best(value).alias("_best"))
+    ends = ends.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_part").alias("_at"), best("_best").over(run).alias("_past"))
+    met = F.col("_part") == F.col("_at")
+    for i, b in enumerate(by):
+        met &= F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_inside", best(value).over(inside)).join(ends, met)
+    return d.withColumn(out, choose("_inside", "_past")).drop("_part", "_at", "_past", "_inside", *[f"_by{i}" for i in range(len(by))])
+
+
 def value_ranks(df: DataFrame, x: str, weight: str | None = None, by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """One row per different value of ``x`` within ``by``: n, and its average rank (from 1) among all rows.
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import ranks
 from tessera.functions.ranks import value_ranks
-from tessera.functions.shared import written
+from tessera.functions.shared import same, written
 from tessera.functions.special import normal_ppf, t_two_sided
 from tessera.functions.stats import concordance, fisher_bounds, pearson, ratio
 
@@ -54,11 +55,11 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> D
     pairs = written(df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w")), "pairs")
     d = pairs.join(pairs.groupBy(*by).agg(F.sum("_w").alias("_n")), by) if by else pairs.join(F.broadcast(pairs.agg(F.sum("_w").alias("_n"))))  # one row
     for c in ("_x", "_y"):
-        ranks = value_ranks(pairs, c, "_w", by).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col(c).alias("_v"), F.col("rank").alias(f"_r{c}"))
-        same = F.col(c) == F.col("_v")
+        placed = value_ranks(pairs, c, "_w", by).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col(c).alias("_v"), F.col("rank").alias(f"_r{c}"))
+        met = F.col(c) == F.col("_v")
         for i, b in enumerate(by):
-            same &= F.col(b) == F.col(f"_g{i}")
-        d = d.join(ranks, same).drop("_v", *[f"_g{i}" for i in range(len(by))])
+            met &= F.col(b) == F.col(f"_g{i}")
+        d = d.join(placed, met).drop("_v", *[f"_g{i}" for i in range(len(by))])
     a, b, w = F.col("_r_x") - (F.col("_n") + 1) / 2, F.col("_r_y") - (F.col("_n") + 1) / 2, F.col("_w")
     return d.groupBy(*by).agg(F.sum(w).alias("n"), ratio(F.sum(w * a * b), F.sqrt(F.sum(w * a * a) * F.sum(w * b * b))).alias("rho"))
 
@@ -85,21 +86,30 @@ def bland_altman_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 def adjust(df: DataFrame, p: str, tiebreak: Sequence[str], method: str = "holm", by: Sequence[str] = (), out: str = "p_adjusted") -> DataFrame:
     """Adds adjusted p-values; NULL ones stay NULL and aren't part of the family.
 
-    A family is one window partition: the p-values of a report, not of data rows.
+    Up to BROADCAST_VALUES rows a family is one window partition; more are cut into ranges of p-values (equal ones share a range).
     """
     if method not in CORRECTIONS:
         raise ValueError(f"method must be one of {', '.join(CORRECTIONS)}, got {method!r}")
-    known = F.col(p).isNotNull() & ~F.isnan(p)
-    family = Window.partitionBy(*by, known)
-    order = family.orderBy(F.col(p), *tiebreak)
-    m, i = F.count(F.lit(1)).over(family), F.row_number().over(order)
-    if method == "holm":
-        stepped = F.max(F.col(p) * F.col("_m_i")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        df = df.withColumn("_m_i", m - i + 1)
+    df = written(df, "family")
+    columns, by = [c for c in df.columns if c != out], [*by, "_known"]
+    d = df.withColumn("_known", F.coalesce(F.col(p).isNotNull() & ~F.isnan(p), F.lit(False)))
+    order, m = [F.col(p), *tiebreak], F.count(F.lit(1))
+    few = df.limit(ranks.BROADCAST_VALUES + 1).count() <= ranks.BROADCAST_VALUES
+    if few:
+        d = d.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).withColumn("_m", m.over(Window.partitionBy(*by)))
     else:
-        stepped = F.min(F.col(p) * F.col("_m_i")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-        df = df.withColumn("_m_i", m / i)
-    return df.withColumn(out, F.when(known, F.least(stepped, F.lit(1.0)))).drop("_m_i")
+        own = ranks.numeric_range(d.where("_known"), p)
+        d = written(ranks.numbered(d, order, by, own, "_i").withColumn("_i", F.col("_i") + 1), "numbered")
+        sizes = d.groupBy(*by).agg(m.alias("_m")).withColumnsRenamed({b: f"_size{i}" for i, b in enumerate(by)})
+        d = d.join(sizes, same(by, [f"_size{i}" for i in range(len(by))])).drop(*[f"_size{i}" for i in range(len(by))])
+    # The smaller of the steps from a row on are found from the largest p-value down, so that every row is looked at once.
+    step, best, choose, sign = (F.col("_m") - F.col("_i") + 1, F.max, F.greatest, 1) if method == "holm" else (F.col("_m") / F.col("_i"), F.min, F.least, -1)
+    d = d.withColumn("_step", F.col(p) * step).withColumn("_order", sign * F.col("_i"))
+    if few:
+        d = d.withColumn("_stepped", best("_step").over(Window.partitionBy(*by).orderBy("_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    else:
+        d = ranks.running(d, "_step", best, choose, ["_order"], by, F.lit(sign) * own, "_stepped")
+    return d.select(*columns, F.when(F.col("_known"), F.least("_stepped", F.lit(1.0))).alias(out))
 
 
 def feature_correlations(df: DataFrame, features: Sequence[str], target: str, confidence: float = 0.95, method: str = "holm", p_values: bool = True) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.errors import DesignMatrixError
-from tessera.functions import halo, stats
-from tessera.operators import diagnostics, frames, linear, pooling, qr
+from tessera.functions import halo, ranks, stats
+from tessera.operators import association, diagnostics, frames, linear, pooling, qr
 
 # Least squares by QR
 
@@ -224,3 +224,24 @@ def test_constant_columns_have_no_spread_however_moments_are_merged(spark):
     rows = pooling.pool(d, ["k"], ["flat"], ("skew", "kurtosis", "std")).drop("k").distinct().collect()
     assert [tuple(r) for r in rows] == [(0.0, 0.0, 0.0)]
     assert {r.r for r in d.groupBy("k").agg(stats.pearson("flat", "x").alias("r")).collect()} == {None}
+
+
+@pytest.mark.parametrize("method", ["holm", "fdr_bh"])
+def test_adjusted_p_values_of_families_in_ranges(spark, monkeypatch, method):
+    """Two families with ties and undefined ones, in ranges, and at once: no window looks at the rest of a family for every row."""
+    rng = np.random.default_rng(8)
+    p = [None, math.nan, 0.0, 0.0, 1.0, *(np.round(rng.random(400) ** 3, 2)).tolist()]
+    rows = [(g, k, x) for g in ("a", None) for k, x in enumerate(p)]
+    d = spark.createDataFrame(rows, "g string, k int, p double")
+    want = {}
+    known = sorted((x, k) for k, x in enumerate(p) if x is not None and not math.isnan(x))
+    m = len(known)
+    steps = [x * (m - i) if method == "holm" else x * (m / (i + 1)) for i, (x, _) in enumerate(known)]
+    for i, (_, k) in enumerate(known):
+        want[k] = min(1.0, max(steps[: i + 1]) if method == "holm" else min(steps[i:]))
+    for most in (100_000, 0):
+        monkeypatch.setattr(ranks, "BROADCAST_VALUES", most)
+        out = association.adjust(d, "p", ["k"], method, ["g"])
+        assert "currentrow$(), unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+        got = out.collect()
+        assert len(got) == len(rows) and all(r.p_adjusted == (pytest.approx(want[r.k], abs=1e-12) if r.k in want else None) for r in got)
