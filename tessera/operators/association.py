@@ -46,12 +46,58 @@ def pearson_ci(df: DataFrame, x: str, y: str, by: Sequence[str] = (), confidence
     return d.withColumn("p_value", _p_value(F.col("r"), F.col("n"))) if p_value else d
 
 
+def _few_values(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> list[bool]:
+    """Whether each column has few enough values (within ``by``) that figures of them can be broadcast; the choice changes no result."""
+    kinds = [F.struct(*by, F.col(c).cast("double")) for c in columns]
+    row = df.agg(*[F.approx_count_distinct(k).alias(f"n{i}") for i, k in enumerate(kinds)]).first()
+    return [n <= 0.9 * ranks.BROADCAST_VALUES for n in row]
+
+
+def _by_values(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = ()) -> DataFrame:
+    """Per group and feature (its number k): n and rho with the target over the rows that have both; features have few values.
+
+    The features' ranks are broadcast to the rows, and their sums are taken by different targets, which alone are shuffled
+    and put in order: with all features together, whatever the number of pairs.
+    """
+    by, x = list(by), [f"_x{k}" for k in range(len(features))]
+    d = df.select(*by, F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(n) for c, n in zip(features, x, strict=True)]).where("_y IS NOT NULL")
+    values = None
+    for k, c in enumerate(x):
+        part = d.where(F.col(c).isNotNull()).groupBy(*by, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(k))
+        values = part if values is None else values.unionByName(part)
+    own = Window.partitionBy(*by, "_k")
+    below = F.coalesce(F.sum("_n").over(own.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    values = written(written(values, "values").withColumn("_all", F.sum("_n").over(own)).withColumn("_a", below + (F.col("_n") + 1) / 2 - (F.col("_all") + 1) / 2), "centred")
+    names = [f"_g{i}" for i in range(len(by))]
+    for k, c in enumerate(x):
+        of = values.where(F.col("_k") == k).select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], "_v", F.col("_a").alias(f"_a{k}"))
+        d = d.join(F.broadcast(of), (F.col(c) == F.col("_v")) & same(by, names), "left").drop("_v", *names)  # BROADCAST_VALUES rows or so
+    sums = [f(F.col(f"_a{k}")).alias(f"_{n}{k}") for k in range(len(x)) for n, f in (("n", F.count), ("s", F.sum))]
+    d = written(d.groupBy(*by, "_y").agg(*sums), "targets")
+    # Features that have the same rows as the first share its ranks of the target.
+    others = [k for k in range(1, len(x)) if not d.where(F.col(f"_n{k}") != F.col("_n0")).isEmpty()]
+    part = ranks.numeric_range(d, "_y")
+    for k in (0, *others):
+        d = ranks.before(d, f"_n{k}", ["_y"], by, part, f"_r{k}")
+    totals = values.groupBy(*by, F.col("_k")).agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_a") * F.col("_a")).alias("_aa"))
+    rows = [F.struct(F.lit(k).alias("k"), F.col(f"_n{k}").alias("m"), F.coalesce(f"_s{k}", F.lit(0.0)).alias("s"), F.col(f"_r{k if k in others else 0}").alias("r")) for k in range(len(x))]
+    d = d.select(*by, F.explode(F.array(*rows)).alias("f")).select(*by, "f.*").where("m > 0")
+    d = d.join(F.broadcast(totals.select(*[F.col(b).alias(n) for b, n in zip(by, names, strict=True)], "_k", "_all", "_aa")), (F.col("k") == F.col("_k")) & same(by, names)).drop(*names)  # a row a group and feature
+    b = F.col("r") + (F.col("m") + 1) / 2 - (F.col("_all") + 1) / 2
+    out = d.groupBy(*by, "k").agg(F.sum("m").alias("n"), F.sum(F.col("s") * b).alias("_ab"), F.sum(F.col("m") * b * b).alias("_bb"), F.first("_aa").alias("_aa"))
+    return out.select(*by, "k", "n", ratio("_ab", F.sqrt(F.col("_aa") * F.col("_bb"))).alias("rho"))
+
+
 def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group: n and Pearson's r of the average ranks (rho).
 
-    Equal pairs are counted first; ranks are those of different values, so ties cost nothing and no group is one task.
+    Where a side has few values, its ranks are broadcast (see ``_by_values``). Else equal pairs are counted first; ranks are
+    those of different values, so ties cost nothing and no group is one task.
     """
     by = list(by)
+    for few, a, b in zip(_few_values(df, [x, y], by), (x, y), (y, x), strict=True):
+        if few:
+            return _by_values(df, [a], b, by).drop("k")
     pairs = written(df.groupBy(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).alias("_w")), "pairs")
     d = pairs.join(pairs.groupBy(*by).agg(F.sum("_w").alias("_n")), by) if by else pairs.join(F.broadcast(pairs.agg(F.sum("_w").alias("_n"))))  # one row
     for c in ("_x", "_y"):
@@ -114,10 +160,20 @@ def adjust(df: DataFrame, p: str, tiebreak: Sequence[str], method: str = "holm",
 
 def feature_correlations(df: DataFrame, features: Sequence[str], target: str, confidence: float = 0.95, method: str = "holm", p_values: bool = True) -> DataFrame:
     """One row per feature: Pearson and Spearman with the target, each family of p-values adjusted by itself; constants last."""
-    rows = [F.struct(F.lit(k).alias("ordinal"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for k, c in enumerate(features)]
-    long = df.select(F.explode(F.array(*rows)).alias("f"), F.col(target).cast("double").alias("y")).select("f.*", "y")
-    d = pearson_ci(long, "x", "y", ["ordinal", "feature"], confidence, p_values)
-    d = d.join(spearman(long, "x", "y", ["ordinal", "feature"], p_values).drop("n").withColumnRenamed("p_value", "rho_p_value"), ["ordinal", "feature"])
+    long = lambda which: df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("ordinal"), F.lit(features[k]).alias("feature"), F.col(features[k]).cast("double").alias("x")) for k in which])).alias("f"), F.col(target).cast("double").alias("y")).select("f.*", "y")
+    d = pearson_ci(long(range(len(features))), "x", "y", ["ordinal", "feature"], confidence, p_values)
+    few = _few_values(df, features, [])
+    shared, many = [k for k, yes in enumerate(few) if yes], [k for k, yes in enumerate(few) if not yes]
+    rho = None
+    if shared:  # the target is put in order once for all of these
+        rho = _by_values(df, [features[k] for k in shared], target)
+        rho = rho.select(F.element_at(F.array(*map(F.lit, shared)), F.col("k") + 1).alias("ordinal"), "n", "rho")
+    if many:
+        more = spearman(long(many), "x", "y", ["ordinal", "feature"], False).select("ordinal", "n", "rho")
+        rho = more if rho is None else rho.unionByName(more)
+    if p_values:
+        rho = rho.withColumn("rho_p_value", _p_value(F.col("rho"), F.col("n")))
+    d = d.join(rho.drop("n"), "ordinal")
     if p_values:
         d = adjust(adjust(d, "p_value", ["ordinal"], method), "rho_p_value", ["ordinal"], method, out="rho_p_adjusted")
     return d.orderBy(F.abs("r").desc_nulls_last(), "ordinal")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.errors import DesignMatrixError
-from tessera.functions import halo, ranks, stats
+from tessera.functions import halo, ranks, shared, stats
 from tessera.operators import association, diagnostics, frames, linear, pooling, qr
 
 # Least squares by QR
@@ -245,3 +245,28 @@ def test_adjusted_p_values_of_families_in_ranges(spark, monkeypatch, method):
         assert "currentrow$(), unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
         got = out.collect()
         assert len(got) == len(rows) and all(r.p_adjusted == (pytest.approx(want[r.k], abs=1e-12) if r.k in want else None) for r in got)
+
+
+def plain_rho(x, y):
+    both = ~(np.isnan(x) | np.isnan(y))
+    ranks_of = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    return int(both.sum()), np.corrcoef(ranks_of(x[both]), ranks_of(y[both]))[0, 1]
+
+
+@pytest.mark.parametrize("most", [100_000, 60, 0])
+def test_rank_correlations_form_no_pairs_of_columns_with_few_values(spark, monkeypatch, most):
+    """Features with few values, with other nulls, and one with many; at the last bound all go by their pairs."""
+    rng = np.random.default_rng(6)
+    table = np.stack([rng.integers(0, 5, 300), rng.integers(0, 20, 300), rng.integers(0, 3, 300), rng.normal(0, 1, 300), rng.integers(0, 90, 300)], 1).astype(float)
+    table[:, 4] += table[:, 1]
+    table[::7, 1], table[::11, 4] = np.nan, np.nan
+    names = ["a", "b", "c", "d", "y"]
+    d = spark.createDataFrame([[None if math.isnan(v) else float(v) for v in r] for r in table], ", ".join(f"{n} double" for n in names))
+    monkeypatch.setattr(ranks, "BROADCAST_VALUES", most)
+    tables = []
+    monkeypatch.setattr(association, "written", lambda df, name: tables.append(name) or shared.written(df, name))
+    got = {r.feature: (r.n, r.rho) for r in association.feature_correlations(d, names[:4], "y").collect()}
+    for k, c in enumerate(names[:4]):
+        n, rho = plain_rho(table[:, k], table[:, 4])
+        assert got[c] == (n, pytest.approx(rho, abs=1e-12))
+    assert tables.count("pairs") == (most < 300)
