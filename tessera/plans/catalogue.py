@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import special
+from tessera.functions.shared import written
 from tessera.functions.stats import pearson, ratio, rounded
 from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, nested, pooling
 from tessera.sources import audio, tables
@@ -617,7 +618,7 @@ def cross_validated_regression(spark, sf_dir):
 def cross_validated_ridge(spark, sf_dir):
     """Ridge per fold, all metrics per fold and pooled (fold NULL)."""
     d = _t(spark, sf_dir, "lineitem").select(*_X, "l_extendedprice", folds.hashed(4, 5, "l_suppkey").alias("fold"))
-    p = models.linear_cv(d, _X, "l_extendedprice", alpha=1.0)
+    p = written(models.linear_cv(d, _X, "l_extendedprice", alpha=1.0).select("fold", "l_extendedprice", "predicted"), "predicted")  # predicted once for all metrics
     return metrics.with_pooled(p, lambda x, by: metrics.regression(x, "l_extendedprice", "predicted", by), "fold")
 
 
@@ -627,7 +628,8 @@ def cross_validated_ridge(spark, sf_dir):
 def cross_validated_ridge_of_one(spark, sf_dir):
     """Ridge with one predictor and a penalty that is felt."""
     d = _t(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", folds.hashed(4, 5, "l_suppkey").alias("fold"))
-    out = metrics.regression(models.linear_cv(d, ["l_quantity"], "l_extendedprice", alpha=1e6), "l_extendedprice", "predicted", ["fold"])
+    p = written(models.linear_cv(d, ["l_quantity"], "l_extendedprice", alpha=1e6).select("fold", "l_extendedprice", "predicted"), "predicted")
+    out = metrics.regression(p, "l_extendedprice", "predicted", ["fold"])
     return _round(_round(out.select("fold", "n", "mae", "rmse", "r2"), "mae", "rmse", digits=3), "r2")
 
 

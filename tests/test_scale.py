@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import DesignMatrixError
 from tessera.functions import halo, ranks, shared, stats
-from tessera.operators import association, diagnostics, frames, linear, pooling, qr
+from tessera.operators import association, diagnostics, frames, linear, metrics, pooling, qr
 
 # Least squares by QR
 
@@ -270,3 +270,15 @@ def test_rank_correlations_form_no_pairs_of_columns_with_few_values(spark, monke
         n, rho = plain_rho(table[:, k], table[:, 4])
         assert got[c] == (n, pytest.approx(rho, abs=1e-12))
     assert tables.count("pairs") == (most < 300)
+
+
+def test_metrics_of_few_predictions_form_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(g), float(t), float(p)) for g, t, p in zip(rng.integers(0, 3, 400), rng.normal(0, 1, 400), rng.integers(0, 12, 400), strict=True)]
+    tables = []
+    monkeypatch.setattr(association, "written", lambda df, name: tables.append(name) or shared.written(df, name))
+    out = {r.g: r for r in metrics.with_pooled(spark.createDataFrame(rows, "g int, t double, p double"), lambda x, by: metrics.regression(x, "t", "p", by), "g").collect()}
+    assert "pairs" not in tables and set(out) == {0, 1, 2, None}
+    for g, r in out.items():
+        own = np.array([(t, p) for k, t, p in rows if g is None or k == g])
+        assert (r.n, r.rho) == (len(own), pytest.approx(plain_rho(own[:, 0], own[:, 1])[1], abs=1e-12))
