@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import special
 from tessera.functions.shared import written
 from tessera.functions.stats import pearson, ratio, rounded
-from tessera.operators import ablation, association, diagnostics, folds, frames, linear, metrics, models, nested, pooling
+from tessera.operators import ablation, association, diagnostics, folds, frames, kernels, linear, metrics, models, nested, pooling
 from tessera.sources import audio, tables
 from tessera.streaming import windows
 
@@ -637,7 +637,9 @@ def _features(spark, sf_dir) -> DataFrame:
     """One pooled vector per supplier with its balance as target."""
     pooled = pooling.pool(_t(spark, sf_dir, "lineitem"), ["l_suppkey"], LINE, ("mean", "std"))
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("y"))
-    return s.join(pooled, F.col("s_suppkey") == F.col("l_suppkey")).drop("l_suppkey").withColumn("fold", folds.hashed(3, 2, "s_suppkey"))
+    d = s.join(pooled, F.col("s_suppkey") == F.col("l_suppkey")).drop("l_suppkey").withColumn("fold", folds.hashed(3, 2, "s_suppkey"))
+    parts = 1 + s.count() // kernels.BLOCK
+    return written(d.repartition(parts, "s_suppkey"), "features")  # pooled once for all passes of the models, in as many parts as they have blocks
 
 
 _POOLED = [f"{s}_{c}" for s in ("mean", "std") for c in LINE]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.errors import DesignMatrixError
 from tessera.functions import halo, ranks, shared, stats
 from tessera.operators import association, diagnostics, frames, linear, metrics, pooling, qr
+from tessera.plans import catalogue
 
 # Least squares by QR
 
@@ -282,3 +283,8 @@ def test_metrics_of_few_predictions_form_no_pairs(spark, monkeypatch):
     for g, r in out.items():
         own = np.array([(t, p) for k, t, p in rows if g is None or k == g])
         assert (r.n, r.rho) == (len(own), pytest.approx(plain_rho(own[:, 0], own[:, 1])[1], abs=1e-12))
+
+
+def test_features_of_kernels_are_pooled_once(spark, sf_dir):
+    files = catalogue._features(spark, sf_dir).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
