@@ -1,7 +1,7 @@
 """Operator 4: quality rules by hashed n-gram log-likelihood ratios (DataFrame functions only).
 
 Two multinomials over hashed unigrams and bigrams are estimated in one pass over the corpus: the raw corpus (every
-document) and the trusted target (documents labelled good). A document's score is its mean log ratio of the two per
+document) and the trusted target (all documents labelled good). A document's score is its mean log ratio of the two per
 n-gram; it is kept if the base rules pass and the score reaches the threshold, so equal texts always get equal
 verdicts. The threshold follows from the target: each of its documents is scored by the ratios that the other half of the
 target gives, and a small share of these scores may lie below. The base rules ask for at least 50 words and for at most
@@ -20,12 +20,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.quantiles import percentiles
 from tessera.llm.common import SPACE, stash, words
 
 #: Buckets of the hashed n-grams; both multinomials have this many cells whatever the corpus size.
 BUCKETS = 1 << 17
-#: Labelled rows, in hash order, that may mark the trusted target.
-TARGET_ROWS = 50_000
+#: Rows of the trusted target that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Share of the trusted target whose scores, by ratios of its other half, lie below the threshold.
 BELOW = 0.01
 #: Part of the target in the smoothed target multinomial; the rest is the raw one, so unseen n-grams cost a fixed ratio.
@@ -41,18 +42,18 @@ def _hashes(d: DataFrame) -> DataFrame:
     return d.withColumn("_b", F.transform("_u", lambda h, i: F.xxhash64(h, F.get(F.col("_u"), i + 1))))
 
 
-def target_ids(labels: DataFrame, bound: int = TARGET_ROWS) -> DataFrame:
-    """Ids labelled good, from at most ``bound`` labelled rows in hash order, and the half of the target that each is in."""
+def target_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled good, and the half of the target that each is in."""
     rows = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return rows.where("quality = 1").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"))
 
 
-def _marked(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+def _marked(docs: DataFrame, targets: DataFrame, few: bool, id_col: str, text_col: str, how: str) -> DataFrame:
     """Words of documents and the half of the target that they are in."""
-    marks = F.broadcast(targets.select(F.col("doc_id").alias("_target"), F.col("half").alias("_half")))  # TARGET_ROWS rows at most
-    d = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_w"))
-    return _hashes(d.join(marks, F.col("_id") == F.col("_target"), how))
+    marks = targets.select(F.col("doc_id").alias("_target"), F.col("half").alias("_half"))
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    d = d.join(F.broadcast(marks) if few else marks.hint("merge"), F.col("_id") == F.col("_target"), how)
+    return _hashes(d.withColumn("_w", words(F.col("_text"))).drop("_text"))
 
 
 @dataclass
@@ -80,8 +81,9 @@ def _score(d: DataFrame, out: str, table: DataFrame, column: str = "ratios") ->
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", below: float = BELOW) -> Model:
     """Log ratios of all buckets, counted over all documents, and the threshold."""
-    targets = target_ids(labels)
-    d = _marked(docs, targets, id_col, text_col, "left")
+    targets = stash(target_ids(labels), "targets")
+    few = targets.count() <= BROADCAST_IDS
+    d = _marked(docs, targets, few, id_col, text_col, "left")
     cells = d.select(F.coalesce("_half", F.lit(-1)).alias("t"), F.explode(F.concat("_u", "_b")).alias("h"))
     cells = cells.select("t", F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b"))
     of = lambda half: F.sum((F.col("t") == half).cast("long"))
@@ -91,10 +93,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = F.array_sort(F.collect_list(F.struct("id", _ratio(F.col("t0") + F.col("t1"), t0 + t1, n).alias("ratios"), _ratio(F.col("t0"), t0, n).alias("of_0"), _ratio(F.col("t1"), t1, n).alias("of_1"))))
     table = every.agg(rows.alias("r")).select("r.ratios", "r.of_0", "r.of_1")
     table = stash(table, "ratios")
-    own = _marked(docs, targets, id_col, text_col, "inner").where(F.size("_w") >= LEAST_WORDS)
+    own = _marked(docs, targets, few, id_col, text_col, "inner").where(F.size("_w") >= LEAST_WORDS)
     own = _score(_score(own, "by_0", table, "of_0"), "by_1", table, "of_1")
     crossed = F.when(F.col("_half") == 0, F.col("by_1")).otherwise(F.col("by_0"))
-    threshold = own.select(crossed.alias("s")).agg(F.expr(f"percentile(s, {below})")).first()[0]  # of the target's rows alone
+    scores = stash(own.select(F.lit(0).alias("all"), crossed.alias("s")), "scores")
+    threshold = percentiles(scores, ["all"], ["s"], [100 * below], lambda c, q: "threshold").first()  # exact, and of bounded memory for a target of any size
+    threshold = None if threshold is None else threshold.threshold
     return Model(table, 0.0 if threshold is None else min(0.0, threshold))
 
 

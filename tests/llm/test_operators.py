@@ -386,6 +386,17 @@ def test_quality_scores_equal_plain_log_ratios(spark):
     assert abs(quality_rules.fit(d, d).threshold - min(0, np.quantile(crossed, quality_rules.BELOW))) < 0.05
 
 
+def test_quality_target_is_every_row_labelled_good(spark, monkeypatch):
+    """No label is left out, and a target joined by a shuffle gives the model of a broadcast one."""
+    assert quality_rules.target_ids(spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")).count() == 60_000
+    rng = np.random.default_rng(9)
+    d = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.integers(0, 30, 60)), int(i % 3 > 0)) for i in range(60)], "doc_id bigint, text string, quality int")
+    one = quality_rules.fit(d, d)
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
+    other = quality_rules.fit(d, d)
+    assert one.threshold == other.threshold < 0 and one.table.first() == other.table.first()
+
+
 # 5 Order MinHash
 
 
